@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,12 +33,14 @@ def map_texts(
     make: Callable[[], Callable[[list], list]],
     id_col: str = "doc_id",
     text_col: str = "text",
+    memo: bool = False,
 ) -> DataFrame:
     """One narrow pass over whole texts: ``id_col`` as it is, and what ``make()(texts)`` says of each.
 
     ``make`` runs once in a worker, so it may load a model; it returns a
     function from a list of texts (None for null) to a list of tuples in the
-    order of ``schema``. Only the two named columns are read, so further
+    order of ``schema``. ``memo``: it keeps tables of many small objects, among
+    which Python's cycle collector would search in vain; it rests meanwhile. Only the two named columns are read, so further
     columns of any name do no harm.
     """
     small_text_batches(docs.sparkSession)
@@ -51,14 +54,19 @@ def map_texts(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = of(batch.column(1).to_pylist())
-            columns = list(zip(*rows, strict=True))
-            arrays = [batch.column(0).cast(arrow.field(0).type)]
-            arrays += [pa.array(c, type=arrow.field(k + 1).type) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        if memo:
+            gc.disable()
+        try:
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                rows = of(batch.column(1).to_pylist())
+                columns = list(zip(*rows, strict=True))
+                arrays = [batch.column(0).cast(arrow.field(0).type)]
+                arrays += [pa.array(c, type=arrow.field(k + 1).type) for k, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            gc.enable()
 
     return narrow.mapInArrow(run, out)
 

@@ -6,16 +6,99 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import simhash
+from plumbline.llm import (
+    bpe,
+    embed_dedup,
+    mixing,
+    pii,
+    quality_knn,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from plumbline.session import read_table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return bpe.digests(bpe.encode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern()))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(read_table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    counted = token_counts.token_counts(docs, vocabulary("piece_bpe_32k.model"), limit=4096)
+    return token_counts.with_limit(counted, 4096)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash_dedup": op5_simhash_dedup}
+    made = [
+        op1_toxicity,
+        op2_sharding,
+        op3_quality_rules,
+        op4_byte_bpe,
+        op5_simhash_dedup,
+        op6_token_counts,
+        op7_mixing,
+        op8_pii_surrogates,
+        op9_quality_neighbours,
+        op10_embedding_dedup,
+        pipeline,
+    ]
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_sorted_groups, map_texts, utf8
@@ -293,3 +293,18 @@ def similar_classes(
     nodes = reps.select("fp", F.explode(F.array_distinct("keys")).alias("shard"))
     links = shard_links(nodes, "shard", "fp", radius_for(similarity, LANES), LANES)
     return named(prints.select(id_col, "fp"), reps.select("fp", "rep"), links, id_col).select(id_col, "component_id")
+
+
+def keep_one(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of ``docs`` for each class of similar texts: that of least id, with its own columns.
+
+    Of rows that share the least id, one whose text hashes least stays. Rows
+    with a null id stay: no name tells them apart.
+    """
+    found = similar_classes(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col)
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__pl_id")).distinct()
+    own = Window.partitionBy("__pl_id").orderBy(F.xxhash64(text_col), F.col(text_col))
+    met = docs.join(kept, F.col(id_col) == F.col("__pl_id")).withColumn("__pl_nth", F.row_number().over(own))
+    return met.where("__pl_nth = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
