@@ -2,11 +2,10 @@
 
 Each rule reads a few counts of a whole text and votes "good", "bad" or
 abstains. What a text's rules say together is its pattern; only the number of
-texts with each pattern matters for the fit, and with seven rules of three
-outcomes there are at most 3**7 = 2187 patterns, whatever the corpus. Spark
-counts the patterns of all texts; expectation-maximisation then estimates, for
-good and for bad texts, how often each rule says what (its accuracies), and the
-share of good texts. A text is kept if its posterior probability of being good
+texts with each pattern matters for the fit, and with nine rules there are at
+most 3 * 2**8 = 768 patterns, whatever the corpus. Spark counts the patterns of
+all texts; expectation-maximisation then estimates each rule's accuracy (how
+often its votes agree with what the text is) and the share of good texts. A text is kept if its posterior probability of being good
 is at least ``KEEP``: no rule alone can reject it, unlike all-must-pass filters.
 
 A null text has no words. Repeated rows count each time. Empty tables give no
@@ -25,7 +24,13 @@ from plumbline.session import cut
 KEEP = 0.5
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-COUNTS = [*BASE, "n_upper", "n_letters", "n_lines"]
+COUNTS = [*BASE, "n_upper", "n_letters", "n_lines", "n_marks"]
+
+
+_MARKS = frozenset(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
+_LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
+_LETTER[0x2FFF] = True  # all scripts beyond count as letters
+_UPPER = np.array([chr(c).isupper() for c in range(0x3000)])
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -72,15 +77,9 @@ def text_counts(text: str | None) -> tuple[int, ...]:
             else:
                 seen.add(line)
     symbols = sum(raw.count(bytes([s])) for s in SYMBOLS)
-    lower = text.lower()
-    if len(raw) == len(text):
-        codes = np.frombuffer(raw, np.uint8)
-        upper = int(((codes >= 65) & (codes <= 90)).sum())
-        letters = upper + int(((codes >= 97) & (codes <= 122)).sum())
-    else:
-        upper = sum(a != b for a, b in zip(text, lower, strict=False)) if len(lower) == len(text) else 0
-        letters = chars
-    return len(words), chars, symbols, dup, repeated_words(words), upper, letters, lines
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x2FFF)
+    upper, letters = int(_UPPER[codes].sum()), int(_LETTER[codes].sum())
+    return len(words), chars, symbols, dup, repeated_words(words), upper, letters, lines, sum(w in _MARKS for w in words)
 
 
 def counts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,23 +97,28 @@ def votes(c: dict[str, Column]) -> list[Column]:
     lines = F.greatest(c["n_lines"], F.lit(1))
     mean = c["word_chars"] / words
     symbols = c["n_symbols"] / words
+    marks = c["n_marks"] / words
     repeat = c["n_repeat_words"] / words
     upper = c["n_upper"] / F.greatest(c["n_letters"], F.lit(1))
+    letters = c["n_letters"] / F.greatest(c["word_chars"], F.lit(1))
     dup = c["n_dup_lines"] / lines
-    words_a_line = c["n_words"] / lines
+    never = F.lit(False)
+    prose = (mean >= 3) & (mean <= 10) & (letters >= 0.9) & (symbols < 0.02) & (repeat < 0.1) & (upper < 0.2) & (dup < 0.1)
     return [
-        _vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14)),
-        _vote(symbols < 0.02, symbols > 0.1),
-        _vote(repeat < 0.1, repeat > 0.3),
-        _vote(upper < 0.15, upper > 0.4),
-        _vote(dup < 0.1, dup > 0.3),
-        _vote(c["n_words"] >= 100, c["n_words"] < 20),
-        _vote(words_a_line >= 5, words_a_line < 2),
+        _vote(prose, never),
+        _vote(never, (mean < 2) | (mean > 14)),
+        _vote(never, symbols > 0.1),
+        _vote(never, marks > 0.1),
+        _vote(never, repeat > 0.3),
+        _vote(never, upper > 0.4),
+        _vote(never, dup > 0.3),
+        _vote(never, letters < 0.8),
+        _vote(never, c["n_words"] / lines < 2),
     ]
 
 
 #: How many rules vote.
-RULES = 7
+RULES = 9
 
 
 def pattern(c: dict[str, Column] | None = None) -> Column:
@@ -125,50 +129,44 @@ def pattern(c: dict[str, Column] | None = None) -> Column:
     return out.cast("int")
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """(share of good texts, table[class, rule, vote]) by expectation-maximisation over pattern counts.
+def fit(digits: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
+    """(share of good texts, accuracy of each rule) by expectation-maximisation over pattern counts.
 
-    It starts from rules that are right four times in five and abstain one
-    time in five, and each table keeps a little of that start, so a rule that
-    never votes stays neutral and the classes can't trade places.
+    A vote is right with its rule's accuracy, whatever the text is; abstaining
+    says nothing. Rules start at 0.8, and keep a little of that, so a rule that
+    never votes stays there; none is held worse than a guess or infallible.
     """
-    digits = (patterns[:, None] // 3 ** np.arange(rules - 1, -1, -1)) % 3
-    start = np.empty((2, rules, 3))
-    start[1] = 0.16, 0.2, 0.64
-    start[0] = 0.48, 0.2, 0.32
+    votes_good, votes_bad = digits == 2, digits == 0
     weight = 0.001 * max(1.0, counts.sum())
-    share, table = 0.8, start.copy()
-    onehot = np.eye(3)[digits]
+    share, accuracy = 0.8, np.full(digits.shape[1], 0.8)
     for _ in range(rounds):
-        p = posterior(digits, share, table)
-        new = (counts * p).sum() / max(counts.sum(), 1) if len(counts) else share
-        for k, q in ((1, counts * p), (0, counts * (1 - p))):
-            seen = (q[:, None, None] * onehot).sum(axis=0) + weight * start[k]
-            table[k] = seen / seen.sum(axis=1, keepdims=True)
-        new = float(np.clip(new, 0.01, 0.99))
-        if abs(new - share) < 1e-9:
+        p = posterior(digits, share, accuracy)[:, None]
+        n = counts[:, None]
+        right = (n * (votes_good * p + votes_bad * (1 - p))).sum(axis=0) + 0.8 * weight
+        new = np.clip(right / ((n * (votes_good + votes_bad)).sum(axis=0) + weight), 0.55, 0.99)
+        good = float(np.clip((counts * p[:, 0]).sum() / counts.sum(), 0.01, 0.99))
+        still = abs(good - share) + np.abs(new - accuracy).max() < 1e-10
+        share, accuracy = good, new
+        if still:
             break
-        share = new
-    return share, table
+    return share, accuracy
 
 
-def posterior(digits: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
-    at = np.arange(digits.shape[1])
-    logs = np.log(table)
-    good = np.log(share) + logs[1][at, digits].sum(axis=1)
-    bad = np.log(1 - share) + logs[0][at, digits].sum(axis=1)
-    return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
+def posterior(digits: np.ndarray, share: float, accuracy: np.ndarray) -> np.ndarray:
+    """Probability that a text with these votes is good."""
+    weight = np.log(accuracy / (1 - accuracy))
+    odds = np.log(share / (1 - share)) + ((digits == 2) * weight - (digits == 0) * weight).sum(axis=1)
+    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
 def learn(counted: DataFrame) -> dict[int, float]:
     """Posterior of each pattern that occurs; the counts of all texts decide."""
-    rows = counted.groupBy(pattern().alias("pattern")).count().collect()  # at most 3**7 rows
+    rows = counted.groupBy(pattern().alias("pattern")).count().collect()  # at most 768 rows
     if not rows:
         return {}
     patterns, counts = (np.array(x) for x in zip(*((r[0], r[1]) for r in sorted(rows)), strict=True))
-    share, table = fit(patterns, counts.astype(float), RULES)
     digits = (patterns[:, None] // 3 ** np.arange(RULES - 1, -1, -1)) % 3
-    return dict(zip(patterns.tolist(), posterior(digits, share, table).tolist(), strict=True))
+    return dict(zip(patterns.tolist(), posterior(digits, *fit(digits, counts.astype(float))).tolist(), strict=True))
 
 
 def base_failed(c: dict[str, Column] | None = None) -> Column:
