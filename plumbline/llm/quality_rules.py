@@ -22,6 +22,8 @@ from plumbline.session import cut
 
 #: Least posterior probability of a kept text.
 KEEP = 0.5
+#: Accuracy believed of every rule before its votes are seen.
+BELIEF = 0.9
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = [*BASE, "n_upper", "n_letters", "n_lines", "n_marks"]
@@ -111,7 +113,7 @@ def votes(c: dict[str, Column]) -> list[Column]:
         _vote(never, marks > 0.1),
         _vote(never, repeat > 0.3),
         _vote(never, upper > 0.4),
-        _vote(never, dup > 0.3),
+        _vote(never, dup > 0.5),
         _vote(never, letters < 0.8),
         _vote(never, c["n_words"] / lines < 2),
     ]
@@ -133,17 +135,19 @@ def fit(digits: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[floa
     """(share of good texts, accuracy of each rule) by expectation-maximisation over pattern counts.
 
     A vote is right with its rule's accuracy, whatever the text is; abstaining
-    says nothing. Rules start at 0.8, and keep a little of that, so a rule that
-    never votes stays there; none is held worse than a guess or infallible.
+    says nothing. What is believed of a rule beforehand (``BELIEF``) weighs as
+    much as its own votes: most defects show in one or two rules only, and
+    without that belief the many texts without any would talk those rules down.
     """
     votes_good, votes_bad = digits == 2, digits == 0
-    weight = 0.001 * max(1.0, counts.sum())
-    share, accuracy = 0.8, np.full(digits.shape[1], 0.8)
+    cast = (counts[:, None] * (votes_good + votes_bad)).sum(axis=0)
+    weight = np.maximum(cast, 1.0)
+    share, accuracy = 0.8, np.full(digits.shape[1], BELIEF)
     for _ in range(rounds):
         p = posterior(digits, share, accuracy)[:, None]
         n = counts[:, None]
-        right = (n * (votes_good * p + votes_bad * (1 - p))).sum(axis=0) + 0.8 * weight
-        new = np.clip(right / ((n * (votes_good + votes_bad)).sum(axis=0) + weight), 0.55, 0.99)
+        right = (n * (votes_good * p + votes_bad * (1 - p))).sum(axis=0) + BELIEF * weight
+        new = np.clip(right / (cast + weight), 0.55, 0.99)
         good = float(np.clip((counts * p[:, 0]).sum() / counts.sum(), 0.01, 0.99))
         still = abs(good - share) + np.abs(new - accuracy).max() < 1e-10
         share, accuracy = good, new
