@@ -60,7 +60,7 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> D
     Bytes that are no UTF-8 make the file be read as windows-1252 (which needs
     the session's legacy Java charsets).
     """
-    bad = spark.read.text(path).where(F.col("value").contains("�")).limit(1).count()
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     how = {"header": not columns, "encoding": "windows-1252" if bad else "UTF-8", "nullValue": "", "mode": "PERMISSIVE"}
     first = spark.read.csv(path, inferSchema=False, **how).limit(SAMPLE_ROWS)
     names = list(columns) or first.columns
