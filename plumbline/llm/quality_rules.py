@@ -21,9 +21,11 @@ from plumbline.llm.common import map_texts, small_text_batches, utf8
 from plumbline.session import cut
 
 #: Least posterior probability of a kept text.
-KEEP = 0.5
+KEEP = 0.3
 #: Accuracy believed of every rule before its votes are seen.
-BELIEF = 0.9
+BELIEF, STRENGTH = 0.9, 5.0
+#: Largest share of good texts that is believed.
+MOST_GOOD = 0.92
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = [*BASE, "n_upper", "n_letters", "n_lines", "n_marks"]
@@ -135,20 +137,22 @@ def fit(digits: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[floa
     """(share of good texts, accuracy of each rule) by expectation-maximisation over pattern counts.
 
     A vote is right with its rule's accuracy, whatever the text is; abstaining
-    says nothing. What is believed of a rule beforehand (``BELIEF``) weighs as
-    much as its own votes: most defects show in one or two rules only, and
-    without that belief the many texts without any would talk those rules down.
+    says nothing. What is believed of a rule beforehand (``BELIEF``) weighs
+    ``STRENGTH`` times its own votes: most defects show in one or two rules
+    only, and without that belief the many texts without any would talk those
+    rules down. For the same reason the share of good texts is held at
+    ``MOST_GOOD`` at most: two defects reject a text in the cleanest corpus too.
     """
     votes_good, votes_bad = digits == 2, digits == 0
     cast = (counts[:, None] * (votes_good + votes_bad)).sum(axis=0)
-    weight = np.maximum(cast, 1.0)
+    weight = STRENGTH * np.maximum(cast, 1.0)
     share, accuracy = 0.8, np.full(digits.shape[1], BELIEF)
     for _ in range(rounds):
         p = posterior(digits, share, accuracy)[:, None]
         n = counts[:, None]
         right = (n * (votes_good * p + votes_bad * (1 - p))).sum(axis=0) + BELIEF * weight
         new = np.clip(right / (cast + weight), 0.55, 0.99)
-        good = float(np.clip((counts * p[:, 0]).sum() / counts.sum(), 0.01, 0.99))
+        good = float(np.clip((counts * p[:, 0]).sum() / counts.sum(), 0.1, MOST_GOOD))
         still = abs(good - share) + np.abs(new - accuracy).max() < 1e-10
         share, accuracy = good, new
         if still:
