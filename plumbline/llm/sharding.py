@@ -45,36 +45,36 @@ def _draw(key: Column, name: Column, weight: Column) -> Column:
     return -F.log(u) / weight
 
 
-def _least(key: Column, level: str, children: list[tuple[str, float, int]]) -> Column:
+def _children(rows: list[tuple[str, float, int]]) -> Column:
+    """A level's children as a literal: what a draw needs of each."""
+    return F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"), F.lit(number).alias("number"))
+            for name, weight, number in rows
+        ]
+    )
+
+
+def _least(key: Column, children: Column) -> Column:
     """The number of the child with the least draw; ties go to the lesser number."""
-    draws = [
-        F.struct(_draw(key, F.lit(f"{level}:{name}"), F.lit(weight)).alias("d"), F.lit(number).alias("c"))
-        for name, weight, number in children
-    ]
-    return (F.least(*draws) if len(draws) > 1 else draws[0]).getField("c")
+    draws = F.transform(children, lambda c: F.struct(_draw(key, c["name"], c["weight"]).alias("d"), c["number"].alias("c")))
+    return F.array_min(draws).getField("c")
 
 
 def _levels(df: DataFrame, key: Column, tree: Tree, alias: str) -> DataFrame:
-    """Descends the tree level by level; each level is a column, so no draw is made twice."""
+    """Descends the tree: a region, then one of its racks, then one of its shards."""
     weigh = lambda rack: sum(w for _, w in rack)
-    regions = [(str(r), sum(map(weigh, racks)), r) for r, racks in enumerate(tree)]
-    df = df.withColumn("__pl_region", _least(key, "region", regions))
-    rack = F.lit(None).cast("int")
-    number, start = {}, 0
-    for r, racks in enumerate(tree):
-        for k in range(len(racks)):
-            number[r, k] = start
-            start += 1
-    for r, racks in enumerate(tree):
-        names = [(f"{r}.{k}", weigh(shards), number[r, k]) for k, shards in enumerate(racks)]
-        rack = F.when(F.col("__pl_region") == r, _least(key, "rack", names)).otherwise(rack)
-    df = df.withColumn("__pl_rack", rack)
-    shard = F.lit(None).cast("int")
-    for r, racks in enumerate(tree):
-        for k, shards in enumerate(racks):
-            names = [(f"{r}.{k}.{s}", w, s) for s, w in shards]
-            shard = F.when(F.col("__pl_rack") == number[r, k], _least(key, "shard", names)).otherwise(shard)
-    return df.withColumn(alias, shard.cast("int")).drop("__pl_region", "__pl_rack")
+    regions = _children([(f"region:{r}", sum(map(weigh, racks)), r) for r, racks in enumerate(tree)])
+    places = [(r, k) for r, racks in enumerate(tree) for k in range(len(racks))]
+    number = {place: n for n, place in enumerate(places)}
+    racks = F.array(
+        *[_children([(f"rack:{r}.{k}", weigh(shards), number[r, k]) for k, shards in enumerate(racks)]) for r, racks in enumerate(tree)]
+    )
+    shards = F.array(*[_children([(f"shard:{r}.{k}.{s}", w, s) for s, w in tree[r][k]]) for r, k in places])
+    down = df.withColumn("__pl_region", _least(key, regions))
+    down = down.withColumn("__pl_rack", _least(key, F.element_at(racks, F.col("__pl_region") + 1)))
+    down = down.withColumn(alias, _least(key, F.element_at(shards, F.col("__pl_rack") + 1)).cast("int"))
+    return down.drop("__pl_region", "__pl_rack")
 
 
 def place(df: DataFrame, key: Column, tree: Tree, alias: str = "shard") -> DataFrame:
