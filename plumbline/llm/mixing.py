@@ -1,15 +1,14 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-A source's budget is its target in words. Whole passes over the source come
-first (a target of 1.7 times the source takes each document once); what
-remains is a subset-sum problem over document lengths. It is solved on the
-counts of documents by exact length, never on documents: a proportional share
-of each length (so that no length is favoured) takes most of the remaining
-budget, long lengths first take what they can of the rest, and bounded-knapsack
-dynamic programming over the last ``DP_WORDS`` words of budget picks, among
-the lengths still in stock, counts whose sum comes as near as can be. Then the
-counted number of documents of each length is taken in the order of a seeded
-hash of doc_id.
+A source's budget is its target in words; filling it is a subset-sum problem
+over document lengths. It is solved on the counts of documents by exact
+length, never on documents: a proportional share of each length (so that no
+length is favoured) takes most of the budget, long lengths first take what they
+can of the rest, and bounded-knapsack dynamic programming over the last
+``DP_WORDS`` words of budget picks, among the lengths still in stock, counts
+whose sum comes as near as can be. Each length's number is then spread evenly
+over its documents; what doesn't divide goes to the first of them in the order
+of a seeded hash of doc_id.
 
 A source's counts have one row for each distinct length, whatever the number
 of documents; documents are never gathered by source.
@@ -89,30 +88,39 @@ def bounded_subset_sum(lengths: list[int], stock: list[int], budget: int) -> lis
     return taken
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
-    """How many documents of each length to take so that their lengths add up to about ``budget``."""
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float, most: int = 2) -> np.ndarray:
+    """How often to take documents of each length so that lengths add up to about ``budget``; ``most`` times each at most.
+
+    As few documents as possible are taken more than once oftener than others:
+    only if that comes nearer to the budget.
+    """
     total = int((lengths * counts).sum())
-    goal = int(round(min(budget, total)))
-    if goal <= 0 or total == 0:
+    goal = int(round(min(budget, most * total)))
+    if goal <= 0:
         return np.zeros(len(lengths), np.int64)
-    if goal == total:
-        return counts.astype(np.int64)
+    if goal % total == 0:
+        return counts.astype(np.int64) * (goal // total)
     taken = np.array([int(c) * goal // total for c in counts], np.int64)
     left = goal - int((lengths * taken).sum())
-    stock = counts - taken
     for k in np.argsort(-lengths, kind="stable"):
         if left <= DP_WORDS:
             break
         if lengths[k] > 0:
-            n = min(int(stock[k]), (left - DP_WORDS) // int(lengths[k]))
+            n = min(int(counts[k]) * (goal // total + 1) - int(taken[k]), (left - DP_WORDS) // int(lengths[k]))
             taken[k] += n
-            stock[k] -= n
             left -= n * int(lengths[k])
-    if 0 < left:
+    best, gap = taken, left
+    for times in (goal // total + 1, most):
+        stock = times * counts - taken
         use = np.flatnonzero((stock > 0) & (lengths > 0) & (lengths <= left))
-        extra = bounded_subset_sum(lengths[use].tolist(), stock[use].tolist(), min(left, DP_WORDS))
-        taken[use] += extra
-    return taken
+        extra = bounded_subset_sum(lengths[use].tolist(), stock[use].tolist(), left)
+        rest = left - sum(n * int(lengths[k]) for n, k in zip(extra, use, strict=True))
+        if rest < gap:
+            best, gap = taken.copy(), rest
+            best[use] += extra
+        if not gap:
+            break
+    return best
 
 
 def cycle_weights(n: int, cycle: tuple[float, ...] = (5, 2, 1)) -> list[float]:
@@ -148,9 +156,8 @@ def mix(
     def of_source(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", kind="stable")
         total, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
-        passes = int(target // total) if total else 0
-        rows["passes"] = passes
-        rows["chosen"] = fit_lengths(rows["size"].to_numpy(), rows["n"].to_numpy(), target - passes * total)
+        times = fit_lengths(rows["size"].to_numpy(), rows["n"].to_numpy(), target, int(most)) if total else 0 * rows["n"]
+        rows["passes"], rows["chosen"] = times // rows["n"], times % rows["n"]
         return rows
 
     chosen = cut(
