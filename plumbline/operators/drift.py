@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import edges_below
 from plumbline.model import q
 from plumbline.operators.shortcuts import names_identifier
 
@@ -41,8 +42,7 @@ def quantile_edges(reference: DataFrame, columns: list[str]) -> dict[str, list[f
 def bin_of(column: str, cuts: list[float]) -> Column:
     """How many edges lie strictly below the value; nan is above none; null stays null."""
     v = q(column).cast("double")
-    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: v > e)) if cuts else F.lit(0)
-    return F.when(v.isNotNull(), F.when(F.isnan(v), 0).otherwise(number))
+    return F.when(v.isNotNull(), F.when(F.isnan(v), 0).otherwise(edges_below(v, cuts)))
 
 
 def histograms(reference: DataFrame, batch: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:

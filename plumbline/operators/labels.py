@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import normal_form
 from plumbline.model import q
 
 
@@ -35,10 +36,6 @@ def conflict_pairs(df: DataFrame, keys: list[str], label: str, groups: int = 200
     return out.orderBy(F.desc("n_rows"), "pair").limit(pairs)
 
 
-def normal_form(label: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(label.cast("string")), "[^a-z0-9]+", " "))
-
-
 def taxonomy(df: DataFrame, label: str) -> DataFrame:
     """(normal_form, n_spellings, spellings, n_rows) of labels spelt in several ways."""
     counted = df.where(q(label).isNotNull()).groupBy(q(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import finite
 from plumbline.model import CheckSkipped, q
 from plumbline.session import cut
 
@@ -18,8 +19,7 @@ def hash_sample(df: DataFrame, row_id: str, rows: int, seed: int = 42) -> DataFr
 
 def clean(column: str):
     """A number for models: null, nan and infinities are 0."""
-    v = q(column).cast("double")
-    return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v).otherwise(0.0)
+    return F.coalesce(finite(q(column)), F.lit(0.0))
 
 
 def assembled(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

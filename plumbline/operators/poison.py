@@ -161,12 +161,6 @@ def clusters(rows: DataFrame, min_samples: int = 10, least_rows: int = 40) -> Da
     return x.select("row_id", "y", "cluster").join(small.select("cluster", "score"), "cluster")
 
 
-def min_max(scores: DataFrame, keys: list[str], flat: float) -> Column:
-    own = Window.partitionBy(*keys)
-    low, high = F.min("score").over(own), F.max("score").over(own)
-    return F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(flat)
-
-
 def combine_scores(flagged: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(row_id, score, n_detectors, detectors) from (row_id, check_id, score).
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import edges_below, finite
 from plumbline.model import q
 
 # What an identifier's name has, once all but a-z and 0-9 are spaces.
@@ -24,17 +25,16 @@ def names_identifier(name: str) -> bool:
 def edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
     """Inner quantile edges of each column, without repeats, from one aggregate."""
     shares = [k / bins for k in range(1, bins)]
-    finite = {c: q(c).cast("double") for c in columns}
-    clean = {c: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v) for c, v in finite.items()}
-    row = df.agg(*[F.percentile(v, F.array(*map(F.lit, shares))).alias(f"e{i}") for i, v in enumerate(clean.values())]).first()
+    row = df.agg(
+        *[F.percentile(finite(q(c)), F.array(*map(F.lit, shares))).alias(f"e{i}") for i, c in enumerate(columns)]
+    ).first()
     return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
 
 
 def binned(column: str, cuts: list[float]) -> Column:
     """The number of edges strictly below a value; null for null, nan and infinities."""
-    v = q(column).cast("double")
-    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: v > e)) if cuts else F.lit(0)
-    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), number)
+    v = finite(q(column))
+    return F.when(v.isNotNull(), edges_below(v, cuts))
 
 
 def cardinalities(df: DataFrame, columns: list[str]) -> dict[str, int]:

@@ -536,3 +536,27 @@ def drift_monitor(spark, sf_dir):
     events = read_table(spark, sf_dir, "events")
     out = monitor(events.withColumn("ts", F.col("ts").cast("timestamp")), events, "ts", "value", "1 day")
     return rounded(out.select(F.col("window.start").alias("day"), "n", "psi"), "psi")
+
+
+def _dataset(spark, sf_dir):
+    from plumbline.model import Dataset, Roles
+
+    df = over(spark, sf_dir, f"SELECT l_orderkey * 10 + l_linenumber AS rid, l_quantity, l_discount, l_tax, l_linestatus, {SPLIT} AS split, l_returnflag AS label FROM lineitem", "lineitem")
+    return Dataset(df, Roles(label="label", split="split"), config={"row_id": "rid"})
+
+
+@query()
+def audit_findings(spark, sf_dir):
+    """An audit's findings as a table: (check_id, severity, title, affected_rows)."""
+    from plumbline.plans.audit import run_audit
+
+    report = run_audit(_dataset(spark, sf_dir), ["validity", "dup.exact", "dup.cross_split", "labels.conflict", "labels.imbalance", "shortcut"])
+    rows = [(f.check_id, f.severity, f.title, int(f.affected_rows)) for f in report.ordered()]
+    rows += [(i, "error", why, 0) for i, why in report.errors.items()] + [(i, "skipped", why, 0) for i, why in report.skipped.items()]
+    return spark.createDataFrame(rows, "check_id string, severity string, title string, affected_rows long")
+
+
+@query()
+def model_compare(spark, sf_dir):
+    """A baseline forest before and after duplicates are dropped: (stage, n, accuracy, f1_macro, fp_per_10k_benign)."""
+    return compare.compare(_dataset(spark, sf_dir), ["drop_duplicates"], "N", row_id="rid")
