@@ -28,7 +28,7 @@ from plumbline.llm.common import gapless_rank
 Tree = list[list[list[tuple[int, float]]]]
 
 #: Rows that one window task numbers, about.
-SLOT_ROWS = 100_000
+SLOT_ROWS = 1_000
 
 
 def grown_tree(base: int, shards: int, rack: int = 4, region: int = 2) -> Tree:
@@ -94,7 +94,7 @@ def shard_documents(
     placed = place(sized, key, grown_tree(shards, shards), "shard")
     placed = place(placed, key, grown_tree(shards, shards + 1), "grown_shard")
     rows = docs.select(F.lit(1)).count()  # from the file footers
-    buckets = max(1, -(-rows // (shards * SLOT_ROWS // 100)))
+    buckets = max(1, -(-rows // (shards * SLOT_ROWS)))
     bucket = F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(buckets)).cast("int")
     order = [F.col(id_col), F.col("text_crc32"), F.col("size")]
     ranked = gapless_rank(placed, ["shard"], order, bucket, "slot")
