@@ -13,9 +13,10 @@ TEST_NAMES = ("test", "testing", "prueba", "eval", "evaluation", "holdout")
 TRAIN_NAMES = (
     "train", "training", "entrenamiento", "fit", "val", "valid", "validation", "validacion", "validación", "dev",
 )
-# Time formats that are tried; the first is ISO 8601.
+ISO = "ISO 8601"
+# Time formats that are tried; the first reads ISO 8601 in its variants.
 TIME_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss",
+    ISO,
     "yyyy-MM-dd HH:mm:ss",
     "d/M/yyyy H:mm:ss",
     "M/d/yyyy H:mm:ss",
@@ -42,10 +43,15 @@ def unclassified(df: DataFrame, split: str) -> list[str]:
     return sorted(r.s for r in names.where(~is_train(F.col("s")) & ~is_test(F.col("s"))).collect())
 
 
+def read_time(value: Column, time_format: str) -> Column:
+    """The text as a timestamp, or null."""
+    return value.try_cast("timestamp") if time_format == ISO else F.try_to_timestamp(value, F.lit(time_format))
+
+
 def parse_counts(df: DataFrame, column: str, formats=TIME_FORMATS) -> DataFrame:
     """(format, n_parsed, n_values): how many values each format reads, in one pass."""
     value = q(column).cast("string")
-    aggs = [F.count(F.try_to_timestamp(value, F.lit(f))).alias(f"f{i}") for i, f in enumerate(formats)]
+    aggs = [F.count(read_time(value, f)).alias(f"f{i}") for i, f in enumerate(formats)]
     one = df.agg(F.count(value).alias("n_values"), *aggs)
     rows = F.array(*[F.struct(F.lit(f).alias("format"), F.col(f"f{i}").alias("n_parsed")) for i, f in enumerate(formats)])
     return one.select("n_values", F.explode(rows).alias("r")).select("r.format", "r.n_parsed", "n_values")
@@ -55,7 +61,7 @@ def orders_differ(df: DataFrame, column: str, one: str, two: str) -> bool:
     """Whether two formats, both of which read every value, put values in different orders."""
     value = q(column).cast("string")
     pairs = df.select(
-        F.try_to_timestamp(value, F.lit(one)).alias("a"), F.try_to_timestamp(value, F.lit(two)).alias("b")
+        read_time(value, one).alias("a"), read_time(value, two).alias("b")
     ).distinct()
     by_a = pairs.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
     # times up to a day, then within a day: no window holds more than one day's or all days' values
@@ -83,7 +89,7 @@ def time_column(df: DataFrame, column: str, time_format: str | None = None) -> C
     for other in full[1:]:
         if orders_differ(df, column, full[0], other):
             raise CheckSkipped(f"{column} is ambiguous: {full[0]} and {other} both read it, in different orders")
-    return F.try_to_timestamp(q(column).cast("string"), F.lit(full[0]))
+    return read_time(q(column).cast("string"), full[0])
 
 
 def temporal(df: DataFrame, time: Column, split: str) -> DataFrame:
