@@ -95,7 +95,8 @@ def shard_documents(
     placed = place(placed, key, grown_tree(shards, shards + 1), "grown_shard")
     rows = docs.select(F.lit(1)).count()  # from the file footers
     buckets = max(1, -(-rows // (shards * SLOT_ROWS)))
-    bucket = F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(buckets)).cast("int")
+    digits = F.substring(F.md5(F.concat_ws("/", F.lit("slot"), key.cast("string")).cast("binary")), 1, 8)
+    bucket = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(buckets)).cast("int")
     order = [F.col(id_col), F.col("text_crc32"), F.col("size")]
     ranked = gapless_rank(placed, ["shard"], order, bucket, "slot")
     return ranked.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
