@@ -187,20 +187,19 @@ def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     Rows that share an id share out what the mix takes of them.
     """
     own = ["__pl_id", "__pl_source", "__pl_size"]
-    mixed = mix(docs, id_col=id_col, **how)
-    mixed = mixed.where("copies > 0").select(F.col(id_col).alias("__pl_id"), F.col("source").alias("__pl_source"),
-                                             F.col("size").alias("__pl_size"), "copies")
-    mixed = mixed.groupBy(*own).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__pl_copies"))
+    named = {id_col: "__pl_id", "source": "__pl_source", "size": "__pl_size"}
+    mixed = mix(docs, id_col=id_col, **how).select(*[F.col(a).alias(b) for a, b in named.items()], "copies")
+    least = F.min("copies")
+    mixed = mixed.groupBy(*own).agg(least.alias("__pl_least"), (F.sum("copies") - F.count(F.lit(1)) * least).alias("__pl_more"))
+    mixed = mixed.where("__pl_least > 0 OR __pl_more > 0")
     text, source = how.get("text_col", "text"), how.get("source_col", "source")
-    keyed = docs.withColumn("__pl_words", word_count(F.col(text)))
-    met = keyed.join(
+    met = docs.withColumn("__pl_words", word_count(F.col(text))).join(
         mixed,
         F.col(id_col).eqNullSafe(F.col("__pl_id"))
         & F.col(source).eqNullSafe(F.col("__pl_source"))
         & (F.col("__pl_words") == F.col("__pl_size")),
     )
-    nth = Window.partitionBy(*own).orderBy(F.lit(0))
-    met = met.withColumn("__pl_nth", F.row_number().over(nth))
-    met = met.withColumn("__pl_times", F.coalesce(F.get("__pl_copies", F.col("__pl_nth") - 1), F.lit(0)))
-    return met.withColumn("__pl_time", F.explode(F.sequence(F.lit(1), F.col("__pl_times").cast("int")))).where(
-        "__pl_times > 0").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(F.col(text))))
+    times = F.col("__pl_least") + F.when(nth <= F.col("__pl_more"), 1).otherwise(0)
+    met = met.withColumn("__pl_times", times.cast("int")).where("__pl_times > 0")
+    return met.withColumn("__pl_time", F.explode(F.sequence(F.lit(1), F.col("__pl_times")))).select(*docs.columns)

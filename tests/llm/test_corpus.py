@@ -244,3 +244,13 @@ def test_pipeline_stages_do_what_they_say(spark, odd, none):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, FOLDER).collect()
         assert stage(spark, none, FOLDER).count() == 0
+
+
+def test_taking_repeated_rows_takes_what_the_mix_says(spark):
+    rows = [(i % 7 if i % 3 else None, f"{'w ' * (1 + i % 4)}", None if i % 5 == 0 else f"s{i % 2}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.take(docs).collect())
+    assert got == +want
