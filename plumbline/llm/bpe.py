@@ -81,7 +81,7 @@ def tokenizer_json(path: str, pattern: str) -> str:
 
 
 #: Segments memoised in a worker, and the longest that is.
-MEMO_ROWS, MEMO_CHARS = 400_000, 48
+MEMO_ROWS, MEMO_CHARS = 200_000, 48
 #: A single space between characters that aren't white space: no piece of the pattern spans the place before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
