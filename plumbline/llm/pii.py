@@ -24,6 +24,8 @@ columns are passed on; names that start with ``__pl_`` are reserved.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +53,17 @@ IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4}(?![0-9A-Za-z])"
 KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?i:(?<=(?:password|passwd|pwd|secret|token|api_key|api-key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1}))[A-Za-z0-9_+/=\-]{6,256}"
+SECRET_WORD = r"(?i:(?:password|passwd|pwd|secret|token|api[_\-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)"
+SECRET = SECRET_WORD + r"[A-Za-z0-9_+/=\-]{6,256}"
 WORD = r"\p{Lu}[\p{L}'\-]{1,40}"
 _TITLE = "|".join(t for v in TITLES.values() for t in v.split())
-NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.?\x20{WORD}(?:\x20{WORD})?"
+_FIRST = "".join(sorted({t[0] for v in TITLES.values() for t in v.split()}))
+NAME = rf"(?<!\p{{L}})(?=[{_FIRST}])(?:{_TITLE})\.?\x20{WORD}(?:\x20{WORD})?"
 #: In the order in which an entity's kind is told.
 KINDS = {"email": EMAIL, "key": KEY, "ip": IP, "card": CARD, "phone": PHONE, "name": NAME}
 ANY = "|".join([EMAIL, KEY, SECRET, CARD, IP, PHONE, NAME])
-#: Cheap test: what every entity has one of.
-HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|AKIA|ASIA|[=:]|\b(?:{_TITLE})\b"
+#: Cheap test, first: what every entity has one of.
+HINT = rf"[0-9@=:]|[{_FIRST}](?:{'|'.join(sorted({re.escape(t[1:]) for v in TITLES.values() for t in v.split()}))})[. ]"
 
 
 def _digits(x: Column) -> Column:
@@ -94,6 +98,7 @@ def identity(kind: Column, entity: Column) -> Column:
         F.when(kind.isin("email", "name"), F.lower(F.regexp_replace(entity, r"\.\x20", " ")))
         .when(kind == "card", F.when(luhn_sum(digits) % 10 == 0, digits))
         .when(kind == "phone", F.when(F.length(digits) > 10, F.substr(digits, F.length(digits) - 9, F.lit(10))).otherwise(digits))
+        .when(kind == "secret", F.regexp_replace(entity, f"^{SECRET_WORD}", ""))
         .otherwise(entity)
     )
 
@@ -189,7 +194,13 @@ def lay(kind: Column, entity: Column, drawn: Column) -> Column:
     words = F.size(F.split(entity, " "))
     family = F.element_at(F.split(drawn, " "), 2)
     named = F.concat(title, F.when(words > 2, drawn).otherwise(family))
-    return F.when(kind.isin("card", "phone"), numbered).when(kind == "name", named).otherwise(drawn)
+    before = F.regexp_extract(entity, f"^{SECRET_WORD}", 0)
+    return (
+        F.when(kind.isin("card", "phone"), numbered)
+        .when(kind == "name", named)
+        .when(kind == "secret", F.concat(before, drawn))
+        .otherwise(drawn)
+    )
 
 
 def entities(texts: DataFrame, text_col: str) -> DataFrame:
@@ -224,10 +235,8 @@ def surrogate_table(seen: DataFrame, key: str) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = "corpus", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` with each entity in ``text_col`` replaced by its surrogate."""
-    maybe = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False))
-    has = maybe & F.col(text_col).rlike(ANY)
-    held = docs.where(F.coalesce(has, F.lit(False)))
-    rest = docs.where(~F.coalesce(has, F.lit(False)))
+    has = F.coalesce(F.when(F.col(text_col).rlike(HINT), F.col(text_col).rlike(ANY)), F.lit(False))
+    held, rest = docs.where(has), docs.where(~has)
     held = entities(held, text_col).withColumn("__pl_text", F.md5(F.col(text_col).cast("binary")))
     each = held.select("__pl_text", F.explode(F.array_distinct("__pl_found")).alias("e"))
     each = each.where("e.who IS NOT NULL").select("__pl_text", "e.kind", "e.who").distinct()
