@@ -53,6 +53,10 @@ def bucket_ids(unit: np.ndarray, directions: np.ndarray, offsets: np.ndarray, ta
     return out.view(np.int64)
 
 
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _links(unit_a, unit_b, keys_a, keys_b, table: int, same: bool, least: float) -> np.ndarray:
     """Which pairs of two blocks are linked and share no bucket of an earlier table."""
     linked = unit_a @ unit_b.T >= least
@@ -106,6 +110,9 @@ def near_duplicates(
     nodes = nodes.withColumn("tie", F.row_number().over(Window.partitionBy("h").orderBy("v")))
     nodes = cut(nodes.select(F.struct("h", "tie").alias("k"), F.xxhash64("h", "tie").alias("node"), "v", "rep", "copies"))
 
+    # vectors travel as they came: floats take half the room, and become the same doubles in every task
+    element = dict(vectors.dtypes)[vector_col]
+    kind = np.dtype(np.float32 if element == "array<float>" else np.float64)
     directions, offsets = family(dimension, tables)
 
     def hashed(batches):
@@ -113,21 +120,21 @@ def near_duplicates(
             if not batch.num_rows:
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dimension)
-            unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+            unit = unit_rows(flat)
             keys = bucket_ids(unit, directions, offsets, tables)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([r.tobytes() for r in unit], pa.binary()),
+                    pa.array([r.tobytes() for r in flat.astype(kind)], pa.binary()),
                     pa.array([r.tobytes() for r in keys], pa.binary()),
                     pa.array(keys.tolist(), pa.list_(pa.int64())),
                     batch.column(2),
                 ],
-                ["node", "unit", "keys", "buckets", "copies"],
+                ["node", "raw", "keys", "buckets", "copies"],
             )
 
     prints = nodes.select("node", "v", "copies").mapInArrow(
-        hashed, "node long, unit binary, keys binary, buckets array<long>, copies long"
+        hashed, "node long, raw binary, keys binary, buckets array<long>, copies long"
     )
     prints = cut(prints)
     met = prints.select("node", F.posexplode("buckets").alias("table", "bucket"))
@@ -138,7 +145,7 @@ def near_duplicates(
     met = met.select(
         "node", "table", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own"
     )
-    met = met.join(prints.select("node", "unit", "keys", "copies"), "node")
+    met = met.join(prints.select("node", "raw", "keys", "copies"), "node")
 
     def of_group(g):
         left = g["own"] == g["lo"]
@@ -146,7 +153,7 @@ def near_duplicates(
         table = int(g["table"][0])
 
         def side(at):
-            unit = np.frombuffer(b"".join(g["unit"][at]), np.float64).reshape(-1, dimension)
+            unit = unit_rows(np.frombuffer(b"".join(g["raw"][at]), kind).reshape(-1, dimension).astype(np.float64))
             keys = np.frombuffer(b"".join(g["keys"][at]), np.int64).reshape(-1, tables)
             return g["node"][at], unit, keys, g["copies"][at].astype(np.int64)
 
