@@ -15,7 +15,9 @@ enough to connect what it found connected, never all pairs.
 
 Wide fingerprints (several 64-bit lanes) serve similarity thresholds for which
 a few bits don't do: there, shards are keyed by bands of shingle minima, which
-texts of the wanted similarity share with a known probability.
+texts of the wanted similarity share with a known probability. BK-trees then
+only seek candidates; a pair is linked if the Jaccard similarity of its shingle
+sets, which travel with the candidates, is the wanted one or more.
 
 Nulls and ties. A null or empty text has no shingle: its fingerprint is zero,
 linked like any other. Repeated rows share a fingerprint and so a class. A
@@ -25,6 +27,8 @@ a class with null ids only has a null name. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -93,16 +97,25 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return map_texts(docs, "fp long", make, id_col, text_col)
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(text, words))
+
+
 def wide_fingerprints(
     docs: DataFrame, words: int, lanes: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, fp, keys): ``lanes`` * 64 bits as binary, and one shard key for each band of ``rows`` shingle minima."""
+    """(id, text_hash, node, n_set, fp, keys) of each text's set of shingles.
+
+    ``node`` names the set, ``n_set`` is its size, ``fp`` has ``lanes`` * 64
+    bits as binary, and each band of ``rows`` minima gives one shard key.
+    """
 
     def make():
         def of(texts):
             out = []
             for t in texts:
-                h = shingle_hashes(t, words)
+                h = shingle_set(t, words)
                 fp = majority_bits(h, lanes).tobytes()
                 if len(h):
                     least = [int(mix(h, k).min()) for k in range(1, bands * rows + 1)]
@@ -112,12 +125,18 @@ def wide_fingerprints(
                     xxhash.xxh64_intdigest(repr((b, least[b * rows : (b + 1) * rows])).encode()) - (1 << 63)
                     for b in range(bands)
                 ]
-                out.append((fp, keys))
+                text_hash = b"" if t is None else hashlib.md5(utf8(t)).digest()
+                out.append((text_hash, xxhash.xxh3_128_digest(h.tobytes()), len(h), fp, keys))
             return out
 
         return of
 
-    return map_texts(docs, "fp binary, keys array<long>", make, id_col, text_col)
+    return map_texts(docs, "text_hash binary, node binary, n_set long, fp binary, keys array<long>", make, id_col, text_col)
+
+
+def text_hash(text_col: str):
+    """The text hash of ``wide_fingerprints`` as a column."""
+    return F.coalesce(F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))), F.lit(b""))
 
 
 def hamming(many: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -169,17 +188,24 @@ class BKTree:
                     work.append((child, go))
 
 
-def forest(tree_rows: np.ndarray, probe_rows: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """Links enough to connect all that a probe of one tree connects: (tree row, probing row)."""
+def forest(tree_rows: np.ndarray, probe_rows: np.ndarray, radius: int, same: bool, alike=None) -> list[tuple[int, int]]:
+    """Links enough to connect all that a probe of one tree connects: (tree row, probing row).
+
+    ``alike(tree row, probing rows)`` says which rows within the radius are to be linked; without it, all are.
+    """
     if same and len(tree_rows) == 2:
-        return [(0, 1)] if hamming(tree_rows[1:], tree_rows[0])[0] <= radius else []
+        near = hamming(tree_rows[1:], tree_rows[0])[0] <= radius
+        return [(0, 1)] if near and (alike is None or alike(0, np.array([1]))[0]) else []
     n = len(tree_rows)
     label = np.arange(n + (0 if same else len(probe_rows)))
     shift = 0 if same else n
     links = []
     for node, near in BKTree(tree_rows).probe(probe_rows, radius):
-        at = near + shift
         mine = label[node]
+        if alike is not None:  # what is connected already needs no test
+            near = near[label[near + shift] != mine]
+            near = near[alike(node, near)]
+        at = near + shift
         other, first = np.unique(label[at], return_index=True)
         keep = other != mine
         if keep.any():
@@ -188,6 +214,29 @@ def forest(tree_rows: np.ndarray, probe_rows: np.ndarray, radius: int, same: boo
     return links
 
 
+class Jaccard:
+    """Tells which probing sets have a Jaccard similarity of ``least`` or more with a tree's set, exactly."""
+
+    def __init__(self, tree_sets: list[np.ndarray], probe_sets: list[np.ndarray], least: float):
+        self.tree, self.probe, self.least = tree_sets, probe_sets, least
+        self.sizes = np.fromiter(map(len, probe_sets), np.int64, len(probe_sets))
+
+    def __call__(self, node: int, near: np.ndarray) -> np.ndarray:
+        one, sizes = self.tree[node], self.sizes[near]
+        could = np.minimum(sizes, len(one)) >= self.least * np.maximum(sizes, len(one)) - 1e-6
+        could &= (sizes > 0) & (len(one) > 0)
+        out = np.zeros(len(near), bool)
+        if not could.any():
+            return out
+        many = np.concatenate([self.probe[i] for i in near[could].tolist()])
+        hit = one[np.minimum(np.searchsorted(one, many), len(one) - 1)] == many
+        ends = np.cumsum(sizes[could])
+        total = np.concatenate(([0], np.cumsum(hit)))
+        common = total[ends] - total[ends - sizes[could]]
+        out[could] = common / (sizes[could] + len(one) - common) >= self.least
+        return out
+
+
 def shard_links(nodes: DataFrame, key: str, row: str, radius: int, lanes: int) -> DataFrame:
     """(a, b): links among rows of (``key``, ``row``) that share a key, as a forest for each pair of trees.
 
@@ -268,31 +317,94 @@ def simhash_classes(
 #: For a wanted share of common shingles: lanes, bands and rows of minima. At 0.8 a pair meets in
 #: at least one of 8 bands of 3 with probability 1 - (1 - 0.8**3)**8 = 0.997.
 LANES, BANDS, BAND_ROWS = 8, 8, 3
+#: Shingle hashes in one BK-tree's sets: bounds a task's memory where texts are long.
+TREE_HASHES = 1 << 22
 
 
 def radius_for(similarity: float, lanes: int) -> int:
-    """Differing bits to expect of two shingle sets of a Jaccard similarity, plus two standard deviations.
+    """Differing bits to expect of two shingle sets of a Jaccard similarity, plus six standard deviations.
 
     For sets, the cosine is 2J / (1 + J); a bit differs with probability
-    arccos(cosine) / pi.
+    arccos(cosine) / pi. Very small sets differ in more bits than that (four
+    of five shingles: 96 instead of 77), hence six.
     """
     p = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     bits = 64 * lanes
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 6 * np.sqrt(bits * p * (1 - p)))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """(a, b): links among ``nodes`` (node, text_hash, n_set, fp, keys), a forest for each pair of trees.
+
+    Shards with the same members (as a count and two sums of hashes tell) are
+    searched once. Only the sets of texts that share a key are made again and
+    sent: to the tasks that compare them.
+    """
+    dealt = nodes.select("node", "text_hash", "n_set", F.explode(F.array_distinct("keys")).alias("shard"))
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(38,0)"))
+    sizes = dealt.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_set").alias("hashes"), total(1).alias("s1"), total(2).alias("s2")
+    ).where("n > 1")
+    sizes = sizes.groupBy("n", "hashes", "s1", "s2").agg(F.min("shard").alias("shard"))
+    trees = F.greatest(F.ceil(F.col("n") / TREE_ROWS), F.ceil(F.col("hashes") / TREE_HASHES)).cast("int")
+    met = cut(dealt.join(sizes.select("shard", trees.alias("trees")), "shard").select("shard", "trees", "node", "text_hash"))
+    texts = docs.select(text_hash(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(met.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+
+    def make():
+        return lambda found: [(shingle_set(t, words).tobytes(),) for t in found]
+
+    sets = map_texts(texts, "hashes binary", make, "text_hash", "text")
+    sets = sets.join(nodes.select("text_hash", "fp"), "text_hash")
+    own = F.pmod(F.xxhash64(F.lit(11), "node"), F.col("trees")).cast("int")
+    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    met = met.select("shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "text_hash")
+    met = met.join(sets, "text_hash").drop("text_hash")
+    radius = radius_for(similarity, LANES)
+
+    def of_group(g):
+        left = g["own"] == g["lo"]
+        same = g["lo"][0] == g["hi"][0]
+        a, b = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
+        if not len(a) or not len(b):
+            return None
+        rows = np.frombuffer(b"".join(g["fp"]), np.uint64).reshape(-1, LANES)
+        sets = [np.frombuffer(x, np.uint64) for x in g["hashes"]]
+        alike = Jaccard([sets[i] for i in a], [sets[i] for i in b], similarity)
+        links = forest(rows[a], rows[b], radius, same, alike)
+        if not links:
+            return None
+        i, j = zip(*links, strict=True)
+        return {"a": g["node"][a[list(i)]], "b": g["node"][b[list(j)]]}
+
+    return map_sorted_groups(met, ["shard", "lo", "hi"], "a binary, b binary", of_group)
+
+
+def similar_rows(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, name): ``name`` is the least (id, text_hash) of the row's class, or null if all ids are."""
+    prints = cut(wide_fingerprints(docs, words, LANES, BANDS, BAND_ROWS, id_col, text_col))
+    own = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
+    reps = cut(prints.groupBy("node").agg(
+        F.min(own).alias("rep"), F.min("text_hash").alias("text_hash"),
+        *[F.first(c).alias(c) for c in ("n_set", "fp", "keys")],  # the set's own
+    ))
+    links = similar_links(docs, reps, words, similarity, text_col)
+    reached = connected_components(links, "a", "b").withColumnRenamed("node", "reached")
+    roots = reps.join(reached, reps.node == reached.reached, "left").select(
+        "node", "rep", F.coalesce("component", "node").alias("root")
+    )
+    names = roots.groupBy("root").agg(F.min("rep").alias("name"))
+    return prints.select(id_col, "text_hash", "node").join(roots.join(names, "root").select("node", "name"), "node").drop("node")
 
 
 def similar_classes(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, component_id) at a shingle similarity: wide fingerprints, BK-trees over shards keyed by minima.
+    """(id, component_id) at a Jaccard similarity of shingle sets, candidates from BK-trees over shards keyed by minima.
 
-    Texts with equal wide fingerprints and equal minima form one node first.
+    Texts with equal sets form one node first.
     """
-    prints = cut(wide_fingerprints(docs, words, LANES, BANDS, BAND_ROWS, id_col, text_col))
-    reps = cut(prints.groupBy("fp").agg(F.min(id_col).alias("rep"), F.first("keys").alias("keys")))
-    nodes = reps.select("fp", F.explode(F.array_distinct("keys")).alias("shard"))
-    links = shard_links(nodes, "shard", "fp", radius_for(similarity, LANES), LANES)
-    return named(prints.select(id_col, "fp"), reps.select("fp", "rep"), links, id_col).select(id_col, "component_id")
+    return similar_rows(docs, words, similarity, id_col, text_col).select(id_col, F.col("name.id").alias("component_id"))
 
 
 def keep_one(
@@ -300,11 +412,13 @@ def keep_one(
 ) -> DataFrame:
     """One row of ``docs`` for each class of similar texts: that of least id, with its own columns.
 
-    Of rows that share the least id, one whose text hashes least stays. Rows
-    with a null id stay: no name tells them apart.
+    Of rows that share the least id, one whose text hashes least stays; rows
+    of one id in several classes stay in each. Rows with a null id stay: no
+    name tells them apart.
     """
-    found = similar_classes(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__pl_id")).distinct()
-    own = Window.partitionBy("__pl_id").orderBy(F.xxhash64(text_col), F.col(text_col))
-    met = docs.join(kept, F.col(id_col) == F.col("__pl_id")).withColumn("__pl_nth", F.row_number().over(own))
+    found = similar_rows(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col)
+    kept = found.select(F.col("name.id").alias("__pl_id"), F.col("name.hash").alias("__pl_hash")).distinct()
+    own = Window.partitionBy("__pl_id", "__pl_hash").orderBy(text_col)
+    on = (F.col(id_col) == F.col("__pl_id")) & (text_hash(text_col) == F.col("__pl_hash"))
+    met = docs.join(kept, on).withColumn("__pl_nth", F.row_number().over(own))
     return met.where("__pl_nth = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -254,3 +254,31 @@ def test_taking_repeated_rows_takes_what_the_mix_says(spark):
         want[(r.doc_id, r.source, r.size)] += r.copies
     got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.take(docs).collect())
     assert got == +want
+
+
+def plain_jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_only_texts_of_the_wanted_similarity_are_linked(spark):
+    words = [f"v{i}" for i in range(200)]
+    passage = " ".join(words[:10])
+    rows = []
+    for g in range(30):  # a shared passage: similarity 0.72 to 0.79; and copies of 0.8 or more with a repeated passage
+        start = [f"g{g}w{i}" for i in range(300)]
+        rows.append((len(rows), " ".join(start)))
+        rows.append((len(rows), " ".join(start[: 252 + g % 3] + [f"h{g}w{i}" for i in range(48 - g % 3)])))
+        rows.append((len(rows), " ".join([passage] * 40 + [f"r{g}w{i}" for i in range(300)])))
+        rows.append((len(rows), " ".join([passage] + [f"r{g}w{i}" for i in range(300)])))
+    low = [plain_jaccard(rows[4 * g][1], rows[4 * g + 1][1]) for g in range(30)]
+    high = [plain_jaccard(rows[4 * g + 2][1], rows[4 * g + 3][1]) for g in range(30)]
+    assert 0.65 < min(low) and max(low) < 0.8 <= min(high)
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - (i % 4 == 3) for i in range(120)}
+
+
+def test_rows_of_one_id_in_two_classes_both_stay(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(60))), (1, " ".join(f"b{i}" for i in range(60))), (2, " ".join(f"b{i}" for i in range(60)))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(kept) == sorted(rows[:2])
