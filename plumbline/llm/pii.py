@@ -6,7 +6,7 @@ a title. Texts without any character that an entity needs skip it.
 
 Surrogates. An entity's identity is its canonical form: e-mails and names
 without case, numbers by their digits, so that two spellings of one number are
-one entity. A surrogate is drawn from a keyed hash of kind and identity and
+one entity; a name with its title, and with a first name or without. A surrogate is drawn from a keyed hash of kind and identity and
 laid into the entity's own format: the same digit groups and separators, a
 valid card check digit, letters for letters of the same case, a first name of
 the title's gender in the name's script.
@@ -138,8 +138,9 @@ def _pick(names: list[str], n: Column) -> Column:
 
 
 def _name(who: Column, stream: Column, attempt: Column) -> Column:
-    """A first and a family name of the gender that the title tells, in the name's script."""
-    title = F.element_at(F.split(who, " "), 1)
+    """The title, a first name of the gender that it tells where ``who`` has one, and a family name, in the name's script."""
+    words = F.split(who, " ")
+    title = F.element_at(words, 1)
     out = None
     for script, has in (("cyrillic", who.rlike(r"\s\p{IsCyrillic}")), ("latin", F.lit(True))):
         for gender, titles in TITLES.items():
@@ -149,10 +150,16 @@ def _name(who: Column, stream: Column, attempt: Column) -> Column:
                 F.concat(family, F.lit("-"), _pick(NAMES["family", script], _number(stream, 3)), F.lit("-"),
                          _pick(NAMES["family", script], _number(stream, 4))),
             ).when(attempt > 0, F.concat(family, F.lit("-"), _pick(NAMES["family", script], _number(stream, 3)))).otherwise(family)
-            full = F.concat(_pick(NAMES[gender, script], _number(stream, 1)), F.lit(" "), more)
+            given = F.when(F.size(words) > 2, F.concat(_pick(NAMES[gender, script], _number(stream, 1)), F.lit(" ")))
+            full = F.concat(title, F.lit(" "), F.coalesce(given, F.lit("")), more)
             test = has & title.isin([t.lower() for t in titles.split()])
             out = F.when(test, full) if out is None else out.when(test, full)
-    return out.otherwise(F.lit("Alex Berg"))
+    return out
+
+
+def form(kind: Column, drawn: Column) -> Column:
+    """What tells a surrogate from others and from identities: itself, of e-mails and names without case."""
+    return F.when(kind.isin("email", "name"), F.lower(drawn)).otherwise(drawn)
 
 
 def draw(key: str, kind: Column, who: Column, attempt: Column) -> Column:
@@ -191,9 +198,7 @@ def lay(kind: Column, entity: Column, drawn: Column) -> Column:
         F.transform(gaps, lambda g, k: F.concat(F.when(k > 0, F.substr(all_digits, k, F.lit(1))).otherwise(""), g)), ""
     )
     title = F.regexp_extract(entity, r"^([^\x20]+\x20)", 1)
-    words = F.size(F.split(entity, " "))
-    family = F.element_at(F.split(drawn, " "), 2)
-    named = F.concat(title, F.when(words > 2, drawn).otherwise(family))
+    named = F.concat(title, F.regexp_replace(drawn, r"^[^\x20]+\x20", ""))
     before = F.regexp_extract(entity, f"^{SECRET_WORD}", 0)
     return (
         F.when(kind.isin("card", "phone"), numbered)
@@ -221,11 +226,12 @@ def surrogate_table(seen: DataFrame, key: str) -> DataFrame:
     for attempt in range(ROUNDS):
         drawn = left.withColumn("attempt", F.lit(attempt))
         drawn = drawn.withColumn("drawn", draw(key, F.col("kind"), F.col("who"), F.col("attempt"))).drop("attempt")
-        first = drawn.groupBy("kind", "drawn").agg(F.min("who").alias("who"))
-        taken = real.select("kind", F.col("who").alias("drawn"))
+        drawn = drawn.withColumn("form", form(F.col("kind"), F.col("drawn")))
+        first = drawn.groupBy("kind", "form").agg(F.min(F.struct("who", "drawn")).alias("least"))
+        taken = real.select("kind", F.col("who").alias("form"))
         if done is not None:
-            taken = taken.unionByName(done.select("kind", "drawn"))
-        won = cut(first.join(taken, ["kind", "drawn"], "left_anti").select("kind", "who", "drawn"))
+            taken = taken.unionByName(done.select("kind", form(F.col("kind"), F.col("drawn")).alias("form")))
+        won = cut(first.join(taken, ["kind", "form"], "left_anti").select("kind", "least.who", "least.drawn"))
         done = won if done is None else done.unionByName(won)
         left = cut(left.join(won, ["kind", "who"], "left_anti"))
         if left.isEmpty():

@@ -206,3 +206,11 @@ def test_surrogates_stay_distinct_where_the_space_is_small(spark):
 def test_surrogates_on_odd_rows(odd, none):
     assert Counter(r.text for r in pii.replace(odd).collect()) == Counter(r.text for r in odd.collect())
     assert pii.replace(odd).columns == odd.columns and pii.surrogates(none).count() == 0
+
+
+def test_names_by_title_and_family_stay_distinct_and_are_no_name_of_the_corpus(spark):
+    rows = [f"Mr. Vor{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows += [f"Herr {first} {family}" for first in pii.NAMES["male", "latin"] for family in pii.NAMES["family", "latin"]]
+    got = [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()]
+    assert len(set(got)) == len(rows) and not set(got) & set(rows)
+    assert all(len(a.split()) == len(b.split()) for a, b in zip(sorted(got), sorted(rows)))
