@@ -14,7 +14,9 @@ the title's gender in the name's script.
 Distinctness and coreference. The identities of the whole corpus are gathered
 in a table (never at the driver); a surrogate that two identities drew, or
 that is itself an identity of the corpus, goes to the least identity only, and
-the rest draw again with the next attempt, until all stand alone. So equal
+the rest draw again with the next attempt, until all stand alone. Surrogates
+get longer with the attempts (addresses leave the private range instead), so
+rounds end however many entities there are. So equal
 entities get equal surrogates in every document, and different ones differ.
 The table is joined back by entity; only texts that hold entities are shuffled.
 
@@ -24,6 +26,7 @@ columns are passed on; names that start with ``__pl_`` are reserved.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +34,13 @@ from pyspark.sql import functions as F
 
 from plumbline.session import cut
 
-#: Rounds of drawing anew before the operator gives up (spaces are far larger than any corpus's entities).
-ROUNDS = 24
+#: Attempts that keep a surrogate's length; every further one makes it longer, so that no corpus fills the space.
+SAME_LENGTH = 4
+#: Parts of longer family names.
+SYLLABLES = {
+    "latin": "ba de fi go ka le mi no pa ra se ti va we zo lu".split(),
+    "cyrillic": "ба де ги ко ла ме ни по ра се ти ву за жу фо ше".split(),
+}
 #: First names by gender and script, and family names by script: surrogates for names after a title.
 NAMES = {
     ("male", "latin"): "Adam Brian Carlos David Emil Frank Georg Henri Ivan Jonas Karl Louis Marco Nils Oscar Paul".split(),
@@ -54,7 +62,8 @@ CARD = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}(?:
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4}(?![0-9A-Za-z])"
 KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET_WORD = r"(?i:(?:password|passwd|pwd|secret|token|api[_\-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)"
-SECRET = SECRET_WORD + r"[A-Za-z0-9_+/=\-]{6,256}"
+#: Marks alone are a line to fill in, no secret.
+SECRET = SECRET_WORD + r"(?=[_+/=\-]*+[A-Za-z0-9])[A-Za-z0-9_+/=\-]{6,256}"
 WORD = r"\p{Lu}[\p{L}'\-]{1,40}"
 _TITLE = "|".join(t for v in TITLES.values() for t in v.split())
 _FIRST = "".join(sorted({t[0] for v in TITLES.values() for t in v.split()}))
@@ -145,10 +154,11 @@ def _name(who: Column, stream: Column, attempt: Column) -> Column:
     for script, has in (("cyrillic", who.rlike(r"\s\p{IsCyrillic}")), ("latin", F.lit(True))):
         for gender, titles in TITLES.items():
             family = _pick(NAMES["family", script], _number(stream, 2))
+            syllables = F.transform(F.sequence(F.lit(5), attempt + 2), lambda k: _pick(SYLLABLES[script], _number(stream, k)))  # noqa: B023
             more = F.when(
-                attempt > 2,  # the space grows when it fills up
+                attempt > 2,  # the space grows when it fills up, by a syllable an attempt
                 F.concat(family, F.lit("-"), _pick(NAMES["family", script], _number(stream, 3)), F.lit("-"),
-                         _pick(NAMES["family", script], _number(stream, 4))),
+                         _pick(NAMES["family", script], _number(stream, 4)), F.array_join(syllables, "")),
             ).when(attempt > 0, F.concat(family, F.lit("-"), _pick(NAMES["family", script], _number(stream, 3)))).otherwise(family)
             given = F.when(F.size(words) > 2, F.concat(_pick(NAMES[gender, script], _number(stream, 1)), F.lit(" ")))
             full = F.concat(title, F.lit(" "), F.coalesce(given, F.lit("")), more)
@@ -169,13 +179,17 @@ def draw(key: str, kind: Column, who: Column, attempt: Column) -> Column:
     host = _stream(key, F.lit("host"), domain, F.lit(0))
     email = F.concat(_respell(local, s), F.lit("@"), _respell(F.substring(domain, 1, 8), host),
                      F.lit("."), F.lit("example.org"))
-    email = F.when(attempt > 0, F.concat(F.substr(s, F.lit(120), F.lit(4)), email)).otherwise(email)
+    email = F.when(attempt > 0, F.concat(F.substr(s, F.lit(1), 3 + attempt), email)).otherwise(email)
+    longer = F.greatest(F.lit(0), attempt - SAME_LENGTH)
+    digits = F.translate(F.substr(s, F.lit(1), longer), "abcdef", "012345")
     octets = [(_number(s, k) % 254 + 1).cast("string") for k in range(3)]
-    first = F.when(attempt < 2, F.lit("10")).otherwise((_number(s, 4) % 14 + 241).cast("string"))  # private, then reserved
-    body = F.concat(F.substr(who, F.lit(1), F.lit(1)), F.substr(_respell(who, s), F.lit(2), F.length(who) - 2))
+    first = F.when(attempt < 2, F.lit("10")).when(
+        attempt <= SAME_LENGTH, (_number(s, 4) % 14 + 241).cast("string")
+    ).otherwise((_number(s, 4) % 254 + 1).cast("string"))  # private, then reserved, then any
+    body = F.concat(F.substr(who, F.lit(1), F.lit(1)), F.substr(_respell(who, s), F.lit(2), F.length(who) - 2), digits)
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     drawn = _respell(who, s)
-    phone = F.concat((_number(s, 30) % 8 + 2).cast("string"), F.substr(drawn, F.lit(2), F.length(who)))
+    phone = F.concat((_number(s, 30) % 8 + 2).cast("string"), F.substr(drawn, F.lit(2), F.length(who)), digits)
     aws = F.concat(F.substr(who, F.lit(1), F.lit(4)), F.substr(F.upper(drawn), F.lit(5), F.length(who)))
     return (
         F.when(kind == "email", email)
@@ -184,19 +198,20 @@ def draw(key: str, kind: Column, who: Column, attempt: Column) -> Column:
         .when(kind == "phone", phone)
         .when(kind == "key", aws)
         .when(kind == "name", _name(who, s, attempt))
-        .otherwise(F.when(who.rlike("^[0-9a-f]+$"), _respell(who, s, hexed=True)).otherwise(drawn))
+        .otherwise(F.concat(F.when(who.rlike("^[0-9a-f]+$"), _respell(who, s, hexed=True)).otherwise(drawn), digits))
     )
 
 
-def lay(kind: Column, entity: Column, drawn: Column) -> Column:
-    """A canonical surrogate in the format of this spelling of the entity."""
+def lay(kind: Column, entity: Column, who: Column, drawn: Column) -> Column:
+    """A canonical surrogate of ``who`` in the format of this spelling of the entity."""
     gaps = F.split(entity, "[0-9]", -1)
     all_digits = F.concat(
-        F.substr(_digits(entity), F.lit(1), F.greatest(F.lit(0), F.length(_digits(entity)) - F.length(drawn))), drawn
+        F.substr(_digits(entity), F.lit(1), F.greatest(F.lit(0), F.length(_digits(entity)) - F.length(who))), drawn
     )
     numbered = F.array_join(
         F.transform(gaps, lambda g, k: F.concat(F.when(k > 0, F.substr(all_digits, k, F.lit(1))).otherwise(""), g)), ""
     )
+    numbered = F.concat(numbered, F.substr(all_digits, F.size(gaps), F.length(all_digits)))  # of longer surrogates
     title = F.regexp_extract(entity, r"^([^\x20]+\x20)", 1)
     named = F.concat(title, F.regexp_replace(drawn, r"^[^\x20]+\x20", ""))
     before = F.regexp_extract(entity, f"^{SECRET_WORD}", 0)
@@ -223,7 +238,7 @@ def surrogate_table(seen: DataFrame, key: str) -> DataFrame:
     real = cut(seen.distinct())
     left = real.withColumn("attempt", F.lit(0))
     done = None
-    for attempt in range(ROUNDS):
+    for attempt in itertools.count():
         drawn = left.withColumn("attempt", F.lit(attempt))
         drawn = drawn.withColumn("drawn", draw(key, F.col("kind"), F.col("who"), F.col("attempt"))).drop("attempt")
         drawn = drawn.withColumn("form", form(F.col("kind"), F.col("drawn")))
@@ -236,7 +251,6 @@ def surrogate_table(seen: DataFrame, key: str) -> DataFrame:
         left = cut(left.join(won, ["kind", "who"], "left_anti"))
         if left.isEmpty():
             return done
-    raise RuntimeError("identities outnumber the surrogates of their format")
 
 
 def replace(docs: DataFrame, key: str = "corpus", text_col: str = "text") -> DataFrame:
@@ -256,7 +270,7 @@ def replace(docs: DataFrame, key: str = "corpus", text_col: str = "text") -> Dat
     def swap(e):
         drawn = F.element_at(F.col("__pl_map"), F.concat_ws("\x1f", e["kind"], e["who"]))
         usable = e["who"].isNotNull() & F.col("__pl_map").isNotNull()
-        return F.when(usable, F.coalesce(lay(e["kind"], e["entity"], drawn), e["entity"])).otherwise(e["entity"])
+        return F.when(usable, F.coalesce(lay(e["kind"], e["entity"], e["who"], drawn), e["entity"])).otherwise(e["entity"])
 
     swapped = F.transform("__pl_found", swap)
     glued = F.array_join(

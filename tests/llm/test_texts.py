@@ -214,3 +214,26 @@ def test_names_by_title_and_family_stay_distinct_and_are_no_name_of_the_corpus(s
     got = [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()]
     assert len(set(got)) == len(rows) and not set(got) & set(rows)
     assert all(len(a.split()) == len(b.split()) for a, b in zip(sorted(got), sorted(rows)))
+
+
+def test_surrogates_never_run_out(spark):
+    letters = "абвгдежзик"
+    rows = [f"Prof. Ан{a}{b} Пе{c}{d}" for a in letters for b in letters for c in letters for d in letters[:4]]  # 4,000 of 2,048
+    rows += [f"pwd={k:06d}" for k in range(0, 1_000_000, 400)]
+    got = [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()]
+    assert len(set(got)) == len(rows) and not set(got) & set(rows)
+
+
+def test_longer_surrogates_where_formats_are_full(spark):
+    from pyspark.sql import functions as F
+
+    cases = [("card", "4944 3394 9042 9605", "4944339490429605"), ("phone", "+1 (386) 555-3733", "3865553733"), ("secret", "pwd=123456", "123456")]
+    df = spark.createDataFrame(cases, "kind string, entity string, who string").withColumn("attempt", F.lit(pii.SAME_LENGTH + 3))
+    df = df.withColumn("drawn", pii.draw("k", F.col("kind"), F.col("who"), F.col("attempt")))
+    for r in df.withColumn("laid", pii.lay(F.col("kind"), F.col("entity"), F.col("who"), F.col("drawn"))).collect():
+        assert len(r.drawn) == len(r.who) + 3 and len(r.laid) == len(r.entity) + 3 and re.sub(r"\D", "", r.laid).endswith(r.drawn)
+
+
+def test_marks_alone_are_no_secret(spark):
+    rows = [(1, "Password: ________ token: ----------")]
+    assert [tuple(r)[:2] for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == rows
