@@ -62,8 +62,11 @@ CARD = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}(?:
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4}(?![0-9A-Za-z])"
 KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET_WORD = r"(?i:(?:password|passwd|pwd|secret|token|api[_\-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)"
-#: Marks alone are a line to fill in, no secret.
-SECRET = SECRET_WORD + r"(?=[_+/=\-]*+[A-Za-z0-9])[A-Za-z0-9_+/=\-]{6,256}"
+#: A value that is of another kind as a whole is of that kind; marks alone are a line to fill in, no secret.
+SECRET = (
+    SECRET_WORD + rf"(?:{EMAIL}|(?:{KEY}|{CARD}|{IP}|{PHONE})(?![A-Za-z0-9_+/=\-])"
+    r"|(?=[_+/=\-]*+[A-Za-z0-9])[A-Za-z0-9_+/=\-]{6,}+)"
+)
 WORD = r"\p{Lu}[\p{L}'\-]{1,40}"
 _TITLE = "|".join(t for v in TITLES.values() for t in v.split())
 _FIRST = "".join(sorted({t[0] for v in TITLES.values() for t in v.split()}))
@@ -72,18 +75,26 @@ NAME = rf"(?<!\p{{L}})(?=[{_FIRST}])(?:{_TITLE})\.?\x20{WORD}(?:\x20{WORD})?"
 KINDS = {"email": EMAIL, "key": KEY, "ip": IP, "card": CARD, "phone": PHONE, "name": NAME}
 ANY = "|".join([EMAIL, KEY, SECRET, CARD, IP, PHONE, NAME])
 #: Cheap test, first: what every entity has one of.
-HINT = rf"[0-9@=:]|[{_FIRST}](?:{'|'.join(sorted({re.escape(t[1:]) for v in TITLES.values() for t in v.split()}))})[. ]"
+HINT = rf"[0-9@=:]|A[KS]IA|[{_FIRST}](?:{'|'.join(sorted({re.escape(t[1:]) for v in TITLES.values() for t in v.split()}))})[. ]"
 
 
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def value_of(entity: Column) -> Column:
+    """The entity without the word that announces it."""
+    return F.regexp_replace(entity, f"^{SECRET_WORD}", "")
+
+
 def kind_of(entity: Column) -> Column:
-    """The entity's kind; a value that is no other kind is a secret."""
+    """The kind of the entity's value; a value that is no other kind is a secret, so is an announced card of wrong check digit."""
+    value = value_of(entity)
     out = F.lit("secret")
     for kind, p in reversed(KINDS.items()):
-        whole = F.regexp_extract(entity, f"^(?:{p})$", 0) == entity
+        whole = F.regexp_extract(value, f"^(?:{p})$", 0) == value
+        if kind == "card":
+            whole &= (value == entity) | (luhn_sum(_digits(value)) % 10 == 0)
         out = F.when(whole, kind).otherwise(out)
     return out
 
@@ -102,12 +113,12 @@ def luhn_sum(digits: Column) -> Column:
 
 def identity(kind: Column, entity: Column) -> Column:
     """The canonical form: what makes two spellings one entity; null for what is no entity after all."""
+    entity = value_of(entity)
     digits = _digits(entity)
     return (
         F.when(kind.isin("email", "name"), F.lower(F.regexp_replace(entity, r"\.\x20", " ")))
         .when(kind == "card", F.when(luhn_sum(digits) % 10 == 0, digits))
         .when(kind == "phone", F.when(F.length(digits) > 10, F.substr(digits, F.length(digits) - 9, F.lit(10))).otherwise(digits))
-        .when(kind == "secret", F.regexp_replace(entity, f"^{SECRET_WORD}", ""))
         .otherwise(entity)
     )
 
@@ -204,6 +215,7 @@ def draw(key: str, kind: Column, who: Column, attempt: Column) -> Column:
 
 def lay(kind: Column, entity: Column, who: Column, drawn: Column) -> Column:
     """A canonical surrogate of ``who`` in the format of this spelling of the entity."""
+    before, entity = F.regexp_extract(entity, f"^{SECRET_WORD}", 0), value_of(entity)
     gaps = F.split(entity, "[0-9]", -1)
     all_digits = F.concat(
         F.substr(_digits(entity), F.lit(1), F.greatest(F.lit(0), F.length(_digits(entity)) - F.length(who))), drawn
@@ -214,13 +226,8 @@ def lay(kind: Column, entity: Column, who: Column, drawn: Column) -> Column:
     numbered = F.concat(numbered, F.substr(all_digits, F.size(gaps), F.length(all_digits)))  # of longer surrogates
     title = F.regexp_extract(entity, r"^([^\x20]+\x20)", 1)
     named = F.concat(title, F.regexp_replace(drawn, r"^[^\x20]+\x20", ""))
-    before = F.regexp_extract(entity, f"^{SECRET_WORD}", 0)
-    return (
-        F.when(kind.isin("card", "phone"), numbered)
-        .when(kind == "name", named)
-        .when(kind == "secret", F.concat(before, drawn))
-        .otherwise(drawn)
-    )
+    laid = F.when(kind.isin("card", "phone"), numbered).when(kind == "name", named).otherwise(drawn)
+    return F.concat(before, laid)
 
 
 def entities(texts: DataFrame, text_col: str) -> DataFrame:
