@@ -129,6 +129,46 @@ def knn(rows: DataFrame, k: int = 10, least: float = 0.8) -> DataFrame:
     return share.where(F.col("score") >= least)
 
 
+def close_links(rows: DataFrame) -> DataFrame:
+    """(row_id, other_id, core): links of all pairs within eps of a core, for rows (row_id, y, x, core, eps, blocks).
+
+    Each pair of a class's blocks is a task. It returns a forest of the links
+    among its cores, and for each other row one core of each tree in reach.
+    """
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "row_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("row_id", "y", "x", "core", "eps", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def links(group):
+        import pandas as pd
+
+        x, ids, core = np.vstack(group.x.to_numpy()), group.row_id.to_numpy(), group.core.to_numpy(bool)
+        left = (group.own == group.lo).to_numpy()
+        right = left if group.lo.iloc[0] == group.hi.iloc[0] else ~left
+        eps, label, found = group.eps.iloc[0], np.arange(len(x)), []
+
+        def near(these, those):
+            step = max(1, 4_000_000 // max(1, len(those) * x.shape[1]))
+            for start in range(0, len(these), step):
+                part = these[start : start + step]
+                d = np.sqrt(((x[part][:, None, :] - x[those][None, :, :]) ** 2).sum(axis=2))
+                for i, close in zip(part.tolist(), d <= eps, strict=True):
+                    yield i, those[close]
+
+        for i, at in near(np.flatnonzero(left & core), np.flatnonzero(right & core)):
+            other, first = np.unique(label[at], return_index=True)
+            keep = other != label[i]
+            if keep.any():
+                found += [(ids[i], ids[j], True) for j in at[first[keep]]]
+                label[np.isin(label, other[keep])] = label[i]
+        for a, b in ((left, right),) if right is left else ((left, right), (right, left)):
+            for i, at in near(np.flatnonzero(a & ~core), np.flatnonzero(b & core)):
+                found += [(ids[i], ids[j], False) for j in at[np.unique(label[at], return_index=True)[1]]]
+        return pd.DataFrame(found, columns=["row_id", "other_id", "core"])
+
+    return dealt.groupBy("y", "lo", "hi").applyInPandas(links, "row_id long, other_id long, core boolean")
+
+
 def clusters(rows: DataFrame, min_samples: int = 10, least_rows: int = 40) -> DataFrame:
     """(row_id, y, cluster, score): small, compact clusters inside a class, by DBSCAN over exact neighbours.
 
@@ -144,13 +184,15 @@ def clusters(rows: DataFrame, min_samples: int = 10, least_rows: int = 40) -> Da
     fifth = near.where("rank = 5").groupBy("y").agg(F.percentile("dist", F.lit(0.1)).alias("eps"))
     fifth = fifth.withColumn("eps", F.when(F.col("eps") > 0, F.col("eps")).otherwise(1.0))
     close = near.join(F.broadcast(fifth), "y").where(F.col("dist") <= F.col("eps"))
-    cores = close.groupBy("row_id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("row_id")
-    links = close.select("row_id", "other_id", "y").join(cores, "row_id", "left_semi")
-    both = links.join(cores.withColumnRenamed("row_id", "other_id"), "other_id", "left_semi")
-    reached = connected_components(both, "row_id", "other_id")
-    border = links.join(reached, links.row_id == reached.node).groupBy("other_id").agg(F.min("component").alias("cluster"))
-    members = border.select(F.col("other_id").alias("row_id"), "cluster").unionByName(reached.select(F.col("node").alias("row_id"), F.col("component").alias("cluster")))
-    members = members.groupBy("row_id").agg(F.min("cluster").alias("cluster"))
+    cores = cut(close.groupBy("row_id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("row_id"))
+    told = rows.join(cores.withColumn("core", F.lit(True)), "row_id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    blocks = sizes.select("y", F.ceil(F.col("n_class") / 4096).cast("int").alias("blocks"))
+    links = cut(close_links(told.join(F.broadcast(fifth), "y").join(blocks, "y")))
+    reached = connected_components(links.where("core"), "row_id", "other_id")
+    inner = cores.join(reached, cores.row_id == reached.node, "left").select("row_id", F.coalesce("component", "row_id").alias("cluster"))
+    inner = cut(inner)
+    border = links.where("NOT core").select(F.col("row_id").alias("border_id"), F.col("other_id").alias("row_id")).join(inner, "row_id")
+    members = inner.unionByName(border.groupBy("border_id").agg(F.min("cluster").alias("cluster")).withColumnRenamed("border_id", "row_id"))
     x = rows.join(members, "row_id")
     spread = lambda df, keys: df.select(*keys, F.posexplode("x").alias("d", "v")).groupBy(*keys, "d").agg(
         F.var_pop("v").alias("var")).groupBy(*keys).agg(F.sqrt(F.sum("var")).alias("disp"))

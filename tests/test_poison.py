@@ -45,3 +45,11 @@ def test_combination_rules(spark):
     assert got[2].score == pytest.approx(1.0) and 3 not in got
     top = poison.rank_suspects(poison.combine_scores(spark.createDataFrame(rows, "row_id long, check_id string, score double")), 1)
     assert top.first().row_id == 1
+
+
+def test_blocks_of_copies_within_eps_are_one_cluster(spark):
+    rows = [(i, "a", [float(i % 25), float(i // 25)]) for i in range(600)]
+    rows += [(600 + i, "a", [100.0 + 0.3 * (i % 2), 100.0]) for i in range(24)]  # each copy's ten nearest are its own copies
+    rows += [(624, "a", [100.9, 100.0])]  # within eps of cores, in no core's ten nearest
+    got = poison.clusters(spark.createDataFrame(rows, "row_id long, y string, x array<double>")).collect()
+    assert {r.row_id for r in got} == set(range(600, 625)) and {r.cluster for r in got} == {600}
