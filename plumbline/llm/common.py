@@ -10,16 +10,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch of whole texts; long texts make a batch large, so few rows.
-TEXT_ROWS_PER_BATCH = 256
+#: Bytes of an Arrow batch, whatever its rows' lengths; a row that is longer is a batch by itself.
+BATCH_BYTES = 4 << 20
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def small_text_batches(spark) -> None:
-    """Bound a Python worker's memory while it reads whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+def bound_batches(spark) -> None:
+    """Bound a Python worker's memory by the bytes of a batch.
+
+    One value for all operators, and only where the session has none, so that
+    lazy frames mean the same in any order of evaluation.
+    """
+    option = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(option, None) is None:
+        spark.conf.set(option, str(BATCH_BYTES))
 
 
 def utf8(text: str) -> bytes:
@@ -40,10 +46,11 @@ def map_texts(
     ``make`` runs once in a worker, so it may load a model; it returns a
     function from a list of texts (None for null) to a list of tuples in the
     order of ``schema``. ``memo``: it keeps tables of many small objects, among
-    which Python's cycle collector would search in vain; it rests meanwhile. Only the two named columns are read, so further
-    columns of any name do no harm.
+    which Python's cycle collector would search in vain; it rests meanwhile.
+    Only the two named columns are read, so further columns of any name do no
+    harm.
     """
-    small_text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     spark_id = docs.schema[id_col].dataType.simpleString()
     out = f"`{id_col}` {spark_id}, {schema}"
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
@@ -80,6 +87,7 @@ def map_sorted_groups(
     one Python call each and no data frame. A group is held in memory: callers
     bound its size.
     """
+    bound_batches(df.sparkSession)
     names = df.columns
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -137,16 +145,21 @@ def map_sorted_groups(
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def gapless_rank(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, alias: str) -> DataFrame:
+def gapless_rank(
+    df: DataFrame, groups: list[str], order: list[Column], bucket: Column, alias: str, weight: str | None = None
+) -> DataFrame:
     """Adds ``alias``: the rank from 0 within ``groups``, by (bucket, order), without one task per group.
 
+    With ``weight``, a row stands for that many, and has the rank of the first of them.
+
     Rows of a group are dealt over its buckets; each bucket is numbered by its
     own window and shifted by the size of the buckets before it, which a small
     table of counts gives. A null group is a group.
     """
     b = "__pl_bucket"
     dealt = df.withColumn(b, bucket)
-    counts = dealt.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__pl_n"))
+    size = F.lit(1) if weight is None else F.col(weight)
+    counts = dealt.groupBy(*groups, b).agg(F.sum(size).alias("__pl_n"))
     before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         *[F.col(g).alias(f"__pl_g{k}") for k, g in enumerate(groups)],
@@ -154,7 +167,27 @@ def gapless_rank(df: DataFrame, groups: list[str], order: list[Column], bucket:
         F.coalesce(F.sum("__pl_n").over(before), F.lit(0)).alias("__pl_start"),
     )
     own = Window.partitionBy(*groups, b).orderBy(*order)
-    ranked = dealt.withColumn("__pl_rank", F.row_number().over(own) - 1)
+    own = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.withColumn("__pl_rank", F.sum(size).over(own) - size)
     on = [F.col(g).eqNullSafe(F.col(f"__pl_g{k}")) for k, g in enumerate(groups)] + [F.col(b) == F.col("__pl_gb")]
     joined = ranked.join(starts, on)
     return joined.select(*df.columns, (F.col("__pl_rank") + F.col("__pl_start")).cast("long").alias(alias))
+
+
+#: Rows that one task makes of one counted group, about.
+CHUNK = 4_096
+
+
+def expanded(groups: DataFrame, count: str, alias: str) -> DataFrame:
+    """Each row of ``groups`` as often as its ``count`` says, with ``alias`` from 0 on.
+
+    A group of more than ``CHUNK`` rows is dealt out in chunks first, so that
+    rows which repeat however often are never made, or numbered, by one task.
+    """
+    few = groups.where(F.col(count) <= CHUNK)
+    few = few.withColumn("__pl_from", F.lit(0).cast("long")).withColumn("__pl_upto", F.col(count) - 1)
+    many = groups.where(F.col(count) > CHUNK)
+    many = many.withColumn("__pl_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(CHUNK).cast("long"))))
+    many = many.withColumn("__pl_upto", F.least(F.col("__pl_from") + CHUNK, F.col(count)) - 1).repartition("__pl_from", count)
+    both = few.unionByName(many).where(F.col(count) > 0)
+    return both.withColumn(alias, F.explode(F.sequence("__pl_from", "__pl_upto"))).drop("__pl_from", "__pl_upto")

@@ -13,20 +13,27 @@ shares several buckets counts in the first of its tables only: each node
 carries its buckets, and a block compares them. A task returns sums of links
 per node and links enough to connect what it found connected, never all pairs.
 
-Vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing and stand alone. Ids that are null
+Vectors of several lengths may share a table: each length has projections,
+buckets and blocks of its own, as vectors of two lengths have no cosine.
+Vectors are scaled by their largest component before their norm is taken, so
+that the largest and the smallest doubles have one.
+
+Vectors that are null, zero, or hold null or non-finite components link with
+nothing and stand alone. Ids that are null
 stand alone in naming: a class of null ids only has a null name. Ties: a link
 needs a cosine of at least the threshold as computed in double precision.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_sorted_groups
+from plumbline.llm.common import bound_batches, map_sorted_groups
 from plumbline.operators.graph import connected_components
 from plumbline.session import cut
 
@@ -36,6 +43,7 @@ BLOCK_ROWS = 2048
 SEED = 20
 
 
+@lru_cache(4)
 def family(dimension: int, tables: int = TABLES, projections: int = PROJECTIONS, seed: int = SEED):
     """(directions, offsets) of all tables' projections."""
     rng = np.random.default_rng(seed)
@@ -54,17 +62,19 @@ def bucket_ids(unit: np.ndarray, directions: np.ndarray, offsets: np.ndarray, ta
 
 
 def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row's largest component is made 1 first, so that no square over- or underflows."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _links(unit_a, unit_b, keys_a, keys_b, table: int, same: bool, least: float) -> np.ndarray:
-    """Which pairs of two blocks are linked and share no bucket of an earlier table."""
+    """Which pairs of two blocks are linked and share no bucket of an earlier table, whose buckets the keys are."""
     linked = unit_a @ unit_b.T >= least
     if same:
         np.fill_diagonal(linked, False)
     i, j = np.nonzero(linked)
     if len(i) and table:
-        new = ~(keys_a[i, :table] == keys_b[j, :table]).any(axis=1)
+        new = ~(keys_a[i] == keys_b[j]).any(axis=1)
         old = ~new
         linked[i[old], j[old]] = False
     return linked
@@ -93,68 +103,65 @@ def near_duplicates(
     vector_col: str = "embedding",
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    bound_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one value; both have the same bytes afterwards
     rows = cut(rows.select("id", F.when(sound, F.transform("v", lambda x: x + F.lit(0.0))).alias("v")))
     nodes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    widths = nodes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = widths.d if widths else 1
-    nodes = nodes.where(F.size("v") == dimension).select(F.xxhash64("v").alias("h"), "v", "rep", "copies")
+    nodes = nodes.select(F.xxhash64("v").alias("h"), F.size("v").alias("d"), "v", "rep", "copies")
     # a node's number: its hash, and its rank among nodes of that hash
-    from pyspark.sql import Window
-
     nodes = nodes.withColumn("tie", F.row_number().over(Window.partitionBy("h").orderBy("v")))
-    nodes = cut(nodes.select(F.struct("h", "tie").alias("k"), F.xxhash64("h", "tie").alias("node"), "v", "rep", "copies"))
+    nodes = cut(nodes.select(F.xxhash64("h", "tie").alias("node"), "d", "v", "rep", "copies"))
 
     # vectors travel as they came: floats take half the room, and become the same doubles in every task
     element = dict(vectors.dtypes)[vector_col]
     kind = np.dtype(np.float32 if element == "array<float>" else np.float64)
-    directions, offsets = family(dimension, tables)
 
     def hashed(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dimension)
-            unit = unit_rows(flat)
-            keys = bucket_ids(unit, directions, offsets, tables)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([r.tobytes() for r in flat.astype(kind)], pa.binary()),
-                    pa.array([r.tobytes() for r in keys], pa.binary()),
-                    pa.array(keys.tolist(), pa.list_(pa.int64())),
-                    batch.column(2),
-                ],
-                ["node", "raw", "keys", "buckets", "copies"],
-            )
-
-    prints = nodes.select("node", "v", "copies").mapInArrow(
-        hashed, "node long, raw binary, keys binary, buckets array<long>, copies long"
+            lengths = batch.column(1).to_numpy()
+            for d in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == d))
+                flat = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, d)
+                keys = bucket_ids(unit_rows(flat), *family(d, tables), tables)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array([r.tobytes() for r in flat.astype(kind)], pa.binary()),
+                        pa.array([r.tobytes() for r in keys], pa.binary()),
+                        pa.array(keys.tolist(), pa.list_(pa.int64())),
+                        part.column(3),
+                    ],
+                    ["node", "d", "raw", "keys", "buckets", "copies"],
+                )
+
+    prints = nodes.select("node", "d", "v", "copies").mapInArrow(
+        hashed, "node long, d int, raw binary, keys binary, buckets array<long>, copies long"
     )
     prints = cut(prints)
-    met = prints.select("node", F.posexplode("buckets").alias("table", "bucket"))
-    sizes = met.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = met.join(sizes, ["table", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    met = prints.select("node", "d", F.posexplode("buckets").alias("table", "bucket"))
+    sizes = met.groupBy("d", "table", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = met.join(sizes, ["d", "table", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(
-        "node", "table", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own"
+        "node", "d", "table", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own"
     )
     met = met.join(prints.select("node", "raw", "keys", "copies"), "node")
+    # a pair that shares a bucket of an earlier table counts there: only those tables' buckets travel along
+    met = met.withColumn("keys", F.expr("substring(keys, 1, 8 * table)"))
 
     def of_group(g):
         left = g["own"] == g["lo"]
         same = bool(g["lo"][0] == g["hi"][0])
-        table = int(g["table"][0])
+        table, dimension = int(g["table"][0]), int(g["d"][0])
 
         def side(at):
             unit = unit_rows(np.frombuffer(b"".join(g["raw"][at]), kind).reshape(-1, dimension).astype(np.float64))
-            keys = np.frombuffer(b"".join(g["keys"][at]), np.int64).reshape(-1, tables)
+            keys = np.frombuffer(b"".join(g["keys"][at]), np.int64).reshape(-1, table) if table else None
             return g["node"][at], unit, keys, g["copies"][at].astype(np.int64)
 
         a = side(left)
@@ -174,7 +181,7 @@ def near_duplicates(
         keep = (links > 0) | (node != to)
         return {"node": node[keep], "to": to[keep], "links": links[keep]}
 
-    found = cut(map_sorted_groups(met, ["table", "bucket", "lo", "hi"], "node long, to long, links long", of_group))
+    found = cut(map_sorted_groups(met, ["d", "table", "bucket", "lo", "hi"], "node long, to long, links long", of_group))
     sums = found.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0")
     reached = connected_components(found.where("node <> to"), "node", "to").withColumnRenamed("node", "at")
     roots = nodes.select("node", "rep", "copies").join(reached, F.col("node") == F.col("at"), "left")

@@ -1,32 +1,39 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 A source's budget is its target in words; filling it is a subset-sum problem
-over document lengths. It is solved on the counts of documents by exact
-length, never on documents: a proportional share of each length (so that no
-length is favoured) takes most of the budget, long lengths first take what they
-can of the rest, and bounded-knapsack dynamic programming over the last
-``DP_WORDS`` words of budget picks, among the lengths still in stock, counts
-whose sum comes as near as can be. Each length's number is then spread evenly
-over its documents; what doesn't divide goes to the first of them in the order
-of a seeded hash of doc_id.
-
-A source's counts have one row for each distinct length, whatever the number
-of documents; documents are never gathered by source.
-
-A null source is a source, and the last; a null text has no words. Rows that
-are equal in doc_id, source and length are told apart by nothing, and any of
-them may be the one taken more often; reruns on the same rows give the same
-``taken`` for each such group of rows. Empty tables give no rows.
+over document lengths, solved on the counts of documents by exact length,
+never on documents. Documents lie in order of length, and a seeded systematic
+draw takes the same share of every stretch of them: rounding spreads over
+neighbouring lengths, so each length has its share however few documents it
+has, and the words taken miss the budget by less than the longest document.
+What is missing (or too much) is then fitted: seeded single documents come or
+go until at most ``DP_WORDS`` words are left, and bounded-knapsack dynamic
+programming over these picks counts, among lengths in a seeded order, whose sum
+comes as near as can be. A length's number is spread evenly over its
+documents; what doesn't divide goes to the first of them in the order of a
+seeded hash of doc_id.
+
+A source's counts have one row for each distinct length: fewer rows than its
+longest document has words, whatever the number of documents. Documents are
+never gathered by source, and sources never at the driver.
+
+A null source is a source, and the last; a null or empty text has no words and
+is never taken; long texts count whole. Rows that are equal in doc_id, source
+and length are told apart by nothing, and any of them may be the one taken more
+often; reruns on the same rows give the same ``taken`` for each such group of
+rows. Further columns are ignored by ``mix`` and passed on by ``take``. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD_PATTERN, gapless_rank
+from plumbline.llm.common import WORD_PATTERN, expanded, gapless_rank
+from plumbline.operators.ranks import running
 from plumbline.session import cut
 
 #: Budget in words that dynamic programming fits exactly.
@@ -39,27 +46,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def fill_targets(sizes: list[float], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Targets that add up to ``share`` of all sizes by weight, none above ``most`` times its size.
+def source_targets(sizes: DataFrame, cycle: tuple[float, ...], share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(source, source_size, target) of (source, words): targets add up to ``share`` of all words by weight.
 
-    What a capped source can't take is shared again by weight among the
-    others, until none is above its cap.
+    Sources weigh ``cycle`` by code point, null last. None gets more than
+    ``most`` times its words; what it can't take is shared again by weight
+    among the others. That is one level for all: a target is weight times
+    level, or the cap where that is less, and the level follows from sums over
+    sources in the order of cap by weight.
     """
-    left = share * sum(sizes)
-    targets = [0.0] * len(sizes)
-    open_ = [k for k, s in enumerate(sizes) if s > 0]
-    while open_:
-        total = sum(weights[k] for k in open_)
-        over = [k for k in open_ if left * weights[k] / total > most * sizes[k]]
-        if not over:
-            for k in open_:
-                targets[k] = left * weights[k] / total
-            break
-        for k in over:
-            targets[k] = most * sizes[k]
-        left -= sum(targets[k] for k in over)
-        open_ = [k for k in open_ if k not in set(over)]
-    return targets
+    placed = running(sizes, [F.col("source").isNull().cast("int"), F.col("source")], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.pmod(F.col("place") - 1, F.lit(len(cycle))) + 1).cast("int"))
+    placed = placed.select("source", F.col("words").cast("double").alias("words"), weight.alias("weight"))
+    placed = cut(placed.withColumn("ratio", most * F.col("words") / F.col("weight")))
+    total = placed.agg(F.sum("words").alias("words"), F.sum("weight").alias("weight")).first()
+    if not total.words:
+        return placed.select("source", F.col("words").cast("long").alias("source_size"), F.lit(0.0).alias("target"))
+    goal = share * total.words
+    below = running(placed, [F.col("ratio"), F.col("source")], {"caps": most * F.col("words"), "weights": F.col("weight")})
+    # with this source and all before it at their caps, the level that the rest would have
+    caps, weights = F.col("caps") - most * F.col("words"), total.weight - F.col("weights") + F.col("weight")
+    level = (goal - caps) / weights
+    open_ = below.withColumn("level", level).where(F.col("level") <= F.col("ratio"))
+    row = open_.agg(F.min_by("level", F.struct("ratio", "source")).alias("level")).first()
+    at = float("inf") if row.level is None else row.level
+    target = F.least(most * F.col("words"), F.col("weight") * F.lit(at))
+    return placed.select("source", F.col("words").cast("long").alias("source_size"), target.alias("target"))
 
 
 def bounded_subset_sum(lengths: list[int], stock: list[int], budget: int) -> list[int]:
@@ -88,46 +100,78 @@ def bounded_subset_sum(lengths: list[int], stock: list[int], budget: int) -> lis
     return taken
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float, most: int = 2) -> np.ndarray:
+def systematic(lengths: np.ndarray, counts: np.ndarray, goal: int, start: float) -> np.ndarray:
+    """How many of each length a systematic draw takes: the same share of every stretch of documents in order of length."""
+    share = goal / int((lengths * counts).sum())
+    upto = np.floor(np.cumsum(counts) * share + start).astype(np.int64)
+    return np.diff(upto, prepend=0)
+
+
+def settled(size, stock, taken, goal: int, low: int, high: int, order, over: bool) -> np.ndarray:
+    """``taken``, and counts that dynamic programming adds or takes away, each from ``low`` to ``high`` times its stock.
+
+    With ``over``, the shortest document beyond what is missing comes (or goes) first, so that the rest goes the other way.
+    """
+    taken = taken.copy()
+    gap = goal - int((size * taken).sum())
+    spare = lambda: high * stock - taken if gap > 0 else taken - low * stock
+    if over and gap:
+        longer = np.flatnonzero((spare() > 0) & (size > abs(gap)))
+        if not len(longer) or size[longer[0]] > DP_WORDS:
+            return taken
+        step = 1 if gap > 0 else -1
+        taken[longer[0]] += step
+        gap -= step * int(size[longer[0]])
+    free = np.maximum(0, spare())
+    at = order[(free[order] > 0) & (size[order] <= abs(gap))]
+    extra = bounded_subset_sum(size[at].tolist(), free[at].tolist(), abs(gap))
+    taken[at] += (1 if gap > 0 else -1) * np.array(extra, np.int64)
+    return taken
+
+
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float, most: int = 2, seed: int = 17) -> np.ndarray:
     """How often to take documents of each length so that lengths add up to about ``budget``; ``most`` times each at most.
 
     As few documents as possible are taken more than once oftener than others:
-    only if that comes nearer to the budget.
+    only if that comes nearer to the budget. Lengths of 0 are never taken.
     """
-    total = int((lengths * counts).sum())
+    out = np.zeros(len(lengths), np.int64)
+    use = np.flatnonzero(lengths > 0)
+    size, stock = lengths[use].astype(np.int64), counts[use].astype(np.int64)
+    total = int((size * stock).sum())
     goal = int(round(min(budget, most * total)))
-    if goal <= 0:
-        return np.zeros(len(lengths), np.int64)
-    if goal % total == 0:
-        return counts.astype(np.int64) * (goal // total)
-    taken = np.array([int(c) * goal // total for c in counts], np.int64)
-    left = goal - int((lengths * taken).sum())
-    for k in np.argsort(-lengths, kind="stable"):
-        if left <= DP_WORDS:
-            break
-        if lengths[k] > 0:
-            n = min(int(counts[k]) * (goal // total + 1) - int(taken[k]), (left - DP_WORDS) // int(lengths[k]))
-            taken[k] += n
-            left -= n * int(lengths[k])
-    best, gap = taken, left
-    for times in (goal // total + 1, most):
-        stock = times * counts - taken
-        use = np.flatnonzero((stock > 0) & (lengths > 0) & (lengths <= left))
-        extra = bounded_subset_sum(lengths[use].tolist(), stock[use].tolist(), left)
-        rest = left - sum(n * int(lengths[k]) for n, k in zip(extra, use, strict=True))
-        if rest < gap:
-            best, gap = taken.copy(), rest
-            best[use] += extra
-        if not gap:
-            break
-    return best
-
-
-def cycle_weights(n: int, cycle: tuple[float, ...] = (5, 2, 1)) -> list[float]:
-    return [cycle[k % len(cycle)] for k in range(n)]
-
-
-def mix(
+    if goal <= 0 or not total:
+        return out
+    passes = goal // total
+    taken, rest = stock * passes, goal % total
+    if rest:
+        rng = np.random.default_rng(seed)
+        taken = taken + systematic(size, stock, rest, rng.random())
+        order = rng.permutation(len(size))
+        gap = goal - int((size * taken).sum())
+        while abs(gap) > DP_WORDS:  # documents that are longer than the dynamic programming's budget come or go singly
+            step = 1 if gap > 0 else -1
+            free = ((passes + 1) * stock - taken if step > 0 else taken - passes * stock) > 0
+            fits = [k for k in order.tolist() if free[k] and size[k] <= abs(gap)]
+            if not fits:
+                break
+            taken[fits[0]] += step
+            gap -= step * int(size[fits[0]])
+        best, left = taken, abs(gap)
+        for low, high in ((passes, passes + 1), (0, most)):
+            for over in (False, True):
+                found = settled(size, stock, taken, goal, low, high, order, over)
+                missed = abs(goal - int((size * found).sum()))
+                if missed < left:
+                    best, left = found, missed
+            if left <= 1:
+                break
+        taken = best
+    out[use] = taken
+    return out
+
+
+def shares(
     docs: DataFrame,
     cycle: tuple[float, ...] = (5, 2, 1),
     share: float = 1.5,
@@ -137,26 +181,20 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for each row; sources weigh ``cycle`` by code point."""
-    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = cut(sized)
-    stock = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    by_source = stock.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()
-    by_source.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
-    targets = fill_targets([r[1] for r in by_source], cycle_weights(len(by_source), cycle), share, most)
-    plan = docs.sparkSession.createDataFrame(
-        [(r[0], int(r[1]), float(t)) for r, t in zip(by_source, targets, strict=True)],
-        "source string, source_size long, target double",
-    )
-    on_source = lambda a, b: a.source.eqNullSafe(b.source)
-    counted = stock.join(plan, on_source(stock, plan)).select(
-        plan.source, "size", "n", "source_size", "target"
-    )
+    """(id, source, size, source_size, target, rows, passes, more): what the mix takes of ``rows`` rows equal in the first three.
+
+    Each is taken ``passes`` times, and ``more`` of them once more.
+    """
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = cut(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
+    stock = cut(sized.groupBy("source", "size").agg(F.sum("rows").alias("n")))
+    plan = cut(source_targets(stock.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")), cycle, share, most))
+    plan = plan.withColumnRenamed("source", "__pl_of")
+    counted = stock.join(plan, F.col("source").eqNullSafe(F.col("__pl_of"))).select("source", "size", "n", "source_size", "target")
 
     def of_source(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", kind="stable")
-        total, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
-        times = fit_lengths(rows["size"].to_numpy(), rows["n"].to_numpy(), target, int(most)) if total else 0 * rows["n"]
+        times = fit_lengths(rows["size"].to_numpy(), rows["n"].to_numpy(), float(rows["target"].iloc[0]), int(most), seed)
         rows["passes"], rows["chosen"] = times // rows["n"], times % rows["n"]
         return rows
 
@@ -165,18 +203,25 @@ def mix(
             of_source,
             "source string, size long, n long, source_size long, target double, passes long, chosen long",
         )
-    ).withColumnsRenamed({"source": "__pl_source", "size": "__pl_size"})
-    rows = sized.count()
-    buckets = max(1, -(-rows // RANK_ROWS))
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
+    ).withColumnsRenamed({"source": "__pl_source", "size": "__pl_size"}).drop("n")
+    buckets = max(1, -(-sized.count() // RANK_ROWS))
+    order = F.xxhash64(F.lit(seed), F.col("id"))
     bucket = F.pmod(F.shiftrightunsigned(order, 20), F.lit(buckets)).cast("int")
-    ranked = gapless_rank(sized, ["source", "size"], [order, F.col(id_col)], bucket, "rank")
+    # rows that repeat id, source and size are one row with a number, whose first row has this rank
+    ranked = gapless_rank(sized, ["source", "size"], [order, F.col("id")], bucket, "rank", weight="rows")
     met = ranked.join(
         chosen, ranked.source.eqNullSafe(F.col("__pl_source")) & (ranked.size == F.col("__pl_size"))
     )
-    copies = F.col("passes") + F.when(F.col("rank") < F.col("chosen"), 1).otherwise(0)
-    met = met.withColumn("copies", copies.cast("long"))
-    return met.select(
+    more = F.least(F.col("rows"), F.greatest(F.lit(0).cast("long"), F.col("chosen") - F.col("rank")))
+    return met.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rows", "passes", more.alias("more"))
+
+
+def mix(docs: DataFrame, *args, id_col: str = "doc_id", **how) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for each row; sources weigh ``cycle`` by code point."""
+    each = expanded(shares(docs, *args, id_col=id_col, **how), "rows", "__pl_nth")
+    copies = F.col("passes") + F.when(F.col("__pl_nth") < F.col("more"), 1).otherwise(0)
+    each = each.withColumn("copies", copies.cast("long"))
+    return each.select(
         id_col, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
@@ -184,14 +229,12 @@ def mix(
 def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their own columns.
 
-    Rows that share an id share out what the mix takes of them.
+    Rows that share id, source and length share out what the mix takes of them, in the order of a hash of their texts.
     """
     own = ["__pl_id", "__pl_source", "__pl_size"]
     named = {id_col: "__pl_id", "source": "__pl_source", "size": "__pl_size"}
-    mixed = mix(docs, id_col=id_col, **how).select(*[F.col(a).alias(b) for a, b in named.items()], "copies")
-    least = F.min("copies")
-    mixed = mixed.groupBy(*own).agg(least.alias("__pl_least"), (F.sum("copies") - F.count(F.lit(1)) * least).alias("__pl_more"))
-    mixed = mixed.where("__pl_least > 0 OR __pl_more > 0")
+    mixed = shares(docs, id_col=id_col, **how).select(*[F.col(a).alias(b) for a, b in named.items()], "rows", "passes", "more")
+    mixed = mixed.where("passes > 0 OR more > 0").withColumnsRenamed({"rows": "__pl_rows", "passes": "__pl_passes", "more": "__pl_more"})
     text, source = how.get("text_col", "text"), how.get("source_col", "source")
     met = docs.withColumn("__pl_words", word_count(F.col(text))).join(
         mixed,
@@ -199,7 +242,12 @@ def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
         & F.col(source).eqNullSafe(F.col("__pl_source"))
         & (F.col("__pl_words") == F.col("__pl_size")),
     )
-    nth = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(F.col(text))))
-    times = F.col("__pl_least") + F.when(nth <= F.col("__pl_more"), 1).otherwise(0)
-    met = met.withColumn("__pl_times", times.cast("int")).where("__pl_times > 0")
+    # only rows that share id, source and length, and of which some are taken oftener than others, need numbers
+    alone = (F.col("__pl_more") == 0) | (F.col("__pl_more") == F.col("__pl_rows"))
+    even = met.where(alone).withColumn("__pl_times", F.col("__pl_passes") + F.when(F.col("__pl_more") > 0, 1).otherwise(0))
+    split = met.where(~alone).withColumn("__pl_hash", F.xxhash64(F.col(text).cast("string")))
+    bucket = F.pmod(F.shiftrightunsigned("__pl_hash", 20), F.lit(64)).cast("int")
+    split = gapless_rank(split, own, [F.col("__pl_hash")], bucket, "__pl_nth").drop("__pl_hash")
+    split = split.withColumn("__pl_times", F.col("__pl_passes") + F.when(F.col("__pl_nth") < F.col("__pl_more"), 1).otherwise(0))
+    met = even.unionByName(split.drop("__pl_nth")).withColumn("__pl_times", F.col("__pl_times").cast("int")).where("__pl_times > 0")
     return met.withColumn("__pl_time", F.explode(F.sequence(F.lit(1), F.col("__pl_times")))).select(*docs.columns)

@@ -37,9 +37,9 @@ def op2_sql(shards: int = 40) -> str:
  e AS (SELECT doc_id, k, CAST(len(x) // 2 + 16 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
   list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab),
  {_descend('a', 'e', 'now')}, {_descend('b', 'a', 'later')},
- n AS (SELECT greatest(1, CAST(ceil(count(*) / {shards * SLOT_ROWS}) AS BIGINT)) AS buckets FROM documents)
+ n AS (SELECT greatest(1, CAST(ceil(count(*) / {shards * SLOT_ROWS}) AS BIGINT)) AS buckets FROM (SELECT DISTINCT doc_id, size, text_crc32 FROM b))
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(s_a AS INT) AS shard,
- row_number() OVER (PARTITION BY s_a ORDER BY CAST('0x' || substr(md5('slot/' || k), 1, 8) AS BIGINT) % buckets, doc_id, text_crc32, size) - 1 AS slot,
+ row_number() OVER (PARTITION BY s_a ORDER BY CAST('0x' || substr(md5('slot/' || k || '/' || text_crc32), 1, 8) AS BIGINT) % buckets, doc_id, text_crc32, size) - 1 AS slot,
  CAST(s_b AS INT) AS grown_shard FROM b, n"""
 
 

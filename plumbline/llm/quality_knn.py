@@ -1,21 +1,26 @@
 """Quality by nearest-neighbour voting over labelled latent-semantic vectors.
 
-A text's terms are short runs of character classes (case, digits, white space,
-each mark by itself), and marks for a word or line that repeats what went
-before. Term weights are tf-idf with a damped tf; a singular value
-decomposition of the labelled texts' weights gives ``DIMENSIONS`` latent
-directions. The labelled vectors (at most ``SAMPLE`` rows: under 3 MB) are sent
-to every task; each text's exact cosines to all of them are one blocked matrix
-product, and its ``NEIGHBOURS`` nearest vote with their labels, weighted by
-similarity.
-
-The labelled sample is bounded by ``SAMPLE`` and taken in a hash order of ids;
-all texts are scored whole in one narrow pass. Similarities that tie are ranked by the labelled row's place.
+A text's terms are its words, hashed; runs of one to three character classes
+(case, digits, white space, each mark by itself), which tell how it is written
+whatever its words; and marks for words and lines that are said again. Term
+weights are tf-idf with a damped tf, each term's share of the text counting,
+and the ``TERMS`` commonest stay; a singular value decomposition of the
+labelled texts' weights gives ``DIMENSIONS`` latent directions. The labelled
+vectors (at most ``SAMPLE`` rows: under 3 MB) are sent to every task; each
+text's exact cosines to all of them are one blocked matrix product, and its
+``NEIGHBOURS`` nearest vote with their labels, weighted by similarity.
+
+The labelled sample is bounded by ``SAMPLE`` ids, taken in a hash order, with
+one text for each, the least of its rows'; only its ``TERMS`` commonest terms
+come to the driver. All texts are scored whole in one narrow pass, however
+long. Neighbours that tie for the last vote are taken in the order of the
+labelled rows' ids.
 
 A null or empty text has no terms: its vector is zero, no neighbour is nearer
 than another, and its score is the share of good labels. Null labels and
-labels without a text aren't learnt from; with no label every score is 0.5.
-Empty tables give no rows.
+labels without a text aren't learnt from, of several labels of one id the
+larger counts; with no label every score is 0.5. Equal texts have equal
+scores. Other columns are never read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,20 +28,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_texts
 from plumbline.llm.toxicity import fold_of
+from plumbline.session import cut
 
 #: Labelled texts learnt from, terms that stay, latent directions, voters.
-SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS = 6_000, 1_500, 64, 25
+SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS = 6_000, 2_000, 64, 25
 #: Closeness counts by this power, so near voters outweigh far ones.
 SHARPNESS = 8
+#: Hash space of words.
+BITS = 17
 _CLASSES = 32
 _RUNS = _CLASSES + _CLASSES**2 + _CLASSES**3
-#: Marks: repeated word, word seen in this text, repeated line; each in eight steps of how often.
-_MARKS = 3 * 8
+#: Said again: words equal to the one before, words seen before, lines seen before; each in eight steps of how often.
+_AGAIN = 3 * 8
+_WORDS = _RUNS + _AGAIN
 _MARK_CHARS = "#*$%&|<>!?.,;:-_=+/()[]{}\"'@~"
 
 
@@ -64,7 +75,7 @@ _CLASS_OF = _table()
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights): shares of runs of one to three character classes, and the repetition marks."""
+    """(terms, weights) of one text: its words, hashed; runs of one to three character classes; what is said again."""
     if not text:
         return np.zeros(0, np.int64), np.zeros(0)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -76,17 +87,18 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         runs.append(_CLASSES + _CLASSES**2 + (c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:])
     count = np.bincount(np.concatenate(runs), minlength=_RUNS)
     at = np.flatnonzero(count)
-    weights = np.log1p(100.0 * count[at] / len(c))
     words = text.lower().split()
     n = max(1, len(words))
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     lines = [x for x in text.split("\n") if x.strip()]
-    shares = (
-        sum(map(str.__eq__, words, words[1:])) / n,
-        1 - len(set(words)) / n,
-        1 - len(set(lines)) / max(1, len(lines)),
-    )
-    marks = [_RUNS + 8 * k + s for k, share in enumerate(shares) for s in range(8) if share > 0.08 * (s + 1)]
-    return np.concatenate((at, np.array(marks, np.int64))), np.concatenate((weights, np.full(len(marks), 1.5)))
+    shares = (int((ids[1:] == ids[:-1]).sum()) / n, 1 - len(number) / n, 1 - len(set(lines)) / max(1, len(lines)))
+    again = [_RUNS + 8 * k + s for k, share in enumerate(shares) for s in range(8) if share > 0.08 * (s + 1)]
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) & ((1 << BITS) - 1) for w in number), np.int64, len(number))
+    word, place = np.unique(hashed, return_inverse=True)
+    often = np.bincount(place, weights=np.bincount(ids, minlength=len(number))) if len(ids) else np.zeros(0)
+    weights = (np.log1p(100.0 * count[at] / len(c)), np.full(len(again), 1.5), np.log1p(100.0 * often / n))
+    return np.concatenate((at, np.array(again, np.int64), _WORDS + word)), np.concatenate(weights)
 
 
 @dataclass
@@ -116,10 +128,13 @@ class Model:
         for a in range(0, len(texts), 256):
             block = latent[a : a + 256]
             near = block @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            closeness = np.maximum(np.take_along_axis(near, top, axis=1), 0.0) ** SHARPNESS
-            total = closeness.sum(axis=1)
-            vote = (closeness * self.labels[top]).sum(axis=1)
+            last = np.partition(near, n - k, axis=1)[:, n - k : n - k + 1]  # the k-th nearest
+            votes, ties = near > last, near == last
+            votes |= ties & (np.cumsum(ties, axis=1) <= k - votes.sum(axis=1, keepdims=True))  # of ties, the first rows
+            row, at = np.nonzero(votes)
+            closeness = np.maximum(near[row, at], 0.0).astype(np.float64) ** SHARPNESS
+            total = np.bincount(row, closeness, len(block))
+            vote = np.bincount(row, closeness * self.labels[at], len(block))
             some = (total > 0) & (np.abs(block).sum(axis=1) > 0)
             out[a : a + 256][some] = (vote / np.where(total > 0, total, 1))[some]
         return np.clip(out, 0.0, 1.0)
@@ -131,12 +146,13 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, keep, size: int) -> DataFrame:
-    """(doc_id, y, terms, weights) of at most ``size`` labelled texts for which ``keep(doc_id)`` holds."""
+    """(doc_id, y, terms, weights) of at most ``size`` labelled ids for which ``keep(doc_id)`` holds, one row for each."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & keep(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     few = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(size).withColumnRenamed("doc_id", "__pl_id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__pl_id"))
+    met = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__pl_id"))
+    texts = met.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # repeated ids add no rows
     texts = texts.select(F.struct("doc_id", "y").alias("k"), "text")
 
     def make():
@@ -147,27 +163,42 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, keep, size: i
     return read.select(key.doc_id.alias("doc_id"), key.y.alias("y"), "terms", "weights")
 
 
-def train(rows: list) -> Model:
-    """Fits on the bounded sample's rows (y, terms, weights)."""
-    number = np.full(_RUNS + _MARKS, -1, np.int32)
+def train(sample: DataFrame) -> Model:
+    """Fits on the bounded sample (doc_id, y, terms, weights).
+
+    What reaches the driver is bounded: ``TERMS`` terms with their numbers of
+    texts, then of each labelled text the terms that stay.
+    """
+    number = np.full(_WORDS + (1 << BITS), -1, np.int32)
+    sample = cut(sample)
+    seen = sample.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.orderBy(F.desc("n"), "t").limit(TERMS).collect()
+    kept = np.array(sorted(r.t for r in seen), np.int64)
+    number[kept] = np.arange(len(kept))
+    texts_with = {r.t: r.n for r in seen}
+
+    def only_kept(batches):
+        for batch in batches:
+            terms, weights = [], []
+            for t, w in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True):
+                keep = number[np.array(t, np.int64)] >= 0
+                terms.append(np.array(t, np.int32)[keep])
+                weights.append(np.array(w, np.float32)[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms), pa.array(weights)], batch.schema.names)
+
+    rows = sample.mapInArrow(only_kept, sample.schema).collect()
     if not rows:
         return Model(number, np.zeros((1, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    seen = np.zeros(_RUNS + _MARKS, np.int64)
-    for r in rows:
-        seen[r.terms] += 1
-    kept = np.argsort(-seen, kind="stable")[:TERMS]
-    kept = np.sort(kept[seen[kept] > 0])
-    number[kept] = np.arange(len(kept))
-    idf = np.log((1 + len(rows)) / (1 + seen[kept])) + 0.3
-    matrix = np.zeros((len(rows), len(kept)), np.float32)
+    rows.sort(key=lambda r: (len(r.doc_id), r.doc_id))
+    idf = np.log((1 + len(rows)) / (1 + np.array([texts_with[t] for t in kept.tolist()], float))) + 0.3
+    matrix = np.zeros((len(rows), max(1, len(kept))), np.float32)
     for k, r in enumerate(rows):
-        at = number[np.array(r.terms, np.int64)] if len(r.terms) else np.zeros(0, np.int64)
-        good = at >= 0
-        matrix[k, at[good]] = np.array(r.weights, np.float32)[good] * idf[at[good]]
+        at = number[np.array(r.terms, np.int64)]
+        matrix[k, at] = np.array(r.weights, np.float32) * idf[at]
     matrix = unit(matrix)
     values, vectors = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))  # terms by terms
     directions = vectors[:, ::-1][:, :DIMENSIONS]
-    project = (idf[:, None] * directions).astype(np.float32)
+    project = ((idf if len(kept) else np.ones(1))[:, None] * directions).astype(np.float32)
     labels = np.array([r.y for r in rows], np.float64)
     return Model(number, project, unit((matrix @ directions).astype(np.float32)), labels, float(labels.mean()))
 
@@ -175,9 +206,7 @@ def train(rows: list) -> Model:
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted); ids of fold ``held`` are not learnt from."""
     out = lambda i: F.coalesce(fold_of(i, folds) == held, F.lit(False))
-    rows = labelled_terms(docs, labels, "quality", lambda i: ~out(i), SAMPLE).collect()  # SAMPLE rows at most
-    rows.sort(key=lambda r: (r.doc_id, r.terms))
-    model = train(rows)
+    model = train(labelled_terms(docs, labels, "quality", lambda i: ~out(i), SAMPLE))
 
     def make():
         return lambda texts: [(float(s),) for s in model.score(texts)]

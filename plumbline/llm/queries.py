@@ -16,25 +16,14 @@ from plumbline.llm import (
     quality_rules,
     sharding,
     simhash,
+    stages,
     token_counts,
     toxicity,
 )
+from plumbline.llm.stages import split_pattern, vocabulary
 from plumbline.session import read_table
 
 
-def vocabulary(name: str) -> str:
-    """Where a public tokenizer's file lies."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def split_pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -80,9 +69,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,8 +13,10 @@ region moves rows between that region and others, and within it.
 
 A row's key is its id as text (null: an empty key), so rows with equal ids
 share a shard. A null text has size 16 and the checksum of no bytes. Slots
-count from 0 in each shard without gaps; rows that are equal in all outputs
-take adjacent slots in any order.
+count from 0 in each shard without gaps; rows that are equal in id and text
+are counted, take adjacent slots in any order, and are dealt out again by
+chunks, so that no number of them is one task's. Long texts only cost their
+bytes; other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import gapless_rank
+from plumbline.llm.common import expanded, gapless_rank
+from plumbline.session import cut
 
 #: regions -> racks -> shards with weights.
 Tree = list[list[list[tuple[int, float]]]]
@@ -90,13 +93,14 @@ def shard_documents(
     sized = docs.select(
         F.col(id_col), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
     )
+    sized = sized.groupBy(id_col, "size", "text_crc32").agg(F.count(F.lit(1)).alias("__pl_rows"))
     key = F.col(id_col)
     placed = place(sized, key, grown_tree(shards, shards), "shard")
-    placed = place(placed, key, grown_tree(shards, shards + 1), "grown_shard")
-    rows = docs.select(F.lit(1)).count()  # from the file footers
-    buckets = max(1, -(-rows // (shards * SLOT_ROWS)))
-    digits = F.substring(F.md5(F.concat_ws("/", F.lit("slot"), key.cast("string")).cast("binary")), 1, 8)
-    bucket = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(buckets)).cast("int")
+    placed = cut(place(placed, key, grown_tree(shards, shards + 1), "grown_shard"))
+    buckets = max(1, -(-placed.count() // (shards * SLOT_ROWS)))
+    name = F.concat_ws("/", F.lit("slot"), F.coalesce(key.cast("string"), F.lit("")), F.col("text_crc32").cast("string"))
+    bucket = F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
     order = [F.col(id_col), F.col("text_crc32"), F.col("size")]
-    ranked = gapless_rank(placed, ["shard"], order, bucket, "slot")
-    return ranked.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    ranked = gapless_rank(placed, ["shard"], order, bucket, "__pl_first", weight="__pl_rows")
+    each = expanded(ranked, "__pl_rows", "__pl_nth").withColumn("slot", (F.col("__pl_first") + F.col("__pl_nth")).cast("long"))
+    return each.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

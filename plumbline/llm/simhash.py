@@ -4,14 +4,16 @@ A text's fingerprint has a bit for each position that is set in over half of
 its shingles' hashes. Fingerprints within ``radius`` differing bits are linked;
 a class is what links reach.
 
-Shards. No fingerprint table is gathered at the driver: a shard is what shares
-a key, and each shard's BK-tree (children keyed by integer Hamming distance to
-the parent) is sent only to the tasks that probe this shard. With bit blocks
-as keys the result is exact: the bits are cut into ``radius + 1`` blocks, and
-two fingerprints within the radius agree in at least one whole block. A shard
-of more than ``TREE_ROWS`` fingerprints is cut into trees of at most that many,
-and every pair of its trees meets in a task of its own. A task returns links
-enough to connect what it found connected, never all pairs.
+Shards. The bits are cut into ``radius + 1`` blocks; two fingerprints within
+the radius agree in at least one whole block (so the result is exact), and a
+block's value, hashed, deals fingerprints into shards of ``SHARD_ROWS`` or so.
+Each shard's fingerprints become BK-trees (children keyed by integer Hamming
+distance to the parent) of ``TREE_ROWS`` at most, written as a table in the
+shared folder. A tree is probed with its own rows and with the rows of the
+shard's other trees, following only edges within the radius; every pair of
+trees is a task's group of its own. No fingerprint passes through the driver:
+trees go to the tasks that probe them by a keyed shuffle of that table. A task
+returns links enough to connect what it found connected, never all pairs.
 
 Wide fingerprints (several 64-bit lanes) serve similarity thresholds for which
 a few bits don't do: there, shards are keyed by bands of shingle minima, which
@@ -31,15 +33,19 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_sorted_groups, map_texts, utf8
 from plumbline.operators.graph import connected_components
 from plumbline.session import cut
 
-#: Fingerprints in one BK-tree: bounds a task's memory and the tree that is sent to a probing task.
+#: Fingerprints in one BK-tree at most: bounds a tree's size (some 200 kB) and a task's memory.
 TREE_ROWS = 8192
+#: Fingerprints that a shard of bit blocks should have, about.
+SHARD_ROWS = 512
+#: Pairs of tree node and query that one step of a probe looks at, about.
+PROBE_PAIRS = 1 << 21
 #: Odd constants that spread one hash over further lanes and minima; made by rule, not by table.
 _MIX = [int.from_bytes(xxhash.xxh64_digest(b"lane %d" % k, 7), "big") | 1 for k in range(64)]
 
@@ -139,79 +145,109 @@ def text_hash(text_col: str):
     return F.coalesce(F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))), F.lit(b""))
 
 
-def hamming(many: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Differing bits of each row of ``many`` and ``one`` (uint64 lanes)."""
-    return np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
-
-
 class BKTree:
     """Burkhard-Keller tree over rows of uint64 lanes: a child hangs on the edge of its distance to its parent.
 
-    It is built by dealing the rows below a node over the node's edges, and
-    probed by many queries at once: at a node, each query goes on only along
-    edges within the radius of its own distance to the node.
+    It is built level by level: all rows below a node measure their distance
+    to it; the first row of each distance becomes the child on that edge, and
+    the rest go on below that child. ``keys`` holds parent and edge of each
+    child as one sorted number, so a node's edges within a range are a slice.
     """
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray, keys: np.ndarray | None = None, children: np.ndarray | None = None):
         self.rows = rows
-        self.children: dict[int, list[tuple[int, int]]] = {}
-        work = [np.arange(len(rows))] if len(rows) else []
-        while work:
-            own = work.pop()
-            node, rest = int(own[0]), own[1:]
-            if not len(rest):
-                continue
-            d = hamming(rows[rest], rows[node])
-            order = np.argsort(d, kind="stable")
-            d, rest = d[order], rest[order]
-            cuts = np.flatnonzero(np.diff(d)) + 1
-            edges = []
-            for group, edge in zip(np.split(rest, cuts), d[np.concatenate(([0], cuts))].tolist(), strict=True):
-                edges.append((edge, int(group[0])))
-                work.append(group)
-            self.children[node] = edges
+        self.width = 64 * rows.shape[1] + 1
+        if keys is not None:
+            self.keys, self.children = keys, children
+            return
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        left, at = np.arange(1, len(rows)), np.zeros(max(0, len(rows) - 1), np.int64)
+        while len(left):
+            edge = at * self.width + np.bitwise_count(rows[left] ^ rows[at]).sum(axis=1, dtype=np.int64)
+            edges, first, place = np.unique(edge, return_index=True, return_inverse=True)
+            child = left[first]
+            found.append((edges, child))
+            below = child[place]
+            rest = below != left
+            left, at = left[rest], below[rest]
+        keys, children = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(keys)
+        self.keys, self.children = keys[order], children[order]
 
     def probe(self, queries: np.ndarray, radius: int):
-        """Yields (node, indices of queries within the radius of it) for each node that has any."""
-        if not len(self.rows) or not len(queries):
+        """Yields (nodes, indices of queries): all pairs within the radius, a block of queries at a time.
+
+        A query that is d away from a node goes on only along its edges from d - radius to d + radius.
+        """
+        if not len(self.rows):
             return
-        work = [(0, np.arange(len(queries)))]
-        while work:
-            node, at = work.pop()
-            d = hamming(queries[at], self.rows[node])
-            near = at[d <= radius]
-            if len(near):
-                yield node, near
-            for edge, child in self.children.get(node, ()):
-                go = at[np.abs(d - edge) <= radius]
-                if len(go):
-                    work.append((child, go))
-
-
-def forest(tree_rows: np.ndarray, probe_rows: np.ndarray, radius: int, same: bool, alike=None) -> list[tuple[int, int]]:
-    """Links enough to connect all that a probe of one tree connects: (tree row, probing row).
+        step = max(1, PROBE_PAIRS // len(self.rows))
+        for start in range(0, len(queries), step):
+            query = np.arange(start, min(start + step, len(queries)))
+            node = np.zeros(len(query), np.int64)
+            nodes, near = [], []
+            while len(query):
+                d = np.bitwise_count(queries[query] ^ self.rows[node]).sum(axis=1, dtype=np.int64)
+                hit = d <= radius
+                nodes.append(node[hit])
+                near.append(query[hit])
+                low = np.searchsorted(self.keys, node * self.width + np.maximum(d - radius, 0))
+                high = np.searchsorted(self.keys, node * self.width + np.minimum(d + radius, self.width - 1), side="right")
+                many = high - low
+                query = np.repeat(query, many)
+                ends = np.cumsum(many)
+                node = self.children[np.arange(len(query)) + np.repeat(low - ends + many, many)]
+            yield np.concatenate(nodes), np.concatenate(near)
+
+
+class Forest:
+    """Keeps of the links that it is given those that connect what wasn't connected."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            one, two = self.label[a], self.label[b]
+            apart = one != two
+            if not apart.any():
+                return
+            a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+            high, first = np.unique(np.maximum(one, two), return_index=True)
+            self.links.append((a[first], b[first]))
+            root = np.arange(len(self.label))
+            root[high] = np.minimum(one, two)[first]  # each label hangs on a lesser one: no rings
+            while (root[root] != root).any():
+                root = root[root]
+            self.label = root[self.label]
+
+
+def forest(tree: BKTree, queries: np.ndarray, radius: int, same: bool, alike=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links enough to connect all that a probe of one tree connects: (tree rows, probing rows).
 
     ``alike(tree row, probing rows)`` says which rows within the radius are to be linked; without it, all are.
     """
-    if same and len(tree_rows) == 2:
-        near = hamming(tree_rows[1:], tree_rows[0])[0] <= radius
-        return [(0, 1)] if near and (alike is None or alike(0, np.array([1]))[0]) else []
-    n = len(tree_rows)
-    label = np.arange(n + (0 if same else len(probe_rows)))
-    shift = 0 if same else n
-    links = []
-    for node, near in BKTree(tree_rows).probe(probe_rows, radius):
-        mine = label[node]
-        if alike is not None:  # what is connected already needs no test
-            near = near[label[near + shift] != mine]
-            near = near[alike(node, near)]
-        at = near + shift
-        other, first = np.unique(label[at], return_index=True)
-        keep = other != mine
-        if keep.any():
-            links += [(node, int(near[i])) for i in first[keep]]
-            label[np.isin(label, other[keep])] = mine
-    return links
+    shift = 0 if same else len(tree.rows)
+    out = Forest(shift + len(queries))
+    for nodes, near in tree.probe(queries, radius):
+        if alike is None:
+            out.add(nodes, near + shift)
+            continue
+        order = np.argsort(nodes, kind="stable")
+        nodes, near = nodes[order], near[order]
+        for own in np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(nodes)) + 1):
+            if not len(own):
+                continue
+            node, those = int(nodes[own[0]]), near[own]
+            those = those[out.label[those + shift] != out.label[node]]  # what is connected already needs no test
+            if len(those):
+                those = those[alike(node, those)]
+                out.add(np.full(len(those), node), those + shift)
+    if not out.links:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*out.links, strict=True))
+    return a, b - shift
 
 
 class Jaccard:
@@ -237,60 +273,60 @@ class Jaccard:
         return out
 
 
-def shard_links(nodes: DataFrame, key: str, row: str, radius: int, lanes: int) -> DataFrame:
-    """(a, b): links among rows of (``key``, ``row``) that share a key, as a forest for each pair of trees.
+def shard_trees(nodes: DataFrame) -> DataFrame:
+    """(shard, tree, trees, prints, keys, children): the BK-trees of (shard, fp), as a table in the shared folder.
 
-    ``row`` is the fingerprint itself. Keys that only one row has are left out
-    before anything is sent.
+    Shards of one fingerprint are left out before anything is sent.
     """
-    sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = nodes.join(sizes, key).withColumn("trees", F.ceil(F.col("n") / TREE_ROWS).cast("int"))
-    own = F.pmod(F.xxhash64(F.lit(11), row), F.col("trees")).cast("int")
-    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    met = met.select(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", row)
-    wide = dict(nodes.dtypes)[row] == "binary"
+    sizes = nodes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = nodes.join(sizes, "shard").withColumn("trees", F.ceil(F.col("n") / TREE_ROWS).cast("int"))
+    met = met.withColumn("tree", F.pmod(F.xxhash64(F.lit(11), "fp"), F.col("trees")).cast("int")).drop("n")
+
+    def of_group(g):
+        tree = BKTree(g["fp"].astype(np.int64).view(np.uint64).reshape(-1, 1))
+        parts = {"prints": tree.rows, "keys": tree.keys.astype(np.int32), "children": tree.children.astype(np.int32)}
+        return {k: g[k][:1] for k in ("shard", "tree", "trees")} | {k: [v.tobytes()] for k, v in parts.items()}
+
+    schema = "shard long, tree int, trees int, prints binary, keys binary, children binary"
+    return cut(map_sorted_groups(met, ["shard", "tree"], schema, of_group))
 
-    def as_rows(values: np.ndarray) -> np.ndarray:
-        if wide:
-            return np.frombuffer(b"".join(values), np.uint64).reshape(-1, lanes)
-        return values.astype(np.int64).view(np.uint64).reshape(-1, 1)
+
+def shard_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links among the fingerprints of (shard, fp) that share a shard, as a forest for each pair of trees."""
+    trees = shard_trees(nodes).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    trees = trees.withColumns({"lo": F.least("tree", "other"), "hi": F.greatest("tree", "other")}).drop("trees", "other")
 
     def of_group(g):
-        left = g["own"] == g["lo"]
-        same = g["lo"][0] == g["hi"][0]
-        a = g[row][left]
-        b = a if same else g[row][~left]
-        if not len(a) or not len(b):
+        held = {}
+        for k, t in enumerate(g["tree"].tolist()):
+            rows = np.frombuffer(g["prints"][k], np.uint64).reshape(-1, 1)
+            held[t] = BKTree(rows, *(np.frombuffer(g[c][k], np.int32).astype(np.int64) for c in ("keys", "children")))
+        lo, hi = int(g["lo"][0]), int(g["hi"][0])
+        if lo not in held or hi not in held:
             return None
-        rows_a = as_rows(a)
-        links = forest(rows_a, rows_a if same else as_rows(b), radius, same)
-        if not links:
-            return None
-        i, j = zip(*links, strict=True)
-        return {"a": a[list(i)], "b": b[list(j)]}
+        a, b = forest(held[lo], held[hi].rows, radius, lo == hi)
+        return {"a": held[lo].rows[a, 0].view(np.int64), "b": held[hi].rows[b, 0].view(np.int64)} if len(a) else None
 
-    kind = "binary" if wide else "long"
-    return map_sorted_groups(met, [key, "lo", "hi"], f"a {kind}, b {kind}", of_group)
+    return map_sorted_groups(trees, ["shard", "lo", "hi"], "a long, b long", of_group)
 
 
-def block_keys(fp: str, radius: int):
-    """One key for each of ``radius + 1`` blocks of the 64 bits: block number and the block's value."""
+def block_shards(fp: str, radius: int, bits: int):
+    """The shards of a fingerprint: block number and hashed block value, one for each of ``radius + 1`` blocks."""
     blocks = radius + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = []
+    shards = []
     for k in range(blocks):
         width = edges[k + 1] - edges[k]
         value = F.shiftrightunsigned(F.col(fp), edges[k]).bitwiseAND(F.lit((1 << width) - 1))
-        keys.append(F.struct(F.lit(k).alias("block"), value.alias("value")))
-    return F.array(*keys)
+        shards.append(F.lit(k << 58) + F.pmod(F.xxhash64(F.lit(7), value), F.lit(1 << bits)))
+    return F.array(*shards)
 
 
 def classes(prints: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:
     """(id, fp, component_id) for each row of (id, fp): exact classes at ``radius`` differing bits."""
     reps = cut(prints.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    nodes = reps.select("fp", F.explode(block_keys("fp", radius)).alias("k"))
-    nodes = nodes.select((F.col("k.block") * F.lit(1 << 58) + F.col("k.value")).alias("shard"), "fp")
-    links = shard_links(nodes, "shard", "fp", radius, 1)
+    bits = max(0, (reps.count() // SHARD_ROWS).bit_length())
+    links = shard_links(reps.select(F.explode(block_shards("fp", radius, bits)).alias("shard"), "fp"), radius)
     return named(prints, reps, links, id_col)
 
 
@@ -371,11 +407,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
         rows = np.frombuffer(b"".join(g["fp"]), np.uint64).reshape(-1, LANES)
         sets = [np.frombuffer(x, np.uint64) for x in g["hashes"]]
         alike = Jaccard([sets[i] for i in a], [sets[i] for i in b], similarity)
-        links = forest(rows[a], rows[b], radius, same, alike)
-        if not links:
-            return None
-        i, j = zip(*links, strict=True)
-        return {"a": g["node"][a[list(i)]], "b": g["node"][b[list(j)]]}
+        i, j = forest(BKTree(rows[a]), rows[b], radius, same, alike)
+        return {"a": g["node"][a[i]], "b": g["node"][b[j]]} if len(i) else None
 
     return map_sorted_groups(met, ["shard", "lo", "hi"], "a binary, b binary", of_group)
 
@@ -418,7 +451,10 @@ def keep_one(
     """
     found = similar_rows(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col)
     kept = found.select(F.col("name.id").alias("__pl_id"), F.col("name.hash").alias("__pl_hash")).distinct()
-    own = Window.partitionBy("__pl_id", "__pl_hash").orderBy(text_col)
     on = (F.col(id_col) == F.col("__pl_id")) & (text_hash(text_col) == F.col("__pl_hash"))
-    met = docs.join(kept, on).withColumn("__pl_nth", F.row_number().over(own))
-    return met.where("__pl_nth = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    met = docs.join(kept, on)
+    # of rows that repeat id and text one stays, by minima before anything is sent: a group of any size is no one task's
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    one = met.groupBy("__pl_id", "__pl_hash").agg(F.min_by(own, order).alias("__pl_row"))
+    return one.select("__pl_row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -39,10 +39,12 @@ MEMO_CHARS = 64
 
 
 class PrefixCounter:
-    def __init__(self, path: str):
+    """Counts at every prefix; made from the model's bytes, so tasks need no file."""
+
+    def __init__(self, as_bytes: bytes):
         import sentencepiece
 
-        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_proto=as_bytes)
         n = model.get_piece_size()
         self.ids: dict[str, int] = {}
         for i in range(n):
@@ -151,8 +153,14 @@ class PrefixCounter:
 
 
 @lru_cache(2)
-def _counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+def _counter(as_bytes: bytes) -> PrefixCounter:
+    return PrefixCounter(as_bytes)
+
+
+def read_model(path: str) -> bytes:
+    """The model's bytes (some 500 kB), read once at the driver."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def longest_within(counts: np.ndarray, budget: int) -> int:
@@ -169,8 +177,10 @@ def token_counts(
     tokens, from the same table.
     """
 
+    as_bytes = read_model(path)
+
     def make():
-        counter = _counter(path)
+        counter = _counter(as_bytes)
 
         def of(texts):
             out = []

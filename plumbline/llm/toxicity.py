@@ -12,9 +12,12 @@ hundred kB and travels in the closure; every text is scored whole in one
 narrow pass.
 
 A null or empty text has no n-gram and gets the score of the intercept alone.
-Labels that are null, or whose text is missing, aren't learnt from; several
-equal labels of one id count once. With no label of one kind the score is the
-share of toxic labels (0.5 without any label). Empty tables give no rows.
+Labels that are null, or whose text is missing, aren't learnt from; of several
+labels of one id the larger counts, and of several texts of one id the least,
+so repeated ids add nothing to the sample. With no label of one kind the score
+is the share of toxic labels (0.5 without any label). Long texts are scored
+whole; equal texts have equal scores. Other columns are never read. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_texts, small_text_batches
-from plumbline.session import cut
+from plumbline.llm.common import bound_batches, map_texts
+from plumbline.session import cut, shared_folder
 
 #: Labelled texts learnt from, for each label.
 SAMPLE = 6_000
@@ -92,7 +95,11 @@ DENSE = 100.0
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, size: int) -> DataFrame:
-    """(text, y): at most ``size`` labelled texts of each label for which ``keep(doc_id)`` holds, by a hash of the id."""
+    """(text, y): at most ``size`` labelled texts of each label for which ``keep(doc_id)`` holds, by a hash of the id.
+
+    Each labelled id has one text, the least of its rows', so the bound holds
+    whatever repeats in ``docs``.
+    """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & keep(F.col("doc_id"))
     )
@@ -100,7 +107,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, size:
     order = [F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id")]
     chosen = [known.where(F.col("y") == y).orderBy(*order).limit(size) for y in (0, 1)]
     few = chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "__pl_id")  # 2 * size rows at most
-    return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__pl_id")).select("text", "y")
+    met = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__pl_id"))
+    return met.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def fold_of(doc_id, folds: int):
@@ -110,11 +118,11 @@ def fold_of(doc_id, folds: int):
 
 def train(sample: DataFrame) -> Model:
     """Fits on (text, y); two passes over the bounded sample, then Spark ML's logistic regression."""
+    import pyarrow as pa
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
 
     spark = sample.sparkSession
-    small_text_batches(spark)
+    bound_batches(spark)
     sample = cut(sample.repartition(8))  # bounded, so a fixed number of parts
     totals = dict(sample.groupBy("y").count().collect())
     number = np.full(1 << BITS, -1, np.int32)
@@ -125,8 +133,6 @@ def train(sample: DataFrame) -> Model:
         return Model(ratio, number, np.zeros(0), float(np.log(share / (1 - share))))
 
     def texts_with(batches):
-        import pyarrow as pa
-
         have = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -143,14 +149,18 @@ def train(sample: DataFrame) -> Model:
         number[row.f], ratio[row.f] = k, row.r
     model = Model(ratio, number, np.zeros(max(1, len(best))), 0.0)
 
-    width = max(1, len(best))
-
-    @F.udf(VectorUDT())
-    def vector(text):
-        at, values = model.values(text)
-        return Vectors.sparse(width, sorted(zip(at.tolist(), values.tolist(), strict=True)))
-
-    data = cut(sample.select(vector("text").alias("features"), F.col("y").cast("double").alias("label")))
+    def lines(batches):
+        for batch in batches:
+            out = []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, values = model.values(text)
+                out.append(" ".join([str(y), *(f"{k + 1}:{v!r}" for k, v in sorted(zip(at.tolist(), values.tolist(), strict=True)))]))
+            yield pa.RecordBatch.from_pydict({"value": out})
+
+    # sparse vectors of the sample, in the text format for them that Spark reads
+    folder = shared_folder(spark, "features")
+    sample.select("text", "y").mapInArrow(lines, "value string").write.text(folder)
+    data = spark.read.format("libsvm").option("numFeatures", max(1, len(best))).load(folder)
     fitted = LogisticRegression(maxIter=60, regParam=2e-4, standardization=False).fit(data)
     model.weights, model.intercept = fitted.coefficients.toArray(), float(fitted.intercept)
     return model

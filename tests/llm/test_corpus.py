@@ -73,8 +73,26 @@ def test_simhash_with_small_trees_and_hot_blocks(spark, monkeypatch, rows):
 def test_bk_tree_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     rows = rng.integers(0, 2**12, (400, 1)).astype(np.uint64)
-    found = {(n, int(q)) for n, near in simhash.BKTree(rows).probe(rows, 3) for q in near}
-    assert found == {(i, j) for i in range(400) for j in range(400) if int(rows[i, 0] ^ rows[j, 0]).bit_count() <= 3}
+    tree = simhash.BKTree(np.unique(rows, axis=0))
+    found = {(int(tree.rows[n, 0]), int(q)) for nodes, near in tree.probe(rows, 3) for n, q in zip(nodes, near)}
+    children = dict(zip(tree.keys.tolist(), tree.children.tolist()))
+    for key, child in children.items():  # a child hangs on the edge of its distance to its parent
+        parent, edge = divmod(key, tree.width)
+        assert int(tree.rows[parent, 0] ^ tree.rows[child, 0]).bit_count() == edge
+    assert sorted([0, *children.values()]) == list(range(len(tree.rows)))
+    rows_of = {int(x) for x in rows[:, 0]}
+    found = {(a, int(rows[q, 0])) for a, q in found}
+    assert found == {(a, b) for a in rows_of for b in rows_of if (a ^ b).bit_count() <= 3}
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(3)
+    rows = np.unique(rng.integers(0, 2**14, (300, 1)).astype(np.uint64), axis=0)
+    n = len(rows)
+    linked = [(i, j) for i in range(n) for j in range(i) if int(rows[i, 0] ^ rows[j, 0]).bit_count() <= 2]
+    a, b = simhash.forest(simhash.BKTree(rows), rows, 2, True)
+    assert len(a) < n and groups(n, zip(a.tolist(), b.tolist())) == groups(n, linked)
+    assert all(int(rows[i, 0] ^ rows[j, 0]).bit_count() <= 2 for i, j in zip(a, b))
 
 
 def test_similar_classes_catch_near_copies_and_leave_others(spark, odd, none):
@@ -112,10 +130,47 @@ def test_subset_sum_is_the_best_there_is():
         assert sum(t * x for t, x in zip(taken, lengths)) == max(s for s in sums if s <= budget)
 
 
-def test_targets_fill_and_cap():
-    t = mixing.fill_targets([100, 100, 1000, 0], [5, 2, 1, 5])
-    assert t[0] == 200 and t[1] == 200 and t[2] == pytest.approx(1400) and t[3] == 0
-    assert mixing.fill_targets([], []) == []
+def plain_targets(sizes, weights, share=1.5, most=2.0):
+    """Share by weight, cap, and share the excess again until none is above its cap."""
+    left, targets, free = share * sum(sizes), [0.0] * len(sizes), [k for k, s in enumerate(sizes) if s]
+    while free:
+        total = sum(weights[k] for k in free)
+        over = [k for k in free if left * weights[k] / total > most * sizes[k]]
+        for k in over or free:
+            targets[k] = most * sizes[k] if over else left * weights[k] / total
+        if not over:
+            break
+        left -= sum(targets[k] for k in over)
+        free = [k for k in free if k not in over]
+    return targets
+
+
+def test_targets_equal_sharing_again_and_again(spark, none):
+    rng = np.random.default_rng(7)
+    for _ in range(4):
+        n = int(rng.integers(1, 30))
+        sizes = [int(x) for x in rng.integers(0, 10 ** int(rng.integers(2, 7)), n)]
+        names = sorted({f"{chr(int(c))}{k}" for k, c in enumerate(rng.integers(65, 0x4FF, n))}, key=lambda s: s.encode())
+        rows = list(zip([*names[: n - 1], None], sizes))
+        got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source string, words long").repartition(3), (5, 2, 1)).collect()}
+        want = plain_targets(sizes, [(5, 2, 1)[k % 3] for k in range(n)])
+        assert all(got[s] == pytest.approx(t, rel=1e-9, abs=1e-6) for (s, _), t in zip(rows, want))
+    assert mixing.source_targets(none.selectExpr("source", "doc_id AS words"), (5, 2, 1)).count() == 0
+
+
+def test_no_length_is_favoured():
+    rng = np.random.default_rng(9)
+    for share in (0.3, 0.7, 1.5, 1.8):
+        lengths = np.sort(rng.choice(np.arange(1, 60_000), 400, replace=False))
+        counts = np.ones(400, np.int64)
+        total = int(lengths.sum())
+        taken = np.mean([mixing.fit_lengths(lengths, counts, share * total, 2, seed) for seed in range(60)], axis=0)
+        for part in np.split(taken, 4):
+            assert abs(part.mean() - share) < 0.06
+        assert abs(taken[-3:].mean() - share) < 0.2  # the three longest too
+        short = np.arange(20, 420)
+        for s in range(10):
+            assert abs(int((short * mixing.fit_lengths(short, counts, share * int(short.sum()), 2, s)).sum()) - share * short.sum()) <= 2
 
 
 def test_mixing_meets_targets_and_reruns_agree(spark, few, odd, none):
@@ -154,6 +209,7 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
     rows = [(i, [float(np.float32(x)) for x in base[i % 20] + 0.13 * (i % 3) * rng.standard_normal(64) / 8]) for i in range(120)]
     rows += [(200 + i, rows[i][1]) for i in range(10)]
     rows += [(300, None), (301, [0.0] * 64), (302, [float("nan")] + [1.0] * 63), (303, [float("inf")] * 64), (304, [None] + [1.0] * 63), (None, rows[0][1])]
+    rows += [(400 + i, [float(np.float32(x)) for x in base[i % 3][:16] * (1 + i)]) for i in range(9)]  # of another length
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("node", F.lit(2))
     got = embed_dedup.near_duplicates(df, 0.95).collect()
     links = plain_links([v for _, v in rows], 0.95)
@@ -178,6 +234,12 @@ def test_embedding_recall_and_precision_on_the_table(spark):
     assert all(got[i] <= degree[i] for i in degree) and links >= 0.9 * plain
 
 
+def test_embeddings_of_extreme_size_and_repeated_rows(spark):
+    rows = [(1, [1e200] * 4), (2, [1.1e200] * 4), (3, [1e-300, 1e-300, 0.0, 0.0]), (4, [2e-310, 2e-310, 0.0, 0.0]), (5, [1.0, -1.0, 0.0, 0.0]), (6, [1.0, -1.0]), (6, [1.0, -1.0])]
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 1, 6, True)}
+
+
 def test_embeddings_empty(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -217,7 +279,7 @@ def test_neighbour_votes_are_the_exact_nearest():
     rng = np.random.default_rng(8)
     vectors = quality_knn.unit(rng.standard_normal((300, 8)).astype(np.float32))
     labels = rng.integers(0, 2, 300).astype(float)
-    model = quality_knn.Model(np.full(quality_knn._RUNS + quality_knn._MARKS, -1), np.zeros((1, 8), np.float32), vectors, labels, 0.5)
+    model = quality_knn.Model(np.full(quality_knn._WORDS + (1 << quality_knn.BITS), -1), np.zeros((1, 8), np.float32), vectors, labels, 0.5)
     points = quality_knn.unit(rng.standard_normal((20, 8)).astype(np.float32))
     model.latent = lambda texts: points
     for p, s in zip(points, model.score(["x"] * 20)):
@@ -227,6 +289,22 @@ def test_neighbour_votes_are_the_exact_nearest():
         assert s == pytest.approx((w * labels[top]).sum() / w.sum(), abs=1e-5)
 
 
+def test_ties_go_to_the_first_labelled_rows():
+    vectors = np.array([[1.0, 0.0]] * 40 + [[0.0, 1.0]] * 10, np.float32)
+    labels = np.array([1.0] * 30 + [0.0] * 20)
+    model = quality_knn.Model(np.full(quality_knn._WORDS + (1 << quality_knn.BITS), -1), np.zeros((1, 2), np.float32), vectors, labels, 0.5)
+    model.latent = lambda texts: np.array([[1.0, 0.0]], np.float32)
+    assert model.score(["x"])[0] == 1.0  # of forty that tie, the first 25
+
+
+def test_repeated_ids_add_nothing_to_the_labelled_sample(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i} of some words") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id long, quality int, toxic int")
+    every = lambda i: F.lit(True)
+    assert quality_knn.labelled_terms(docs, labels, "quality", every, 3).count() == 3
+    assert toxicity.labelled_sample(docs, labels, "toxic", every, 2).count() == 4
+
+
 def test_pipeline_stages_do_what_they_say(spark, odd, none):
     import corpus_pipeline
 
