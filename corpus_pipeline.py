@@ -1,72 +1,10 @@
 """Corpus pipeline: quality rules, near-duplicates, personal data, mixing, and byte-level BPE, stage by stage.
 
-Each stage takes all that the one before it kept, is written as Parquet in the
-shared checkpoint folder, and is read again for the next. The first four
-return the columns of ``documents``; the last returns token ids.
+The stages are those of ``plumbline.llm.stages``: each takes (spark, docs,
+sf_dir) and returns a DataFrame that is written and read again for the next;
+the first four return the columns of ``documents``, the last token ids.
 """
 
-from __future__ import annotations
+from plumbline.llm.stages import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from plumbline.llm import bpe, mixing, pii, quality_rules, simhash
-from plumbline.llm.queries import split_pattern, vocabulary
-from plumbline.session import ensure_checkpoint_dir, read_table
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the weighed rules hold for good."""
-    return quality_rules.keep_good(docs)
-
-
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each class of near-duplicates (five-word shingles, 0.8 or more alike)."""
-    return simhash.keep_one(docs, words=5, similarity=0.8)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts surrogates in the place of personal data and secrets; n_chars follows."""
-    out = pii.replace(docs)
-    if "n_chars" in out.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.length("text").cast(kind))
-    return out.select(*docs.columns)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it: none, once or more."""
-    return mixing.take(docs)
-
-
-def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each taken document, and digests of ids and decoded bytes."""
-    encoded = bpe.encode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern())
-    return bpe.digests(encoded)
-
-
-STAGES = [
-    ("quality_rules", quality_stage),
-    ("simhash_dedup", dedup_stage),
-    ("pii_surrogates", pii_stage),
-    ("mixing", mixing_stage),
-    ("byte_bpe", encoding_stage),
-]
-
-#: EM, BK-trees and BPE are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents table."""
-    docs = read_table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
