@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.model import Dataset, q
 from plumbline.operators.leakage import is_test, is_train
+from plumbline.session import cut
 
 
 def confusion(scored: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -37,8 +38,8 @@ def summary(counted: DataFrame, benign: str) -> DataFrame:
     return one.join(known)  # two single rows
 
 
-def evaluate(data: Dataset, benign: str, seed: int = 42, row_id: str | None = None) -> DataFrame:
-    """``summary`` of a random forest trained on the train rows and judged on the test rows; text columns are coded by order."""
+def predictions(data: Dataset, seed: int = 42, row_id: str | None = None) -> DataFrame:
+    """(label, predicted) of the test rows, by a random forest trained on the train rows; text columns are coded by order."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -59,15 +60,36 @@ def evaluate(data: Dataset, benign: str, seed: int = 42, row_id: str | None = No
     model = pipe.fit(rows.where("__train"))
     names = F.array(*map(F.lit, [*model.stages[len(steps)].labels, "unknown"]))
     scored = model.transform(rows.where("__test")).withColumn("__p", F.element_at(names, (F.col("prediction") + 1).cast("int")))
-    return summary(confusion(scored, "__label", "__p"), benign)
+    return scored.select(F.col("__label").alias("label"), F.col("__p").alias("predicted"))
+
+
+def evaluate(data: Dataset, benign: str, seed: int = 42, row_id: str | None = None) -> DataFrame:
+    """``summary`` of ``predictions``, and the recall of each class as a map."""
+    counted = cut(confusion(predictions(data, seed, row_id), "label", "predicted"))
+    recall = class_metrics(counted).where("n > 0").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "recall")))).alias("recall"))
+    return summary(counted, benign).join(recall)  # two single rows
+
+
+def test_rows(data: Dataset) -> DataFrame:
+    """(n, digest) of the test rows over all columns but the split: equal tables have equal sums of hashes."""
+    own = data.df.where(is_test(q(data.roles.split)))
+    return own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*[q(c) for c in sorted(own.columns)]).cast("decimal(38,0)")).alias("digest"))
 
 
 def compare(data: Dataset, fixes: list[str], benign: str, seed: int = 42, row_id: str | None = None) -> DataFrame:
-    """(stage, metrics...) before and after a chain of fixes."""
-    from plumbline.plans.fixes import apply_fix
+    """(stage, metrics..., test_changed) before and after a chain of fixes.
+
+    Rows are quarantined on the train side only, so that a fix can't pick the
+    rows that it is judged by. ``test_changed`` says whether the other fixes
+    changed the test rows; then the two stages aren't judged by the same.
+    """
+    from plumbline.plans.fixes import apply_fix, apply_to_train
 
     before = evaluate(data, benign, seed, row_id).withColumn("stage", F.lit("before"))
     fixed = data
     for name in fixes:
-        fixed = apply_fix(fixed, name, row_id=row_id).dataset
-    return before.unionByName(evaluate(fixed, benign, seed, row_id).withColumn("stage", F.lit("after")))
+        apply = apply_to_train if name == "quarantine_noise" else apply_fix
+        fixed = apply(fixed, name, row_id=row_id).dataset
+    changed = test_rows(data).first() != test_rows(fixed).first()
+    out = before.unionByName(evaluate(fixed, benign, seed, row_id).withColumn("stage", F.lit("after")))
+    return out.withColumn("test_changed", F.lit(changed))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import edges_below
 from plumbline.model import q
+from plumbline.operators import ranks
 from plumbline.operators.shortcuts import names_identifier
+from plumbline.session import cut
 
 #: Proportions are floored at this before a logarithm.
 FLOOR = 1e-6
@@ -35,8 +35,8 @@ def both_sides(reference: DataFrame, batch: DataFrame, columns: list[str]) -> Da
 def quantile_edges(reference: DataFrame, columns: list[str]) -> dict[str, list[float]]:
     """The reference's inner deciles, without repeats; nan counts as nothing here."""
     value = lambda c: F.when(~F.isnan(q(c).cast("double")), q(c).cast("double"))
-    row = reference.agg(*[F.percentile(value(c), F.array(*map(F.lit, DECILES))).alias(f"e{i}") for i, c in enumerate(columns)]).first()
-    return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
+    found = ranks.quantiles(reference, {c: value(c) for c in columns}, list(DECILES))
+    return {c: sorted(set(v)) for c, v in found.items()}
 
 
 def bin_of(column: str, cuts: list[float]) -> Column:
@@ -72,32 +72,19 @@ def psi(reference: DataFrame, batch: DataFrame, columns: list[str]) -> DataFrame
     return out.withColumn("psi", F.when(F.col("column").isin(empty), 0.0).otherwise(F.col("psi")) if empty else F.col("psi"))
 
 
-def ks(reference: DataFrame, batch: DataFrame, column: str, ranges: int = 64) -> DataFrame:
+def ks(reference: DataFrame, batch: DataFrame, column: str) -> DataFrame:
     """(column, ks): the largest gap between the two cumulative distributions; null and nan don't count.
 
-    Values are counted first; sums run within ranges of values that no task
-    holds alone, and shift by what lies in the ranges before.
+    Values are counted first; sums run within ranges of values, as many as a
+    shuffle has partitions, and shift by what lies in the ranges before.
     """
     v = q(column).cast("double")
     both = both_sides(reference, batch, [column]).select("side", v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
     counted = both.groupBy("v").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    marks = F.percentile_approx("v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(1000)).alias("marks")
-    dealt = counted.join(F.broadcast(counted.agg(marks)))
-    dealt = dealt.withColumn("range", F.coalesce(F.size(F.filter("marks", lambda m: F.col("v") > m)), F.lit(0))).drop("marks")
-    totals = dealt.groupBy("range").agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    starts = totals.select(  # one row for each range
-        "range",
-        F.coalesce(F.sum("tr").over(before), F.lit(0)).alias("sr"),
-        F.coalesce(F.sum("tc").over(before), F.lit(0)).alias("sc"),
-        F.sum("tr").over(every).alias("nr"),
-        F.sum("tc").over(every).alias("nc"),
-    )
-    own = Window.partitionBy("range").orderBy("v")
-    run = dealt.withColumn("cr", F.sum("r").over(own)).withColumn("cc", F.sum("c").over(own)).join(F.broadcast(starts), "range")
-    gap = F.abs((F.col("cr") + F.col("sr")) / F.col("nr") - (F.col("cc") + F.col("sc")) / F.col("nc"))
-    gap = F.when((F.col("nr") > 0) & (F.col("nc") > 0), gap).otherwise(0.0)
+    counted = cut(counted)
+    totals = counted.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))  # one row
+    run = ranks.running(counted, [F.col("v")], {"cr": F.col("r"), "cc": F.col("c")}).join(F.broadcast(totals))
+    gap = F.abs(F.try_divide("cr", "nr") - F.try_divide("cc", "nc"))
     return run.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks")).select(F.lit(column).alias("column"), "ks")
 
 
@@ -130,81 +117,86 @@ def covariate_auc(
 ) -> tuple[float, dict[str, float]]:
     """(AUC, importance of each column) of telling batch rows from reference rows out of fold.
 
-    Rows are a bounded hash-ordered sample of each side, ``cap`` at most.
+    Forests learn from a bounded hash sample of each side, about ``cap`` rows
+    and as many of both; all rows of both sides are scored.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    from plumbline.operators.ml import assembled, hash_sample
+    from plumbline.operators.ml import assembled, fitted_rows, fold_of
 
-    rows = min(cap, reference.count(), batch.count())
-    pick = lambda df, side: hash_sample(df, row_id, rows, seed).select(
-        F.pmod(F.xxhash64(F.lit(seed), q(row_id).cast("string")), F.lit(folds)).alias("__fold"),
-        F.lit(float(side)).alias("__y"), *[q(c) for c in columns])
-    data = assembled(pick(reference, 0).unionByName(pick(batch, 1)), columns, keep=["__fold", "__y"]).cache()
+    sizes = reference.count(), batch.count()
+    rows = min(cap, *sizes)
+    pick = lambda df, side: df.select(
+        fold_of(row_id, folds, seed).alias("__fold"), F.lit(float(side)).alias("__y"),
+        fitted_rows(row_id, rows, sizes[side], seed).alias("__fit"), *[q(c) for c in columns])
+    data = cut(assembled(pick(reference, 0).unionByName(pick(batch, 1)), columns, keep=["__fold", "__y", "__fit"]))
     forest = RandomForestClassifier(featuresCol="features", labelCol="__y", numTrees=50, maxDepth=8, seed=seed)
     evaluate = BinaryClassificationEvaluator(labelCol="__y", metricName="areaUnderROC")
     scores, weights = [], [0.0] * len(columns)
     for fold in range(folds):
-        model = forest.fit(data.where(F.col("__fold") != fold))
+        model = forest.fit(data.where(F.col("__fit") & (F.col("__fold") != fold)))
         scores.append(evaluate.evaluate(model.transform(data.where(F.col("__fold") == fold))))
         weights = [w + v / folds for w, v in zip(weights, model.featureImportances.toArray(), strict=True)]
-    data.unpersist()
     return sum(scores) / folds, dict(zip(columns, weights, strict=True))
 
 
-def concept_recall(
+def concept_scores(
     reference: DataFrame, batch: DataFrame, columns: list[str], label: str, row_id: str, cap: int = 50_000, seed: int = 42
-) -> list[dict]:
-    """Recall of each class, out of fold inside the reference and on the batch, by a forest trained on the reference.
+) -> DataFrame:
+    """(side, label, hit) of every row: 0 for the reference, judged out of fold, 1 for the batch, judged by all folds' forest.
 
-    Batch rows that the reference also has are left out; rows that are equal
-    fall in one fold. Classes need 30 rows on both sides.
+    Forests learn from a bounded hash sample of the reference, about ``cap``
+    rows. Batch rows that the reference also has are left out; rows that are
+    equal fall in one fold.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
 
-    from plumbline.operators.ml import assembled, hash_sample
+    from plumbline.operators.ml import assembled, fitted_rows
 
     same = F.struct(*[q(c) for c in columns])
-    old = hash_sample(reference.where(q(label).isNotNull()), row_id, cap, seed)
-    seen = reference.select(same.alias("__k")).distinct()
+    old = reference.where(q(label).isNotNull())
+    seen = reference.select(same.alias("__s")).distinct()
     new = batch.where(q(label).isNotNull()).withColumn("__k", same)
-    new = new.join(seen.withColumnRenamed("__k", "__s"), F.col("__k").eqNullSafe(F.col("__s")), "left_anti").drop("__k")
-    new = hash_sample(new, row_id, cap, seed)
+    new = new.join(seen, F.col("__k").eqNullSafe(F.col("__s")), "left_anti").drop("__k")
     fold = F.pmod(F.xxhash64(F.to_json(same)), F.lit(3))
-    shape = lambda df: assembled(
-        df.select(fold.alias("__fold"), q(label).cast("string").alias("__label"), *[q(c) for c in columns]), columns, ["__fold", "__label"])
-    old, new = shape(old).cache(), shape(new).cache()
+    size = old.count()
+    shape = lambda df: cut(assembled(
+        df.select(fold.alias("__fold"), fitted_rows(row_id, cap, size, seed).alias("__fit"), q(label).cast("string").alias("__label"),
+                  *[q(c) for c in columns]), columns, ["__fold", "__fit", "__label"]))
+    old, new = shape(old), shape(new)
     index = StringIndexer(inputCol="__label", outputCol="__y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(old)
     forest = RandomForestClassifier(featuresCol="features", labelCol="__y", numTrees=50, maxDepth=8, seed=seed)
-    recall = lambda scored: scored.groupBy("__label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("__y")).cast("double")).alias("recall"))
-    inside = None
+    told = lambda model, df, side: model.transform(index.transform(df)).select(
+        F.lit(side).alias("side"), F.col("__label").alias("label"), (F.col("prediction") == F.col("__y")).alias("hit"))
+    out = told(forest.fit(index.transform(old.where("__fit"))), new, 1)
     for k in range(3):
-        model = forest.fit(index.transform(old.where(F.col("__fold") != k)))
-        part = model.transform(index.transform(old.where(F.col("__fold") == k))).select("__label", "__y", "prediction")
-        inside = part if inside is None else inside.unionByName(part)
-    outside = forest.fit(index.transform(old)).transform(index.transform(new))
-    before = {r["__label"]: r for r in recall(inside).collect()}
-    after = {r["__label"]: r for r in recall(outside).collect()}
-    old.unpersist()
-    new.unpersist()
-    return [
-        {"label": c, "n_reference": before[c].n, "n_batch": after[c].n, "recall_reference": before[c].recall, "recall_batch": after[c].recall}
-        for c in sorted(before.keys() & after.keys())
-        if before[c].n >= 30 and after[c].n >= 30
-    ]
-
-
-def standard_error(rows: list[dict]) -> float:
-    """Binomial standard error of the mean recall's drop, over classes and both sides."""
-    total = 0.0
-    for r in rows:
-        for recall, n in ((r["recall_reference"], r["n_reference"]), (r["recall_batch"], r["n_batch"])):
-            p = (recall * n + 0.5) / (n + 1)
-            total += p * (1 - p) / n
-    return math.sqrt(total) / max(1, len(rows))
+        model = forest.fit(index.transform(old.where(F.col("__fit") & (F.col("__fold") != k))))
+        out = out.unionByName(told(model, old.where(F.col("__fold") == k), 0))
+    return cut(out)
+
+
+def recalls(scored: DataFrame, least: int = 30) -> DataFrame:
+    """(label, n_reference, n_batch, recall_reference, recall_batch) of classes with ``least`` rows on both sides."""
+    side = lambda k: F.col("side") == k
+    hit = F.col("hit").cast("double")
+    out = scored.groupBy("label").agg(
+        F.count_if(side(0)).alias("n_reference"), F.count_if(side(1)).alias("n_batch"),
+        F.avg(F.when(side(0), hit)).alias("recall_reference"), F.avg(F.when(side(1), hit)).alias("recall_batch"),
+    )
+    return out.where((F.col("n_reference") >= least) & (F.col("n_batch") >= least))
+
+
+def recall_drop(by_class: DataFrame) -> DataFrame:
+    """(classes, before, after, drop, error) over ``recalls``; the error is the binomial standard error of the drop."""
+    term = lambda r, n: (lambda p: p * (1 - p) / F.col(n))((F.col(r) * F.col(n) + 0.5) / (F.col(n) + 1))
+    spread = F.sum(term("recall_reference", "n_reference") + term("recall_batch", "n_batch"))
+    out = by_class.agg(
+        F.count(F.lit(1)).alias("classes"), F.avg("recall_reference").alias("before"), F.avg("recall_batch").alias("after"),
+        F.try_divide(F.sqrt(spread), F.count(F.lit(1))).alias("error"),
+    )
+    return out.select("classes", "before", "after", (F.col("before") - F.col("after")).alias("drop"), "error")
 
 
 def model_columns(columns: list[str]) -> list[str]:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from plumbline.model import q
-from plumbline.operators.graph import connected_components
+from plumbline.operators.graph import Forest, connected_components
 from plumbline.session import cut
 
+#: Rows in one block of comparisons: bounds a task's memory.
+BLOCK_ROWS = 1024
+
 
 def census(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., n): grouping puts null with null and nan with nan, which is the row identity used throughout."""
@@ -78,7 +82,9 @@ def near_classes(
     differ in at most k columns. Columns are cut into k + 2 blocks; two such
     rows agree in two whole blocks at least, so rows meet by the values of each
     two blocks: a value that is common in one column pairs nothing by itself.
-    Equal rows are one node beforehand.
+    Rows that share a key are cut into blocks of ``BLOCK_ROWS``, each pair of
+    blocks is a group of its own, and it returns links enough to connect what
+    it found connected, never all pairs. Equal rows are one node beforehand.
     """
     m = len(columns)
     k = mismatches_allowed(m, threshold)
@@ -118,18 +124,36 @@ def _few_mismatches(nodes: DataFrame, names: list[str], k: int) -> DataFrame:
         ]
     )
     met = nodes.select("node", row.alias("row"), F.explode(keys).alias("key")).select("node", "row", "key.b", "key.v")
-    left = met.select("b", "v", F.col("node").alias("a"), F.col("row").alias("ra"))
-    right = met.select("b", "v", F.col("node").alias("z"), F.col("row").alias("rz"))
-    differ = F.size(F.filter(F.zip_with("ra", "rz", lambda x, y: x != y), lambda x: x))
-    return (
-        left.join(right, ["b", "v"])
-        .where((F.col("a") < F.col("z")) & (differ <= k))
-        .select("a", F.col("z").alias("b"))
-        .distinct()
-    )
+    sizes = met.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # what meets nobody isn't sent
+    met = met.join(sizes, ["b", "v"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "row", "b", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def links(group):
+        import pandas as pd
+
+        codes = np.stack([pd.factorize(c)[0] for c in zip(*group.row, strict=True)], axis=1)
+        ids, left = group.node.to_numpy(), (group.own == group.lo).to_numpy()
+        a, b = np.flatnonzero(left), np.flatnonzero(left if group.lo.iloc[0] == group.hi.iloc[0] else ~left)
+        forest = Forest(len(ids))
+        step = max(1, 4_000_000 // max(1, len(b) * m))
+        for at in range(0, len(a), step):
+            part = a[at : at + step]
+            i, j = np.nonzero((codes[part][:, None, :] != codes[b][None, :, :]).sum(axis=2) <= k)
+            forest.add(part[i], b[j])
+        found = [np.concatenate(x) for x in zip(*forest.links, strict=True)] or [np.zeros(0, np.int64)] * 2
+        return pd.DataFrame({"a": ids[found[0]], "b": ids[found[1]]})
+
+    kind = dict(nodes.dtypes)["node"]
+    return met.groupBy("b", "v", "lo", "hi").applyInPandas(links, f"a {kind}, b {kind}")
 
 
 def drop_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row, by ``order``, of each key."""
-    first = Window.partitionBy(*[q(k) for k in keys]).orderBy(*[q(o) for o in order])
-    return df.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    """The first row, by ``order``, of each key.
+
+    Rows are compared before anything is sent, so a key that any number of rows have is no one task's.
+    """
+    row = F.struct(*[q(c) for c in df.columns])
+    first = df.groupBy(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.struct(*[q(o) for o in order])).alias("__row"))
+    return first.select("__row.*")

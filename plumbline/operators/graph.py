@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,26 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+class Forest:
+    """Keeps of the links that it is given those that connect what wasn't connected."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            one, two = self.label[a], self.label[b]
+            apart = one != two
+            if not apart.any():
+                return
+            a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+            high, first = np.unique(np.maximum(one, two), return_index=True)
+            self.links.append((a[first], b[first]))
+            root = np.arange(len(self.label))
+            root[high] = np.minimum(one, two)[first]  # each label hangs on a lesser one: no rings
+            while (root[root] != root).any():
+                root = root[root]
+            self.label = root[self.label]

@@ -20,19 +20,26 @@ def conflict_groups(df: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def conflicts(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """(n_total, n_groups, n_affected, ratio); the ratio is of all rows, with or without a label."""
-    total = df.agg(F.count(F.lit(1)).alias("n_total"))
-    found = conflict_groups(df, keys, label).agg(
-        F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_affected")
+    """(n_total, n_groups, n_affected, ratio); the ratio is of all rows, with or without a label.
+
+    Labels clash where a group's least isn't its greatest, so one grouping of the rows says all.
+    """
+    own = q(label).cast("string")
+    groups = df.groupBy(*[q(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(own).alias("n_known"), (F.min(own) < F.max(own)).alias("clash")
+    )
+    found = groups.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_total"),
+        F.count_if("clash").alias("n_groups"),
+        F.coalesce(F.sum(F.when(F.col("clash"), F.col("n_known"))), F.lit(0)).alias("n_affected"),
     )
-    return total.join(found).withColumn("ratio", F.try_divide("n_affected", "n_total"))  # two single rows
+    return found.withColumn("ratio", F.try_divide("n_affected", "n_total"))
 
 
-def conflict_pairs(df: DataFrame, keys: list[str], label: str, groups: int = 2000, pairs: int = 10) -> DataFrame:
-    """(pair, n_groups, n_rows): which labels clash most, over the largest groups; a top-k report."""
-    most = conflict_groups(df, keys, label).select(F.array_join("labels", " / ").alias("pair"), "n_rows")
-    most = most.orderBy(F.desc("n_rows"), "pair").limit(groups)
-    out = most.groupBy("pair").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_rows").alias("n_rows"))
+def conflict_pairs(df: DataFrame, keys: list[str], label: str, pairs: int = 10) -> DataFrame:
+    """(pair, n_groups, n_rows): which labels clash most, over all groups; a top-k report."""
+    all_ = conflict_groups(df, keys, label).select(F.array_join("labels", " / ").alias("pair"), "n_rows")
+    out = all_.groupBy("pair").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_rows").alias("n_rows"))
     return out.orderBy(F.desc("n_rows"), "pair").limit(pairs)
 
 

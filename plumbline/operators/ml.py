@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import finite
 from plumbline.model import CheckSkipped, q
+from plumbline.operators import ranks
 from plumbline.session import cut
 
 FOLDS = 3
 
 
+def fold_of(row_id: str, folds: int, seed: int) -> Column:
+    """A row's fold, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.lit(seed), q(row_id).cast("string")), F.lit(folds))
+
+
+def fitted_rows(row_id: str, wanted: int, rows: int, seed: int) -> Column:
+    """Whether a row is in the hash sample that models learn from: all rows, or about ``wanted`` of so many."""
+    if rows <= wanted:
+        return F.lit(True)
+    steps = 1 << 30
+    return F.pmod(F.xxhash64(F.lit(seed + 1), q(row_id).cast("string")), F.lit(steps)) < int(steps * wanted / rows)
+
+
 def hash_sample(df: DataFrame, row_id: str, rows: int, seed: int = 42) -> DataFrame:
-    """The first ``rows`` rows in a hash order of their ids: the same at any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), q(row_id).cast("string")), q(row_id)).limit(rows)
+    """About ``rows`` rows by a hash of their ids (all, of fewer): the same at any partitioning."""
+    return df.where(fitted_rows(row_id, rows, df.count(), seed))
 
 
 def clean(column: str):
@@ -31,11 +45,14 @@ def assembled(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(numbers).select(*keep, "features")
 
 
-def out_of_fold(df: DataFrame, columns: list[str], label: str, row_id: str, seed: int = 42) -> tuple[DataFrame, list[str]]:
-    """((row_id, given, probs), classes): each row's class probabilities by a model that hasn't seen its fold.
+def out_of_fold(
+    df: DataFrame, columns: list[str], label: str, row_id: str, seed: int = 42, cap: int = 200_000
+) -> tuple[DataFrame, list[str]]:
+    """((row_id, given, y, probs), classes): each row's class probabilities by a model that hasn't seen its fold.
 
-    Standardised features, multinomial logistic regression; folds are dealt
-    within each class by rank of a hash.
+    Standardised features, multinomial logistic regression; a row's fold is a
+    hash of its id. Models learn from a bounded hash sample of about ``cap``
+    rows; every row is scored.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -43,8 +60,8 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, row_id: str, seed
     from pyspark.ml.functions import vector_to_array
 
     rows = df.select(q(row_id).alias("row_id"), q(label).cast("string").alias("given"), *[q(c) for c in columns])
-    fold = F.pmod(F.xxhash64(F.lit(seed), F.col("row_id").cast("string")), F.lit(FOLDS)).alias("fold")
-    data = assembled(rows.withColumn("fold", fold), columns, ["row_id", "given", "fold"])
+    rows = rows.withColumn("fold", fold_of("row_id", FOLDS, seed)).withColumn("fit", fitted_rows("row_id", cap, df.count(), seed))
+    data = assembled(rows, columns, ["row_id", "given", "fold", "fit"])
     index = StringIndexer(inputCol="given", outputCol="y", stringOrderType="alphabetAsc").fit(data)
     classes = list(index.labels)
     data = cut(index.transform(data))
@@ -56,7 +73,7 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, row_id: str, seed
     )
     out = None
     for k in range(FOLDS):
-        fitted = model.fit(data.where(F.col("fold") != k))
+        fitted = model.fit(data.where(F.col("fit") & (F.col("fold") != k)))
         part = fitted.transform(data.where(F.col("fold") == k)).select("row_id", "given", "y", vector_to_array("p").alias("probs"))
         out = part if out is None else out.unionByName(part)
     return cut(out), classes
@@ -100,9 +117,10 @@ def confident_issues(scored: DataFrame, classes: list[str]) -> DataFrame:
     own = F.element_at("probs", (F.col("y") + 1).cast("int"))
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(n).alias("n"), (p(j) - p(i)).alias("margin")) for i, j, n in wanted])
     long = scored.withColumn("c", F.explode(F.filter(cells, lambda c: c.i == F.col("y"))))
-    rank = F.row_number().over(Window.partitionBy("c.i", "c.j").orderBy(F.desc("c.margin"), "row_id"))
+    cell = F.col("c.i") * k + F.col("c.j")
+    first = ranks.first_rows(long, [F.desc("c.margin"), F.col("row_id")], {i * k + j: n for i, j, n in wanted}, cell)
     names = F.array(*map(F.lit, classes))
-    flagged = long.withColumn("rank", rank).where((F.col("rank") <= F.col("c.n")) & (best != F.col("y")))
+    flagged = first.where(best != F.col("y"))
     return flagged.select(
         "row_id", "given", F.element_at(names, (best + 1).cast("int")).alias("suggested"), own.alias("self_confidence")
     ).distinct()
@@ -116,8 +134,7 @@ def noise_scores(df: DataFrame, columns: list[str], label: str, row_id: str, see
     large = [r[0] for r in known.groupBy(q(label).cast("string")).count().where("count >= 20").collect()]
     if len(large) < 2:
         raise CheckSkipped("fewer than two classes with 20 rows")
-    sample = hash_sample(known.where(q(label).cast("string").isin(large)), row_id, cap, seed)
-    scored, classes = out_of_fold(sample, columns, label, row_id, seed)
+    scored, classes = out_of_fold(known.where(q(label).cast("string").isin(large)), columns, label, row_id, seed, cap)
     accuracy, gain = skill(scored)
     if gain < 0.25:
         raise CheckSkipped(f"a simple model tells the classes too badly (skill {gain:.2f})")
@@ -125,5 +142,5 @@ def noise_scores(df: DataFrame, columns: list[str], label: str, row_id: str, see
 
 
 def overestimate(accuracy: float) -> float:
-    """How far label noise may be overestimated, by the accuracy of the model that judged it."""
+    """How far label noise may be overestimated, by the accuracy of the model that judged it (fixed values)."""
     return next(v for least, v in ((0.97, 0.01), (0.90, 0.035), (0.80, 0.085), (0.0, 0.15)) if accuracy >= least)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from plumbline.model import q
 from plumbline.operators.graph import connected_components
-from plumbline.operators.ml import clean
+from plumbline.operators import ranks
+from plumbline.operators.ml import clean, hash_sample
 from plumbline.session import cut
 
 # Fixed values of the trigger detector.
@@ -19,11 +20,10 @@ WEIGHTS = {"poison.loss": 0.7, "poison.knn": 1.0, "poison.cluster": 0.0, "poison
 
 
 def loss(scored: DataFrame, share: float = 0.01) -> DataFrame:
-    """(row_id, loss): the rows of largest log-loss of their own label, a hundredth of all, at least one; a top-k report."""
+    """(row_id, loss): the rows of largest log-loss of their own label, a hundredth of all, at least one."""
     own = F.element_at("probs", (F.col("y") + 1).cast("int"))
-    rows = scored.count()
     lost = scored.select("row_id", (-F.log(F.greatest(own, F.lit(1e-12)))).alias("loss"))
-    return lost.orderBy(F.desc("loss"), "row_id").limit(max(1, int(share * rows)))
+    return ranks.first_rows(lost, [F.desc("loss"), F.col("row_id")], max(1, int(share * scored.count())))
 
 
 def trigger_values(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -79,17 +79,26 @@ def matrix(df: DataFrame, columns: list[str], label: str, row_id: str) -> DataFr
     return rows.join(F.broadcast(stats)).select("row_id", "y", F.array(*scaled).alias("x"))  # one row of statistics
 
 
-def neighbours(rows: DataFrame, k: int, per_class: bool = False, blocks: int = 8) -> DataFrame:
-    """(row_id, y, other_id, other_y, dist, rank): each row's k nearest other rows by exact Euclidean distance.
+#: Rows in one block of distances: bounds a task's memory.
+BLOCK_ROWS = 2048
 
-    ``rows`` is a bounded sample (row_id long, y, x). Rows are dealt into
-    blocks; each pair of blocks is one task's matrix of distances, which
-    returns its k best for each row, and these meet by row. Ties go to the
-    lesser id.
+
+def neighbours(rows: DataFrame, k: int, among: DataFrame | None = None, per_class: bool = False) -> DataFrame:
+    """(row_id, y, other_id, other_y, dist, rank): each row's k nearest other rows of ``among`` by exact Euclidean distance.
+
+    Both are (row_id long, y, x); ``among`` is a bounded sample (all rows, if
+    left out: then they are one). Both are dealt into blocks of ``BLOCK_ROWS``
+    by their numbers of rows; each pair of blocks is one group's matrix of
+    distances, which returns its k best for each row, and these meet by row.
+    Ties go to the lesser id.
     """
-    dealt = cut(rows.withColumn("b", F.pmod(F.xxhash64(F.lit(9), "row_id"), F.lit(blocks)).cast("int")))
-    own = dealt.select("*", F.lit(0).alias("side"), F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    other = dealt.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("b").alias("j"))
+    among = rows if among is None else among
+    blocks = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
+    n, m = blocks(rows), blocks(among)
+    dealt = lambda df, of, seed: F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    own = rows.select("row_id", "y", "x", F.lit(0).alias("side"), dealt(rows, n, 9).alias("i"), each(m).alias("j"))
+    other = among.select("row_id", "y", "x", F.lit(1).alias("side"), each(n).alias("i"), dealt(among, m, 10).alias("j"))
 
     def best(group):
         import pandas as pd
@@ -100,11 +109,11 @@ def neighbours(rows: DataFrame, k: int, per_class: bool = False, blocks: int = 8
         xa, xb = np.vstack(a.x.to_numpy()), np.vstack(b.x.to_numpy())
         ids, ys = b.row_id.to_numpy(), b.y.to_numpy()
         out = []
-        for start in range(0, len(xa), 512):
-            part = xa[start : start + 512]
-            d = np.sqrt(np.maximum(((part[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2), 0)) if xb.size < 200_000 else np.sqrt(
-                np.maximum((part**2).sum(1)[:, None] - 2 * part @ xb.T + (xb**2).sum(1)[None, :], 0))
-            block = a.iloc[start : start + 512]
+        step = max(1, 2_000_000 // xb.size)
+        for start in range(0, len(xa), step):
+            part = xa[start : start + step]
+            d = np.sqrt(((part[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2))
+            block = a.iloc[start : start + step]
             d[block.row_id.to_numpy()[:, None] == ids[None, :]] = np.inf
             if per_class:
                 d[block.y.to_numpy()[:, None] != ys[None, :]] = np.inf
@@ -122,9 +131,14 @@ def neighbours(rows: DataFrame, k: int, per_class: bool = False, blocks: int = 8
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn(rows: DataFrame, k: int = 10, least: float = 0.8) -> DataFrame:
-    """(row_id, score): rows of whose k nearest neighbours at least a share ``least`` has another label."""
-    near = neighbours(rows, k)
+def knn(rows: DataFrame, k: int = 10, least: float = 0.8, cap: int = 50_000, seed: int = 42) -> DataFrame:
+    """(row_id, score): rows of whose k nearest neighbours at least a share ``least`` has another label.
+
+    Neighbours are looked for among a bounded hash sample of about ``cap``
+    rows (all, of fewer); every row is scored.
+    """
+    rows = cut(rows)
+    near = neighbours(rows, k, hash_sample(rows, "row_id", cap, seed))
     share = near.groupBy("row_id").agg(F.avg((F.col("other_y") != F.col("y")).cast("double")).alias("score"))
     return share.where(F.col("score") >= least)
 
@@ -169,8 +183,12 @@ def close_links(rows: DataFrame) -> DataFrame:
     return dealt.groupBy("y", "lo", "hi").applyInPandas(links, "row_id long, other_id long, core boolean")
 
 
-def clusters(rows: DataFrame, min_samples: int = 10, least_rows: int = 40) -> DataFrame:
-    """(row_id, y, cluster, score): small, compact clusters inside a class, by DBSCAN over exact neighbours.
+def clusters(all_rows: DataFrame, min_samples: int = 10, least_rows: int = 40, cap: int = 50_000, seed: int = 42) -> DataFrame:
+    """(row_id, y, cluster, score): rows in small, compact clusters inside a class, by DBSCAN over exact neighbours.
+
+    Clusters are found in a bounded hash sample of about ``cap`` rows (all, of
+    fewer); every other row within eps of a found cluster's core, of its own
+    class, is in that cluster.
 
     eps of a class is the tenth percentile of its rows' distances to their
     fifth neighbour. A row with ``min_samples`` rows within eps, itself
@@ -178,11 +196,14 @@ def clusters(rows: DataFrame, min_samples: int = 10, least_rows: int = 40) -> Da
     cores joins the cluster of the least of them. Experimental: its weight in
     the ranking is 0.
     """
+    all_rows = cut(all_rows)
+    rows = hash_sample(all_rows, "row_id", cap, seed)
     sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n_class")).where(F.col("n_class") >= least_rows)
     rows = rows.join(sizes, "y", "left_semi")
+    rows = cut(rows)
     near = cut(neighbours(rows, max(5, min_samples), per_class=True))
-    fifth = near.where("rank = 5").groupBy("y").agg(F.percentile("dist", F.lit(0.1)).alias("eps"))
-    fifth = fifth.withColumn("eps", F.when(F.col("eps") > 0, F.col("eps")).otherwise(1.0))
+    fifth = near.where("rank = 5").groupBy("y").agg(F.percentile("dist", F.lit(0.1)).alias("eps"))  # of the bounded sample
+    fifth = cut(fifth.withColumn("eps", F.when(F.col("eps") > 0, F.col("eps")).otherwise(1.0)))
     close = near.join(F.broadcast(fifth), "y").where(F.col("dist") <= F.col("eps"))
     cores = cut(close.groupBy("row_id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("row_id"))
     told = rows.join(cores.withColumn("core", F.lit(True)), "row_id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
@@ -200,7 +221,39 @@ def clusters(rows: DataFrame, min_samples: int = 10, least_rows: int = 40) -> Da
     own = own.join(spread(rows, ["y"]).withColumnRenamed("disp", "all"), "y").join(sizes, "y")
     score = 1 - F.least(F.lit(1.0), F.coalesce(F.try_divide("disp", "all"), F.lit(1.0)))
     small = own.withColumn("score", score).where((F.col("n") >= 10) & (F.col("n") <= 0.05 * F.col("n_class")) & (F.col("score") >= 0.75))
-    return x.select("row_id", "y", "cluster").join(small.select("cluster", "score"), "cluster")
+    found = cut(x.select("row_id", "y", "cluster", "x").join(small.select("cluster", "score"), "cluster"))
+    rest = all_rows.join(rows, "row_id", "left_anti")
+    kept = found.join(cores, "row_id", "left_semi").join(F.broadcast(fifth), "y")
+    return found.drop("x").unionByName(_reached(rest, kept))
+
+
+def _reached(rows: DataFrame, cores: DataFrame) -> DataFrame:
+    """(cluster, row_id, y, score): rows within eps of a core of their class, in the least such cluster.
+
+    ``cores`` (cluster, score, y, x, eps) are of small clusters of a bounded
+    sample, a twentieth of it at most, so they go to every task.
+    """
+    held = cores.select("cluster", "score", "y", "x", "eps").toPandas()
+
+    def near(frames):
+        import pandas as pd
+
+        by_class = {y: (np.vstack(g.x.to_numpy()), g.cluster.to_numpy(), g.score.to_numpy(), g.eps.iloc[0]) for y, g in held.groupby("y")}
+        for frame in frames:
+            for y, group in frame.groupby("y"):
+                if y not in by_class or not len(group):
+                    continue
+                x, cluster, score, eps = by_class[y]
+                own, step = np.vstack(group.x.to_numpy()), max(1, 2_000_000 // x.size)
+                for start in range(0, len(own), step):
+                    d = np.sqrt(((own[start : start + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+                    least = np.where(d <= eps, cluster[None, :], np.iinfo(np.int64).max)
+                    at = least.argmin(axis=1)
+                    hit = np.flatnonzero(least[np.arange(len(at)), at] < np.iinfo(np.int64).max)
+                    rows = group.iloc[start : start + step].iloc[hit]
+                    yield pd.DataFrame({"cluster": cluster[at[hit]], "row_id": rows.row_id.to_numpy(), "y": y, "score": score[at[hit]]})
+
+    return rows.mapInPandas(near, "cluster long, row_id long, y string, score double")
 
 
 def combine_scores(flagged: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -238,7 +291,7 @@ def _order(row_id: str, seed: int) -> Column:
 
 def chosen(df: DataFrame, row_id: str, rows: int, seed: int = 42) -> DataFrame:
     """(row_id): the first ``rows`` rows in the hash order; a sampling operator."""
-    return df.select(q(row_id).alias("row_id"), _order(row_id, seed).alias("h")).orderBy("h", "row_id").limit(rows).select("row_id")
+    return ranks.first_rows(df.select(q(row_id).alias("row_id"), _order(row_id, seed).alias("h")), [F.col("h"), F.col("row_id")], rows).select("row_id")
 
 
 def _mark(df: DataFrame, row_id: str, hit: DataFrame) -> DataFrame:

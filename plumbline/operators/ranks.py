@@ -38,22 +38,26 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(k) + F.col(f"__s_{k}")).alias(k) for k in sums])
 
 
-def first_rows(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
-    """The first ``rows`` rows in ``order`` (without ties), however many: whole ranges, and a part of one."""
-    dealt = ranged(df, order)
-    left, whole, last = rows, [], None
-    for r in sorted(dealt.groupBy(_PART).count().collect()):  # a row for each range
-        if left <= 0:
-            break
-        if r["count"] <= left:
-            whole.append(r[_PART])
-        else:
-            last = (r[_PART], left)
-        left -= r["count"]
-    out = dealt.where(F.col(_PART).isin(whole) if whole else F.lit(False))
-    if last is not None:
-        out = out.unionByName(dealt.where(F.col(_PART) == last[0]).orderBy(*order).limit(last[1]))
-    return out.drop(_PART)
+def first_rows(df: DataFrame, order: list[Column], rows: int | dict, group: Column | None = None) -> DataFrame:
+    """The first ``rows`` rows in ``order`` (without ties), however many: whole ranges, and a part of the last one.
+
+    With ``group``, ``rows`` says how many of each group's rows (a few groups; those that it doesn't name have none).
+    """
+    wanted = rows if isinstance(rows, dict) else {0: rows}
+    named = df.withColumn("__group", F.lit(0) if group is None else group)
+    dealt = ranged(named, [F.col("__group"), *order])
+    sizes = sorted(tuple(r) for r in dealt.groupBy(_PART, "__group").count().collect())  # ranges plus groups rows at most
+    takes, left = [], dict(wanted)
+    for part, own, n in sizes:
+        if left.get(own, 0) > 0:
+            takes.append((part, own, min(n, left[own]), n > left[own]))
+            left[own] -= n
+    kind = named.schema["__group"].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(takes, f"__at int, __own {kind}, __take long, __partly boolean")
+    met = dealt.join(F.broadcast(table), (F.col(_PART) == F.col("__at")) & (F.col("__group") == F.col("__own")))
+    nth = F.row_number().over(Window.partitionBy(_PART, "__group").orderBy(*order))
+    partly = met.where("__partly").withColumn("__nth", nth).where("__nth <= __take")
+    return met.where("NOT __partly").unionByName(partly.drop("__nth")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def counted_values(df: DataFrame, values: dict[str, Column]) -> DataFrame:

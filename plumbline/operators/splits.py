@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import q
+from plumbline.operators import ranks
 
 
 def cutoff(df: DataFrame, time: Column, ratio: float = 0.7):
-    """The time at index round(ratio * (n - 1)) of the ordered non-null times (halves up).
-
-    Times are counted by value and day; the index is looked for among days,
-    then inside one day, so no task orders the whole table.
-    """
-    counted = df.select(time.alias("t")).where("t IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    numeric = dict(counted.dtypes)["t"] not in ("timestamp", "timestamp_ntz", "date")
-    part = F.floor(F.col("t") / 86_400) if numeric else F.to_date("t")
-    dealt = counted.withColumn("p", part)
-    days = dealt.groupBy("p").agg(F.sum("n").alias("n"))
-    running = days.withColumn("upto", F.sum("n").over(Window.orderBy("p"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    at = F.floor(F.lit(ratio) * (F.col("total") - 1) + 0.5) + 1
-    day = running.withColumn("at", at).where(F.col("upto") >= F.col("at")).orderBy("p").limit(1)
-    row = day.select("p", (F.col("at") - (F.col("upto") - F.col("n"))).alias("rest")).first()
-    if row is None:
-        return None
-    inside = dealt.where(F.col("p") == F.lit(row.p)).withColumn("upto", F.sum("n").over(Window.orderBy("t")))
-    return inside.where(F.col("upto") >= row.rest).agg(F.min("t")).first()[0]
+    """The time at index round(ratio * (n - 1)) of the ordered non-null times (halves up); None without times."""
+    counted = ranks.counted_values(df, {"t": time})
+    found = ranks.values_at(counted, {"t": lambda n: [math.floor(ratio * (n - 1) + 0.5)]})
+    return next(iter(found["t"].values()), None)
 
 
 def temporal(df: DataFrame, time: Column, split: str, ratio: float = 0.7) -> DataFrame:
@@ -47,6 +36,6 @@ def grouped(df: DataFrame, columns: list[str], split: str, ratio: float = 0.7, s
     order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("__g")).cast("binary"))
     groups = df.select(group.alias("__g")).distinct().withColumn("__h", order)
     train = max(1, int(groups.count() * ratio))
-    first = groups.orderBy("__h", "__g").limit(train).select("__g")
+    first = ranks.first_rows(groups, [F.col("__h"), F.col("__g")], train).select("__g")
     met = df.withColumn("__own", group).join(first, F.col("__own") == F.col("__g"), "left")
     return met.withColumn(split, F.when(F.col("__g").isNotNull(), "train").otherwise("test")).drop("__own", "__g")

@@ -312,16 +312,17 @@ def drift_covariate(data: Dataset) -> list[Finding]:
 @register("drift.concept", "drift")
 def drift_concept(data: Dataset) -> list[Finding]:
     data.require("label")
-    rows = drift.concept_recall(_reference(data), data.df, _common(data), data.roles.label, row_id_of(data), seed=data.seed)
-    if len(rows) < 2:
+    scored = drift.concept_scores(_reference(data), data.df, _common(data), data.roles.label, row_id_of(data), seed=data.seed)
+    by_class = drift.recalls(scored)
+    r = drift.recall_drop(by_class).first()
+    if r.classes < 2:
         raise CheckSkipped("fewer than two classes with 30 rows on both sides")
-    before, after = (sum(r[k] for r in rows) / len(rows) for k in ("recall_reference", "recall_batch"))
-    if before < 1 / len(rows) + 0.10:
+    if r.before < 1 / r.classes + 0.10:
         raise CheckSkipped("the model learns too little from the reference")
-    drop = before - after
-    if drop < 0.10 or drop < 4 * drift.standard_error(rows):
+    if r["drop"] < 0.10 or r["drop"] < 4 * r.error:
         return []
-    return [Finding("drift.concept", graded(drop, (0.25, "critical"), other="high"), "The model's recall fell", metric={"before": before, "after": after, "drop": drop}, examples=rows)]
+    worst = by_class.orderBy(F.asc(F.col("recall_batch") - F.col("recall_reference")), "label").limit(10)
+    return [Finding("drift.concept", graded(r["drop"], (0.25, "critical"), other="high"), "The model's recall fell", metric=r.asDict(), examples=[x.asDict() for x in worst.collect()])]
 
 
 def _suspects(check_id: str, flagged, total: int, metric: dict | None = None, title: str = "Suspect rows") -> list[Finding]:
@@ -332,34 +333,37 @@ def _suspects(check_id: str, flagged, total: int, metric: dict | None = None, ti
     return [Finding(check_id, "high" if ratio >= 0.02 else "medium", title, metric={"ratio": ratio} | (metric or {}), affected_rows=n, flagged=flagged)]
 
 
-def _matrix(data: Dataset, cap: int = 50_000):
+def _matrix(data: Dataset):
+    """The labelled rows, all of which are judged, and the columns to judge them by."""
     data.require("label")
     columns = _models(data)
     if len(columns) < 2:
         raise CheckSkipped("fewer than two numeric columns that aren't identifiers")
-    sample = ml.hash_sample(data.df.where(q(data.roles.label).isNotNull()), row_id_of(data), cap, data.seed)
-    return sample, columns
+    return data.df.where(q(data.roles.label).isNotNull()), columns
 
 
 @register("poison.loss", "poison")
 def poison_loss(data: Dataset) -> list[Finding]:
-    sample, columns = _matrix(data)
-    scored, _, _ = (*ml.out_of_fold(sample, columns, data.roles.label, row_id_of(data), data.seed), None)
+    rows, columns = _matrix(data)
+    classes = rows.groupBy(q(data.roles.label)).count().agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).first()
+    if classes.n < 2 or classes.least < ml.FOLDS:
+        raise CheckSkipped(f"fewer than two classes, or a class with fewer than {ml.FOLDS} rows")
+    scored, _ = ml.out_of_fold(rows, columns, data.roles.label, row_id_of(data), data.seed)
     top = poison.loss(scored)
     return _suspects("poison.loss", top.select("row_id", F.col("loss").alias("score")), scored.count(), title="Rows of large loss")
 
 
 @register("poison.knn", "poison")
 def poison_knn(data: Dataset) -> list[Finding]:
-    sample, columns = _matrix(data)
-    rows = poison.matrix(sample, columns, data.roles.label, row_id_of(data))
+    known, columns = _matrix(data)
+    rows = poison.matrix(known, columns, data.roles.label, row_id_of(data))
     return _suspects("poison.knn", poison.knn(rows), rows.count(), title="Rows among neighbours of other classes")
 
 
 @register("poison.cluster", "poison")
 def poison_cluster(data: Dataset) -> list[Finding]:
-    sample, columns = _matrix(data)
-    rows = poison.matrix(sample, columns, data.roles.label, row_id_of(data))
+    known, columns = _matrix(data)
+    rows = poison.matrix(known, columns, data.roles.label, row_id_of(data))
     return _suspects("poison.cluster", poison.clusters(rows).select("row_id", "score"), rows.count(), title="Small compact clusters (experimental)")
 
 

@@ -54,6 +54,15 @@ def apply_fix(data: Dataset, fix_id: str, row_id: str | None = None) -> FixResul
     return get_fix(fix_id)(data, row_id=row_id)
 
 
+def apply_to_train(data: Dataset, fix_id: str, row_id: str | None = None) -> FixResult:
+    """The fix on rows of the train side alone; all other rows stay as they are."""
+    data.require("split")
+    train = leakage.is_train(q(data.roles.split))
+    result = get_fix(fix_id)(data.with_df(data.df.where(train)), row_id=row_id)
+    rest = data.df.where(F.coalesce(~train, F.lit(True)))
+    return replace(result, dataset=data.with_df(result.dataset.df.unionByName(rest)))
+
+
 def _need_row(row_id: str | None) -> str:
     if row_id is None:
         raise FixNotApplicable("a column that identifies rows is needed")
@@ -137,11 +146,13 @@ def temporal_split(data: Dataset, row_id: str | None = None) -> FixResult:
 
 @register_fix("group_split")
 def group_split(data: Dataset, row_id: str | None = None) -> FixResult:
-    """Whole sessions, or whole source hosts, go to one side of the split."""
+    """Whole sessions, or whole source hosts, go to one side of the split; ``after`` tells hosts that are still on both."""
     roles = ["src_ip"] if data.option("group_by", "session") == "host" else list(SESSION_ROLES)
     columns = [c for r in roles if (c := getattr(data.roles, r))]
     if not columns:
         raise FixNotApplicable("no column tells sessions or hosts")
     split = data.roles.split or "split"
     out = splits.grouped(data.df, columns, split, data.option("train_ratio", 0.7), data.seed)
-    return FixResult("group_split", replace(data, df=out, roles=replace(data.roles, split=split)))
+    hosts = {c for c in (data.roles.src_ip, data.roles.dst_ip) if c}
+    still = {c: leakage.hosts(out, c, split).first().n_shared for c in sorted(hosts)}
+    return FixResult("group_split", replace(data, df=out, roles=replace(data.roles, split=split)), {}, {"hosts_on_both_sides": still})

@@ -30,11 +30,15 @@ PROFILES = {
             "unsw-nb15-raw",
             "UNSW-NB15, raw files without a header",
             {"label": "Label", "time": "Stime", "src_ip": "srcip", "dst_ip": "dstip", "src_port": "sport", "dst_port": "dsport", "protocol": "proto"},
-            tuple(
-                "srcip sport dstip dsport proto state dur sbytes dbytes sttl dttl sloss dloss service Sload Dload Spkts Dpkts swin dwin stcpb"
-                " dtcpb smeansz dmeansz trans_depth res_bdy_len Sjit Djit Stime Ltime Sintpkt Dintpkt tcprtt synack ackdat is_sm_ips_ports"
-                " ct_state_ttl ct_flw_http_mthd is_ftp_login ct_ftp_cmd ct_srv_src ct_srv_dst ct_dst_ltm ct_src_ltm ct_src_dport_ltm"
-                " ct_dst_sport_ltm ct_dst_src_ltm attack_cat Label".split()
+            # fixed values: published column names, in order
+            (
+                "srcip", "sport", "dstip", "dsport", "proto", "state", "dur", "sbytes", "dbytes", "sttl",
+                "dttl", "sloss", "dloss", "service", "Sload", "Dload", "Spkts", "Dpkts", "swin", "dwin",
+                "stcpb", "dtcpb", "smeansz", "dmeansz", "trans_depth", "res_bdy_len", "Sjit", "Djit", "Stime",
+                "Ltime", "Sintpkt", "Dintpkt", "tcprtt", "synack", "ackdat", "is_sm_ips_ports",
+                "ct_state_ttl", "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd", "ct_srv_src", "ct_srv_dst",
+                "ct_dst_ltm", "ct_src_ltm", "ct_src_dport_ltm", "ct_dst_sport_ltm", "ct_dst_src_ltm",
+                "attack_cat", "Label",
             ),
         ),
         Profile(
@@ -53,7 +57,9 @@ PROFILES = {
             "ugr-16",
             "UGR'16",
             {"label": "label", "time": "te", "src_ip": "sa", "dst_ip": "da", "src_port": "sp", "dst_port": "dp", "protocol": "pr"},
-            tuple("te td sa da sp dp pr flg fwd stos pkt byt label".split()),
+            (
+                "te", "td", "sa", "da", "sp", "dp", "pr", "flg", "fwd", "stos", "pkt", "byt", "label",
+            ),
         ),
     )
 }

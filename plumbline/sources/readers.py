@@ -10,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegralType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import IntegralType, NumericType
 
 from plumbline.model import ROLE_NAMES, Dataset, Roles, q
 from plumbline.operators import validity
@@ -22,8 +22,6 @@ CSV_SUFFIXES = (".csv", ".txt", ".binetflow", ".2format")
 PARQUET_SUFFIXES = (".parquet", ".pq")
 JSON_SUFFIXES = (".json", ".jsonl", ".ndjson")
 LOG_SUFFIXES = (".log",)
-#: Rows that types are inferred from.
-SAMPLE_ROWS = 10_000
 
 # Usual names of each role, in lower case without marks or spaces.
 CANDIDATES = {
@@ -53,27 +51,41 @@ def _suffix(path: str) -> str:
     return Path(path).suffix.lower()
 
 
-def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with types from the first rows, whole numbers held as doubles while reading and restored where all are whole.
+def read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...] = (), with_file: bool = False) -> DataFrame:
+    """CSV files of one header, with types that all their cells fit: whole numbers, doubles, else text.
 
-    Only an empty cell is null; a cell that doesn't fit its type becomes null.
-    Bytes that are no UTF-8 make the file be read as windows-1252 (which needs
-    the session's legacy Java charsets).
+    Only an empty cell is null. Bytes that are no UTF-8 make the files be read
+    as windows-1252 (which needs the session's legacy Java charsets); a line
+    with an open quote makes records be looked for across lines, which costs
+    the splitting of files. The files are read once for that, once for the
+    types, and once for the rows.
     """
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    how = {"header": not columns, "encoding": "windows-1252" if bad else "UTF-8", "nullValue": "", "mode": "PERMISSIVE"}
-    first = spark.read.csv(path, inferSchema=False, **how).limit(SAMPLE_ROWS)
-    names = list(columns) or first.columns
-    first = first.toDF(*names)
-    tests = [F.bool_and(q(c).isNull() | q(c).try_cast("double").isNotNull() | F.lower(q(c)).isin("nan", "inf", "infinity", "-inf", "-infinity")) for c in names]
-    known = [F.count(q(c)) for c in names]
-    row = first.agg(*[t.alias(f"t{i}") for i, t in enumerate(tests)], *[k.alias(f"k{i}") for i, k in enumerate(known)]).first()
-    number = [bool(row[i]) and row[len(names) + i] > 0 for i in range(len(names))]
-    schema = StructType([StructField(c, DoubleType() if is_number else StringType()) for c, is_number in zip(names, number, strict=True)])
-    df = spark.read.csv(path, schema=schema, positiveInf="Infinity", negativeInf="-Infinity", **how)
-    doubles = [c for c, is_number in zip(names, number, strict=True) if is_number]
-    whole = {r.column for r in validity.restorable(df, doubles).where("restorable").collect()} if doubles else set()
-    return df.select(*[q(c).cast("bigint").alias(c) if c in whole else q(c) for c in names])
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    text = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(odd).alias("open")).first()
+    how = {"header": not columns, "encoding": "windows-1252" if text.bad else "UTF-8", "nullValue": "", "mode": "PERMISSIVE"}
+    raw = spark.read.csv(path, inferSchema=False, multiLine=bool(text.open), **({"escape": '"'} if text.open else {}), **how)
+    names = list(columns) or raw.columns
+    file = [F.col("_metadata.file_name").alias("__source_file")] if with_file else []
+    raw = raw.select(*[q(old).alias(new) for old, new in zip(raw.columns, names, strict=True)], *file)
+    tests = []
+    for i, c in enumerate(names):
+        v = q(c).try_cast("double")
+        whole = (v == F.floor(v)) & (F.abs(v) < 2.0**53)  # beyond, doubles skip numbers
+        tests += [F.bool_and(q(c).isNull() | v.isNotNull()).alias(f"t{i}"), F.count(q(c)).alias(f"k{i}"), F.bool_and(q(c).isNull() | F.coalesce(whole, F.lit(False))).alias(f"w{i}")]
+    row = raw.agg(*tests).first()
+    typed = []
+    for i, c in enumerate(names):
+        number = row[f"t{i}"] and row[f"k{i}"]
+        v = q(c).try_cast("double")
+        typed.append((v.cast("bigint") if row[f"w{i}"] else v).alias(c) if number else q(c))
+    return raw.select(*typed, *[q("__source_file") for _ in file])
+
+
+def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """The first line of each file, by its path: one row for each file."""
+    at = spark.read.text(files).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = at.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "n").alias("line")).collect()
+    return {r.file_path: r.line for r in rows}
 
 
 def read_file(spark: SparkSession, path: str, event_type: str | None = "flow", columns: tuple[str, ...] = ()) -> DataFrame:
@@ -111,20 +123,53 @@ def widened(frames: list[DataFrame]) -> list[DataFrame]:
     return out
 
 
+def _storage(spark: SparkSession, path: str):
+    """(file system, path) of any storage that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """All files of known suffixes below a folder, in order, on any storage; hidden ones left out."""
+    system, at = _storage(spark, path)
+    known = CSV_SUFFIXES + PARQUET_SUFFIXES + LOG_SUFFIXES + JSON_SUFFIXES
+    found, walk = [], system.listFiles(at, True)
+    while walk.hasNext():
+        file = walk.next().getPath()
+        if file.getName()[0] not in "._" and _suffix(file.getName()) in known:
+            found.append(file.toString())
+    return sorted(found)
+
+
 def read_dataset(spark: SparkSession, path: str, event_type: str | None = "flow", columns: tuple[str, ...] = ()) -> DataFrame:
-    """A file, a glob or URL that Spark reads, or a local folder: all readable files in order, united by name, with __source_file."""
-    local = Path(path)
-    if "://" not in path and not any(c in path for c in "*?[") and not local.exists():
-        raise FileNotFoundError(path)
-    if not local.is_dir() or _suffix(path) in PARQUET_SUFFIXES:
+    """A file, a glob that Spark reads, or a folder on any storage: all readable files, united by name, with __source_file.
+
+    Of a folder, CSV files of one header are one read, and so are Parquet
+    files; logs and JSON files, whose fields their content tells, are read one
+    by one.
+    """
+    if not any(c in path for c in "*?["):
+        system, at = _storage(spark, path)
+        if not system.exists(at):
+            raise FileNotFoundError(path)
+    if any(c in path for c in "*?[") or not system.getFileStatus(at).isDirectory() or _suffix(path) in PARQUET_SUFFIXES:
         return read_file(spark, path, event_type, columns)
-    known = CSV_SUFFIXES + PARQUET_SUFFIXES + LOG_SUFFIXES + JSON_SUFFIXES
-    files = sorted(str(p) for p in local.rglob("*") if p.is_file() and p.suffix.lower() in known)
+    files = files_below(spark, path)
     if not files:
+        known = CSV_SUFFIXES + PARQUET_SUFFIXES + LOG_SUFFIXES + JSON_SUFFIXES
         raise ValueError(f"{path}: no readable file; known are {', '.join(known)}")
-    frames = widened([read_file(spark, f, event_type, columns) for f in files])
-    named = [df.withColumn("__source_file", F.lit(Path(f).name)) for df, f in zip(frames, files, strict=True)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    by_suffix = lambda wanted: [f for f in files if _suffix(f) in wanted]
+    frames = []
+    if tables := by_suffix(CSV_SUFFIXES):
+        groups: dict[str, list[str]] = {}
+        for file, line in sorted(first_lines(spark, tables).items()):
+            groups.setdefault("" if columns else line, []).append(file)
+        frames += [read_csv(spark, group, columns, with_file=True) for group in groups.values()]
+    if tables := by_suffix(PARQUET_SUFFIXES):
+        frames.append(spark.read.option("mergeSchema", "true").parquet(*tables).select("*", F.col("_metadata.file_name").alias("__source_file")))
+    for file in by_suffix(LOG_SUFFIXES + JSON_SUFFIXES):
+        frames.append(read_file(spark, file, event_type, columns).withColumn("__source_file", F.lit(file.rsplit("/", 1)[-1])))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), widened(frames))
 
 
 def fingerprint(path: str) -> str:

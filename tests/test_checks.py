@@ -217,3 +217,28 @@ def test_noise_is_found_and_quarantined(spark):
     moved = {r.rid for r in out.quarantine.collect()}
     assert len(moved & wrong) >= 0.8 * len(wrong) and len(moved - wrong) <= len(wrong)
     assert out.dataset.df.count() + len(moved) == 600
+
+
+def test_group_split_tells_hosts_that_are_on_both_sides(spark):
+    rows = [(f"h{i % 2}", f"d{i}", i, 80, "tcp", "a") for i in range(40)]
+    d = Dataset(spark.createDataFrame(rows, "src string, dst string, sport long, dport long, proto string, label string"),
+                Roles(label="label", src_ip="src", dst_ip="dst", src_port="sport", dst_port="dport", protocol="proto"))
+    assert fixes.apply_fix(d, "group_split").after == {"hosts_on_both_sides": {"dst": 0, "src": 2}}
+
+
+def test_quarantine_in_a_comparison_spares_the_test_rows(spark):
+    from plumbline.operators import compare
+
+    rows = [(i, float(i % 100), float((i * 7) % 50), "low" if (i % 100 < 50) != (i % 40 == 3) else "high", "train" if i % 3 else "test") for i in range(900)]
+    d = Dataset(spark.createDataFrame(rows, "rid long, a double, b double, label string, split string"), Roles(label="label", split="split"), config={"row_id": "rid"})
+    out = {r.stage: r for r in compare.compare(d, ["quarantine_noise"], "low", row_id="rid").collect()}
+    assert out["before"].n == out["after"].n == 300 and not out["after"].test_changed
+    assert set(out["after"].recall) == {"low", "high"}
+    assert all(r.test_changed for r in compare.compare(d.with_df(d.df.unionByName(d.df)), ["drop_duplicates"], "low", row_id="rid").collect())
+
+
+def test_loss_needs_three_rows_of_each_class(spark):
+    rows = [(i, float(i), float(i % 5), "a" if i > 1 else "b") for i in range(50)]
+    d = Dataset(spark.createDataFrame(rows, "rid long, a double, b double, label string"), Roles(label="label"), config={"row_id": "rid"})
+    report = audit.run_audit(d, ["poison.loss"], "poison")
+    assert not report.findings and not report.errors and "3 rows" in report.skipped["poison.loss"]

@@ -89,3 +89,20 @@ def test_drift_monitor_on_a_stream(spark, tmp_path):
     run.stop()
     got = {r.window.start.hour: r.psi for r in spark.table("drift").collect()}
     assert len(got) == 10 and max(got[h] for h in range(5)) < 0.2 < min(got[h] for h in range(5, 10))
+
+
+def test_csv_types_are_those_of_all_rows_and_cells_may_hold_line_ends(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("x,y\n" + "".join(f"{i},{i}\n" for i in range(12_000)) + "oops,1.5\n", encoding="utf-8")
+    df = readers.read_csv(spark, str(tmp_path / "late.csv"))
+    assert dict(df.dtypes) == {"x": "string", "y": "double"} and df.where("x = 'oops' AND y = 1.5").count() == 1
+    (tmp_path / "lines.csv").write_text('a,b\n1,"two\nlines, and ""quotes"""\n3,four\n', encoding="utf-8")
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "lines.csv")).collect()] == [(1, 'two\nlines, and "quotes"'), (3, "four")]
+
+
+def test_folders_are_found_on_any_storage_and_read_by_header(spark, tmp_path):
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("sub/b.csv", "x,y\n3,4\n"), ("c.csv", "y,z\n5,q\n"), ("_hidden.csv", "no\n1\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    df = readers.read_dataset(spark, f"file://{tmp_path}")
+    got = sorted((r["__source_file"], r.x, r.y, r.z) for r in df.collect())
+    assert got == [("a.csv", 1, 2, None), ("b.csv", 3, 4, None), ("c.csv", None, 5, "q")]
