@@ -174,6 +174,15 @@ def gapless_rank(
     return joined.select(*df.columns, (F.col("__pl_rank") + F.col("__pl_start")).cast("long").alias(alias))
 
 
+#: Rows of ids or hashes that are sent to every task, at most (some 40 MB).
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` (in the shared folder, of ids and hashes), to be sent to every task if it has few rows; else it is shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 #: Rows that one task makes of one counted group, about.
 CHUNK = 4_096
 

@@ -235,19 +235,25 @@ def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     named = {id_col: "__pl_id", "source": "__pl_source", "size": "__pl_size"}
     mixed = shares(docs, id_col=id_col, **how).select(*[F.col(a).alias(b) for a, b in named.items()], "rows", "passes", "more")
     mixed = mixed.where("passes > 0 OR more > 0").withColumnsRenamed({"rows": "__pl_rows", "passes": "__pl_passes", "more": "__pl_more"})
-    text, source = how.get("text_col", "text"), how.get("source_col", "source")
-    met = docs.withColumn("__pl_words", word_count(F.col(text))).join(
-        mixed,
-        F.col(id_col).eqNullSafe(F.col("__pl_id"))
-        & F.col(source).eqNullSafe(F.col("__pl_source"))
-        & (F.col("__pl_words") == F.col("__pl_size")),
-    )
     # only rows that share id, source and length, and of which some are taken oftener than others, need numbers
-    alone = (F.col("__pl_more") == 0) | (F.col("__pl_more") == F.col("__pl_rows"))
-    even = met.where(alone).withColumn("__pl_times", F.col("__pl_passes") + F.when(F.col("__pl_more") > 0, 1).otherwise(0))
-    split = met.where(~alone).withColumn("__pl_hash", F.xxhash64(F.col(text).cast("string")))
-    bucket = F.pmod(F.shiftrightunsigned("__pl_hash", 20), F.lit(64)).cast("int")
-    split = gapless_rank(split, own, [F.col("__pl_hash")], bucket, "__pl_nth").drop("__pl_hash")
-    split = split.withColumn("__pl_times", F.col("__pl_passes") + F.when(F.col("__pl_nth") < F.col("__pl_more"), 1).otherwise(0))
-    met = even.unionByName(split.drop("__pl_nth")).withColumn("__pl_times", F.col("__pl_times").cast("int")).where("__pl_times > 0")
-    return met.withColumn("__pl_time", F.explode(F.sequence(F.lit(1), F.col("__pl_times")))).select(*docs.columns)
+    mixed = cut(mixed.withColumn("__pl_alike", (F.col("__pl_more") == 0) | (F.col("__pl_more") == F.col("__pl_rows"))))
+    text, source = how.get("text_col", "text"), how.get("source_col", "source")
+    worded = docs.withColumn("__pl_words", word_count(F.col(text)))
+
+    def met(part: DataFrame) -> DataFrame:
+        return worded.join(
+            part,
+            F.col(id_col).eqNullSafe(F.col("__pl_id"))
+            & F.col(source).eqNullSafe(F.col("__pl_source"))
+            & (F.col("__pl_words") == F.col("__pl_size")),
+        )
+
+    out = met(mixed.where("__pl_alike")).withColumn("__pl_times", F.col("__pl_passes") + F.when(F.col("__pl_more") > 0, 1).otherwise(0))
+    if not mixed.where("NOT __pl_alike").isEmpty():
+        split = met(mixed.where("NOT __pl_alike")).withColumn("__pl_hash", F.xxhash64(F.col(text).cast("string")))
+        bucket = F.pmod(F.shiftrightunsigned("__pl_hash", 20), F.lit(64)).cast("int")
+        split = gapless_rank(split, own, [F.col("__pl_hash")], bucket, "__pl_nth").drop("__pl_hash")
+        times = F.col("__pl_passes") + F.when(F.col("__pl_nth") < F.col("__pl_more"), 1).otherwise(0)
+        out = out.unionByName(split.withColumn("__pl_times", times).drop("__pl_nth"))
+    out = out.withColumn("__pl_times", F.col("__pl_times").cast("int")).where("__pl_times > 0")
+    return out.withColumn("__pl_time", F.explode(F.sequence(F.lit(1), F.col("__pl_times")))).select(*docs.columns)

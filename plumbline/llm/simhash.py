@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_sorted_groups, map_texts, utf8
+from plumbline.llm.common import map_sorted_groups, map_texts, small, utf8
 from plumbline.operators.graph import Forest, connected_components
 from plumbline.session import cut
 
@@ -362,7 +362,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
     trees = F.greatest(F.ceil(F.col("n") / TREE_ROWS), F.ceil(F.col("hashes") / TREE_HASHES)).cast("int")
     met = cut(dealt.join(sizes.select("shard", trees.alias("trees")), "shard").select("shard", "trees", "node", "text_hash"))
     texts = docs.select(text_hash(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(met.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    wanted = small(cut(met.select("text_hash").distinct()))
+    texts = texts.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
 
     def make():
         return lambda found: [(shingle_set(t, words).tobytes(),) for t in found]
@@ -427,11 +428,16 @@ def keep_one(
     name tells them apart.
     """
     found = similar_rows(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col)
-    kept = found.select(F.col("name.id").alias("__pl_id"), F.col("name.hash").alias("__pl_hash")).distinct()
+    named = found.select(F.col(id_col).alias("__pl_id"), F.col("text_hash").alias("__pl_hash"), (F.col("name.id") == F.col(id_col)) & (F.col("name.hash") == F.col("text_hash")))
+    kept = named.toDF("__pl_id", "__pl_hash", "own").where("own").groupBy("__pl_id", "__pl_hash").agg((F.count(F.lit(1)) > 1).alias("__pl_again"))
+    kept = cut(kept)
     on = (F.col(id_col) == F.col("__pl_id")) & (text_hash(text_col) == F.col("__pl_hash"))
-    met = docs.join(kept, on)
-    # of rows that repeat id and text one stays, by minima before anything is sent: a group of any size is no one task's
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    one = met.groupBy("__pl_id", "__pl_hash").agg(F.min_by(own, order).alias("__pl_row"))
-    return one.select("__pl_row.*").unionByName(docs.where(F.col(id_col).isNull()))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.where(F.col(id_col).isNull()).unionByName(docs.join(small(kept.where("NOT __pl_again")), on).select(*columns))
+    again = kept.where("__pl_again")
+    if not again.isEmpty():
+        # of rows that repeat id and text one stays, by minima before anything is sent: a group of any size is no one task's
+        order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+        met = docs.join(small(again), on).groupBy("__pl_id", "__pl_hash").agg(F.min_by(F.struct(*columns), order).alias("__pl_row"))
+        out = out.unionByName(met.select("__pl_row.*"))
+    return out
