@@ -67,10 +67,10 @@ def normalize(df: DataFrame, label: str) -> DataFrame:
 def imbalance(df: DataFrame, label: str, least: int = 100) -> DataFrame:
     """(label, n_rows, threshold, ratio) of classes below min(least, a tenth of all rows); ratio: largest to smallest class."""
     counted = df.where(q(label).isNotNull()).groupBy(q(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
-    every = Window.partitionBy()  # one row for each class
-    total = F.sum("n_rows").over(every)
-    out = counted.withColumn("threshold", F.least(F.lit(least), F.floor(total * 0.1)).cast("long"))
-    out = out.withColumn("ratio", F.max("n_rows").over(every) / F.min("n_rows").over(every))
-    out = out.withColumn("classes", F.count(F.lit(1)).over(every))
+    every = counted.agg(  # one row
+        F.least(F.lit(least), F.floor(F.sum("n_rows") * 0.1)).cast("long").alias("threshold"),
+        (F.max("n_rows") / F.min("n_rows")).alias("ratio"), F.count(F.lit(1)).alias("classes"),
+    )
+    out = counted.join(F.broadcast(every))
     small = (F.col("n_rows") < F.col("threshold")) & (F.col("threshold") >= 2) & (F.col("classes") > 1)
     return out.where(small).select("label", "n_rows", "threshold", "ratio")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from plumbline.model import CheckSkipped, q
+from plumbline.operators import ranks
 
 # Names of splits, compared trimmed and in lower case.
 TEST_NAMES = ("test", "testing", "prueba", "eval", "evaluation", "holdout")
@@ -64,15 +65,16 @@ def orders_differ(df: DataFrame, column: str, one: str, two: str) -> bool:
         read_time(value, one).alias("a"), read_time(value, two).alias("b")
     ).distinct()
     by_a = pairs.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
-    # times up to a day, then within a day: no window holds more than one day's or all days' values
-    day = F.to_date("a")
-    within = Window.partitionBy("day").orderBy("a")
-    dealt = by_a.withColumn("day", day).withColumn("before", F.max("high").over(within.rowsBetween(Window.unboundedPreceding, -1)))
-    inside = dealt.where("before > low").limit(1).count()
-    days = dealt.groupBy("day").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    over = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    across = days.withColumn("before", F.max("high").over(over)).where("before > low").limit(1).count()
-    return bool(inside or across)
+    dealt = ranks.ranged(by_a, [F.col("a")])
+    within = Window.partitionBy("__range").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("before", F.max("high").over(within)).where("before > low")
+    spans = dealt.groupBy("__range").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    reached = None
+    for r in sorted(spans.collect()):  # a row for each range
+        if reached is not None and reached > r.low:
+            return True
+        reached = r.high if reached is None else max(reached, r.high)
+    return not inside.isEmpty()
 
 
 def time_column(df: DataFrame, column: str, time_format: str | None = None) -> Column:
