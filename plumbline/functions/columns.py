@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +13,15 @@ def finite(value: Column) -> Column:
 
 
 def edges_below(value: Column, cuts: list[float]) -> Column:
-    """How many of the edges lie strictly below a value."""
-    return reduce(lambda a, b: a + b, [(value > e).cast("int") for e in cuts]) if cuts else F.lit(0)
+    """How many of the ordered edges lie strictly below a value: a search by halves, over the value computed once."""
+
+    def search(x: Column, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(x > cuts[middle], search(x, middle + 1, high)).otherwise(search(x, low, middle))
+
+    return F.get(F.transform(F.array(value), lambda x: search(x, 0, len(cuts))), F.lit(0)) if cuts else F.lit(0)
 
 
 def normal_form(label: Column) -> Column:

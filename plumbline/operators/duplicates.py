@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from plumbline.model import q
 from plumbline.operators.graph import Forest, connected_components
+from plumbline.operators.groups import map_sorted_groups
 from plumbline.session import cut
 
 #: Rows in one block of comparisons: bounds a task's memory.
@@ -128,25 +129,28 @@ def _few_mismatches(nodes: DataFrame, names: list[str], k: int) -> DataFrame:
     met = met.join(sizes, ["b", "v"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "row", "b", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    met = met.select(
+        "b", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", F.concat_ws("\x1f", "row").alias("row")
+    )
 
     def links(group):
-        import pandas as pd
-
-        codes = np.stack([pd.factorize(c)[0] for c in zip(*group.row, strict=True)], axis=1)
-        ids, left = group.node.to_numpy(), (group.own == group.lo).to_numpy()
-        a, b = np.flatnonzero(left), np.flatnonzero(left if group.lo.iloc[0] == group.hi.iloc[0] else ~left)
-        forest = Forest(len(ids))
+        rows = np.array([r.split("\x1f") for r in group["row"]])
+        left = group["own"] == group["lo"]
+        a, b = np.flatnonzero(left), np.flatnonzero(left if group["lo"][0] == group["hi"][0] else ~left)
+        forest = Forest(len(left))
         step = max(1, 4_000_000 // max(1, len(b) * m))
         for at in range(0, len(a), step):
             part = a[at : at + step]
-            i, j = np.nonzero((codes[part][:, None, :] != codes[b][None, :, :]).sum(axis=2) <= k)
+            differ = sum((rows[part, c][:, None] != rows[b, c][None, :]).astype(np.int16) for c in range(m))
+            i, j = np.nonzero(differ <= k)
             forest.add(part[i], b[j])
-        found = [np.concatenate(x) for x in zip(*forest.links, strict=True)] or [np.zeros(0, np.int64)] * 2
-        return pd.DataFrame({"a": ids[found[0]], "b": ids[found[1]]})
+        if not forest.links:
+            return None
+        i, j = (np.concatenate(x) for x in zip(*forest.links, strict=True))
+        return {"a": group["node"][i], "b": group["node"][j]}
 
     kind = dict(nodes.dtypes)["node"]
-    return met.groupBy("b", "v", "lo", "hi").applyInPandas(links, f"a {kind}, b {kind}")
+    return map_sorted_groups(met, ["b", "v", "lo", "hi"], f"a {kind}, b {kind}", links)
 
 
 def drop_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
