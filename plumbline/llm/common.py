@@ -5,29 +5,18 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of an Arrow batch, whatever its rows' lengths; a row that is longer is a batch by itself.
-BATCH_BYTES = 4 << 20
+from plumbline.operators.groups import bound_batches, map_sorted_groups
+
+__all__ = ["bound_batches", "expanded", "gapless_rank", "map_sorted_groups", "map_texts", "small", "utf8"]
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def bound_batches(spark) -> None:
-    """Bound a Python worker's memory by the bytes of a batch.
-
-    One value for all operators, and only where the session has none, so that
-    lazy frames mean the same in any order of evaluation.
-    """
-    option = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(option, None) is None:
-        spark.conf.set(option, str(BATCH_BYTES))
-
-
 def utf8(text: str) -> bytes:
     """UTF-8 bytes; lone surrogates, which no UTF-8 holds, become replacement marks."""
     return text.encode("utf-8", "replace")
@@ -78,73 +67,6 @@ def map_texts(
     return narrow.mapInArrow(run, out)
 
 
-def map_sorted_groups(
-    df: DataFrame, keys: list[str], schema: str, of_group: Callable[[dict[str, np.ndarray]], dict | None]
-) -> DataFrame:
-    """Deal ``df`` out by ``keys`` and apply ``of_group`` to each group's columns.
-
-    Groups come as runs of a sorted stream, so thousands of tiny groups cost
-    one Python call each and no data frame. A group is held in memory: callers
-    bound its size.
-    """
-    bound_batches(df.sparkSession)
-    names = df.columns
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def as_batch(parts: list[dict]) -> pa.RecordBatch:
-        arrays = []
-        for field in arrow:
-            got = [p[field.name] for p in parts]
-            if pa.types.is_primitive(field.type):
-                arrays.append(pa.array(np.concatenate(got), type=field.type))
-            else:
-                arrays.append(pa.array([x for g in got for x in g], type=field.type))
-        return pa.RecordBatch.from_arrays(arrays, schema=arrow)
-
-    def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        values = batch.column(names.index(name))
-        if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) or pa.types.is_string(values.type):
-            return np.array(values.to_pylist(), dtype=object)
-        return values.to_numpy(zero_copy_only=False)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        last = None
-
-        def close() -> dict | None:
-            group = {n: np.concatenate([h[n] for h in held]) for n in names}
-            held.clear()
-            return of_group(group)
-
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            data = {name: column(batch, name) for name in names}
-            change = np.zeros(n, bool)
-            for k in keys:
-                change[1:] |= data[k][1:] != data[k][:-1]
-            starts = [0, *np.flatnonzero(change).tolist(), n]
-            out = []
-            first = tuple(data[k][0] for k in keys)
-            if held and first != last and (got := close()):
-                out.append(got)
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                held.append({name: data[name][a:b] for name in names})
-                if b < n and (got := close()):
-                    out.append(got)
-            last = tuple(data[k][n - 1] for k in keys)
-            if out:
-                yield as_batch(out)
-        if held and (got := close()):
-            yield as_batch([got])
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def gapless_rank(
     df: DataFrame, groups: list[str], order: list[Column], bucket: Column, alias: str, weight: str | None = None
 ) -> DataFrame:
