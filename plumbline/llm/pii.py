@@ -222,9 +222,8 @@ def _respell(text: Column, stream: Column, hexed: bool = False) -> Column:
     letters = F.lit("abcdef" if hexed else "abcdefghijklmnopqrstuvwxyz")
     size = 6 if hexed else 26
 
-    def one(k):
-        c = F.substr(text, k, F.lit(1))
-        n = _number(stream, k, 3)
+    def one(s, c, k):
+        n = _number(s, k + 1, 3)
         letter = F.substr(letters, n % size + 1, F.lit(1))
         return (
             F.when(c.rlike("^[0-9]$"), (n % 10).cast("string"))
@@ -233,7 +232,9 @@ def _respell(text: Column, stream: Column, hexed: bool = False) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
+    characters = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))  # once, so that long secrets cost no more than their length
+    spelt = lambda s: F.array_join(F.transform(characters, lambda c, k: one(s, c, k)), "")
+    return F.get(F.transform(F.array(stream), spelt), F.lit(0))  # the stream, a hash of the whole identity, is computed once
 
 
 def _pick(names: list[str], n: Column) -> Column:

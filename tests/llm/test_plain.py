@@ -143,3 +143,45 @@ def test_kept_near_duplicates_equal_brute_force(spark):
                     label[a] = label[b] = min(label[a], label[b])
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(label)
+
+
+def test_rows_that_repeat_beyond_a_chunk_are_dealt_out(spark, monkeypatch):
+    from plumbline.llm import common, mixing, sharding
+
+    monkeypatch.setattr(common, "CHUNK", 64)
+    rows = [(None, "same text of five words")] * 700 + [(5, "same text of five words")] * 300 + [(i, f"text {i}") for i in range(50)]
+    docs = spark.createDataFrame([(i, t, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, __pl_x long")
+    got = sharding.shard_documents(docs, 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 1050 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mixed = mixing.mix(docs).collect()
+    words = sum(len(t.split()) for _, t in rows)
+    assert len(mixed) == 1050 and abs(sum(r.taken for r in mixed) - 1.5 * words) <= 1
+    assert mixing.take(docs).count() == sum(r.copies for r in mixed)
+
+
+def test_texts_of_megabytes_are_read_whole(spark):
+    import public_tokenizers
+
+    from plumbline.llm import bpe, mixing, quality_rules, sharding, token_counts
+
+    words = [f"w{i * 7919 % 99991}" for i in range(150_000)]
+    long = " ".join(words)
+    secret = "aB3" * 40_000
+    rows = [(1, long), (2, long + " end"), (3, f"token={secret} and j.smith@corp.com " + "x" * 500_000), (4, "-----BEGIN PRIVATE KEY-----\n" + "QUJD\n" * 20_000 + "-----END PRIVATE KEY-----")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("__x", F.lit(1))
+    assert {r.doc_id: r.n_words for r in quality_rules.quality_rules(docs).collect()} == {k: len(t.split()) for k, t in rows}
+    assert {r.doc_id: r.size for r in sharding.shard_documents(docs, 4).collect()} == {k: len(t) + 16 for k, t in rows}
+    assert {r.doc_id: r["size"] for r in mixing.mix(docs).collect()} == {k: len(t.split()) for k, t in rows}
+    got = {r.doc_id: r.text for r in pii.surrogates(docs).collect()}
+    assert got[1] == long and len(got[3]) >= len(rows[2][1]) - 20 and "aB3aB3" not in got[3] and "smith" not in got[3]
+    assert got[4].count("\n") == 20_001 and got[4].count("QUJD") < 100
+    near = {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()}
+    assert near[2] == near[1] == 1
+    encoded = bpe.encode(docs.where("doc_id < 3"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in encoded} == dict(rows[:2])
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs.where("doc_id < 3"), public_tokenizers.path("piece_bpe_32k.model"), 10).collect()}
+    model = token_counts.PrefixCounter(token_counts.read_model(public_tokenizers.path("piece_bpe_32k.model"))).model
+    assert counts == {k: len(model.encode(t)) for k, t in rows[:2]}
