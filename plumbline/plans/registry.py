@@ -399,7 +399,9 @@ def poison_loss(spark, sf_dir):
     return rounded(poison.loss(scored), "loss")
 
 
-PROBS = """SELECT event_id AS row_id, CAST(event_id % 3 AS DOUBLE) AS y, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS given,
+#: Given probabilities favour the event's class; a tenth of the events carry the label of the next one.
+GIVEN = "(event_id + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) % 3"
+PROBS = f"""SELECT event_id AS row_id, CAST({GIVEN} AS DOUBLE) AS y, CASE {GIVEN} WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS given,
  CAST(1 + (event_id * 7919) % 997 + CASE WHEN (event_id % 3) = 0 THEN 900 ELSE 0 END AS DOUBLE) AS p0, CAST(1 + (event_id * 104729) % 991 + CASE WHEN (event_id % 3) = 1 THEN 900 ELSE 0 END AS DOUBLE) AS p1,
  CAST(1 + (event_id * 1299709) % 983 + CASE WHEN (event_id % 3) = 2 THEN 900 ELSE 0 END AS DOUBLE) AS p2 FROM events"""
 
