@@ -29,6 +29,7 @@ def map_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     memo: bool = False,
+    as_bytes: bool = False,
 ) -> DataFrame:
     """One narrow pass over whole texts: ``id_col`` as it is, and what ``make()(texts)`` says of each.
 
@@ -36,13 +37,15 @@ def map_texts(
     function from a list of texts (None for null) to a list of tuples in the
     order of ``schema``. ``memo``: it keeps tables of many small objects, among
     which Python's cycle collector would search in vain; it rests meanwhile.
-    Only the two named columns are read, so further columns of any name do no
-    harm.
+    With ``as_bytes``, texts come as UTF-8. Bytes that are no UTF-8 (Spark
+    keeps such strings) become replacement marks first. Only the two named
+    columns are read, so further columns of any name do no harm.
     """
     bound_batches(docs.sparkSession)
     spark_id = docs.schema[id_col].dataType.simpleString()
     out = f"`{id_col}` {spark_id}, {schema}"
-    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
+    text = F.make_valid_utf8(F.col(text_col).cast("string"))
+    narrow = docs.select(F.col(id_col), (text.cast("binary") if as_bytes else text).alias(text_col))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -52,3 +52,36 @@ def op10_sql(least: float = 0.95) -> str:
  c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
  n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+
+def op11_sql(least: int = 3, top: int = 200) -> str:
+    """Counts of every kept term in every group and language, in whole numbers of 128 bits."""
+    share = "1 + 1000000000::HUGEINT * (k + 1) // (n + v)"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+ w AS (SELECT i, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM d),
+ kept AS (SELECT lang, t FROM w GROUP BY lang, t HAVING count(DISTINCT i) >= {least}),
+ v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, t, count(*) AS k FROM w JOIN kept USING (lang, t) GROUP BY lang, source, t),
+ full_counts AS (SELECT g.lang, g.source, kept.t, coalesce(c.k, 0) AS k FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = kept.t),
+ p AS (SELECT lang, source, t, k, {share} AS p FROM full_counts JOIN (SELECT lang, source, sum(k) AS n FROM full_counts GROUP BY lang, source) USING (lang, source) JOIN v USING (lang)),
+ l AS (SELECT lang, t, {share} AS q FROM (SELECT lang, t, sum(k) AS k FROM c GROUP BY lang, t) JOIN (SELECT lang, sum(k) AS n FROM c GROUP BY lang) USING (lang) JOIN v USING (lang)),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ terms AS (SELECT p.lang, p.source, 'term' AS part, p.t AS item, (p - q) * (p - q) // q AS value FROM p JOIN l ON l.lang = p.lang AND l.t = p.t WHERE k > 0 AND p > q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM r WHERE part = 'pair' OR rank <= {top}"""
+
+
+def op12_sql(every: int = 100, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> str:
+    """All scores of all anchors, ranked."""
+    return f"""WITH e AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+  list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS (SELECT a.id AS anchor, a.label AS own, b.id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON len(a.v) = len(b.v) WHERE a.id % {every} = 0),
+ p AS (SELECT anchor, id, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS nth FROM s WHERE label = own AND id <> anchor),
+ n AS (SELECT p.anchor AS anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND s.label <> s.own AND {low} * p.score <= 100 * s.score AND 100 * s.score <= {high} * p.score WHERE p.nth <= {positives})
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}"""

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
     bpe,
+    divergence,
     embed_dedup,
+    hard_negatives,
     mixing,
     oracle,
     pii,
     quality_knn,
     quality_rules,
+    secret_scan,
     sharding,
     simhash,
     stages,
@@ -68,6 +71,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = secret_scan.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"), ranks, split_pattern())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -84,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii_surrogates,
         op9_quality_neighbours,
         op10_embedding_dedup,
+        op11_source_divergence,
+        op12_hard_negatives,
+        op13_secret_scan,
         pipeline,
     ]
     return {f.__name__: f for f in made}
@@ -91,4 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The rest is beyond SQL (models, EM, BPE, XXH64, knapsacks, keyed draws until none collide); tests hold it to brute force."""
-    return {"op2_sharding": oracle.op2_sql(), "op10_embedding_dedup": oracle.op10_sql()}
+    return {
+        "op2_sharding": oracle.op2_sql(),
+        "op10_embedding_dedup": oracle.op10_sql(),
+        "op11_source_divergence": oracle.op11_sql(),
+        "op12_hard_negatives": oracle.op12_sql(),
+    }
