@@ -161,7 +161,7 @@ def texts_of(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
     return docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source"), plain(text_col).cast("binary").alias("text"))
 
 
-def kept_terms(texts: DataFrame, least: int) -> DataFrame:
+def kept_terms(texts: DataFrame, least: int, most: int = HELD_TERMS) -> DataFrame:
     """(lang, term) of the terms that at least ``least`` documents of the language have, in the shared folder."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def kept_terms(texts: DataFrame, least: int) -> DataFrame:
                 before = len(counter)
                 counter.update(set(terms_of(text)))
                 held += len(counter) - before
-                if held > HELD_TERMS:
+                if held > most:
                     yield from out()
                     held = 0
         yield from out()
@@ -206,7 +206,7 @@ def build_shards(kept: DataFrame, n_shards: int) -> DataFrame:
     return cut(map_sorted_groups(dealt, ["shard"], schema, build))
 
 
-def recount(texts: DataFrame, shards: DataFrame, numbers: list[int], n_shards: int, fan: int) -> DataFrame:
+def recount(texts: DataFrame, shards: DataFrame, numbers: list[int], n_shards: int, fan: int, most: int = HELD_TERMS) -> DataFrame:
     """(lang, source, shard, salt, slots, counts): occurrences of the given shards' keys, partly added up."""
     context = texts.sparkSession.sparkContext
     rows = shards.where(F.col("shard").isin(numbers)).select("shard", "levels", "langs", "lang_of", "keys").collect()
@@ -250,7 +250,7 @@ def recount(texts: DataFrame, shards: DataFrame, numbers: list[int], n_shards: i
                 before = len(counter)
                 counter.update(terms_of(text))
                 held += len(counter) - before
-                if held > HELD_TERMS:
+                if held > most:
                     yield from out()
                     held = 0
         yield from out()
@@ -283,7 +283,7 @@ def fold(partial: DataFrame, salted: bool) -> DataFrame:
                         yield close()
                     dense, last = np.zeros(0, np.int64), key
                 at = np.frombuffer(slots, np.int32)
-                if at[-1:].size and at.max() >= len(dense):
+                if len(at) and at.max() >= len(dense):
                     dense = np.concatenate((dense, np.zeros(int(at.max()) + 1 - len(dense), np.int64)))
                 dense[at] += np.frombuffer(counts, np.int64)  # a row has a slot once
         if last is not None:
@@ -359,21 +359,28 @@ def audit(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    shard_keys: int = SHARD_KEYS,
+    source_block: int = SOURCE_BLOCK,
+    sent_bytes: int = BROADCAST_BYTES,
+    held_terms: int = HELD_TERMS,
 ) -> DataFrame:
-    """(lang, source, part, item, value, rank): divergence from each other source of the language, and the terms that make it."""
+    """(lang, source, part, item, value, rank): divergence from each other source of the language, and the terms that make it.
+
+    The last four parameters bound memory and change no result.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     texts = texts_of(docs, text_col, lang_col, source_col)
     groups = cut(texts.select("lang", "source").distinct())
-    kept = kept_terms(texts, least)
+    kept = kept_terms(texts, least, held_terms)
     vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     n_kept = kept.count()
-    n_shards = max(1, math.ceil(n_kept / SHARD_KEYS))
+    n_shards = max(1, math.ceil(n_kept / shard_keys))
     shards = build_shards(kept, n_shards)
     sizes = [tuple(r) for r in shards.select("shard", "bytes").orderBy("shard").collect()]  # a row for each SHARD_KEYS terms
     passes, room = [], 0
     for number, size in sizes:
-        if not passes or room + size > BROADCAST_BYTES:
+        if not passes or room + size > sent_bytes:
             passes.append([])
             room = 0
         passes[-1].append(number)
@@ -382,10 +389,10 @@ def audit(
     fan = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     counts = spark.createDataFrame([], "lang string, source string, shard int, salt int, slots binary, counts binary")
     for numbers in passes:
-        counts = counts.unionByName(fold(recount(texts, shards, numbers, n_shards, fan), True))
+        counts = counts.unionByName(fold(recount(texts, shards, numbers, n_shards, fan, held_terms), True))
     counts = cut(fold(counts, False))
     whole = cut(fold(counts.withColumn("source", F.lit("")), False)).drop("source", "salt")  # of each language
-    found = _shard_rows(groups, vocabulary, shards, counts, whole)
+    found = _shard_rows(groups, vocabulary, shards, counts, whole, source_block)
     return _ranked(groups, cut(map_sorted_groups(found, ["lang", "shard", "lo", "hi"], _RESULT, lambda g: shard_results(g, top))), top)
 
 
@@ -420,9 +427,9 @@ def _languages_of(shards: DataFrame) -> DataFrame:
     return shards.select("shard", "langs", "lang_of", "keys").mapInArrow(run, "lang string, shard int, here long, term_slots binary, terms binary")
 
 
-def _shard_rows(groups: DataFrame, vocabulary: DataFrame, shards: DataFrame, counts: DataFrame, whole: DataFrame) -> DataFrame:
+def _shard_rows(groups: DataFrame, vocabulary: DataFrame, shards: DataFrame, counts: DataFrame, whole: DataFrame, source_block: int) -> DataFrame:
     """Each group's row of each of its language's shards, once for each block that its block meets, and the language's own rows."""
-    blocks = F.ceil(F.count(F.lit(1)) / SOURCE_BLOCK).cast("int").alias("blocks")
+    blocks = F.ceil(F.count(F.lit(1)) / source_block).cast("int").alias("blocks")
     langs = groups.groupBy("lang").agg(blocks).join(vocabulary, "lang")  # those with kept terms
     keys = _languages_of(shards)
     every = lambda upto: F.explode(F.sequence(F.lit(0), F.col(upto) - 1))

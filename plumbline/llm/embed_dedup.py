@@ -38,7 +38,7 @@ from plumbline.operators.graph import connected_components
 from plumbline.session import cut
 
 PROJECTIONS, WIDTH, TABLES = 8, 1.0, 24
-#: Nodes in one block of exact products: bounds a task's memory to a few tens of MB.
+#: Nodes in one block of exact products: bounds a task's memory to some 60 MB, whatever is linked.
 BLOCK_ROWS = 2048
 SEED = 20
 
@@ -72,11 +72,8 @@ def _links(unit_a, unit_b, keys_a, keys_b, table: int, same: bool, least: float)
     linked = unit_a @ unit_b.T >= least
     if same:
         np.fill_diagonal(linked, False)
-    i, j = np.nonzero(linked)
-    if len(i) and table:
-        new = ~(keys_a[i] == keys_b[j]).any(axis=1)
-        old = ~new
-        linked[i[old], j[old]] = False
+    for k in range(table if linked.any() else 0):  # one table at a time: a block of booleans, however many pairs are linked
+        linked &= keys_a[:, k, None] != keys_b[None, :, k]
     return linked
 
 

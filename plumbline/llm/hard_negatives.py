@@ -195,6 +195,8 @@ def hard_negatives(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
+    row_block: int = ROW_BLOCK,
+    anchor_block: int = ANCHOR_BLOCK,
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score), rank from 1 among those returned."""
     spark = vectors.sparkSession
@@ -220,7 +222,7 @@ def hard_negatives(
     rows = cut(rows.withColumn("twin", twin))
     anchors = rows.where(F.col("id") % every == 0)
     n_rows, n_anchors = rows.count(), anchors.count()
-    row_blocks, anchor_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_anchors // ANCHOR_BLOCK))
+    row_blocks, anchor_blocks = max(1, -(-n_rows // row_block)), max(1, -(-n_anchors // anchor_block))
     block = lambda n: F.pmod(F.xxhash64(F.lit(17), "id", "twin"), F.lit(n)).cast("int")
     dealt_rows = _dealt(rows.withColumn("block", block(row_blocks)), "rb", "ab", anchor_blocks).withColumn("side", F.lit(1))
     of_anchors = lambda side: _dealt(side.withColumn("block", block(anchor_blocks)), "ab", "rb", row_blocks).withColumn("side", F.lit(0))

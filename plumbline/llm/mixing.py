@@ -229,7 +229,7 @@ def mix(docs: DataFrame, *args, id_col: str = "doc_id", **how) -> DataFrame:
 def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their own columns.
 
-    Rows that share id, source and length share out what the mix takes of them, in the order of a hash of their texts.
+    Rows that share id, source and length share out what the mix takes of them, in the order of a hash of their columns.
     """
     own = ["__pl_id", "__pl_source", "__pl_size"]
     named = {id_col: "__pl_id", "source": "__pl_source", "size": "__pl_size"}
@@ -250,10 +250,15 @@ def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
     out = met(mixed.where("__pl_alike")).withColumn("__pl_times", F.col("__pl_passes") + F.when(F.col("__pl_more") > 0, 1).otherwise(0))
     if not mixed.where("NOT __pl_alike").isEmpty():
-        split = met(mixed.where("NOT __pl_alike")).withColumn("__pl_hash", F.xxhash64(F.col(text).cast("string")))
-        bucket = F.pmod(F.shiftrightunsigned("__pl_hash", 20), F.lit(64)).cast("int")
-        split = gapless_rank(split, own, [F.col("__pl_hash")], bucket, "__pl_nth").drop("__pl_hash")
-        times = F.col("__pl_passes") + F.when(F.col("__pl_nth") < F.col("__pl_more"), 1).otherwise(0)
-        out = out.unionByName(split.withColumn("__pl_times", times).drop("__pl_nth"))
+        # rows that are equal in all columns are one row with a number: it is counted, not numbered, however often they repeat
+        split = met(mixed.where("NOT __pl_alike"))
+        split = cut(split.groupBy(*[F.col(f"`{c}`") for c in split.columns]).agg(F.count(F.lit(1)).alias("__pl_n")))
+        split = split.withColumn("__pl_hash", F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]))
+        bucket = F.pmod(F.shiftrightunsigned("__pl_hash", 20), F.lit(max(1, -(-split.count() // RANK_ROWS)))).cast("int")
+        split = gapless_rank(split, own, [F.col("__pl_hash"), F.col(f"`{text}`")], bucket, "__pl_nth", weight="__pl_n")
+        more = F.least(F.col("__pl_n"), F.greatest(F.lit(0).cast("long"), F.col("__pl_more") - F.col("__pl_nth")))
+        split = split.withColumn("__pl_total", F.col("__pl_passes") * F.col("__pl_n") + more).drop("__pl_nth", "__pl_hash", "__pl_n")
+        split = expanded(split, "__pl_total", "__pl_one").drop("__pl_total", "__pl_one")
+        out = out.unionByName(split.withColumn("__pl_times", F.lit(1)))
     out = out.withColumn("__pl_times", F.col("__pl_times").cast("int")).where("__pl_times > 0")
     return out.withColumn("__pl_time", F.explode(F.sequence(F.lit(1), F.col("__pl_times")))).select(*docs.columns)

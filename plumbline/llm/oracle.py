@@ -75,13 +75,14 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 
 
 def op12_sql(every: int = 100, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> str:
-    """All scores of all anchors, ranked."""
-    return f"""WITH e AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    """All scores of all anchors, ranked; rows that share an id are anchors of their own."""
+    return f"""WITH d AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
   list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
- s AS (SELECT a.id AS anchor, a.label AS own, b.id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON len(a.v) = len(b.v) WHERE a.id % {every} = 0),
- p AS (SELECT anchor, id, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS nth FROM s WHERE label = own AND id <> anchor),
+ e AS (SELECT *, row_number() OVER () AS r FROM d),
+ s AS (SELECT a.r, a.id AS anchor, a.label AS own, b.id, b.r AS other, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON len(a.v) = len(b.v) WHERE a.id % {every} = 0),
+ p AS (SELECT r, anchor, id, other, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS nth FROM s WHERE label = own AND id <> anchor),
  n AS (SELECT p.anchor AS anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
-  row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
-  FROM p JOIN s ON s.anchor = p.anchor AND s.label <> s.own AND {low} * p.score <= 100 * s.score AND 100 * s.score <= {high} * p.score WHERE p.nth <= {positives})
+  row_number() OVER (PARTITION BY p.r, p.other ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.r = p.r AND s.label <> s.own AND {low} * p.score <= 100 * s.score AND 100 * s.score <= {high} * p.score WHERE p.nth <= {positives})
 SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives}"""

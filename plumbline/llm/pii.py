@@ -2,10 +2,15 @@
 
 Detection. One pattern finds e-mail addresses (of any script), IPv4 and IPv6
 addresses, phone numbers (of North America's form, or international with a
-plus sign), card numbers, bank accounts (IBAN), social security numbers,
+plus sign), card numbers (whole, in fours, or in 4, 6 and 5), bank accounts (IBAN), social security numbers,
 access keys, web tokens, private key blocks, bearer tokens, values after words
 such as ``password=``, and names after a title. Texts without any character
-that an entity needs skip it. Names without a title are not looked for.
+that an entity needs skip it. Not looked for: names without a title or
+after one in capitals, further family names after a name's second word, phone
+numbers in national form, hardware addresses, and secrets that are announced
+in prose. After a title a second capitalised word is taken for the family name
+unless it is a word of the calendar; four numbers with dots are taken for an
+address, whatever they number.
 
 Surrogates. An entity's identity is its canonical form: e-mails and names
 without case, numbers by their digits, so that two spellings of one number are
@@ -83,7 +88,7 @@ IPV6 = (
     rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f]{{0,3}}[0-9]){_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}}))"
     r"(?![0-9A-Za-z:])"
 )
-CARD = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9A-Za-z])"
+CARD = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}(?:(?:[ \-][0-9]{4}){3}|[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"
 PHONE = (
@@ -91,7 +96,7 @@ PHONE = (
     r"|(?<![0-9A-Za-z+])\+(?=(?:[ .\-/()]{0,2}[0-9]){8,15}(?![ .\-/()]{0,2}[0-9]))[1-9][0-9]{0,2}(?:[ .\-/]?\(?[0-9]{1,12}\)?){1,6}(?![0-9A-Za-z])"
 )
 #: How published access keys begin.
-KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "AIza")
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "xoxb-", "xoxp-", "AIza")
 KEY = rf"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}|(?:{'|'.join(KEY_STARTS[2:])})[A-Za-z0-9_\-]{{20,}}+)(?![A-Za-z0-9])"
 JWT = r"(?<![A-Za-z0-9_\-.])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{4,}+(?:\.[A-Za-z0-9_\-]++)?"
 _ARMOUR = r"-----{}\x20(?:[A-Z]{{1,12}}\x20){{0,3}}PRIVATE\x20KEY-----"
@@ -110,7 +115,15 @@ SECRET = (
 WORD = r"(?:\p{Lu}[\p{L}\p{M}'’\-]{1,40}|\p{Lo}{2,12})"
 _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v.split()), key=len, reverse=True))
 _FIRST = "".join(sorted({t[0] for v in TITLES.values() for t in v.split()}))
-NAME = rf"(?<!\p{{L}})(?=[{_FIRST}])(?:{_TITLE})\.?\x20{WORD}(?:\x20{WORD})?"
+#: Words of the calendar, which are written with a capital and are no second part of a name.
+CALENDAR = (
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December "
+    "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar Februar März Mai Juni Juli Oktober Dezember "
+    "Lundi Mardi Mercredi Jeudi Vendredi Samedi Dimanche Janvier Février Mars Avril Juin Juillet Août Septembre Octobre Novembre Décembre "
+    "Lunes Martes Miércoles Jueves Viernes Sábado Domingo Enero Febrero Marzo Abril Mayo Junio Julio Agosto Septiembre Octubre Noviembre Diciembre"
+)
+_NO_NAME = "|".join(sorted(set(CALENDAR.split())))
+NAME = rf"(?<!\p{{L}})(?=[{_FIRST}])(?:{_TITLE})\.?\x20{WORD}(?:\x20(?!(?:{_NO_NAME})(?![\p{{L}}\p{{M}}'’\-])){WORD})?"
 #: In the order in which an entity's kind is told.
 KINDS = {
     "pem": PEM, "jwt": JWT, "email": EMAIL, "key": KEY, "iban": IBAN, "card": CARD, "ssn": SSN, "ip": IP, "ipv6": IPV6,
@@ -267,8 +280,9 @@ def draw(key: str, kind: Column, who: Column, attempt: Column) -> Column:
     s = _stream(key, kind, who, attempt)
     local, domain = F.element_at(F.split(who, "@"), 1), F.element_at(F.split(who, "@"), 2)
     host = _stream(key, F.lit("host"), domain, F.lit(0))
-    email = F.concat(_respell(local, s), F.lit("@"), _respell(F.substring(domain, 1, 8), host),
-                     F.lit("."), F.lit("example.org"))
+    label = F.regexp_replace(F.substring(F.substring_index(domain, ".", 1), 1, 8), "^-+|-+$", "")  # the domain's first label, or its start
+    label = F.when(label == "", "x").otherwise(label)
+    email = F.concat(_respell(local, s), F.lit("@"), _respell(label, host), F.lit(".example.org"))
     email = F.when(attempt > 0, F.concat(F.substr(s, F.lit(1), 3 + attempt), email)).otherwise(email)
     longer = F.greatest(F.lit(0), attempt - SAME_LENGTH)
     digits = F.translate(F.substr(s, F.lit(1), longer), "abcdef", "012345")

@@ -6,7 +6,7 @@ whatever its words; and marks for words and lines that are said again. Term
 weights are tf-idf with a damped tf, each term's share of the text counting,
 and the ``TERMS`` commonest stay; a singular value decomposition of the
 labelled texts' weights gives ``DIMENSIONS`` latent directions. The labelled
-vectors (at most ``SAMPLE`` rows: under 3 MB) are sent to every task; each
+vectors (at most ``SAMPLE`` rows: some 3 MB) are sent to every task; each
 text's exact cosines to all of them are one blocked matrix product, and its
 ``NEIGHBOURS`` nearest vote with their labels, weighted by similarity.
 
@@ -20,7 +20,8 @@ A null or empty text has no terms: its vector is zero, no neighbour is nearer
 than another, and its score is the share of good labels. Null labels and
 labels without a text aren't learnt from, of several labels of one id the
 larger counts; with no label every score is 0.5. Equal texts have equal
-scores. Other columns are never read. Empty tables give no rows.
+scores, wherever they stand: products are of doubles in blocks of one shape,
+so their sums have one order, and scores are rounded to ten places. Other columns are never read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from plumbline.session import cut
 
 #: Labelled texts learnt from, terms that stay, latent directions, voters.
 SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS = 6_000, 2_000, 64, 25
+#: Texts in one product; a shorter block is filled up with zero rows.
+BLOCK_TEXTS = 256
 #: Closeness counts by this power, so near voters outweigh far ones.
 SHARPNESS = 8
 #: Hash space of words.
@@ -110,7 +113,7 @@ class Model:
     prior: float
 
     def latent(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), self.project.shape[1]), np.float32)
+        out = np.zeros((len(texts), self.project.shape[1]))
         for k, t in enumerate(texts):
             terms, weights = term_counts(t)
             at = self.number[terms]
@@ -125,19 +128,22 @@ class Model:
         latent = self.latent(texts)
         out = np.full(len(texts), self.prior)
         k = min(NEIGHBOURS, n)
-        for a in range(0, len(texts), 256):
-            block = latent[a : a + 256]
-            near = block @ self.vectors.T
+        for a in range(0, len(texts), BLOCK_TEXTS):
+            block = np.zeros((BLOCK_TEXTS, latent.shape[1]))
+            rows = len(texts[a : a + BLOCK_TEXTS])
+            block[:rows] = latent[a : a + BLOCK_TEXTS]
+            near = (block @ self.vectors.T)[:rows]
+            block = block[:rows]
             last = np.partition(near, n - k, axis=1)[:, n - k : n - k + 1]  # the k-th nearest
             votes, ties = near > last, near == last
             votes |= ties & (np.cumsum(ties, axis=1) <= k - votes.sum(axis=1, keepdims=True))  # of ties, the first rows
             row, at = np.nonzero(votes)
-            closeness = np.maximum(near[row, at], 0.0).astype(np.float64) ** SHARPNESS
+            closeness = np.maximum(near[row, at], 0.0) ** SHARPNESS
             total = np.bincount(row, closeness, len(block))
             vote = np.bincount(row, closeness * self.labels[at], len(block))
             some = (total > 0) & (np.abs(block).sum(axis=1) > 0)
-            out[a : a + 256][some] = (vote / np.where(total > 0, total, 1))[some]
-        return np.clip(out, 0.0, 1.0)
+            out[a : a + BLOCK_TEXTS][some] = (vote / np.where(total > 0, total, 1))[some]
+        return np.round(np.clip(out, 0.0, 1.0), 10)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -188,19 +194,19 @@ def train(sample: DataFrame) -> Model:
 
     rows = sample.mapInArrow(only_kept, sample.schema).collect()
     if not rows:
-        return Model(number, np.zeros((1, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
+        return Model(number, np.zeros((1, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
     rows.sort(key=lambda r: (len(r.doc_id), r.doc_id))
     idf = np.log((1 + len(rows)) / (1 + np.array([texts_with[t] for t in kept.tolist()], float))) + 0.3
-    matrix = np.zeros((len(rows), max(1, len(kept))), np.float32)
+    matrix = np.zeros((len(rows), max(1, len(kept))))
     for k, r in enumerate(rows):
         at = number[np.array(r.terms, np.int64)]
         matrix[k, at] = np.array(r.weights, np.float32) * idf[at]
     matrix = unit(matrix)
-    values, vectors = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))  # terms by terms
+    values, vectors = np.linalg.eigh(matrix.T @ matrix)  # terms by terms
     directions = vectors[:, ::-1][:, :DIMENSIONS]
-    project = ((idf if len(kept) else np.ones(1))[:, None] * directions).astype(np.float32)
+    project = ((idf if len(kept) else np.ones(1))[:, None] * directions)
     labels = np.array([r.y for r in rows], np.float64)
-    return Model(number, project, unit((matrix @ directions).astype(np.float32)), labels, float(labels.mean()))
+    return Model(number, project, unit(matrix @ directions), labels, float(labels.mean()))
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:

@@ -45,7 +45,7 @@ VALUE_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: A random string has this many characters at least, and fewer characters to a token than this. By the
-#: vocabulary of 50k tokens, 99 of 100 strings of random letters and digits have fewer; of words, 1 of 100.
+#: vocabulary of 50k tokens, 98 of 100 strings of random letters and digits have fewer; of words, 1 of 100.
 RUN_CHARS, RATIO = 20, 1.9
 #: A longer run is encoded in pieces of this many characters, so that its cost grows with its length.
 PIECE_CHARS = 4096

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import bound_batches, map_texts
-from plumbline.session import cut, shared_folder
+from plumbline.session import cut, remove_folder, shared_folder
 
 #: Labelled texts learnt from, for each label.
 SAMPLE = 6_000
@@ -74,6 +74,16 @@ class Model:
     weights: np.ndarray
     intercept: float
 
+    def __getstate__(self) -> dict:
+        """What travels: the kept features alone, a few hundred kB."""
+        kept = np.flatnonzero(self.number >= 0)
+        return {"kept": kept, "own": self.number[kept], "r": self.ratio[kept], "weights": self.weights, "intercept": self.intercept}
+
+    def __setstate__(self, state: dict) -> None:
+        self.ratio, self.number = np.zeros(1 << BITS), np.full(1 << BITS, -1, np.int32)
+        self.ratio[state["kept"]], self.number[state["kept"]] = state["r"], state["own"]
+        self.weights, self.intercept = state["weights"], state["intercept"]
+
     def values(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(feature numbers, values) of one text: r times the count's share of words, saturating."""
         grams = gram_hashes(text)
@@ -163,6 +173,7 @@ def train(sample: DataFrame) -> Model:
     data = spark.read.format("libsvm").option("numFeatures", max(1, len(best))).load(folder)
     fitted = LogisticRegression(maxIter=60, regParam=2e-4, standardization=False).fit(data)
     model.weights, model.intercept = fitted.coefficients.toArray(), float(fitted.intercept)
+    remove_folder(spark, folder)
     return model
 
 
