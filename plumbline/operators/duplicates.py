@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -80,12 +81,10 @@ def near_classes(
     """(row_id, component_id, n_rows) for first rows of distinct (columns, label) that have a near duplicate.
 
     Rows of m tokens have a Jaccard of at least the threshold exactly if they
-    differ in at most k columns. Columns are cut into k + 2 blocks; two such
-    rows agree in two whole blocks at least, so rows meet by the values of each
-    two blocks: a value that is common in one column pairs nothing by itself.
-    Rows that share a key are cut into blocks of ``BLOCK_ROWS``, each pair of
-    blocks is a group of its own, and it returns links enough to connect what
-    it found connected, never all pairs. Equal rows are one node beforehand.
+    differ in at most k columns. Equal rows are one node beforehand; cells
+    travel as 64-bit codes (``_coded``), one for each value of a column, so long
+    cells cost no more than short ones. Columns of one value tell nothing and
+    take no part in keys.
     """
     m = len(columns)
     k = mismatches_allowed(m, threshold)
@@ -112,36 +111,99 @@ def near_classes(
     return member.join(sizes, "component").select("row_id", F.col("component").alias("component_id"), "n_rows")
 
 
+def _coded(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(node, row): each cell as a 64-bit hash by a seed under which no two values of a column share one.
+
+    That is looked up, not hoped for: one aggregate of (column, code) tells
+    whether any code has two values, and then another seed is taken.
+    """
+    for seed in range(64):
+        codes = [F.xxhash64(F.lit(seed), F.col(n)) for n in names]
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), c.alias("h"), F.col(n).alias("v")) for i, (n, c) in enumerate(zip(names, codes, strict=True))])
+        each = nodes.select(F.explode(cells).alias("c")).groupBy("c.i", "c.h")
+        if each.agg(F.min("c.v").alias("a"), F.max("c.v").alias("b")).where("a <> b").isEmpty():
+            return cut(nodes.select("node", F.array(*codes).alias("row")))
+    raise RuntimeError("no seed tells all values of the columns apart")
+
+
+#: Keys of a row, at most, for rows to be linked by what they have left without k columns.
+STAR_KEYS = 64
+
+
 def _few_mismatches(nodes: DataFrame, names: list[str], k: int) -> DataFrame:
-    """Pairs of nodes that differ in at most ``k`` tokens, by blocks that qualifying pairs share."""
-    m = len(names)
-    edges = [m * b // (k + 2) for b in range(k + 3)]
-    blocks = [names[edges[b] : edges[b + 1]] for b in range(k + 2)]
-    row = F.array(*names)
+    """(a, b): links that connect all nodes which differ in at most ``k`` tokens."""
+    coded = _coded(nodes, names)
+    kinds = coded.agg(*[F.approx_count_distinct(F.col("row")[i]).alias(f"d{i}") for i in range(len(names))],
+                      *[(F.min(F.col("row")[i]) != F.max(F.col("row")[i])).alias(f"v{i}") for i in range(len(names))]).first()
+    varying = sorted((i for i in range(len(names)) if kinds[f"v{i}"]), key=lambda i: (-kinds[f"d{i}"], i))
+    if len(varying) <= k:  # all nodes are linked to the least
+        least = coded.agg(F.min("node").alias("b"))
+        return coded.select(F.col("node").alias("a")).join(F.broadcast(least))  # one row
+    if comb(len(varying), k) <= STAR_KEYS:
+        return _stars(coded, varying, k)
+    return _block_links(coded, varying, k)
+
+
+def _stars(coded: DataFrame, varying: list[int], k: int) -> DataFrame:
+    """Nodes that agree in all but a choice of ``k`` columns are all within ``k`` of each other: each is linked to the least of them.
+
+    No pair is compared, so a key that any number of rows have costs no more
+    than its rows, by a map-side minimum and an equi-join that AQE can split.
+    """
+    row = F.col("row")
+    keys = []
+    for n, out in enumerate(combinations(varying, k)):
+        rest = [row[i] for i in varying if i not in out]
+        keys.append(F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(1), *rest).alias("h"), F.xxhash64(F.lit(2), *rest).alias("g")))
+    met = coded.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.n", "k.h", "k.g")
+    least = met.groupBy("n", "h", "g").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    pairs = met.join(least, ["n", "h", "g"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    # keys are 128 bits of hash: what they say is looked up in the codes themselves
+    one, two = coded.select(F.col("node").alias("a"), F.col("row").alias("x")), coded.select(F.col("node").alias("b"), F.col("row").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, d: s + d)
+    return pairs.join(one, "a").join(two, "b").where(differ <= k).select("a", "b")
+
+
+def _block_links(coded: DataFrame, varying: list[int], k: int) -> DataFrame:
+    """Links by blocks of columns that qualifying pairs share.
+
+    Columns are dealt to k + 2 blocks in turn by their numbers of values; two
+    rows that differ in k columns at most agree in two whole blocks at least,
+    so rows meet by the values of each two blocks: a value that is common in
+    one column pairs nothing by itself. Rows that share a key are cut into
+    blocks of ``BLOCK_ROWS``, each pair of blocks is a group of its own, and it
+    returns links enough to connect what it found connected, never all pairs.
+    """
+    blocks = [varying[b :: k + 2] for b in range(k + 2)]
+    row = F.col("row")
     keys = F.array(
         *[
-            F.struct(F.lit(b).alias("b"), F.concat_ws("\x1f", *one, *two).alias("v"))
+            F.struct(F.lit(b).alias("b"), F.xxhash64(F.lit(b), *[row[i] for i in sorted({*one, *two})]).alias("v"))
             for b, (one, two) in enumerate(combinations(blocks, 2))
         ]
     )
-    met = nodes.select("node", row.alias("row"), F.explode(keys).alias("key")).select("node", "row", "key.b", "key.v")
+    narrow = F.array(*[row[i] for i in varying])
+    met = coded.select("node", narrow.alias("row"), F.explode(keys).alias("key")).select("node", "row", "key.b", "key.v")
     sizes = met.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # what meets nobody isn't sent
     met = met.join(sizes, ["b", "v"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(
-        "b", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", F.concat_ws("\x1f", "row").alias("row")
+        "b", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "row"
     )
+    m = len(varying)
 
     def links(group):
-        rows = np.array([r.split("\x1f") for r in group["row"]])
+        rows = np.vstack(group["row"]).astype(np.int64)
         left = group["own"] == group["lo"]
         a, b = np.flatnonzero(left), np.flatnonzero(left if group["lo"][0] == group["hi"][0] else ~left)
         forest = Forest(len(left))
-        step = max(1, 4_000_000 // max(1, len(b) * m))
+        step = max(1, 4_000_000 // max(1, len(b)))
         for at in range(0, len(a), step):
             part = a[at : at + step]
-            differ = sum((rows[part, c][:, None] != rows[b, c][None, :]).astype(np.int16) for c in range(m))
+            differ = np.zeros((len(part), len(b)), np.int16)
+            for c in range(m):
+                differ += rows[part, c][:, None] != rows[b, c][None, :]
             i, j = np.nonzero(differ <= k)
             forest.add(part[i], b[j])
         if not forest.links:
@@ -149,7 +211,7 @@ def _few_mismatches(nodes: DataFrame, names: list[str], k: int) -> DataFrame:
         i, j = (np.concatenate(x) for x in zip(*forest.links, strict=True))
         return {"a": group["node"][i], "b": group["node"][j]}
 
-    kind = dict(nodes.dtypes)["node"]
+    kind = dict(coded.dtypes)["node"]
     return map_sorted_groups(met, ["b", "v", "lo", "hi"], f"a {kind}, b {kind}", links)
 
 
