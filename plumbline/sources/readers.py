@@ -54,19 +54,28 @@ def _suffix(path: str) -> str:
 def read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...] = (), with_file: bool = False) -> DataFrame:
     """CSV files of one header, with types that all their cells fit: whole numbers, doubles, else text.
 
-    Only an empty cell is null. Bytes that are no UTF-8 make the files be read
-    as windows-1252 (which needs the session's legacy Java charsets); a line
-    with an open quote makes records be looked for across lines, which costs
-    the splitting of files. The files are read once for that, once for the
-    types, and once for the rows.
+    Only an empty cell is null, and a doubled quote inside quotes is one quote,
+    whatever other lines hold. A file with bytes that are no UTF-8 is read as
+    windows-1252 (which needs the session's legacy Java charsets); in a file
+    with a line of an odd number of quotes records are looked for across
+    lines, which costs that file its splitting. The files are read once for
+    that, once for the types, and once for the rows.
     """
+    at = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    text = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(odd).alias("open")).first()
-    how = {"header": not columns, "encoding": "windows-1252" if text.bad else "UTF-8", "nullValue": "", "mode": "PERMISSIVE"}
-    raw = spark.read.csv(path, inferSchema=False, multiLine=bool(text.open), **({"escape": '"'} if text.open else {}), **how)
-    names = list(columns) or raw.columns
+    told = at.groupBy("file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(odd).alias("open")).collect()  # a row for each file
+    alike: dict[tuple[bool, bool], list[str]] = {}
+    for r in sorted(told, key=lambda r: r.file):
+        alike.setdefault((bool(r.bad), bool(r.open)), []).append(r.file)
     file = [F.col("_metadata.file_name").alias("__source_file")] if with_file else []
-    raw = raw.select(*[q(old).alias(new) for old, new in zip(raw.columns, names, strict=True)], *file)
+    parts, names = [], list(columns)
+    for (bad, lines), files in alike.items() or [((False, False), path)]:
+        how = {"header": not columns, "encoding": "windows-1252" if bad else "UTF-8", "nullValue": "", "mode": "PERMISSIVE"}
+        only = path if len(alike) < 2 else [re.sub(r"([\[\]{}*?\\])", r"\\\1", plain_path(spark, f)) for f in files]
+        part = spark.read.csv(only, inferSchema=False, multiLine=lines, escape='"', **how)
+        names = names or part.columns
+        parts.append(part.select(*[q(old).alias(new) for old, new in zip(part.columns, names, strict=True)], *file))
+    raw = reduce(DataFrame.unionByName, parts)
     tests = []
     for i, c in enumerate(names):
         v = q(c).try_cast("double")
@@ -81,11 +90,16 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...
     return raw.select(*typed, *[q("__source_file") for _ in file])
 
 
+def plain_path(spark: SparkSession, encoded: str) -> str:
+    """The path of a file's metadata, whose odd characters are encoded, as a reader takes it."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(encoded)).toString()
+
+
 def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
     """The first line of each file, by its path: one row for each file."""
     at = spark.read.text(files).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
     rows = at.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "n").alias("line")).collect()
-    return {r.file_path: r.line for r in rows}
+    return {plain_path(spark, r.file_path): r.line for r in rows}
 
 
 def read_file(spark: SparkSession, path: str, event_type: str | None = "flow", columns: tuple[str, ...] = ()) -> DataFrame:

@@ -106,3 +106,17 @@ def test_folders_are_found_on_any_storage_and_read_by_header(spark, tmp_path):
     df = readers.read_dataset(spark, f"file://{tmp_path}")
     got = sorted((r["__source_file"], r.x, r.y, r.z) for r in df.collect())
     assert got == [("a.csv", 1, 2, None), ("b.csv", 3, 4, None), ("c.csv", None, 5, "q")]
+
+
+def test_csv_cells_do_not_depend_on_other_lines(spark, tmp_path):
+    """A doubled quote is one quote, with or without a lone quote or odd bytes elsewhere; other files keep their splitting."""
+    row = '1,"say ""hi"" now"\n'
+    (tmp_path / "plain file.csv").write_text("a,b\n" + row)
+    (tmp_path / "lone.csv").write_text("a,b\n" + row + '2,5" pipe\n')
+    (tmp_path / "open.csv").write_text("a,b\n" + row + '3,"two\nlines"\n')
+    (tmp_path / "bytes.csv").write_bytes(("a,b\n" + row).encode() + b"4,\xe9t\xe9\n")
+    for name, more in (("plain file", []), ("lone", [(2, '5" pipe')]), ("open", [(3, "two\nlines")]), ("bytes", [(4, "été")])):
+        assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / f"{name}.csv")).collect()] == [(1, 'say "hi" now'), *more]
+    got = readers.read_dataset(spark, str(tmp_path))
+    assert sorted((r.a, r.b) for r in got.collect()) == [(1, 'say "hi" now')] * 4 + [(2, '5" pipe'), (3, "two\nlines"), (4, "été")]
+    assert {r["__source_file"] for r in got.select("__source_file").collect()} >= {"lone.csv", "open.csv"}
