@@ -12,9 +12,9 @@ Second pass: shards are sent to every task, ``BROADCAST_BYTES`` at most; if all
 don't fit, the pass is made again for the next ones, so nothing that is sent
 grows with the corpus. Texts are read whole; counts of one group's equal terms
 are added up in the task (a bounded number of them at a time), looked up, and
-sent as (slot, count) to a fold that increments the dense slots of one group
-and shard. The fold has two steps, the first for a share of the tasks, so that
-a group with any share of the rows is no one task's.
+sent as (shard, slot, count). They are added up first for each share of the
+tasks, so that a group with any share of the rows is no one task's, and then a
+fold increments the dense slots of one group and shard at a time.
 
 Probabilities are p = 1 + floor(10**9 * (count + 1) / (N + V)) and divergences
 f = floor((p - q)**2 / q), in whole numbers. Groups of one language and shard
@@ -34,6 +34,7 @@ further columns of any name do no harm. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -52,8 +53,8 @@ LEAST_DOCS = 3
 SHARD_KEYS, SOURCE_BLOCK = 16_384, 32
 #: Bytes of shards that are sent to every task at a time.
 BROADCAST_BYTES = 64 << 20
-#: Different terms that a task counts at a time (some 100 MB).
-HELD_TERMS = 500_000
+#: Different terms that a task counts at a time (some 50 MB).
+HELD_TERMS = 200_000
 #: What probabilities are multiples of one part of.
 UNIT = 1_000_000_000
 TOP_TERMS = 200
@@ -155,6 +156,17 @@ class Shard:
         return slots
 
 
+#: The shards of one broadcast, unpacked once in a worker.
+_UNPACKED: dict[str, dict[int, Shard]] = {}
+
+
+def unpacked(name: str, rows: Callable[[], list[tuple]]) -> dict[int, Shard]:
+    if name not in _UNPACKED:
+        _UNPACKED.clear()
+        _UNPACKED[name] = {r[0]: Shard(*r[1:]) for r in rows()}
+    return _UNPACKED[name]
+
+
 def texts_of(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """(lang, source, text as UTF-8), nulls as empty."""
     plain = lambda c: F.make_valid_utf8(F.coalesce(F.col(c).cast("string"), F.lit("")))
@@ -207,16 +219,19 @@ def build_shards(kept: DataFrame, n_shards: int) -> DataFrame:
 
 
 def recount(texts: DataFrame, shards: DataFrame, numbers: list[int], n_shards: int, fan: int, most: int = HELD_TERMS) -> DataFrame:
-    """(lang, source, shard, salt, slots, counts): occurrences of the given shards' keys, partly added up."""
+    """(lang, source, salt, codes, counts): occurrences of the given shards' keys, a row for each group that a task has at a time.
+
+    A code is a shard's number and a slot.
+    """
     context = texts.sparkSession.sparkContext
     rows = shards.where(F.col("shard").isin(numbers)).select("shard", "levels", "langs", "lang_of", "keys").collect()
-    sent = context.broadcast([tuple(r) for r in rows])  # BROADCAST_BYTES at most
+    sent, name = context.broadcast([tuple(r) for r in rows]), uuid.uuid4().hex  # BROADCAST_BYTES at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() % fan
-        known = {r[0]: Shard(*r[1:]) for r in sent.value}
+        known = unpacked(name, lambda: sent.value)
         seen: dict[tuple[str, str], Counter] = {}
         held = 0
 
@@ -229,20 +244,21 @@ def recount(texts: DataFrame, shards: DataFrame, numbers: list[int], n_shards: i
             hashes = np.fromiter((key_hash(seeds[k], t) for k, t in zip(group.tolist(), terms, strict=True)), np.uint64, len(terms))
             seen.clear()
             own = hashes.view(np.int64) % n_shards
-            order = np.argsort(own, kind="stable")  # within a shard by group
-            found = []
+            order = np.argsort(own, kind="stable")
+            codes = np.full(len(terms), -1, np.int64)  # shard and slot
             for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(terms) else ():
                 number = int(own[at[0]])
-                if number not in known:
-                    continue  # another pass's
-                slots = known[number].find([names[k][0] for k in group[at].tolist()], [terms[k] for k in at.tolist()], hashes[at])
-                at, slots = at[slots >= 0], slots[slots >= 0]
-                edges = [0, *(np.flatnonzero(np.diff(group[at])) + 1).tolist(), len(at)]
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    if a < b:
-                        found.append((*names[group[at[a]]], number, salt, slots[a:b].astype(np.int32).tobytes(), counts[at[a:b]].tobytes()))
+                if number in known:  # else another pass's
+                    slots = known[number].find([names[k][0] for k in group[at].tolist()], [terms[k] for k in at.tolist()], hashes[at])
+                    codes[at] = np.where(slots >= 0, (number << 32) | slots, -1)
+            found = []
+            edges = np.searchsorted(group, np.arange(len(names) + 1))
+            for (lang, source), a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                kept = codes[a:b] >= 0
+                if kept.any():
+                    found.append((lang, source, salt, codes[a:b][kept].tobytes(), counts[a:b][kept].tobytes()))
             if found:
-                yield _rows(found)
+                yield _rows(found, _PARTIAL)
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -255,29 +271,73 @@ def recount(texts: DataFrame, shards: DataFrame, numbers: list[int], n_shards: i
                     held = 0
         yield from out()
 
-    return texts.mapInArrow(run, "lang string, source string, shard int, salt int, slots binary, counts binary")
+    return texts.mapInArrow(run, "lang string, source string, salt int, codes binary, counts binary")
+
 
+_PARTIAL = {"lang": pa.string(), "source": pa.string(), "salt": pa.int32(), "codes": pa.binary(), "counts": pa.binary()}
+_FOLDED = {"lang": pa.string(), "source": pa.string(), "shard": pa.int32(), "slots": pa.binary(), "counts": pa.binary()}
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    kinds = {"lang": pa.string(), "source": pa.string(), "shard": pa.int32(), "salt": pa.int32(), "slots": pa.binary(), "counts": pa.binary()}
+
+def _rows(found: list[tuple], kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
-def fold(partial: DataFrame, salted: bool) -> DataFrame:
-    """Adds up slots of each (lang, source, shard), or first of each share of the tasks, in one dense array at a time."""
-    keys = ["lang", "source", "shard", "salt"] if salted else ["lang", "source", "shard"]
-    narrow = partial if salted else partial.withColumn("salt", F.lit(0))
+def by_shard(partial: DataFrame, most: int = HELD_TERMS) -> DataFrame:
+    """(lang, source, shard, slots, counts) from what a share of the tasks found of a group: added up, a bounded number of codes at a time."""
+    keys = ["lang", "source", "salt"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, last = [], [], None
+
+        def added():
+            every, place = np.unique(np.concatenate(codes), return_inverse=True)
+            sums = np.zeros(len(every), np.int64)
+            np.add.at(sums, place, np.concatenate(counts))
+            return every, sums
+
+        def out():
+            every, sums = added()
+            shards = every >> 32
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(every)]
+            slots = (every & 0xFFFFFFFF).astype(np.int32)
+            return _rows([(*last[:2], int(shards[a]), slots[a:b].tobytes(), sums[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)], _FOLDED)
+
+        held = 0
+        for batch in batches:
+            for *key, one, two in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if key != last and codes:
+                    yield out()
+                    codes, counts, held = [], [], 0
+                last = key
+                codes.append(np.frombuffer(one, np.int64))
+                counts.append(np.frombuffer(two, np.int64))
+                held += len(codes[-1])
+                if held > 4 * most:
+                    every, sums = added()
+                    codes, counts, held = [every], [sums], len(every)
+                    if held > 2 * most:  # a vocabulary beyond the bound is handed on in parts
+                        yield out()
+                        codes, counts, held = [], [], 0
+        if codes:
+            yield out()
+
+    schema = "lang string, source string, shard int, slots binary, counts binary"
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def fold(partial: DataFrame) -> DataFrame:
+    """Increments the dense slots of one (lang, source, shard) at a time."""
+    keys = ["lang", "source", "shard"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, last = np.zeros(0, np.int64), None
 
         def close():
             slots = np.flatnonzero(dense)
-            return _rows([(*last, slots.astype(np.int32).tobytes(), dense[slots].tobytes())])
+            return _rows([(*last, slots.astype(np.int32).tobytes(), dense[slots].tobytes())], _FOLDED)
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for *key, slots, counts in zip(*columns, strict=True):
+            for *key, slots, counts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if key != last:
                     if last is not None:
                         yield close()
@@ -289,8 +349,8 @@ def fold(partial: DataFrame, salted: bool) -> DataFrame:
         if last is not None:
             yield close()
 
-    schema = "lang string, source string, shard int, salt int, slots binary, counts binary"
-    return narrow.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    schema = "lang string, source string, shard int, slots binary, counts binary"
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def share(count: np.ndarray, total: int) -> np.ndarray:
@@ -387,11 +447,11 @@ def audit(
         room += size
 
     fan = max(1, math.isqrt(texts.rdd.getNumPartitions()))
-    counts = spark.createDataFrame([], "lang string, source string, shard int, salt int, slots binary, counts binary")
+    counts = spark.createDataFrame([], "lang string, source string, shard int, slots binary, counts binary")
     for numbers in passes:
-        counts = counts.unionByName(fold(recount(texts, shards, numbers, n_shards, fan, held_terms), True))
-    counts = cut(fold(counts, False))
-    whole = cut(fold(counts.withColumn("source", F.lit("")), False)).drop("source", "salt")  # of each language
+        counts = counts.unionByName(by_shard(recount(texts, shards, numbers, n_shards, fan, held_terms), held_terms))
+    counts = cut(fold(counts))
+    whole = cut(fold(counts.withColumn("source", F.lit("")))).drop("source")  # of each language
     found = _shard_rows(groups, vocabulary, shards, counts, whole, source_block)
     return _ranked(groups, cut(map_sorted_groups(found, ["lang", "shard", "lo", "hi"], _RESULT, lambda g: shard_results(g, top))), top)
 
@@ -437,7 +497,7 @@ def _shard_rows(groups: DataFrame, vocabulary: DataFrame, shards: DataFrame, cou
 
     members = groups.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64(F.lit(19), "source"), F.col("blocks")).cast("int"))
     members = members.join(_totals(counts, ["lang", "source"]), ["lang", "source"], "left").join(keys.select("lang", "shard", "here"), "lang")
-    members = members.join(counts.drop("salt"), ["lang", "source", "shard"], "left").withColumn("other", every("blocks"))
+    members = members.join(counts, ["lang", "source", "shard"], "left").withColumn("other", every("blocks"))
     members = members.select(
         "lang", "shard", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "source",
         F.coalesce("n", F.lit(0)).cast("long").alias("n"), "v", "here",
