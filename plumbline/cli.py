@@ -12,7 +12,7 @@ from plumbline.session import get_session
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="plumbline")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("audit", "poison", "drift", "fix"):
+    for name in ("audit", "poison", "drift", "domain", "fix"):
         p = sub.add_parser(name)
         p.add_argument("path")
         for role in ROLE_NAMES:

@@ -146,3 +146,41 @@ def hosts(df: DataFrame, column: str, split: str) -> DataFrame:
     return out.withColumn("test_rows_ratio", F.try_divide("n_affected", "n_test_rows")).withColumn(
         "shared_host_ratio", F.try_divide("n_shared", "n_test_hosts")
     )
+
+
+def runs(df: DataFrame, order: list[Column], value: Column) -> DataFrame:
+    """(n, n_values, n_runs, expected, z): runs of equal values along ``order`` (without ties), and how far chance is from that.
+
+    Wald and Wolfowitz's test for any number of values: z is near 0 where
+    values come in a random order, far below where they come in blocks. Rows
+    without a value are left out. Rows are dealt into ranges of the order, so
+    no task has them all.
+    """
+    known = df.withColumn("__value", value).where("__value IS NOT NULL")
+    told = ranks.with_previous(known, order, {"__last": F.col("__value")})
+    changes = told.agg(F.count_if(F.col("__last").isNull() | (F.col("__last") != F.col("__value"))).alias("n_runs"))
+    sizes = known.groupBy("__value").agg(F.count(F.lit(1)).alias("m"))
+    of = lambda power: F.coalesce(F.sum(F.pow(F.col("m").cast("double"), power)), F.lit(0.0))
+    sums = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("n_values"), of(2.0).alias("s2"), of(3.0).alias("s3"))
+    n = F.col("n").cast("double")
+    expected = F.try_divide(n * (n + 1) - F.col("s2"), n)
+    spread = F.try_divide(F.col("s2") * (F.col("s2") + n * (n + 1)) - 2 * n * F.col("s3") - F.pow(n, 3.0), n * n * (n - 1))
+    one = sums.join(changes)  # one row each
+    z = F.try_divide(F.col("n_runs") - expected, F.sqrt(F.when(spread > 0, spread)))
+    return one.select("n", "n_values", "n_runs", expected.alias("expected"), z.alias("z"))
+
+
+#: Deviations within which a split looks drawn by lot, and below which labels hang together in time.
+BY_LOT, TOGETHER = 3.0, -3.0
+
+
+def random_split(df: DataFrame, time: Column, split: str, label: str, row_id: str) -> DataFrame:
+    """(n, split_runs, split_z, label_runs, label_z, by_lot): whether a split was drawn by lot though labels hang together in time."""
+    told = df.withColumn("__t", time).where("__t IS NOT NULL")
+    side = F.when(is_train(q(split)), 0).when(is_test(q(split)), 1)
+    told = told.where(side.isNotNull())
+    order = [F.col("__t"), q(row_id)]
+    one = runs(told, order, side).select("n", F.col("n_values"), F.col("n_runs").alias("split_runs"), F.col("z").alias("split_z"))
+    two = runs(told, order, q(label).cast("string")).select(F.col("n_runs").alias("label_runs"), F.col("z").alias("label_z"))
+    by_lot = (F.abs("split_z") <= BY_LOT) & (F.col("label_z") <= TOGETHER) & (F.col("n_values") == 2)
+    return one.join(two).withColumn("by_lot", F.coalesce(by_lot, F.lit(False))).drop("n_values")  # one row each

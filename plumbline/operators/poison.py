@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.model import q
-from plumbline.operators.graph import connected_components
+from plumbline.model import CheckSkipped, q
 from plumbline.operators import ranks
+from plumbline.operators.graph import connected_components
+from plumbline.operators.groups import bound_batches
 from plumbline.operators.ml import clean, hash_sample
 from plumbline.session import cut
 
@@ -366,3 +368,100 @@ def evaluate(flagged: DataFrame, truth: DataFrame) -> DataFrame:
     p, r = F.coalesce(F.try_divide("n_hit", "n_flagged"), F.lit(0.0)), F.coalesce(F.try_divide("n_hit", "n_true"), F.lit(0.0))
     out = out.withColumn("precision", p).withColumn("recall", r)
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """(y, n, sums, products): each class's number of rows, sums of columns, and sums of their products, as doubles in bytes.
+
+    Tasks add up their own rows; a fold adds up a class's tasks, first each
+    share of them, and holds one class at a time.
+    """
+    schema = "y string, salt int, n long, sums binary, products binary"
+
+    def out(parts: dict, salt: int):
+        for y, (n, s, g) in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([y]), pa.array([salt], pa.int32()), pa.array([n]), pa.array([s.tobytes()]), pa.array([g.tobytes()])], ["y", "salt", "n", "sums", "products"])
+
+    def own(batches):
+        from pyspark import TaskContext
+
+        salt, parts = TaskContext.get().partitionId() % 32, {}
+        for batch in batches:
+            labels = np.array(batch.column(0).to_pylist(), object)
+            x = np.array(batch.column(1).to_pylist(), float).reshape(len(labels), -1)
+            for y in set(labels.tolist()):
+                mine = x[labels == y]
+                n, s, g = parts.get(y, (0, 0.0, 0.0))
+                parts[y] = (n + len(mine), s + mine.sum(axis=0), g + mine.T @ mine)
+            if len(parts) > 256:  # many classes are handed on as they come
+                yield from out(parts, salt)
+                parts = {}
+        yield from out(parts, salt)
+
+    def added(batches):
+        last, held = None, None
+        for batch in batches:
+            for y, salt, n, s, g in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                now = (n, np.frombuffer(s), np.frombuffer(g))
+                if (y, salt) != last:
+                    if last is not None:
+                        yield from out({last[0]: held}, last[1])
+                    last, held = (y, salt), now
+                else:
+                    held = tuple(a + b for a, b in zip(held, now, strict=True))
+        if last is not None:
+            yield from out({last[0]: held}, last[1])
+
+    bound_batches(rows.sparkSession)
+    partly = rows.select("y", "x").mapInArrow(own, schema)
+    partly = partly.repartition("y", "salt").sortWithinPartitions("y", "salt").mapInArrow(added, schema).withColumn("salt", F.lit(0))
+    return partly.repartition("y").sortWithinPartitions("y").mapInArrow(added, schema).drop("salt")
+
+
+def directions(rows: DataFrame, least_rows: int = 40) -> DataFrame:
+    """(y, n, mean, direction, strength): each class's centre and the direction in which its rows differ most.
+
+    The direction is the top right singular vector of the class's centred rows:
+    the top eigenvector of their products, which are the size of the columns
+    squared, however many rows there are. ``strength`` is its share of the
+    variance.
+    """
+
+    def top(batches):
+        for batch in batches:
+            for y, n, s, g in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                mean = np.frombuffer(s) / n
+                d = len(mean)
+                spread = np.frombuffer(g).reshape(d, d) - n * np.outer(mean, mean)
+                values, vectors = np.linalg.eigh((spread + spread.T) / 2)
+                total = float(np.trace(spread))
+                strength = float(values[-1] / total) if total > 0 else 0.0
+                cells = [[y], [n], [mean.tolist()], [vectors[:, -1].tolist()], [strength]]
+                kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], ["y", "n", "mean", "direction", "strength"])
+
+    enough = _moments(rows).where(F.col("n") >= least_rows)
+    return cut(enough.mapInArrow(top, "y string, n long, mean array<double>, direction array<double>, strength double"))
+
+
+def spectral(rows: DataFrame, share: float = 0.015, least_rows: int = 40) -> DataFrame:
+    """(row_id, y, score): of each class the share of rows that lie furthest along its top direction (Tran et al., 2018).
+
+    ``rows`` is (row_id, y, x) with x standardised. The score is the squared
+    projection of a centred row on the direction; ties go to the lesser id. At
+    least one row of a class is told, none of a class under ``least_rows``.
+    """
+    rows = cut(rows)
+    found = directions(rows, least_rows)
+    sizes = found.select("y", "n").limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise CheckSkipped(f"more than {MAX_CLASSES} classes")
+    met = rows.join(F.broadcast(found.withColumnRenamed("y", "__y")), F.col("y") == F.col("__y"))  # MAX_CLASSES rows at most
+    away = F.zip_with(F.zip_with("x", "mean", lambda a, b: a - b), "direction", lambda a, b: a * b)
+    scored = met.select("row_id", "y", F.pow(F.aggregate(away, F.lit(0.0), lambda s, v: s + v), 2.0).alias("score"))
+    wanted = {r.y: max(1, int(share * r.n)) for r in sizes}
+    return ranks.first_rows(scored, [F.desc("score"), F.col("row_id")], wanted, F.col("y"))
+
+
+#: Classes beyond which a label is no label.
+MAX_CLASSES = 1_000

@@ -113,3 +113,20 @@ def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float]) ->
             at[math.floor(x)] + (x - math.floor(x)) * (at[math.ceil(x)] - at[math.floor(x)]) for x in (spots(sizes[c]) if c in sizes else ())
         ]
     return out
+
+
+def with_previous(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """``df`` with, of the row before in ``order`` (without ties), each of ``values`` (null in the first row).
+
+    The first row of a range looks at the last row of the range before, of which the driver gets one each.
+    """
+    named = df.withColumn("__now", F.struct(*[v.alias(k) for k, v in values.items()]))
+    dealt = ranged(named, order)
+    ends = dealt.groupBy(_PART).agg(F.max_by("__now", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__end"))
+    before = ends.select(F.col(_PART).alias("__at"), F.lag("__end").over(Window.orderBy(_PART)).alias("__end"))  # a row for each range
+    # ranges without rows have none in that table, so the range before is the last one that has any
+    own = Window.partitionBy(_PART).orderBy(*order)
+    told = dealt.withColumn("__before", F.lag("__now").over(own)).withColumn("__nth", F.row_number().over(own))
+    told = told.join(F.broadcast(before), F.col(_PART) == F.col("__at"), "left")
+    last = F.when(F.col("__nth") == 1, F.col("__end")).otherwise(F.col("__before"))
+    return told.select(*[F.col(f"`{c}`") for c in df.columns], *[last[k].alias(k) for k in values])

@@ -11,6 +11,13 @@ from plumbline.model import q
 from plumbline.operators import ranks
 
 
+def checked(ratio: float) -> float:
+    """A share of rows or groups that train; ValueError outside of (0, 1)."""
+    if not 0 < ratio < 1:
+        raise ValueError(f"train_ratio is {ratio}; it must lie between 0 and 1")
+    return ratio
+
+
 def cutoff(df: DataFrame, time: Column, ratio: float = 0.7):
     """The time at index round(ratio * (n - 1)) of the ordered non-null times (halves up); None without times."""
     counted = ranks.counted_values(df, {"t": time})
@@ -20,7 +27,7 @@ def cutoff(df: DataFrame, time: Column, ratio: float = 0.7):
 
 def temporal(df: DataFrame, time: Column, split: str, ratio: float = 0.7) -> DataFrame:
     """The table with ``split`` set: train up to the cutoff, test after it, null without a time."""
-    at = cutoff(df, time, ratio)
+    at = cutoff(df, time, checked(ratio))
     if at is None:
         return df.withColumn(split, F.lit(None).cast("string"))
     return df.withColumn(split, F.when(time <= F.lit(at), "train").when(time > F.lit(at), "test"))
@@ -35,7 +42,7 @@ def grouped(df: DataFrame, columns: list[str], split: str, ratio: float = 0.7, s
     group = group_text(columns)
     order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("__g")).cast("binary"))
     groups = df.select(group.alias("__g")).distinct().withColumn("__h", order)
-    train = max(1, int(groups.count() * ratio))
+    train = max(1, int(groups.count() * checked(ratio)))
     first = ranks.first_rows(groups, [F.col("__h"), F.col("__g")], train).select("__g")
     met = df.withColumn("__own", group).join(first, F.col("__own") == F.col("__g"), "left")
     return met.withColumn(split, F.when(F.col("__g").isNotNull(), "train").otherwise("test")).drop("__own", "__g")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from plumbline.model import SESSION_ROLES, CheckSkipped, Dataset, Finding, q
-from plumbline.operators import drift, duplicates, labels, leakage, ml, poison, shortcuts, validity
+from plumbline.operators import drift, duplicates, flows, labels, leakage, ml, poison, shortcuts, validity, windows
 from plumbline.operators.shortcuts import names_identifier
 
 
@@ -381,3 +381,83 @@ def poison_trigger(data: Dataset) -> list[Finding]:
     for f in out:
         f.examples = [r.asDict() for r in found.collect()]
     return out
+
+
+def _seconds(data: Dataset, column: str):
+    """A time column as seconds."""
+    time = leakage.time_column(data.df, column, data.option("time_format", None))
+    kind = data.df.select(time.alias("t")).schema["t"].dataType.simpleString()
+    return time.cast("timestamp").cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else time.cast("double")
+
+
+def attack_windows(data: Dataset):
+    """The documented windows of option ``attack_windows``: a table, or dicts of label, start, end and, where known, host, peer, precedence.
+
+    Times are text that Spark reads as a timestamp, or numbers in the unit of the time column.
+    """
+    given = data.option("attack_windows", None)
+    if given is None:
+        raise CheckSkipped("no documented windows (option attack_windows)")
+    if isinstance(given, (list, tuple)):
+        rows = [[None if w.get(k) is None else str(w[k]) for k in ("label", "start", "end", "host", "peer")] + [int(w.get("precedence") or 0)] for w in given]
+        given = data.df.sparkSession.createDataFrame(rows, "label string, start string, end string, host string, peer string, precedence int")
+    second = lambda c: F.coalesce(F.col(c).try_cast("double"), F.col(c).cast("string").try_cast("timestamp").cast("double"))
+    return given.select("label", second("start").alias("start"), second("end").alias("end"), F.col("host").cast("string"), F.col("peer").cast("string"), "precedence")
+
+
+def judged_by_windows(data: Dataset):
+    """The rows with ``expected`` and ``verdict``, by documented windows of attackers and, where told, their targets."""
+    data.require("label", "time", "src_ip")
+    peer = q(data.roles.dst_ip) if data.roles.dst_ip else None
+    told = windows.expected(data.df, _seconds(data, data.roles.time), q(data.roles.src_ip).cast("string"), attack_windows(data), peer)
+    return windows.verdicts(told, data.roles.label)
+
+
+@register("labels.window", "domain")
+def labels_window(data: Dataset) -> list[Finding]:
+    judged = judged_by_windows(data)
+    rows = windows.summary(judged, data.roles.label).orderBy(F.desc("n"), "verdict", "label", "expected").limit(100).collect()
+    if not rows:
+        return []
+    total, by = data.df.count(), windows.summary(judged, data.roles.label).groupBy("verdict").agg(F.sum("n").alias("n")).collect()
+    counts = {r.verdict: r.n for r in by}
+    ratio = sum(counts.values()) / max(1, total)
+    row = data.option("row_id", None)
+    flagged = judged.where("verdict IS NOT NULL").select(q(row).alias("row_id"), F.lit(1.0).alias("score")) if row else None
+    return [Finding("labels.window", graded(ratio, (0.01, "high"), other="medium"), "Labels that contradict the documented windows", metric=counts | {"ratio": ratio},
+                    affected_rows=sum(counts.values()), examples=[r.asDict() for r in rows], auto_fix="relabel_window", flagged=flagged)]
+
+
+@register("flow.timeout", "domain")
+def flow_timeout(data: Dataset) -> list[Finding]:
+    """Records of one five-tuple that follow one another within option ``timeout_gap`` seconds (1 by default)."""
+    data.require("time", *SESSION_ROLES)
+    start = _seconds(data, data.roles.time)
+    lasts = data.option("duration", None)
+    end = start + q(lasts).cast("double") * data.option("duration_unit", 1.0) if lasts else start
+    keys = [getattr(data.roles, r) for r in SESSION_ROLES]
+    events = flows.cut_by_timeout(data.df, keys, start, end, data.option("timeout_gap", 1.0), row_id_of(data))
+    r = flows.timeout_summary(events, data.df.count()).first()
+    if r.ratio < data.option("timeout_min_ratio", 0.01):
+        return []
+    examples = [x.asDict() for x in events.orderBy(F.desc("n_records"), "first_id").limit(10).collect()]
+    return [Finding("flow.timeout", graded(r.ratio, (0.2, "high"), (0.05, "medium"), other="low"), "Events recorded as several flows", metric=r.asDict(), affected_rows=r.n_affected, examples=examples)]
+
+
+@register("leak.random_split", "domain")
+def leak_random_split(data: Dataset) -> list[Finding]:
+    data.require("split", "time", "label")
+    time = leakage.time_column(data.df, data.roles.time, data.option("time_format", None))
+    r = leakage.random_split(data.df, time, data.roles.split, data.roles.label, row_id_of(data)).first()
+    if r.split_z is None:
+        raise CheckSkipped("train or test has no row with a time")
+    return [Finding("leak.random_split", "high", "A random split of rows that hang together in time", metric=r.asDict(), affected_rows=r.n, auto_fix="temporal_split")] if r.by_lot else []
+
+
+@register("poison.spectral", "domain")
+def poison_spectral(data: Dataset) -> list[Finding]:
+    known, columns = _matrix(data)
+    rows = poison.matrix(known, columns, data.roles.label, row_id_of(data))
+    strong = poison.directions(rows).where(F.col("strength") >= data.option("spectral_strength", 0.5)).select("y")
+    top = poison.spectral(rows).join(strong, "y", "left_semi")
+    return _suspects("poison.spectral", top.select("row_id", "score"), rows.count(), title="Rows far along their class's main direction")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import SESSION_ROLES, Dataset, q
-from plumbline.operators import duplicates, labels, leakage, ml, splits, validity
+from plumbline.operators import duplicates, labels, leakage, ml, splits, validity, windows
 from plumbline.operators.shortcuts import names_identifier
+from plumbline.plans import checks
 
 
 class FixNotApplicable(Exception):
@@ -135,6 +136,17 @@ def quarantine_noise(data: Dataset, row_id: str | None = None) -> FixResult:
     return FixResult("quarantine_noise", data.with_df(kept), {}, {}, quarantine=moved)
 
 
+@register_fix("relabel_window")
+def relabel_window(data: Dataset, row_id: str | None = None) -> FixResult:
+    """Gives rows that contradict the documented windows the windows' label; attacks outside all become option ``benign_label``."""
+    judged = checks.judged_by_windows(data)
+    counts = {r.verdict: r.n for r in windows.summary(judged, data.roles.label).groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
+    if not counts:
+        raise FixNotApplicable("no label contradicts the windows")
+    out = windows.relabel(judged, data.roles.label, data.option("benign_label", "BENIGN"))
+    return FixResult("relabel_window", data.with_df(out), counts, {})
+
+
 @register_fix("temporal_split")
 def temporal_split(data: Dataset, row_id: str | None = None) -> FixResult:
     data.require("time")

@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegralType, NumericType
 
 from plumbline.model import ROLE_NAMES, Dataset, Roles, q
 from plumbline.operators import validity
+from plumbline.sources.capture import CAPTURE_SUFFIXES, read_capture
 from plumbline.sources.profiles import get_profile, group_labels
 from plumbline.sources.suricata import read_eve
 from plumbline.sources.zeek import read_zeek
@@ -111,10 +112,12 @@ def read_file(spark: SparkSession, path: str, event_type: str | None = "flow", c
         return spark.read.parquet(path)
     if suffix in LOG_SUFFIXES:
         return read_zeek(spark, path)
+    if suffix in CAPTURE_SUFFIXES:
+        return read_capture(spark, path)
     if suffix in JSON_SUFFIXES:
         names = spark.read.json(path).columns
         return read_eve(spark, path, event_type) if "event_type" in names else spark.read.json(path)
-    raise ValueError(f"{path}: unknown format; known are {', '.join(CSV_SUFFIXES + PARQUET_SUFFIXES + LOG_SUFFIXES + JSON_SUFFIXES)}")
+    raise ValueError(f"{path}: unknown format; known are {', '.join(CSV_SUFFIXES + PARQUET_SUFFIXES + LOG_SUFFIXES + JSON_SUFFIXES + CAPTURE_SUFFIXES)}")
 
 
 def widened(frames: list[DataFrame]) -> list[DataFrame]:
@@ -144,7 +147,7 @@ def _storage(spark: SparkSession, path: str):
 
 
 def files_below(spark: SparkSession, path: str) -> list[str]:
-    """All files of known suffixes below a folder, in order, on any storage; hidden ones left out."""
+    """All files of known suffixes below a folder, in order, on any storage; hidden ones and packet captures left out."""
     system, at = _storage(spark, path)
     known = CSV_SUFFIXES + PARQUET_SUFFIXES + LOG_SUFFIXES + JSON_SUFFIXES
     found, walk = [], system.listFiles(at, True)
