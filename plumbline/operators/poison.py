@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.model import CheckSkipped, q
-from plumbline.operators import ranks
-from plumbline.operators.graph import connected_components
-from plumbline.operators.groups import bound_batches
+from plumbline.operators import density, ranks
+from plumbline.operators.density import MAX_CLASSES, directions
 from plumbline.operators.ml import clean, hash_sample
 from plumbline.session import cut
 
@@ -81,181 +78,42 @@ def matrix(df: DataFrame, columns: list[str], label: str, row_id: str) -> DataFr
     return rows.join(F.broadcast(stats)).select("row_id", "y", F.array(*scaled).alias("x"))  # one row of statistics
 
 
-#: Rows in one block of distances: bounds a task's memory.
-BLOCK_ROWS = 2048
-
-
-def neighbours(rows: DataFrame, k: int, among: DataFrame | None = None, per_class: bool = False) -> DataFrame:
-    """(row_id, y, other_id, other_y, dist, rank): each row's k nearest other rows of ``among`` by exact Euclidean distance.
-
-    Both are (row_id long, y, x); ``among`` is a bounded sample (all rows, if
-    left out: then they are one). Both are dealt into blocks of ``BLOCK_ROWS``
-    by their numbers of rows; each pair of blocks is one group's matrix of
-    distances, which returns its k best for each row, and these meet by row.
-    Ties go to the lesser id.
-    """
-    among = rows if among is None else among
-    blocks = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
-    n, m = blocks(rows), blocks(among)
-    dealt = lambda df, of, seed: F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(of)).cast("int")
-    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    own = rows.select("row_id", "y", "x", F.lit(0).alias("side"), dealt(rows, n, 9).alias("i"), each(m).alias("j"))
-    other = among.select("row_id", "y", "x", F.lit(1).alias("side"), each(n).alias("i"), dealt(among, m, 10).alias("j"))
-
-    def best(group):
-        import pandas as pd
-
-        a, b = group[group.side == 0], group[group.side == 1].sort_values("row_id", kind="stable")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"row_id": [], "y": [], "other_id": [], "other_y": [], "dist": []})
-        xa, xb = np.vstack(a.x.to_numpy()), np.vstack(b.x.to_numpy())
-        ids, ys = b.row_id.to_numpy(), b.y.to_numpy()
-        out = []
-        step = max(1, 2_000_000 // xb.size)
-        for start in range(0, len(xa), step):
-            part = xa[start : start + step]
-            d = np.sqrt(((part[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2))
-            block = a.iloc[start : start + step]
-            d[block.row_id.to_numpy()[:, None] == ids[None, :]] = np.inf
-            if per_class:
-                d[block.y.to_numpy()[:, None] != ys[None, :]] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, top, axis=1)
-            n = top.shape[1]
-            out.append(pd.DataFrame({
-                "row_id": np.repeat(block.row_id.to_numpy(), n), "y": np.repeat(block.y.to_numpy(), n),
-                "other_id": ids[top].ravel(), "other_y": ys[top].ravel(), "dist": dist.ravel()}))
-        got = pd.concat(out)
-        return got[np.isfinite(got.dist)]
-
-    met = own.unionByName(other).groupBy("i", "j").applyInPandas(best, "row_id long, y string, other_id long, other_y string, dist double")
-    rank = F.row_number().over(Window.partitionBy("row_id").orderBy("dist", "other_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def knn(rows: DataFrame, k: int = 10, least: float = 0.8, cap: int = 50_000, seed: int = 42) -> DataFrame:
     """(row_id, score): rows of whose k nearest neighbours at least a share ``least`` has another label.
 
-    Neighbours are looked for among a bounded hash sample of about ``cap``
-    rows (all, of fewer); every row is scored.
+    It is a nearest-neighbour classifier: what it learns from is a bounded hash
+    sample of about ``cap`` rows (all, of fewer), and every row of the table is
+    judged by it. The sample goes to every task, so one narrow pass does.
     """
     rows = cut(rows)
-    near = neighbours(rows, k, hash_sample(rows, "row_id", cap, seed))
-    share = near.groupBy("row_id").agg(F.avg((F.col("other_y") != F.col("y")).cast("double")).alias("score"))
-    return share.where(F.col("score") >= least)
+    return density.neighbour_labels(rows, hash_sample(rows, "row_id", cap, seed), k).where(F.col("score") >= least)
 
 
-def close_links(rows: DataFrame) -> DataFrame:
-    """(row_id, other_id, core): links of all pairs within eps of a core, for rows (row_id, y, x, core, eps, blocks).
-
-    Each pair of a class's blocks is a task. It returns a forest of the links
-    among its cores, and for each other row one core of each tree in reach.
-    """
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "row_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("row_id", "y", "x", "core", "eps", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def links(group):
-        import pandas as pd
-
-        x, ids, core = np.vstack(group.x.to_numpy()), group.row_id.to_numpy(), group.core.to_numpy(bool)
-        left = (group.own == group.lo).to_numpy()
-        right = left if group.lo.iloc[0] == group.hi.iloc[0] else ~left
-        eps, label, found = group.eps.iloc[0], np.arange(len(x)), []
-
-        def near(these, those):
-            step = max(1, 4_000_000 // max(1, len(those) * x.shape[1]))
-            for start in range(0, len(these), step):
-                part = these[start : start + step]
-                d = np.sqrt(((x[part][:, None, :] - x[those][None, :, :]) ** 2).sum(axis=2))
-                for i, close in zip(part.tolist(), d <= eps, strict=True):
-                    yield i, those[close]
-
-        for i, at in near(np.flatnonzero(left & core), np.flatnonzero(right & core)):
-            other, first = np.unique(label[at], return_index=True)
-            keep = other != label[i]
-            if keep.any():
-                found += [(ids[i], ids[j], True) for j in at[first[keep]]]
-                label[np.isin(label, other[keep])] = label[i]
-        for a, b in ((left, right),) if right is left else ((left, right), (right, left)):
-            for i, at in near(np.flatnonzero(a & ~core), np.flatnonzero(b & core)):
-                found += [(ids[i], ids[j], False) for j in at[np.unique(label[at], return_index=True)[1]]]
-        return pd.DataFrame(found, columns=["row_id", "other_id", "core"])
-
-    return dealt.groupBy("y", "lo", "hi").applyInPandas(links, "row_id long, other_id long, core boolean")
-
-
-def clusters(all_rows: DataFrame, min_samples: int = 10, least_rows: int = 40, cap: int = 50_000, seed: int = 42) -> DataFrame:
-    """(row_id, y, cluster, score): rows in small, compact clusters inside a class, by DBSCAN over exact neighbours.
-
-    Clusters are found in a bounded hash sample of about ``cap`` rows (all, of
-    fewer); every other row within eps of a found cluster's core, of its own
-    class, is in that cluster.
+def clusters(all_rows: DataFrame, min_samples: int = 10, least_rows: int = 40, probes: int = 1_000, seed: int = 42) -> DataFrame:
+    """(row_id, y, cluster, score): rows in small, compact clusters inside a class, by exact DBSCAN over all rows.
 
     eps of a class is the tenth percentile of its rows' distances to their
-    fifth neighbour. A row with ``min_samples`` rows within eps, itself
+    fifth neighbour among all rows of the class, estimated from at most
+    ``probes`` rows of it. A row with ``min_samples`` rows within eps, itself
     included, is a core; cores within eps are one cluster; a row within eps of
-    cores joins the cluster of the least of them. Experimental: its weight in
-    the ranking is 0.
+    cores joins the cluster of the least of them. A cluster is named after its
+    least core, whatever the table's size or partitioning. Experimental: its
+    weight in the ranking is 0.
     """
-    all_rows = cut(all_rows)
-    rows = hash_sample(all_rows, "row_id", cap, seed)
-    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n_class")).where(F.col("n_class") >= least_rows)
-    rows = rows.join(sizes, "y", "left_semi")
-    rows = cut(rows)
-    near = cut(neighbours(rows, max(5, min_samples), per_class=True))
-    fifth = near.where("rank = 5").groupBy("y").agg(F.percentile("dist", F.lit(0.1)).alias("eps"))  # of the bounded sample
-    fifth = cut(fifth.withColumn("eps", F.when(F.col("eps") > 0, F.col("eps")).otherwise(1.0)))
-    close = near.join(F.broadcast(fifth), "y").where(F.col("dist") <= F.col("eps"))
-    cores = cut(close.groupBy("row_id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("row_id"))
-    told = rows.join(cores.withColumn("core", F.lit(True)), "row_id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
-    blocks = sizes.select("y", F.ceil(F.col("n_class") / 4096).cast("int").alias("blocks"))
-    links = cut(close_links(told.join(F.broadcast(fifth), "y").join(blocks, "y")))
-    reached = connected_components(links.where("core"), "row_id", "other_id")
-    inner = cores.join(reached, cores.row_id == reached.node, "left").select("row_id", F.coalesce("component", "row_id").alias("cluster"))
-    inner = cut(inner)
-    border = links.where("NOT core").select(F.col("row_id").alias("border_id"), F.col("other_id").alias("row_id")).join(inner, "row_id")
-    members = inner.unionByName(border.groupBy("border_id").agg(F.min("cluster").alias("cluster")).withColumnRenamed("border_id", "row_id"))
-    x = rows.join(members, "row_id")
+    rows = cut(all_rows)
+    sizes = cut(rows.groupBy("y").agg(F.count(F.lit(1)).alias("n_class")).where(F.col("n_class") >= least_rows))
+    eps = density.fifth_neighbours(rows, sizes, probes, seed)
+    members = cut(density.dbscan(rows, eps, min_samples).where("cluster IS NOT NULL"))
+    x = rows.drop("y").join(members, "row_id")
     spread = lambda df, keys: df.select(*keys, F.posexplode("x").alias("d", "v")).groupBy(*keys, "d").agg(
         F.var_pop("v").alias("var")).groupBy(*keys).agg(F.sqrt(F.sum("var")).alias("disp"))
-    own = spread(x, ["y", "cluster"]).join(x.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster")
-    own = own.join(spread(rows, ["y"]).withColumnRenamed("disp", "all"), "y").join(sizes, "y")
+    own = x.groupBy("y", "cluster").agg(F.count(F.lit(1)).alias("n")).join(sizes, "y").where((F.col("n") >= 10) & (F.col("n") <= 0.05 * F.col("n_class")))
+    own = cut(own)  # only small clusters go on
+    own = own.join(spread(x.join(own.select("cluster"), "cluster", "left_semi"), ["y", "cluster"]), ["y", "cluster"])
+    own = own.join(spread(rows, ["y"]).withColumnRenamed("disp", "all"), "y")
     score = 1 - F.least(F.lit(1.0), F.coalesce(F.try_divide("disp", "all"), F.lit(1.0)))
-    small = own.withColumn("score", score).where((F.col("n") >= 10) & (F.col("n") <= 0.05 * F.col("n_class")) & (F.col("score") >= 0.75))
-    found = cut(x.select("row_id", "y", "cluster", "x").join(small.select("cluster", "score"), "cluster"))
-    rest = all_rows.join(rows, "row_id", "left_anti")
-    kept = found.join(cores, "row_id", "left_semi").join(F.broadcast(fifth), "y")
-    return found.drop("x").unionByName(_reached(rest, kept))
-
-
-def _reached(rows: DataFrame, cores: DataFrame) -> DataFrame:
-    """(cluster, row_id, y, score): rows within eps of a core of their class, in the least such cluster.
-
-    ``cores`` (cluster, score, y, x, eps) are of small clusters of a bounded
-    sample, a twentieth of it at most, so they go to every task.
-    """
-    held = cores.select("cluster", "score", "y", "x", "eps").toPandas()
-
-    def near(frames):
-        import pandas as pd
-
-        by_class = {y: (np.vstack(g.x.to_numpy()), g.cluster.to_numpy(), g.score.to_numpy(), g.eps.iloc[0]) for y, g in held.groupby("y")}
-        for frame in frames:
-            for y, group in frame.groupby("y"):
-                if y not in by_class or not len(group):
-                    continue
-                x, cluster, score, eps = by_class[y]
-                own, step = np.vstack(group.x.to_numpy()), max(1, 2_000_000 // x.size)
-                for start in range(0, len(own), step):
-                    d = np.sqrt(((own[start : start + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-                    least = np.where(d <= eps, cluster[None, :], np.iinfo(np.int64).max)
-                    at = least.argmin(axis=1)
-                    hit = np.flatnonzero(least[np.arange(len(at)), at] < np.iinfo(np.int64).max)
-                    rows = group.iloc[start : start + step].iloc[hit]
-                    yield pd.DataFrame({"cluster": cluster[at[hit]], "row_id": rows.row_id.to_numpy(), "y": y, "score": score[at[hit]]})
-
-    return rows.mapInPandas(near, "cluster long, row_id long, y string, score double")
+    small = own.withColumn("score", score).where(F.col("score") >= 0.75)
+    return members.join(small.select("cluster", "score"), "cluster").select("row_id", "y", "cluster", "score")
 
 
 def combine_scores(flagged: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -370,80 +228,6 @@ def evaluate(flagged: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """(y, n, sums, products): each class's number of rows, sums of columns, and sums of their products, as doubles in bytes.
-
-    Tasks add up their own rows; a fold adds up a class's tasks, first each
-    share of them, and holds one class at a time.
-    """
-    schema = "y string, salt int, n long, sums binary, products binary"
-
-    def out(parts: dict, salt: int):
-        for y, (n, s, g) in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([y]), pa.array([salt], pa.int32()), pa.array([n]), pa.array([s.tobytes()]), pa.array([g.tobytes()])], ["y", "salt", "n", "sums", "products"])
-
-    def own(batches):
-        from pyspark import TaskContext
-
-        salt, parts = TaskContext.get().partitionId() % 32, {}
-        for batch in batches:
-            labels = np.array(batch.column(0).to_pylist(), object)
-            x = np.array(batch.column(1).to_pylist(), float).reshape(len(labels), -1)
-            for y in set(labels.tolist()):
-                mine = x[labels == y]
-                n, s, g = parts.get(y, (0, 0.0, 0.0))
-                parts[y] = (n + len(mine), s + mine.sum(axis=0), g + mine.T @ mine)
-            if len(parts) > 256:  # many classes are handed on as they come
-                yield from out(parts, salt)
-                parts = {}
-        yield from out(parts, salt)
-
-    def added(batches):
-        last, held = None, None
-        for batch in batches:
-            for y, salt, n, s, g in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                now = (n, np.frombuffer(s), np.frombuffer(g))
-                if (y, salt) != last:
-                    if last is not None:
-                        yield from out({last[0]: held}, last[1])
-                    last, held = (y, salt), now
-                else:
-                    held = tuple(a + b for a, b in zip(held, now, strict=True))
-        if last is not None:
-            yield from out({last[0]: held}, last[1])
-
-    bound_batches(rows.sparkSession)
-    partly = rows.select("y", "x").mapInArrow(own, schema)
-    partly = partly.repartition("y", "salt").sortWithinPartitions("y", "salt").mapInArrow(added, schema).withColumn("salt", F.lit(0))
-    return partly.repartition("y").sortWithinPartitions("y").mapInArrow(added, schema).drop("salt")
-
-
-def directions(rows: DataFrame, least_rows: int = 40) -> DataFrame:
-    """(y, n, mean, direction, strength): each class's centre and the direction in which its rows differ most.
-
-    The direction is the top right singular vector of the class's centred rows:
-    the top eigenvector of their products, which are the size of the columns
-    squared, however many rows there are. ``strength`` is its share of the
-    variance.
-    """
-
-    def top(batches):
-        for batch in batches:
-            for y, n, s, g in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                mean = np.frombuffer(s) / n
-                d = len(mean)
-                spread = np.frombuffer(g).reshape(d, d) - n * np.outer(mean, mean)
-                values, vectors = np.linalg.eigh((spread + spread.T) / 2)
-                total = float(np.trace(spread))
-                strength = float(values[-1] / total) if total > 0 else 0.0
-                cells = [[y], [n], [mean.tolist()], [vectors[:, -1].tolist()], [strength]]
-                kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], ["y", "n", "mean", "direction", "strength"])
-
-    enough = _moments(rows).where(F.col("n") >= least_rows)
-    return cut(enough.mapInArrow(top, "y string, n long, mean array<double>, direction array<double>, strength double"))
-
-
 def spectral(rows: DataFrame, share: float = 0.015, least_rows: int = 40) -> DataFrame:
     """(row_id, y, score): of each class the share of rows that lie furthest along its top direction (Tran et al., 2018).
 
@@ -461,7 +245,3 @@ def spectral(rows: DataFrame, share: float = 0.015, least_rows: int = 40) -> Dat
     scored = met.select("row_id", "y", F.pow(F.aggregate(away, F.lit(0.0), lambda s, v: s + v), 2.0).alias("score"))
     wanted = {r.y: max(1, int(share * r.n)) for r in sizes}
     return ranks.first_rows(scored, [F.desc("score"), F.col("row_id")], wanted, F.col("y"))
-
-
-#: Classes beyond which a label is no label.
-MAX_CLASSES = 1_000

@@ -53,3 +53,65 @@ def test_blocks_of_copies_within_eps_are_one_cluster(spark):
     rows += [(624, "a", [100.9, 100.0])]  # within eps of cores, in no core's ten nearest
     got = poison.clusters(spark.createDataFrame(rows, "row_id long, y string, x array<double>")).collect()
     assert {r.row_id for r in got} == set(range(600, 625)) and {r.cluster for r in got} == {600}
+
+
+def plain_dbscan(points, eps, least):
+    """{id: (core, least core id of its cluster or None)} of one class."""
+    import math
+
+    near = {a: [b for b in points if math.dist(points[a], points[b]) <= eps] for a in points}
+    core = {a for a in points if len(near[a]) >= least}
+    label = {a: a for a in core}
+    while True:
+        before = dict(label)
+        for a in core:
+            for b in near[a]:
+                if b in core:
+                    label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    return {a: (a in core, label[a] if a in core else min((label[b] for b in near[a] if b in core), default=None)) for a in points}
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+@pytest.mark.parametrize("columns", [1, 2, 5])
+def test_dbscan_equals_a_plain_one(spark, monkeypatch, block, columns):
+    import random
+
+    from plumbline.operators import density
+
+    monkeypatch.setattr(density, "BLOCK_ROWS", block)
+    rng = random.Random(columns)
+    rows = []
+    for y, eps in (("a", 1.0), ("b", 0.5)):
+        centres = [[rng.uniform(0, 12) for _ in range(columns)] for _ in range(5)]
+        for k in range(150):
+            c = rng.choice(centres)
+            rows.append((len(rows), y, [v + rng.gauss(0, 0.4 * eps) for v in c]))
+        rows += [(len(rows) + k, y, [round(v) * 1.0 for v in rows[-k - 1][2]]) for k in range(60)]  # copies, and distances of exactly one
+    df = spark.createDataFrame(rows, "row_id long, y string, x array<double>").repartition(5)
+    eps = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "y string, eps double")
+    got = {r.row_id: (r.core, r.cluster) for r in density.dbscan(df, eps, 5).collect()}
+    want = {}
+    for y, e in (("a", 1.0), ("b", 0.5)):
+        want |= plain_dbscan({i: x for i, own, x in rows if own == y}, e, 5)
+    assert got == want and any(not c and k is not None for c, k in want.values())
+
+
+@pytest.mark.parametrize("probes", [1_000, 100])
+def test_a_planted_cluster_is_found_at_any_size_of_sample(spark, probes):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, "a", [rng.uniform(0, 60), rng.uniform(0, 60)]) for i in range(4000)]
+    rows += [(4000 + i, "a", [200 + rng.gauss(0, 0.05), 200 + rng.gauss(0, 0.05)]) for i in range(30)]
+    got = poison.clusters(spark.createDataFrame(rows, "row_id long, y string, x array<double>"), probes=probes).collect()
+    assert {r.row_id for r in got if r.row_id >= 4000} == set(range(4000, 4030))
+
+
+def test_neighbours_of_copies_and_ties(spark):
+    rows = [(i, "a" if i < 30 else "b", [float(i // 10), 0.0]) for i in range(60)]
+    got = {r.row_id: r.score for r in poison.knn(spark.createDataFrame(rows, "row_id long, y string, x array<double>"), k=12, least=0.0).collect()}
+    for i, y, x in rows:
+        near = sorted((abs(x[0] - o[2][0]), o[0], o[1]) for o in rows if o[0] != i)[:12]
+        assert got[i] == pytest.approx(sum(o[2] != y for o in near) / 12)
