@@ -116,14 +116,14 @@ def confident_issues(scored: DataFrame, classes: list[str]) -> DataFrame:
     best = F.array_position("probs", F.array_max("probs")) - 1
     own = F.element_at("probs", (F.col("y") + 1).cast("int"))
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(n).alias("n"), (p(j) - p(i)).alias("margin")) for i, j, n in wanted])
-    long = scored.withColumn("c", F.explode(F.filter(cells, lambda c: c.i == F.col("y"))))
-    cell = F.col("c.i") * k + F.col("c.j")
-    first = ranks.first_rows(long, [F.desc("c.margin"), F.col("row_id")], {i * k + j: n for i, j, n in wanted}, cell)
+    # what is ordered is thin, as each row stands in it once for each other class; rows that aren't flagged in the end still hold a place
+    long = scored.select("row_id", "y", best.cast("int").alias("best"), own.alias("self_confidence"), F.explode(F.filter(cells, lambda c: c.i == F.col("y"))).alias("c"))
+    long = long.select("row_id", "y", "best", "self_confidence", (F.col("c.i") * k + F.col("c.j")).alias("cell"), F.col("c.margin").alias("margin"))
+    first = ranks.first_rows(long, [F.desc("margin"), F.col("row_id")], {i * k + j: n for i, j, n in wanted}, F.col("cell"))
     names = F.array(*map(F.lit, classes))
-    flagged = first.where(best != F.col("y"))
-    return flagged.select(
-        "row_id", "given", F.element_at(names, (best + 1).cast("int")).alias("suggested"), own.alias("self_confidence")
-    ).distinct()
+    name = lambda c: F.element_at(names, (F.col(c) + 1).cast("int"))
+    flagged = first.where("best <> y").select("row_id", name("y").alias("given"), name("best").alias("suggested"), "self_confidence")
+    return flagged.distinct()
 
 
 def noise_scores(df: DataFrame, columns: list[str], label: str, row_id: str, seed: int = 42, cap: int = 200_000):

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import edges_below
 from plumbline.session import cut
 
 _PART = "__range"
@@ -99,13 +100,87 @@ def values_at(counted: DataFrame, places: dict[str, object]) -> dict[str, dict[i
     return out
 
 
+#: Ranks that a sketch of a column may be off, as a share of its values.
+SKETCH = 10_000
+
+
+def _outward(cut: float, sign: int) -> float:
+    """A cut, moved outward to where generated code can write it: its literals can't be subnormal."""
+    return cut if cut == 0 or abs(cut) >= 2.3e-308 else sign * 2.3e-308
+
+
+def _bracketed(df: DataFrame, values: dict[str, Column], shares: list[float]) -> tuple[dict[str, int], dict[str, dict[int, object]]]:
+    """(numbers of values, values at the places that ``shares`` need) of each column, from two aggregates of one scan each.
+
+    A sketch says between which two values each wanted place lies; then values
+    outside of all brackets are counted by bracket only, and values inside,
+    few of all, one by one. A place that its bracket turns out not to hold is
+    left out: the caller looks for it otherwise.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(values)}
+    off = 2.0 / SKETCH
+    around = [min(1.0, max(0.0, s + d)) for s in shares for d in (-off, off)]
+    sketches = [F.count(v).alias(f"n_{names[c]}") for c, v in values.items()]
+    sketches += [F.percentile_approx(v.cast("double"), around, SKETCH).alias(f"q_{names[c]}") for c, v in values.items()]
+    row = df.agg(*sketches).first()
+    sizes = {c: row[f"n_{names[c]}"] for c in values}
+    brackets: dict[str, list[list[float]]] = {}
+    for c in values:
+        found = row[f"q_{names[c]}"] or []
+        for low, high in sorted(zip(found[::2], found[1::2], strict=True)):
+            own = brackets.setdefault(c, [])
+            if own and low <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], high)
+            else:
+                own.append([low, high])
+    if not brackets:
+        return sizes, {c: {} for c in values}
+    cells, usable = [], []
+    for c, own in brackets.items():
+        cuts = [x for low, high in own for x in (_outward(math.nextafter(low, -math.inf), -1), _outward(high, 1))]
+        # an odd number of cuts below a value: it is inside a bracket
+        if any(a >= b for a, b in zip(cuts[:-1], cuts[1:], strict=True)):
+            continue  # brackets of subnormal values have run together: such a column is looked at otherwise
+        v = values[c].cast("double")
+        usable.append(c)
+        cells.append(F.struct(F.lit(c).alias("column"), edges_below(v, cuts).alias("at"), v.alias("v")))
+    if not usable:
+        return sizes, {c: {} for c in values}
+    long = df.select(F.explode(F.array(*cells)).alias("c")).where("c.v IS NOT NULL").select("c.column", "c.at", "c.v")
+    counted = cut(long.groupBy("column", "at", F.when(F.col("at") % 2 == 1, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    totals = counted.groupBy("column", "at").agg(F.sum("n").alias("n")).collect()  # two rows for each wanted place at most
+    below: dict[tuple[str, int], tuple[int, int]] = {}
+    for c in usable:
+        before = 0
+        for at, n in sorted((r.at, r.n) for r in totals if r["column"] == c):
+            below[c, at] = (before, n)
+            before += n
+    wanted = []
+    for c in usable:
+        for place in {f(s * (sizes[c] - 1)) for s in shares for f in (math.floor, math.ceil)}:
+            for at in range(1, 2 * len(brackets[c]), 2):
+                before, n = below.get((c, at), (0, 0))
+                if before <= place < before + n:
+                    wanted.append((c, at, place, place - before))
+    out: dict[str, dict[int, object]] = {c: {} for c in values}
+    if wanted:
+        spots = df.sparkSession.createDataFrame(wanted, "column string, at int, place long, rest long")
+        own = Window.partitionBy("column", "at").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = counted.where("v IS NOT NULL").withColumn("upto", F.sum("n").over(own))
+        met = inside.join(F.broadcast(spots), ["column", "at"]).where((F.col("rest") < F.col("upto")) & (F.col("rest") >= F.col("upto") - F.col("n")))
+        for r in met.select("column", "place", "v").collect():  # a row for each wanted place
+            out[r["column"]][r.place] = r.v
+    return sizes, out
+
+
 def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:
     """Exact quantiles of each column's non-null values, by linear interpolation between neighbours; none without values."""
     spots = lambda n: [s * (n - 1) for s in shares]
-    counted = cut(counted_values(df, values))
-    sizes = {r["column"]: r.n for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
     both = lambda n: [f(x) for x in spots(n) for f in (math.floor, math.ceil)]
-    found = values_at(counted, dict.fromkeys(values, both))
+    sizes, found = _bracketed(df, values, shares)
+    sizes = {c: n for c, n in sizes.items() if n}
+    if missed := {c: v for c, v in values.items() if c in sizes and set(both(sizes[c])) - set(found[c])}:
+        found |= values_at(cut(counted_values(df, missed)), dict.fromkeys(missed, both))
     out = {}
     for c in values:
         at = found[c]

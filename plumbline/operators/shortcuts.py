@@ -62,20 +62,26 @@ def balanced_accuracy(df: DataFrame, values: dict[str, Column], label: str) -> D
 def single_feature(df: DataFrame, features: list[str], numeric: list[str], label: str) -> DataFrame:
     """``balanced_accuracy`` of every feature that can be judged; near-unique numeric ones by quantile bins.
 
-    Counts of (column, value, label) come from one shuffle and say how many
-    values a column has, and what each tells; only near-unique numbers are
-    read again.
+    One aggregate says of which columns nearly every value is another (a
+    sketch, trusted where it is fifteen standard deviations beyond the limit):
+    those aren't counted by value. Counts of (column, value, label) of the rest
+    come from one shuffle and say exactly how many values a column has, and
+    what each tells; only near-unique numbers are read again.
     """
     if not features:
         return df.sparkSession.createDataFrame([], "column string, balanced_accuracy double")
-    counted = cut(value_counts(df, {c: q(c) for c in features}, label))
+    kinds = [F.approx_count_distinct(F.coalesce(q(c).cast("string"), F.lit("\x00")), 0.02).alias(f"d{i}") for i, c in enumerate(features)]
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *kinds).first()
+    sure = [c for i, c in enumerate(features) if seen[f"d{i}"] > 1.3 * max(2, 0.3 * seen.n)]
+    rest = [c for c in features if c not in sure]
+    counted = cut(value_counts(df, {c: q(c) for c in rest}, label)) if rest else df.sparkSession.createDataFrame([], "column string, v string, y string, n long")
     by_value = counted.groupBy("column", "v").agg(F.sum("n").alias("n"))
     sizes = {r["column"]: (r.values, r.n) for r in by_value.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")).collect()}
     unique = [c for c, (values, n) in sizes.items() if values > max(2, 0.3 * n) or n / max(1, values) < 3]
-    numbers = [c for c in unique if c in numeric]
+    numbers = [c for c in features if c in numeric and (c in unique or c in sure)]
     out = accuracy_of(counted.where(~F.col("column").isin(unique)) if unique else counted)
     if numbers:
-        bins = max(2, min(50, sizes[numbers[0]][1] // 20))
+        bins = max(2, min(50, seen.n // 20))
         cuts = edges(df, numbers, bins)
         out = out.unionByName(balanced_accuracy(df, {c: binned(c, cuts[c]) for c in numbers}, label))
     return out

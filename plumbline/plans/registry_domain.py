@@ -108,10 +108,10 @@ def poison_spectral(spark, sf_dir):
  c AS (SELECT i AS id FROM n GROUP BY i HAVING count(*) >= 6), e AS (SELECT i, j FROM n WHERE i IN (SELECT id FROM c) AND j IN (SELECT id FROM c)),
  r(id, root) AS (SELECT id, id FROM c UNION SELECT e.j, r.root FROM r JOIN e ON e.i = r.id WHERE r.root < e.j), k AS (SELECT id, min(root) AS cluster FROM r GROUP BY id),
  o AS (SELECT n.i AS id, min(k.cluster) AS cluster FROM n JOIN k ON k.id = n.j WHERE n.i NOT IN (SELECT id FROM c) GROUP BY n.i)
-SELECT p.id AS row_id, y, k.id IS NOT NULL AS core, coalesce(k.cluster, o.cluster) AS cluster FROM p LEFT JOIN k ON k.id = p.id LEFT JOIN o ON o.id = p.id"""
+SELECT p.id AS row_id, y, k.id IS NOT NULL AS core, coalesce(k.cluster, o.cluster, -1) AS cluster FROM p LEFT JOIN k ON k.id = p.id LEFT JOIN o ON o.id = p.id"""
 )
 def poison_dbscan(spark, sf_dir):
-    """DBSCAN of customers by segment, at a given eps."""
+    """DBSCAN of customers by segment, at a given eps; -1 for no cluster."""
     df = over(spark, sf_dir, "SELECT c_custkey AS row_id, c_mktsegment AS y, array(c_acctbal / 1000, c_nationkey / 5D) AS x FROM customer", "customer")
     eps = df.select("y").distinct().withColumn("eps", F.lit(0.3))
-    return density.dbscan(df, eps, 6)
+    return density.dbscan(df, eps, 6).fillna(-1, ["cluster"])

@@ -1,5 +1,6 @@
 """Ranks, running sums and quantiles by ranges equal those of a task that orders all rows."""
 
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def test_a_fit_sample_is_bounded_and_every_row_is_scored(spark):
     found = {r.row_id for r in poison.knn(flipped, cap=500).collect()}
     assert found == set(range(1, 3000, 100))
     far = rows.unionByName(spark.range(60).selectExpr("id + 9000 AS row_id", "'a' AS y", "array(50D + (id % 7) / 5000D, 50D + id / 6000D) AS x"))
-    got = poison.clusters(far, cap=1500)
+    got = poison.clusters(far, probes=500)
     assert {r.row_id for r in got.where("row_id >= 9000").collect()} == set(range(9000, 9060))
 
 
@@ -95,3 +96,17 @@ def test_drop_duplicates_keeps_one_row_of_each_key(spark):
     for k, t, i, _ in rows:
         want[k, t] = min(want.get((k, t), i), i)
     assert sorted((r.k, str(r.t), r.id) for r in got) == sorted((k, str(t), i) for (k, t), i in want.items())
+
+
+@pytest.mark.parametrize("kind", ["few", "many", "copies", "tiny", "zeros"])
+def test_bracketed_quantiles_are_exact(spark, kind):
+    rng = np.random.default_rng(4)
+    x = {"few": rng.normal(size=7), "many": rng.normal(size=30_000), "copies": rng.integers(0, 3, 5_000) * 1.0,
+         "tiny": rng.integers(-3, 4, 500) * 5e-324, "zeros": np.where(rng.random(4_000) < 0.5, 0.0, rng.normal(size=4_000))}[kind]
+    df = spark.createDataFrame([(float(v), None) for v in x], "a double, b double")
+    shares = [0.0, 0.02, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = ranks.quantiles(df, {"a": F.col("a"), "b": F.col("b")}, shares)
+    assert got["b"] == [] and got["a"] == pytest.approx(np.quantile(x, shares).tolist(), rel=1e-12, abs=1e-15)
+    if kind in ("many", "copies"):
+        sizes, found = ranks._bracketed(df, {"a": F.col("a")}, shares)
+        assert sizes == {"a": len(x)} and set(found["a"]) == {f(s * (len(x) - 1)) for s in shares for f in (math.floor, math.ceil)}
