@@ -124,3 +124,44 @@ def restorable(df: DataFrame, columns: list[str]) -> DataFrame:
         for c in columns
     }
     return _stacked(df, cells).select("column", F.col("whole").alias("restorable"))
+
+
+# What a text cell looks like, by kind, from the narrowest on; a number may be whole, a whole number a truth value.
+KINDS = {
+    "truth": r"^(?:[Tt][Rr][Uu][Ee]|[Ff][Aa][Ll][Ss][Ee]|[Yy][Ee][Ss]|[Nn][Oo])$",
+    "whole": r"^[+-]?[0-9]{1,18}$",
+    "number": r"^(?:[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]{1,3})?|[+-]?[Ii][Nn][Ff](?:[Ii][Nn][Ii][Tt][Yy])?|[Nn][Aa][Nn])$",
+    "time": r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?: [0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?)$",
+    "address": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$",
+}
+#: Share of a column's values that a kind must cover to be the column's.
+COVERS = 0.99
+
+
+def kinds_of(df: DataFrame, columns: list[str], covers: float = COVERS) -> DataFrame:
+    """(column, n_values, n_padded, kind, n_odd, odd_example) of text columns: the narrowest kind that covers their values.
+
+    Kinds form a lattice: whole numbers are numbers, and all kinds are text.
+    What is kept of a column is how many of its values each kind holds, sums
+    that merge in any order, for all columns in one aggregate. ``n_odd`` counts
+    values outside the column's kind, of which ``odd_example`` is the least;
+    ``n_padded`` values with outer blanks, which are looked at without them.
+    Nulls and empty cells are no values; a column without values is text.
+    """
+    cells = {}
+    for c in columns:
+        text = F.trim(q(c))
+        full = text != ""
+        own = {k: F.coalesce(text.rlike(p), F.lit(False)) for k, p in KINDS.items()}
+        own["number"] = own["number"] | own["whole"]
+        cells[c] = {"n_values": F.count_if(full), "n_padded": F.count_if(full & (text != q(c)))}
+        for k, hit in own.items():
+            cells[c] |= {f"n_{k}": F.count_if(full & hit), f"odd_{k}": F.min(F.when(full & ~hit, text))}
+    out = _stacked(df, cells)
+    enough = lambda k: (F.col("n_values") > 0) & (F.col(f"n_{k}") >= F.lit(covers) * F.col("n_values"))
+    kind, odd, example = F.lit("text"), F.lit(0).cast("long"), F.lit(None).cast("string")
+    for k in reversed(KINDS):
+        kind = F.when(enough(k), k).otherwise(kind)
+        odd = F.when(enough(k), F.col("n_values") - F.col(f"n_{k}")).otherwise(odd)
+        example = F.when(enough(k), F.col(f"odd_{k}")).otherwise(example)
+    return out.select("column", "n_values", "n_padded", kind.alias("kind"), odd.alias("n_odd"), example.alias("odd_example"))

@@ -461,3 +461,19 @@ def poison_spectral(data: Dataset) -> list[Finding]:
     strong = poison.directions(rows).where(F.col("strength") >= data.option("spectral_strength", 0.5)).select("y")
     top = poison.spectral(rows).join(strong, "y", "left_semi")
     return _suspects("poison.spectral", top.select("row_id", "score"), rows.count(), title="Rows far along their class's main direction")
+
+
+@register("validity.types", "domain")
+def validity_types(data: Dataset) -> list[Finding]:
+    """Text columns whose values are numbers, times or truth values, and those whose values have outer blanks."""
+    text = [c for c in data.features if data.df.schema[c].dataType.simpleString() == "string"]
+    if not text:
+        raise CheckSkipped("no text column")
+    out = []
+    for r in validity.kinds_of(data.df, text).where("kind IN ('truth', 'whole', 'number', 'time')").orderBy("column").collect():
+        severity = "medium" if r.n_odd else "low"
+        out.append(Finding("validity.types", severity, f"{r.column} holds {r.kind} values as text", metric=r.asDict(), affected_rows=r.n_odd))
+    padded = [r.column for r in validity.kinds_of(data.df, text).where("n_padded > 0").orderBy("column").collect()]
+    if padded:
+        out.append(Finding("validity.types", "low", "Values with outer blanks", metric={"columns": padded}))
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import density, flows, leakage, poison, windows
+from plumbline.operators import density, flows, leakage, poison, validity, windows
 from plumbline.plans.registry import over, query, rounded, vectors
 
 # Windows of two hours after each error of a user, and short ones for everybody after a few sign-ups; times are seconds.
@@ -115,3 +115,26 @@ def poison_dbscan(spark, sf_dir):
     df = over(spark, sf_dir, "SELECT c_custkey AS row_id, c_mktsegment AS y, array(c_acctbal / 1000, c_nationkey / 5D) AS x FROM customer", "customer")
     eps = df.select("y").distinct().withColumn("eps", F.lit(0.3))
     return density.dbscan(df, eps, 6).fillna(-1, ["cluster"])
+
+
+TYPED = """SELECT CAST(event_id AS STRING) AS a, ' ' || CAST(value AS STRING) AS b, CASE WHEN event_id % 200 = 0 THEN 'n/a' ELSE CAST(user_id AS STRING) END AS c,
+ CASE WHEN event_id % 3 = 0 THEN 'Yes' WHEN event_id % 3 = 1 THEN 'no' END AS d, '10.0.' || CAST(user_id % 256 AS STRING) || '.7' AS e, substr(CAST(ts AS STRING), 1, 19) AS f,
+ event_type AS g, CAST(NULL AS STRING) AS h, CASE WHEN event_id % 5 = 0 THEN 'x' ELSE CAST(user_id AS STRING) END AS i FROM events"""
+
+
+def _kinds_sql() -> str:
+    """The counts of every kind for every column, and the narrowest that covers."""
+    columns = "abcdefghi"
+    cells = " UNION ALL ".join(f"""SELECT '{c}' AS "column", {c} AS raw, trim({c}) AS v FROM t""" for c in columns)
+    hit = {k: f"regexp_matches(v, '{p}')" for k, p in validity.KINDS.items()}
+    hit["number"] = f"({hit['number']} OR {hit['whole']})"
+    counts = ", ".join(f"count(*) FILTER (WHERE v <> '' AND {h}) AS n_{k}, min(v) FILTER (WHERE v <> '' AND NOT {h}) AS odd_{k}" for k, h in hit.items())
+    pick = lambda value, other: "CASE " + " ".join(f"WHEN n_values > 0 AND n_{k} >= {validity.COVERS} * n_values THEN {value(k)}" for k in hit) + f" ELSE {other} END"
+    return f"""WITH t AS ({TYPED.replace('AS STRING', 'AS VARCHAR')}), s AS ({cells}),
+ c AS (SELECT "column", count(*) FILTER (WHERE v <> '') AS n_values, count(*) FILTER (WHERE v <> '' AND v <> raw) AS n_padded, {counts} FROM s GROUP BY "column")
+SELECT "column", n_values, n_padded, {pick(lambda k: f"'{k}'", "'text'")} AS kind, {pick(lambda k: f'n_values - n_{k}', '0')} AS n_odd, {pick(lambda k: f'odd_{k}', 'NULL')} AS odd_example FROM c"""
+
+
+@query(_kinds_sql())
+def validity_types(spark, sf_dir):
+    return validity.kinds_of(over(spark, sf_dir, TYPED, "events"), list("abcdefghi"))

@@ -72,7 +72,7 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...
     parts, names = [], list(columns)
     for (bad, lines), files in alike.items() or [((False, False), path)]:
         how = {"header": not columns, "encoding": "windows-1252" if bad else "UTF-8", "nullValue": "", "mode": "PERMISSIVE"}
-        only = path if len(alike) < 2 else [re.sub(r"([\[\]{}*?\\])", r"\\\1", plain_path(spark, f)) for f in files]
+        only = path if len(alike) < 2 else [escaped(plain_path(spark, f)) for f in files]
         part = spark.read.csv(only, inferSchema=False, multiLine=lines, escape='"', **how)
         names = names or part.columns
         parts.append(part.select(*[q(old).alias(new) for old, new in zip(part.columns, names, strict=True)], *file))
@@ -96,6 +96,11 @@ def plain_path(spark: SparkSession, encoded: str) -> str:
     return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(encoded)).toString()
 
 
+def escaped(path: str) -> str:
+    """A file's path as a pattern that names it alone."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
     """The first line of each file, by its path: one row for each file."""
     at = spark.read.text(files).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
@@ -189,21 +194,74 @@ def read_dataset(spark: SparkSession, path: str, event_type: str | None = "flow"
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), widened(frames))
 
 
-def fingerprint(path: str) -> str:
-    """SHA-256 over names and bytes of a local file or folder, read in pieces; empty for other paths."""
-    root = Path(path)
-    if not root.exists():
-        return ""
+#: Bytes in a leaf of a fingerprint, and the size up to which a file is read as one row.
+LEAF_BYTES, WHOLE_BYTES = 4 << 20, 256 << 20
+
+
+def fingerprint(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> str:
+    """SHA-256 over names, sizes and bytes of a file, a glob or all files of a folder, on any storage.
+
+    It is the root of a hash tree: a file's bytes are hashed in leaves of
+    ``LEAF_BYTES``, a file's leaves in their order, and all files by name below
+    the folder. Leaves are hashed by tasks, so the value doesn't depend on how
+    a file was split; the driver gets one digest for each file. Files up to
+    ``whole_bytes`` are read by Spark; larger ones in ranges, by tasks that
+    open them (local and mounted folders, HDFS, S3, GCS).
+    """
+    system, at = _storage(spark, path)
+    found = system.globStatus(at) if any(c in path for c in "*?[") else [system.getFileStatus(at)] if system.exists(at) else None
+    if not found:
+        raise FileNotFoundError(path)
+    files: dict[str, tuple[str, int]] = {}
+    for status in found:
+        top = status.getPath().toString()
+        walk = system.listFiles(status.getPath(), True)
+        while walk.hasNext():
+            own = walk.next()
+            name = own.getPath().toString()
+            if own.getPath().getName()[0] not in "._":
+                files[name] = (name.removeprefix(top).lstrip("/") or own.getPath().getName(), own.getLen())
+    small = [f for f, (_, n) in files.items() if 0 < n <= whole_bytes]
+    digests = {f: "" for f, (_, n) in files.items() if n == 0}
+    if small:
+        rows = spark.read.format("binaryFile").load([escaped(f) for f in small])
+        starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(LEAF_BYTES).cast("long"))
+        leaves = F.transform(starts, lambda k: F.sha2(F.substr("content", (k + 1).cast("int"), F.lit(LEAF_BYTES)), 256))
+        for r in rows.select("path", F.sha2(F.array_join(leaves, "").cast("binary"), 256).alias("digest")).collect():  # a row for each file
+            digests[plain_path(spark, r.path) if "%" in r.path else r.path] = r.digest
+    if large := [(f, n) for f, (_, n) in files.items() if n > whole_bytes]:
+        digests |= _ranged_digests(spark, large)
     total = hashlib.sha256()
-    for p in sorted(root.rglob("*")) if root.is_dir() else [root]:
-        if p.is_file():
-            total.update(p.name.encode())
-            with p.open("rb") as f:
-                while part := f.read(1 << 20):
-                    total.update(part)
+    for f, (name, size) in sorted(files.items(), key=lambda x: x[1]):
+        total.update(f"{name}\n{size}\n{digests[f]}\n".encode())
     return total.hexdigest()
 
 
+def _ranged_digests(spark: SparkSession, files: list[tuple[str, int]]) -> dict[str, str]:
+    """Digests of large files, whose leaves are hashed by tasks, some at a time."""
+    leaves = [(f, n, k) for f, n in files for k in range(0, n, 16 * LEAF_BYTES)]
+    ranges = spark.createDataFrame(leaves, "file string, size long, start long").repartition(min(len(leaves), 100_000), "file", "start")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from plumbline.sources.capture import opened
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                out = []
+                with opened(r["file"]) as f:
+                    f.seek(r["start"])
+                    for place in range(r["start"], min(r["size"], r["start"] + 16 * LEAF_BYTES), LEAF_BYTES):
+                        out.append((r["file"], place, hashlib.sha256(f.read(LEAF_BYTES)).hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["file", "place", "leaf"])
+
+    each = ranges.mapInArrow(run, "file string, place long, leaf string")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "leaf"))), lambda x: x["leaf"]), "")
+    rows = each.groupBy("file").agg(F.sha2(joined.cast("binary"), 256).alias("digest")).collect()  # a row for each large file
+    return {r.file: r.digest for r in rows}
+
+
 def load(
     spark: SparkSession,
     path: str,
@@ -235,7 +293,7 @@ def load(
     other = read_dataset(spark, reference, event_type) if reference else None
     if other is not None and strip_names:
         other = other.toDF(*[c.strip() for c in other.columns])
-    return Dataset(df, Roles(**found), declared, seed, config | {"raw_columns": raw}, other, Path(path).name, fingerprint(path))
+    return Dataset(df, Roles(**found), declared, seed, config | {"raw_columns": raw}, other, Path(path).name, fingerprint(spark, path))
 
 
 def write_table(df: DataFrame, path: str) -> None:

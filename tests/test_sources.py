@@ -120,3 +120,25 @@ def test_csv_cells_do_not_depend_on_other_lines(spark, tmp_path):
     got = readers.read_dataset(spark, str(tmp_path))
     assert sorted((r.a, r.b) for r in got.collect()) == [(1, 'say "hi" now')] * 4 + [(2, '5" pipe'), (3, "two\nlines"), (4, "été")]
     assert {r["__source_file"] for r in got.select("__source_file").collect()} >= {"lone.csv", "open.csv"}
+
+
+def test_a_fingerprint_depends_on_names_and_bytes_alone(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    (tmp_path / "d" / "a b.bin").write_bytes(bytes(range(256)) * 40_000)  # leaves of 4 MB: three
+    (tmp_path / "d" / "sub" / "c.bin").write_bytes(b"x")
+    (tmp_path / "d" / "empty").write_bytes(b"")
+    (tmp_path / "d" / "_hidden").write_bytes(b"no")
+    whole = readers.fingerprint(spark, str(tmp_path / "d"))
+    assert whole == readers.fingerprint(spark, f"file://{tmp_path}/d", whole_bytes=1_000) == readers.fingerprint(spark, str(tmp_path / "d"), whole_bytes=0)
+    total = hashlib.sha256()
+    for name in ("a b.bin", "empty", "sub/c.bin"):
+        data = (tmp_path / "d" / name).read_bytes()
+        leaves = "".join(hashlib.sha256(data[k : k + (4 << 20)]).hexdigest() for k in range(0, len(data), 4 << 20))
+        total.update(f"{name}\n{len(data)}\n{hashlib.sha256(leaves.encode()).hexdigest() if data else ''}\n".encode())
+    assert whole == total.hexdigest()
+    (tmp_path / "d" / "sub" / "c.bin").write_bytes(b"y")
+    assert readers.fingerprint(spark, str(tmp_path / "d")) != whole
+    with pytest.raises(FileNotFoundError):
+        readers.fingerprint(spark, str(tmp_path / "none"))
