@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import Forest, connected_components
-from plumbline.operators.groups import bound_batches, map_sorted_groups
+from plumbline.operators.groups import added_up, bound_batches, map_sorted_groups
 from plumbline.session import cut
 
 #: Classes beyond which a label is no label.
@@ -27,8 +27,7 @@ PAIRS, SENT_BYTES = 4_000_000, 64 << 20
 def _moments(rows: DataFrame) -> DataFrame:
     """(y, n, sums, products): each class's number of rows, sums of columns, and sums of their products, as doubles in bytes.
 
-    Tasks add up their own rows; a fold adds up a class's tasks, first each
-    share of them, and holds one class at a time.
+    Tasks add up their own rows, and a fold their sums.
     """
     schema = "y string, salt int, n long, sums binary, products binary"
 
@@ -52,24 +51,8 @@ def _moments(rows: DataFrame) -> DataFrame:
                 parts = {}
         yield from out(parts, salt)
 
-    def added(batches):
-        last, held = None, None
-        for batch in batches:
-            for y, salt, n, s, g in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                now = (n, np.frombuffer(s), np.frombuffer(g))
-                if (y, salt) != last:
-                    if last is not None:
-                        yield from out({last[0]: held}, last[1])
-                    last, held = (y, salt), now
-                else:
-                    held = tuple(a + b for a, b in zip(held, now, strict=True))
-        if last is not None:
-            yield from out({last[0]: held}, last[1])
-
     bound_batches(rows.sparkSession)
-    partly = rows.select("y", "x").mapInArrow(own, schema)
-    partly = partly.repartition("y", "salt").sortWithinPartitions("y", "salt").mapInArrow(added, schema).withColumn("salt", F.lit(0))
-    return partly.repartition("y").sortWithinPartitions("y").mapInArrow(added, schema).drop("salt")
+    return added_up(rows.select("y", "x").mapInArrow(own, schema), "y", ["sums", "products"])
 
 
 def directions(rows: DataFrame, least_rows: int = 40) -> DataFrame:

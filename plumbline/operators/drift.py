@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import edges_below
-from plumbline.model import q
+from plumbline.model import CheckSkipped, q
 from plumbline.operators import ranks
+from plumbline.operators.groups import added_up
+from plumbline.operators.ml import clean
 from plumbline.operators.shortcuts import names_identifier
 from plumbline.session import cut
 
@@ -201,3 +207,69 @@ def recall_drop(by_class: DataFrame) -> DataFrame:
 
 def model_columns(columns: list[str]) -> list[str]:
     return [c for c in columns if not names_identifier(c)]
+
+
+#: Random Fourier features, and draws of weights for the limit.
+FEATURES, DRAWS = 256, 100
+
+
+def _poisson(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """A Poisson weight of mean one for each row and draw, by hashes of the row's number: the same wherever it stands."""
+    x = ids.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
+    for shift in (30, 27, 31):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0x94D049BB133111EB)
+    uniform = (x >> np.uint64(11)).astype(float) / (1 << 53)
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    return np.searchsorted(steps, uniform, side="right").astype(float)
+
+
+def mmd(reference: DataFrame, batch: DataFrame, columns: list[str], row_id: str, seed: int = 42, features: int = FEATURES, draws: int = DRAWS) -> dict[str, float]:
+    """Squared maximum mean discrepancy of two tables: {mmd2, limit, drifted, n_reference, n_batch}.
+
+    Columns are standardised by the reference; the kernel is Gaussian with the
+    number of columns as its squared width. Means of ``features`` random
+    Fourier features (a cosine and a sine each) stand for kernel sums, with an
+    error of about 1 / sqrt(features), so both tables are read once in one
+    aggregate and no pair of rows is looked at. The limit is the 99th
+    percentile of what the means move by under Poisson weights of the rows
+    (a bootstrap, drawn by hashes of ids): beyond it the tables differ.
+    """
+    stats = reference.agg(*[f(clean(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = F.array(*[(clean(c) - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0) for i, c in enumerate(columns)])
+    side = lambda df, name: df.select(F.lit(name).alias("side"), F.xxhash64(q(row_id)).alias("id"), scaled.alias("x"))
+    both = side(reference, "reference").unionByName(side(batch, "batch"))
+    rng = np.random.default_rng(seed)
+    turn = rng.standard_normal((len(columns), features)) / math.sqrt(len(columns))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        salt, parts = TaskContext.get().partitionId() % 32, {}
+        for part in batches:
+            names = np.array(part.column(0).to_pylist(), object)
+            ids, x = part.column(1).to_numpy(), part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, len(columns))
+            for a in range(0, len(names), 4096):
+                angle = x[a : a + 4096] @ turn
+                phi = np.concatenate((np.cos(angle), np.sin(angle)), axis=1) / math.sqrt(features)
+                weights = _poisson(ids[a : a + 4096], draws, seed)
+                for name in set(names[a : a + 4096].tolist()):
+                    own = names[a : a + 4096] == name
+                    now = (int(own.sum()), phi[own].sum(axis=0), weights[own].sum(axis=0), weights[own].T @ phi[own])
+                    held = parts.get(name)
+                    parts[name] = now if held is None else tuple(p + n for p, n in zip(held, now, strict=True))
+        for name, (n, total, drawn, moved) in parts.items():
+            cells = [pa.array([name]), pa.array([salt], pa.int32()), pa.array([n], pa.int64()), *(pa.array([v.tobytes()]) for v in (total, drawn, moved))]
+            yield pa.RecordBatch.from_arrays(cells, ["side", "salt", "n", "total", "drawn", "moved"])
+
+    schema = "side string, salt int, n long, total binary, drawn binary, moved binary"
+    sums = {r.side: r for r in added_up(both.mapInArrow(run, schema), "side", ["total", "drawn", "moved"]).collect()}  # two rows
+    if len(sums) < 2:
+        raise CheckSkipped("one of the tables has no row")
+    means, moves = {}, {}
+    for name, r in sums.items():
+        means[name] = np.frombuffer(r.total) / r.n
+        drawn = np.maximum(np.frombuffer(r.drawn), 1.0)
+        moves[name] = np.frombuffer(r.moved).reshape(draws, -1) / drawn[:, None] - means[name]
+    mmd2 = float(((means["reference"] - means["batch"]) ** 2).sum())
+    limit = float(np.quantile(((moves["reference"] - moves["batch"]) ** 2).sum(axis=1), 0.99))
+    return {"mmd2": mmd2, "limit": limit, "drifted": mmd2 > limit, "n_reference": sums["reference"].n, "n_batch": sums["batch"].n}

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, whatever its rows' lengths; a row that is longer is a batch by itself.
 BATCH_BYTES = 1 << 20
@@ -88,3 +89,37 @@ def map_sorted_groups(
             yield as_batch([got])
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def added_up(partial: DataFrame, key: str, arrays: list[str]) -> DataFrame:
+    """(key, n, arrays...): sums of ``n`` and of arrays of doubles in bytes, of (key, salt, n, arrays...) with a row for each task.
+
+    First each share of the tasks (``salt``) is added up, then the shares, by
+    tasks that hold one sum at a time.
+    """
+    schema = f"{key} string, salt int, n long, " + ", ".join(f"{a} binary" for a in arrays)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+
+        def out():
+            cells = [pa.array([last[0]], pa.string()), pa.array([last[1]], pa.int32()), pa.array([held[0]], pa.int64())]
+            return pa.RecordBatch.from_arrays([*cells, *(pa.array([a.tobytes()]) for a in held[1:])], [key, "salt", "n", *arrays])
+
+        for batch in batches:
+            for own, salt, n, *sums in zip(*(batch.column(k).to_pylist() for k in range(3 + len(arrays))), strict=True):
+                now = [n, *map(np.frombuffer, sums)]
+                if (own, salt) == last:
+                    held = [a + b for a, b in zip(held, now, strict=True)]
+                else:
+                    if last is not None:
+                        yield out()
+                    last, held = (own, salt), now
+        if last is not None:
+            yield out()
+
+    bound_batches(partial.sparkSession)
+    for keys in ([key, "salt"], [key]):
+        partial = partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+        partial = partial.withColumn("salt", F.lit(0))
+    return partial.drop("salt")

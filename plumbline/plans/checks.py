@@ -477,3 +477,12 @@ def validity_types(data: Dataset) -> list[Finding]:
     if padded:
         out.append(Finding("validity.types", "low", "Values with outer blanks", metric={"columns": padded}))
     return out
+
+
+@register("drift.mmd", "domain")
+def drift_mmd(data: Dataset) -> list[Finding]:
+    columns = _common(data)
+    if not columns:
+        raise CheckSkipped("no numeric column in common")
+    r = drift.mmd(_reference(data), data.df, columns, row_id_of(data), data.seed)
+    return [Finding("drift.mmd", graded(r["mmd2"] / max(r["limit"], 1e-300), (10, "high"), other="medium"), "The joint distribution changed", metric=r)] if r["drifted"] else []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import density, flows, leakage, poison, validity, windows
+from plumbline.operators import density, drift, flows, leakage, poison, validity, windows
 from plumbline.plans.registry import over, query, rounded, vectors
 
 # Windows of two hours after each error of a user, and short ones for everybody after a few sign-ups; times are seconds.
@@ -138,3 +138,14 @@ SELECT "column", n_values, n_padded, {pick(lambda k: f"'{k}'", "'text'")} AS kin
 @query(_kinds_sql())
 def validity_types(spark, sf_dir):
     return validity.kinds_of(over(spark, sf_dir, TYPED, "events"), list("abcdefghi"))
+
+
+@query()
+def drift_mmd(spark, sf_dir):
+    """Two halves of the events, and one half against the other with its value moved."""
+    rows = over(spark, sf_dir, "SELECT event_id, value AS a, CAST(user_id AS DOUBLE) AS b, event_id % 2 AS half FROM events", "events")
+    one, two = rows.where("half = 0"), rows.where("half = 1")
+    moved = two.withColumn("a", F.col("a") * 1.5)
+    found = [(name, drift.mmd(one, other, ["a", "b"], "event_id")) for name, other in (("same", two), ("moved", moved))]
+    cells = [(name, r["n_reference"], r["n_batch"], r["mmd2"], r["limit"], r["drifted"]) for name, r in found]
+    return rounded(spark.createDataFrame(cells, "batch string, n_reference long, n_batch long, mmd2 double, limit double, drifted boolean"), "mmd2", "limit")

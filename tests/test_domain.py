@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.model import CheckSkipped, Dataset, Roles
-from plumbline.operators import leakage, poison, splits, windows
+from plumbline.operators import drift, leakage, poison, splits, validity, windows
 from plumbline.plans import audit, checks, fixes
 
 
@@ -123,3 +123,28 @@ def test_shares_outside_of_zero_and_one_are_refused(spark):
 def test_domain_audit_runs(spark):
     report = audit.run_audit(dataset(spark), "all", "domain")
     assert not report.errors and {"labels.window", "leak.random_split"} <= set(report.skipped)
+
+
+def test_mmd_is_near_the_kernel_sum_and_silent_on_halves(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 3))
+    y = np.concatenate((x[600:, :2], 0.9 * x[600:, :1] + 0.3 * x[600:, 2:]), axis=1)  # the same margins, another joint distribution
+    frame = lambda rows, start: spark.createDataFrame([(start + i, *map(float, r)) for i, r in enumerate(rows)], "id long, a double, b double, c double").repartition(5)
+    one, two, bent = frame(x[:600], 0), frame(x[600:], 5000), frame(y, 5000)
+    same = drift.mmd(one, two, ["a", "b", "c"], "id")
+    assert not same["drifted"] and same == drift.mmd(one.repartition(2), two, ["a", "b", "c"], "id") | {k: pytest.approx(same[k]) for k in ("mmd2", "limit")}
+    found = drift.mmd(one, bent, ["a", "b", "c"], "id", features=4096)
+    scale = lambda v: (v - x[:600].mean(axis=0)) / x[:600].std(axis=0)
+    kernel = lambda u, v: np.exp(-((scale(u)[:, None, :] - scale(v)[None, :, :]) ** 2).sum(axis=2) / 6).mean()
+    want = kernel(x[:600], x[:600]) + kernel(y, y) - 2 * kernel(x[:600], y)
+    assert found["drifted"] and found["mmd2"] == pytest.approx(want, abs=2 / np.sqrt(4096) * np.sqrt(want) + 1e-4)
+
+
+def test_kinds_of_text_columns(spark):
+    rows = [(str(i), f" {i}.5", "yes" if i % 2 else "No", "2024-01-0%d" % (i % 9 + 1), "10.0.0.1", "x" if i == 7 else str(i), None, "") for i in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in "abcdefgh"))
+    got = {r.column: (r.kind, r.n_values, r.n_padded, r.n_odd, r.odd_example) for r in validity.kinds_of(df, list("abcdefgh")).collect()}
+    assert got == {"a": ("whole", 200, 0, 0, None), "b": ("number", 200, 200, 0, None), "c": ("truth", 200, 0, 0, None), "d": ("time", 200, 0, 0, None),
+                   "e": ("address", 200, 0, 0, None), "f": ("whole", 200, 0, 1, "x"), "g": ("text", 0, 0, 0, None), "h": ("text", 0, 0, 0, None)}
+    found = checks.select("validity.types")[0].run(Dataset(df))
+    assert {f.severity for f in found} == {"low", "medium"} and sum("as text" in f.title for f in found) == 5
