@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import density, drift, flows, leakage, poison, validity, windows
 from plumbline.plans.registry import over, query, rounded, vectors
+from plumbline.streaming import change_detectors
 
 # Windows of two hours after each error of a user, and short ones for everybody after a few sign-ups; times are seconds.
 MICROS = "unix_micros(from_utc_timestamp(CAST(ts AS TIMESTAMP), current_timezone()))"  # of the clock's face, whatever the session's zone
@@ -149,3 +150,10 @@ def drift_mmd(spark, sf_dir):
     found = [(name, drift.mmd(one, other, ["a", "b"], "event_id")) for name, other in (("same", two), ("moved", moved))]
     cells = [(name, r["n_reference"], r["n_batch"], r["mmd2"], r["limit"], r["drifted"]) for name, r in found]
     return rounded(spark.createDataFrame(cells, "batch string, n_reference long, n_batch long, mmd2 double, limit double, drifted boolean"), "mmd2", "limit")
+
+
+@query()
+def drift_changes(spark, sf_dir):
+    """Changes of the events' values by type, which rise for a while in the middle."""
+    rows = over(spark, sf_dir, f"SELECT event_type, event_id, {SECONDS} AS s, value + CASE WHEN dayofyear(ts) BETWEEN 10 AND 20 AND event_type IN ('view', 'error') THEN 40 ELSE 0 END AS value FROM events", "events")
+    return rounded(change_detectors.changes(rows, "event_type", "s", "value", ["event_id"], "window", 43_200.0), "before", "after")
