@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import density, drift, flows, leakage, poison, validity, windows
 from plumbline.plans.registry import over, query, rounded, vectors
-from plumbline.streaming import change_detectors
+from plumbline.streaming import change_detectors, late_labels
 
 # Windows of two hours after each error of a user, and short ones for everybody after a few sign-ups; times are seconds.
 MICROS = "unix_micros(from_utc_timestamp(CAST(ts AS TIMESTAMP), current_timezone()))"  # of the clock's face, whatever the session's zone
@@ -157,3 +157,21 @@ def drift_changes(spark, sf_dir):
     """Changes of the events' values by type, which rise for a while in the middle."""
     rows = over(spark, sf_dir, f"SELECT event_type, event_id, {SECONDS} AS s, value + CASE WHEN dayofyear(ts) BETWEEN 10 AND 20 AND event_type IN ('view', 'error') THEN 40 ELSE 0 END AS value FROM events", "events")
     return rounded(change_detectors.changes(rows, "event_type", "s", "value", ["event_id"], "window", 43_200.0), "before", "after")
+
+
+LATE = """WITH p AS (SELECT event_id AS id, ts, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS predicted FROM events),
+ l AS (SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN value > CASE WHEN dayofyear(ts) BETWEEN 10 AND 15 THEN 80 ELSE 52 END THEN 'high' ELSE 'low' END AS label, ts + {delay} AS told FROM events)"""
+
+
+@query(
+    LATE.format(delay="to_hours(CAST(event_id % 40 AS BIGINT))")
+    + """, m AS (SELECT date_trunc('day', ts) AS start, label, predicted FROM p JOIN l USING (id) WHERE label IS NOT NULL AND told >= ts AND told <= ts + INTERVAL 1 DAY),
+ t AS (SELECT start, label AS class, count(*) AS t, count(*) FILTER (WHERE label = predicted) AS h FROM m GROUP BY start, label), s AS (SELECT start, predicted AS class, count(*) AS s FROM m GROUP BY start, predicted)
+SELECT start, CAST(sum(t) AS BIGINT) AS n, round(sum(h) / sum(t), 6) AS accuracy, round(avg(2.0 * h / (t + coalesce(s, 0))), 6) AS f1_macro, sum(t) >= 30 AND avg(2.0 * h / (t + coalesce(s, 0))) < 0.8 AS alert FROM t LEFT JOIN s USING (start, class) GROUP BY start"""
+)
+def drift_late_labels(spark, sf_dir):
+    p = over(spark, sf_dir, "SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS predicted FROM events", "events")
+    told = over(spark, sf_dir, """SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN value > CASE WHEN dayofyear(ts) BETWEEN 10 AND 15 THEN 80 ELSE 52 END THEN 'high' ELSE 'low' END AS label,
+ CAST(ts AS TIMESTAMP) + make_dt_interval(0, CAST(event_id % 40 AS INT)) AS told FROM events""", "events")
+    counted = late_labels.confusions(late_labels.matched(p, told, "id", "ts", "told", "1 day"), "ts", "predicted", "1 day")
+    return rounded(late_labels.performance(counted, 0.9).withColumn("start", F.col("start").cast("timestamp_ntz")), "accuracy", "f1_macro")
