@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from dataclasses import replace
 from datetime import datetime, timezone
 from functools import reduce
 from pathlib import Path
@@ -14,14 +15,34 @@ from plumbline import __version__
 from plumbline.model import CheckSkipped, Dataset, Report
 from plumbline.operators import poison
 from plumbline.plans import checks
+from plumbline.session import shared_folder
+
+
+def read_once(data: Dataset) -> Dataset:
+    """The dataset with its tables as Parquet in the shared folder, if they are read from a format that isn't columnar.
+
+    Checks then read the columns that they need, and text is parsed once,
+    however many checks there are. What they flag reads the copy too, so it
+    stays as long as the shared folder keeps it.
+    """
+
+    def kept(df: DataFrame) -> DataFrame:
+        folder = shared_folder(df.sparkSession, "audit")
+        df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"}).write.parquet(folder)
+        return df.sparkSession.read.parquet(folder)
+
+    return replace(data, df=kept(data.df), reference=None if data.reference is None else kept(data.reference))
 
 
 def run_audit(data: Dataset, wanted: list[str] | str = "all", module: str = "auditor") -> Report:
+    chosen = checks.select(wanted, module)
+    if data.option("parsed", False) and len(chosen) > 1:
+        data = read_once(data)
     report = Report(
         {"name": data.name, "columns": len(data.df.columns), "rows": data.df.count(), "fingerprint": data.fingerprint},
         {"version": __version__, "seed": data.seed, "module": module, "at": datetime.now(timezone.utc).isoformat()},
     )
-    for check in checks.select(wanted, module):
+    for check in chosen:
         try:
             report.findings += check.run(data)
         except CheckSkipped as why:

@@ -293,7 +293,8 @@ def load(
     other = read_dataset(spark, reference, event_type) if reference else None
     if other is not None and strip_names:
         other = other.toDF(*[c.strip() for c in other.columns])
-    return Dataset(df, Roles(**found), declared, seed, config | {"raw_columns": raw}, other, Path(path).name, fingerprint(spark, path))
+    config |= {"raw_columns": raw, "parsed": _suffix(path) not in PARQUET_SUFFIXES}
+    return Dataset(df, Roles(**found), declared, seed, config, other, Path(path).name, fingerprint(spark, path))
 
 
 def write_table(df: DataFrame, path: str) -> None:

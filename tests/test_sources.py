@@ -1,6 +1,7 @@
 """The same rows come back from every format; files with quirks are read as said."""
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 
@@ -142,3 +143,25 @@ def test_a_fingerprint_depends_on_names_and_bytes_alone(spark, tmp_path, monkeyp
     assert readers.fingerprint(spark, str(tmp_path / "d")) != whole
     with pytest.raises(FileNotFoundError):
         readers.fingerprint(spark, str(tmp_path / "none"))
+
+
+def test_an_audit_parses_text_once(spark, tmp_path, monkeypatch):
+    """Findings are those of an audit that reads the file for every check; the file is gone before the first check runs."""
+    from plumbline.plans import audit
+
+    path = tmp_path / "a.csv"
+    path.write_text("x,y,Label,split\n" + "".join(f"{i % 5},{i % 3},{'a' if i % 5 else 'b'},{'train' if i % 2 else 'test'}\n" for i in range(80)))
+    data = readers.load(spark, str(path))
+    told = lambda report: [(f.check_id, f.severity, f.title, f.affected_rows) for f in report.ordered()]
+    wanted = ["validity", "dup", "labels.conflict", "leak"]
+    plain = audit.run_audit(replace(data, config=data.config | {"parsed": False}), wanted)
+    real = audit.read_once
+
+    def once(given):
+        out = real(given)
+        path.rename(tmp_path / "moved")
+        return out
+
+    monkeypatch.setattr(audit, "read_once", once)
+    report = audit.run_audit(data, wanted)
+    assert told(report) == told(plain) and told(report) and not report.errors
