@@ -27,3 +27,8 @@ def edges_below(value: Column, cuts: list[float]) -> Column:
 def normal_form(label: Column) -> Column:
     """A label without case and marks: what its spellings share."""
     return F.trim(F.regexp_replace(F.lower(label.cast("string")), "[^a-z0-9]+", " "))
+
+
+def source_file() -> Column:
+    """The name of the file that a row was read from, whose odd characters Spark encodes."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("__source_file")

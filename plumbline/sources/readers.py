@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
+from plumbline.functions.columns import source_file
 from plumbline.model import ROLE_NAMES, Dataset, Roles, q
 from plumbline.operators import validity
 from plumbline.sources.capture import CAPTURE_SUFFIXES, read_capture
 from plumbline.sources.profiles import get_profile, group_labels
 from plumbline.sources.suricata import read_eve
-from plumbline.sources.zeek import read_zeek
+from plumbline.sources.zeek import read_body, read_header, read_zeek
 
 CSV_SUFFIXES = (".csv", ".txt", ".binetflow", ".2format")
 PARQUET_SUFFIXES = (".parquet", ".pq")
@@ -68,7 +69,7 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...
     alike: dict[tuple[bool, bool], list[str]] = {}
     for r in sorted(told, key=lambda r: r.file):
         alike.setdefault((bool(r.bad), bool(r.open)), []).append(r.file)
-    file = [F.col("_metadata.file_name").alias("__source_file")] if with_file else []
+    file = [source_file()] if with_file else []
     parts, names = [], list(columns)
     for (bad, lines), files in alike.items() or [((False, False), path)]:
         how = {"header": not columns, "encoding": "windows-1252" if bad else "UTF-8", "nullValue": "", "mode": "PERMISSIVE"}
@@ -163,12 +164,38 @@ def files_below(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
+def read_logs(spark: SparkSession, files: list[str], event_type: str | None) -> list[DataFrame]:
+    """Logs and JSON files with __source_file: one read for all of a header, one for all events, one for all other JSON rows.
+
+    What a file holds is told by its leading lines, which one job finds for all files.
+    """
+    at = spark.read.text([escaped(f) for f in files]).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    text = F.trim("value")
+    lines = at.where((text != "") & (F.col("block") == 0))
+    place = F.struct("n", "value")
+    head = F.when(F.col("value").startswith("#") & (F.length("value") < 100_000), place)
+    told = lines.groupBy("file").agg(F.min_by("value", "n").alias("first"), F.slice(F.array_sort(F.collect_set(head)), 1, 64).alias("head")).collect()  # a row for each file
+    events, objects, logs = [], [], {}
+    for r in sorted(told, key=lambda r: r.file):
+        file = plain_path(spark, r.file)
+        if r.first.lstrip().startswith(("{", "[")):
+            (events if _suffix(file) in JSON_SUFFIXES and '"event_type"' in r.first else objects).append(escaped(file))
+        else:
+            header = read_header([x.value for x in r.head if x.value.startswith(("#separator", "#unset_field", "#empty_field", "#fields", "#types", "#set_separator"))])
+            logs.setdefault(repr(header), (header, []))[1].append(escaped(file))
+    out = [read_body(spark, own, header, with_file=True) for header, own in logs.values()]
+    if objects:
+        out.append(spark.read.json(objects).select("*", source_file()))
+    if events:
+        out.append(read_eve(spark, events, event_type, with_file=True))
+    return out
+
+
 def read_dataset(spark: SparkSession, path: str, event_type: str | None = "flow", columns: tuple[str, ...] = ()) -> DataFrame:
     """A file, a glob that Spark reads, or a folder on any storage: all readable files, united by name, with __source_file.
 
     Of a folder, CSV files of one header are one read, and so are Parquet
-    files; logs and JSON files, whose fields their content tells, are read one
-    by one.
+    files, logs of one header, and JSON files of events and of rows.
     """
     if not any(c in path for c in "*?["):
         system, at = _storage(spark, path)
@@ -188,9 +215,9 @@ def read_dataset(spark: SparkSession, path: str, event_type: str | None = "flow"
             groups.setdefault("" if columns else line, []).append(file)
         frames += [read_csv(spark, group, columns, with_file=True) for group in groups.values()]
     if tables := by_suffix(PARQUET_SUFFIXES):
-        frames.append(spark.read.option("mergeSchema", "true").parquet(*tables).select("*", F.col("_metadata.file_name").alias("__source_file")))
-    for file in by_suffix(LOG_SUFFIXES + JSON_SUFFIXES):
-        frames.append(read_file(spark, file, event_type, columns).withColumn("__source_file", F.lit(file.rsplit("/", 1)[-1])))
+        frames.append(spark.read.option("mergeSchema", "true").parquet(*tables).select("*", source_file()))
+    if tables := by_suffix(LOG_SUFFIXES + JSON_SUFFIXES):
+        frames += read_logs(spark, tables, event_type)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), widened(frames))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plumbline.functions.columns import source_file
 from plumbline.model import q
 
 DEPTH = 3
@@ -34,9 +35,11 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.select(*[q(c) for i, c in enumerate(df.columns) if row[i]])
 
 
-def read_eve(spark: SparkSession, path: str, event_type: str | None = "flow") -> DataFrame:
+def read_eve(spark: SparkSession, path: str | list[str], event_type: str | None = "flow", with_file: bool = False) -> DataFrame:
     """Events of one type, flattened, without empty columns; all events if ``event_type`` is None."""
     df = spark.read.json(path)
+    if with_file:
+        df = df.select("*", source_file())
     if event_type is not None:
         kept = df.where(F.col("event_type") == event_type)
         if kept.isEmpty():

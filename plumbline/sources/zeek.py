@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from plumbline.functions.columns import source_file
 from plumbline.model import q
 
 # Header types that become numbers.
@@ -50,7 +51,11 @@ def read_zeek(spark: SparkSession, path: str) -> DataFrame:
     if is_json(spark, path):
         return spark.read.json(path)
     head = [r.value for r in spark.read.text(path).where(F.col("value").startswith("#")).limit(64).collect()]
-    header = read_header(head)
+    return read_body(spark, path, read_header(head))
+
+
+def read_body(spark: SparkSession, path: str | list[str], header: dict, with_file: bool = False) -> DataFrame:
+    """The rows of text logs of one header."""
     names = header["fields"]
     schema = StructType([StructField(n, StringType()) for n in names])
     body = spark.read.csv(
@@ -62,4 +67,4 @@ def read_zeek(spark: SparkSession, path: str) -> DataFrame:
         value = F.nullif(F.rtrim(q(name)), F.lit(header["empty_field"]))
         value = value.try_cast("bigint") if kind in INTEGERS else value.try_cast("double") if kind in DOUBLES else value
         out.append(value.alias(name))
-    return body.select(*out)
+    return body.select(*out, *([source_file()] if with_file else []))

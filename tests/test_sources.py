@@ -165,3 +165,18 @@ def test_an_audit_parses_text_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(audit, "read_once", once)
     report = audit.run_audit(data, wanted)
     assert told(report) == told(plain) and told(report) and not report.errors
+
+
+def test_a_folder_of_logs_is_one_read_for_each_header(spark, tmp_path):
+    head = "#separator \\x09\n#unset_field\t-\n#empty_field\t(empty)\n#open\t{k}\n#fields\tts\t{name}\n#types\ttime\tcount\n"
+    for k in range(4):
+        (tmp_path / f"conn {k}.log").write_text(head.format(k=k, name="n" if k < 3 else "other") + f"{k}.5\t{k}\n#close\tx\n")
+    (tmp_path / "rows.json").write_text('{"ts": 9.5, "n": 7}\n')
+    for k in range(2):
+        (tmp_path / f"eve{k}.json").write_text(f'{{"event_type": "flow", "src_ip": "h{k}", "flow": {{"pkts": {k}}}}}\n{{"event_type": "alert"}}\n')
+    frames = readers.read_logs(spark, readers.files_below(spark, str(tmp_path)), "flow")
+    assert len(frames) == 4  # two headers, rows, events
+    got = sorted((r["__source_file"], r.ts, r.n, r.other, r.src_ip, r.flow_pkts) for r in readers.read_dataset(spark, str(tmp_path)).collect())
+    want = [(f"conn {k}.log", k + 0.5, k if k < 3 else None, 3 if k == 3 else None, None, None) for k in range(4)]
+    want += [(f"eve{k}.json", None, None, None, f"h{k}", k) for k in range(2)] + [("rows.json", 9.5, 7, None, None, None)]
+    assert got == sorted(want)
