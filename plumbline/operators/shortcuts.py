@@ -70,9 +70,9 @@ def single_feature(df: DataFrame, features: list[str], numeric: list[str], label
     """
     if not features:
         return df.sparkSession.createDataFrame([], "column string, balanced_accuracy double")
-    kinds = [F.approx_count_distinct(F.coalesce(q(c).cast("string"), F.lit("\x00")), 0.02).alias(f"d{i}") for i, c in enumerate(features)]
+    kinds = [F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(features)]
     seen = df.agg(F.count(F.lit(1)).alias("n"), *kinds).first()
-    sure = [c for i, c in enumerate(features) if seen[f"d{i}"] > 1.3 * max(2, 0.3 * seen.n)]
+    sure = [c for i, c in enumerate(features) if seen[f"d{i}"] > 1.8 * max(2, 0.3 * seen.n)]
     rest = [c for c in features if c not in sure]
     counted = cut(value_counts(df, {c: q(c) for c in rest}, label)) if rest else df.sparkSession.createDataFrame([], "column string, v string, y string, n long")
     by_value = counted.groupBy("column", "v").agg(F.sum("n").alias("n"))
