@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from plumbline.model import SESSION_ROLES, CheckSkipped, Dataset, Finding, q
-from plumbline.operators import drift, duplicates, flows, labels, leakage, ml, poison, shortcuts, validity, windows
+from plumbline.operators import drift, duplicates, flows, importance, labels, leakage, ml, poison, shortcuts, validity, windows
 from plumbline.operators.shortcuts import names_identifier
 
 
@@ -479,6 +479,30 @@ def validity_types(data: Dataset) -> list[Finding]:
     return out
 
 
+@register("shortcut.importance", "domain")
+def shortcut_importance(data: Dataset) -> list[Finding]:
+    """A baseline that needs few of many columns, or one whose name says that it identifies: option ``importance_share`` (0.8)."""
+    data.require("label")
+    row = row_id_of(data)
+    columns = [c for c in data.numeric if c != row]
+    if len(columns) < 4:
+        raise CheckSkipped("fewer than four numeric columns")
+    model, classes, gain = importance.baseline(data.df, columns, data.roles.label, row, data.seed)
+    if gain < 0.25:
+        raise CheckSkipped(f"a simple model tells the classes too badly (skill {gain:.2f})")
+    known = data.df.where(q(data.roles.label).isNotNull())
+    rows = importance.importance(known, columns, importance.paths_of(importance.forest_nodes(model), importance.DEPTH)).collect()
+    shares = sorted(((r.share, r.column) for r in rows), key=lambda x: (-x[0], x[1]))
+    limit = data.option("importance_share", 0.8)
+    few = shares[: max(1, len(columns) // 10)]
+    named = [c for share, c in shares if share >= 0.1 and names_identifier(c)]
+    if sum(share for share, _ in few) < limit and not named:
+        return []
+    examples = [{"column": c, "share": share, "identifier": names_identifier(c)} for share, c in shares]
+    metric = {"columns": [c for _, c in few], "share": sum(share for share, _ in few), "identifiers": named, "skill": gain, "classes": len(classes)}
+    return [Finding("shortcut.importance", "high" if named else "medium", "The baseline rests on few columns", metric=metric, examples=examples, auto_fix="drop_identifiers" if named else None)]
+
+
 @register("drift.mmd", "domain")
 def drift_mmd(data: Dataset) -> list[Finding]:
     columns = _common(data)

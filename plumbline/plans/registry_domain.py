@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import density, drift, flows, leakage, poison, validity, windows
+from plumbline.operators import density, drift, flows, importance, leakage, poison, validity, windows
 from plumbline.plans.registry import over, query, rounded, vectors
 from plumbline.streaming import change_detectors, late_labels
 
@@ -141,6 +141,17 @@ def validity_types(spark, sf_dir):
     return validity.kinds_of(over(spark, sf_dir, TYPED, "events"), list("abcdefghi"))
 
 
+@query()
+def shortcut_importance(spark, sf_dir):
+    """What a forest tells late deliveries by: the day of receipt, while price and tax say nothing."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "days", "wait"]
+    df = over(spark, sf_dir, """SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity, l_extendedprice, l_discount, l_tax, datediff(l_shipdate, DATE'1992-01-01') AS days,
+ l_orderkey % 30 AS wait, CASE WHEN l_orderkey % 30 > 20 AND l_quantity > 10 THEN 'late' WHEN l_linenumber = 9 THEN NULL ELSE 'fine' END AS label FROM lineitem""", "lineitem")
+    model, _, _ = importance.baseline(df, columns, "label", "row_id")
+    found = importance.importance(df.where("label IS NOT NULL"), columns, importance.paths_of(importance.forest_nodes(model), importance.DEPTH))
+    return rounded(found, "importance", "share")
+
+
 @query()
 def drift_mmd(spark, sf_dir):
     """Two halves of the events, and one half against the other with its value moved."""
