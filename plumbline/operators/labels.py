@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import normal_form
 from plumbline.model import q
+from plumbline.operators.census import differs
 
 
 def conflict_groups(df: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -27,9 +28,7 @@ def conflicts(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     numbers that are added up in place, says all.
     """
     own = q(label).cast("string")
-    hashes = [F.when(own.isNotNull(), F.xxhash64(F.lit(seed), own)) for seed in (1, 2)]
-    clash = (F.min(hashes[0]) < F.max(hashes[0])) | (F.min(hashes[1]) < F.max(hashes[1]))
-    groups = df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("n_rows"), F.count(own).alias("n_known"), clash.alias("clash"))
+    groups = df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("n_rows"), F.count(own).alias("n_known"), differs(own).alias("clash"))
     found = groups.agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_total"),
         F.count_if("clash").alias("n_groups"),
@@ -45,9 +44,18 @@ def conflict_pairs(df: DataFrame, keys: list[str], label: str, pairs: int = 10)
     return out.orderBy(F.desc("n_rows"), "pair").limit(pairs)
 
 
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    """(label, n) of the labels that aren't null."""
+    return df.where(q(label).isNotNull()).groupBy(q(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def taxonomy(df: DataFrame, label: str) -> DataFrame:
     """(normal_form, n_spellings, spellings, n_rows) of labels spelt in several ways."""
-    counted = df.where(q(label).isNotNull()).groupBy(q(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return taxonomy_of(label_counts(df, label))
+
+
+def taxonomy_of(counted: DataFrame) -> DataFrame:
+    """``taxonomy`` from ``label_counts``."""
     out = counted.groupBy(normal_form(F.col("label")).alias("normal_form")).agg(
         F.count(F.lit(1)).alias("n_spellings"),
         F.array_join(F.array_sort(F.collect_list("label")), "|").alias("spellings"),
@@ -68,7 +76,12 @@ def normalize(df: DataFrame, label: str) -> DataFrame:
 
 def imbalance(df: DataFrame, label: str, least: int = 100) -> DataFrame:
     """(label, n_rows, threshold, ratio) of classes below min(least, a tenth of all rows); ratio: largest to smallest class."""
-    counted = df.where(q(label).isNotNull()).groupBy(q(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return imbalance_of(label_counts(df, label), least)
+
+
+def imbalance_of(counted: DataFrame, least: int = 100) -> DataFrame:
+    """``imbalance`` from ``label_counts``."""
+    counted = counted.withColumnRenamed("n", "n_rows")
     every = counted.agg(  # one row
         F.least(F.lit(least), F.floor(F.sum("n_rows") * 0.1)).cast("long").alias("threshold"),
         (F.max("n_rows") / F.min("n_rows")).alias("ratio"), F.count(F.lit(1)).alias("classes"),

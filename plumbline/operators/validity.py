@@ -42,22 +42,32 @@ def _stacked(df: DataFrame, cells: dict[str, dict[str, Column]]) -> DataFrame:
 
 def nan_inf(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n_null, n_nan, n_inf, n_bad, ratio) of each column; nan and inf exist in floating types only."""
-    cells = {}
-    for c in columns:
-        floating = isinstance(df.schema[c].dataType, (DoubleType, FloatType))
-        cells[c] = {
-            "n_null": F.count_if(q(c).isNull()),
-            "n_nan": F.count_if(F.isnan(q(c))) if floating else F.lit(0).cast("long"),
-            "n_inf": F.count_if(F.abs(q(c)) == INF) if floating else F.lit(0).cast("long"),
-        }
-    bad = F.col("n_null") + F.col("n_nan") + F.col("n_inf")
-    out = _stacked(df, cells).withColumn("n_bad", bad)
+    return missing_of(_stacked(df, {c: _missing(df, c) for c in columns}))
+
+
+def _missing(df: DataFrame, c: str) -> dict[str, Column]:
+    floating = isinstance(df.schema[c].dataType, (DoubleType, FloatType))
+    return {
+        "n_null": F.count_if(q(c).isNull()),
+        "n_nan": F.count_if(F.isnan(q(c))) if floating else F.lit(0).cast("long"),
+        "n_inf": F.count_if(F.abs(q(c)) == INF) if floating else F.lit(0).cast("long"),
+    }
+
+
+def missing_of(counted: DataFrame) -> DataFrame:
+    """``nan_inf`` from counts of each column."""
+    out = counted.withColumn("n_bad", F.col("n_null") + F.col("n_nan") + F.col("n_inf"))
     return out.select("column", "n_null", "n_nan", "n_inf", "n_bad", (F.col("n_bad") / F.col("n_rows")).alias("ratio"))
 
 
 def nan_inf_groups(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns with the same three counts as one row: (columns, n_columns, counts, ratio, severity)."""
-    found = nan_inf(df, columns).where("n_bad > 0")
+    return groups_of(nan_inf(df, columns))
+
+
+def groups_of(missing: DataFrame) -> DataFrame:
+    """``nan_inf_groups`` from ``nan_inf``."""
+    found = missing.where("n_bad > 0")
     grouped = found.groupBy("n_null", "n_nan", "n_inf", "n_bad", "ratio").agg(
         F.array_join(F.array_sort(F.collect_list("column")), ",").alias("columns"), F.count(F.lit(1)).alias("n_columns")
     )
@@ -69,8 +79,16 @@ def nan_inf_groups(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def constant(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n_rows, n_null) of columns with at most one value besides null."""
-    cells = {c: {"least": F.min(q(c)).cast("string"), "most": F.max(q(c)).cast("string"), "n_null": F.count_if(q(c).isNull())} for c in columns}
-    return _stacked(df, cells).where(F.col("least").eqNullSafe(F.col("most"))).select("column", "n_rows", "n_null")
+    return constant_of(_stacked(df, {c: _range(c) | {"n_null": F.count_if(q(c).isNull())} for c in columns}))
+
+
+def _range(c: str) -> dict[str, Column]:
+    return {"least": F.min(q(c)).cast("string"), "most": F.max(q(c)).cast("string")}
+
+
+def constant_of(counted: DataFrame) -> DataFrame:
+    """``constant`` from each column's least and greatest value."""
+    return counted.where(F.col("least").eqNullSafe(F.col("most"))).select("column", "n_rows", "n_null")
 
 
 def name_problems(names: list[str]) -> dict[str, list[str]]:
@@ -89,30 +107,42 @@ def rule_of(column: str) -> tuple[int, int | None] | None:
 
 def impossible(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n_bad, observed_min, observed_max, min_allowed, max_allowed) of columns whose name has a rule that values break."""
-    cells = {}
-    for c in columns:
-        rule = rule_of(c)
-        if rule is None:
-            continue
-        low, high = rule
-        value = q(c).cast("double")
-        bad = value < low
-        if any(part in c.lower() for part in MINUS_ONE_ALLOWED):
-            bad = bad & (value != -1)
-        if high is not None:
-            bad = bad | ((value > high) & ~F.isnan(value))
-        cells[c] = {
-            "n_bad": F.count_if(bad),
-            "observed_min": F.min(value),
-            "observed_max": F.max(value),
-            "min_allowed": F.lit(float(low)),
-            "max_allowed": F.lit(None if high is None else float(high)).cast("double"),
-        }
+    cells = {c: _ruled(c, rule_of(c)) for c in columns if rule_of(c) is not None}
     if not cells:
         return df.sparkSession.createDataFrame(
             [], "column string, n_bad long, observed_min double, observed_max double, min_allowed double, max_allowed double"
         )
-    return _stacked(df, cells).where("n_bad > 0").drop("n_rows")
+    return impossible_of(_stacked(df, cells))
+
+
+def _ruled(c: str, rule: tuple[int, int | None] | None) -> dict[str, Column]:
+    if rule is None:
+        none = F.lit(None).cast("double")
+        return {"n_bad": F.lit(0).cast("long")} | dict.fromkeys(("observed_min", "observed_max", "min_allowed", "max_allowed"), none)
+    low, high = rule
+    value = q(c).cast("double")
+    bad = value < low
+    if any(part in c.lower() for part in MINUS_ONE_ALLOWED):
+        bad = bad & (value != -1)
+    if high is not None:
+        bad = bad | ((value > high) & ~F.isnan(value))
+    return {
+        "n_bad": F.count_if(bad),
+        "observed_min": F.min(value),
+        "observed_max": F.max(value),
+        "min_allowed": F.lit(float(low)),
+        "max_allowed": F.lit(None if high is None else float(high)).cast("double"),
+    }
+
+
+def impossible_of(counted: DataFrame) -> DataFrame:
+    """``impossible`` from each column's broken rules."""
+    return counted.where("n_bad > 0").select("column", "n_bad", "observed_min", "observed_max", "min_allowed", "max_allowed")
+
+
+def facts(df: DataFrame, columns: list[str], numeric: list[str]) -> DataFrame:
+    """All that ``nan_inf``, ``constant`` and ``impossible`` count, in one scan: a row for each column."""
+    return _stacked(df, {c: _missing(df, c) | _range(c) | _ruled(c, rule_of(c) if c in numeric else None) for c in columns})
 
 
 def restorable(df: DataFrame, columns: list[str]) -> DataFrame:

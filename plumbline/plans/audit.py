@@ -15,6 +15,7 @@ from plumbline import __version__
 from plumbline.model import CheckSkipped, Dataset, Report
 from plumbline.operators import poison
 from plumbline.plans import checks
+from plumbline.plans.shared import Shared
 from plumbline.session import shared_folder
 
 
@@ -42,13 +43,18 @@ def run_audit(data: Dataset, wanted: list[str] | str = "all", module: str = "aud
         {"name": data.name, "columns": len(data.df.columns), "rows": data.df.count(), "fingerprint": data.fingerprint},
         {"version": __version__, "seed": data.seed, "module": module, "at": datetime.now(timezone.utc).isoformat()},
     )
-    for check in chosen:
-        try:
-            report.findings += check.run(data)
-        except CheckSkipped as why:
-            report.skipped[check.id] = str(why)
-        except Exception as error:  # noqa: BLE001  a failing check must not hide the others' findings
-            report.errors[check.id] = f"{type(error).__name__}: {str(error)[:500]}"
+    shared = Shared(data, {check.id for check in chosen})
+    data = replace(data, shared=shared)
+    try:
+        for check in chosen:
+            try:
+                report.findings += check.run(data)
+            except CheckSkipped as why:
+                report.skipped[check.id] = str(why)
+            except Exception as error:  # noqa: BLE001  a failing check must not hide the others' findings
+                report.errors[check.id] = f"{type(error).__name__}: {str(error)[:500]}"
+    finally:
+        shared.close()
     return report
 
 

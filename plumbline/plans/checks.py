@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from plumbline.model import SESSION_ROLES, CheckSkipped, Dataset, Finding, q
-from plumbline.operators import drift, duplicates, flows, importance, labels, leakage, ml, poison, shortcuts, validity, windows
+from plumbline.operators import census, drift, duplicates, flows, importance, labels, leakage, ml, poison, shortcuts, validity, windows
 from plumbline.operators.shortcuts import names_identifier
 
 
@@ -79,8 +79,9 @@ def graded(value: float, *steps: tuple[float, str], other: str) -> str:
 
 @register("validity.nan_inf")
 def nan_inf(data: Dataset) -> list[Finding]:
-    out = []
-    for r in validity.nan_inf_groups(data.df, data.features).orderBy(F.desc("n_bad"), "columns").collect():
+    out, facts = [], data.reusable("facts")
+    found = validity.nan_inf_groups(data.df, data.features) if facts is None else validity.groups_of(validity.missing_of(facts))
+    for r in found.orderBy(F.desc("n_bad"), "columns").collect():
         names = r["columns"].split(",")
         each = [names] if r.n_columns >= 3 else [[n] for n in names]
         for group in each:
@@ -91,7 +92,9 @@ def nan_inf(data: Dataset) -> list[Finding]:
 
 @register("validity.constant")
 def constant(data: Dataset) -> list[Finding]:
-    names = sorted(r.column for r in validity.constant(data.df, data.features).collect())
+    facts = data.reusable("facts")
+    found = validity.constant(data.df, data.features) if facts is None else validity.constant_of(facts)
+    names = sorted(r.column for r in found.collect())
     return [Finding("validity.constant", "low", f"{len(names)} constant column(s)", metric={"columns": names}, auto_fix="drop_constant")] if names else []
 
 
@@ -108,8 +111,9 @@ def column_names(data: Dataset) -> list[Finding]:
 
 @register("validity.impossible")
 def impossible(data: Dataset) -> list[Finding]:
-    out = []
-    for r in validity.impossible(data.df, data.numeric).orderBy("column").collect():
+    out, facts = [], data.reusable("facts")
+    found = validity.impossible(data.df, data.numeric) if facts is None else validity.impossible_of(facts)
+    for r in found.orderBy("column").collect():
         metric = {k: v for k, v in r.asDict().items() if v is not None}
         out.append(Finding("validity.impossible", "high", f"Impossible values in {r.column}", metric=metric, affected_rows=r.n_bad))
     return out
@@ -118,14 +122,16 @@ def impossible(data: Dataset) -> list[Finding]:
 @register("dup.exact", also_emits=("dup.class_ratio",))
 def dup_exact(data: Dataset) -> list[Finding]:
     keys, label = _identity(data), data.roles.label
-    r = duplicates.exact(data.df, [*keys, *([label] if label else [])]).first()
+    rows = data.reusable("rows")
+    r = (duplicates.exact(data.df, [*keys, *([label] if label else [])]) if rows is None else census.exact(rows)).first()
     if not r.n_dupes:
         return []
     out = [Finding("dup.exact", graded(r.ratio, (0.2, "high"), (0.05, "medium"), other="low"), "Exact duplicates", metric=r.asDict(), affected_rows=r.n_dupes, auto_fix="drop_duplicates")]
     if label:
-        rows = [x.asDict() for x in duplicates.class_ratio(data.df, keys, label).orderBy(F.desc("dup_ratio"), "label").collect()]
-        if rows:
-            out.append(Finding("dup.class_ratio", "medium", "Classes made of copies", metric={"classes": len(rows)}, examples=rows, affected_rows=sum(x["n_rows"] - x["n_unique"] for x in rows)))
+        classes = duplicates.class_ratio(data.df, keys, label) if rows is None else census.class_ratio(rows)
+        told = [x.asDict() for x in classes.orderBy(F.desc("dup_ratio"), "label").collect()]
+        if told:
+            out.append(Finding("dup.class_ratio", "medium", "Classes made of copies", metric={"classes": len(told)}, examples=told, affected_rows=sum(x["n_rows"] - x["n_unique"] for x in told)))
     return out
 
 
@@ -136,7 +142,8 @@ def dup_cross_split(data: Dataset) -> list[Finding]:
     splits = data.df.select(q(data.roles.split)).where(q(data.roles.split).isNotNull()).distinct().limit(2).count()
     if splits < 2:
         raise CheckSkipped("fewer than two splits")
-    r = duplicates.cross_split(data.df, keys, data.roles.split).first()
+    rows = data.reusable("rows")
+    r = (duplicates.cross_split(data.df, keys, data.roles.split) if rows is None else census.cross_split(rows)).first()
     return [Finding("dup.cross_split", "critical", "Rows that several splits share", metric=r.asDict(), affected_rows=r.n_affected, auto_fix="drop_duplicates")] if r.n_affected else []
 
 
@@ -158,26 +165,34 @@ def dup_near(data: Dataset) -> list[Finding]:
 def labels_conflict(data: Dataset) -> list[Finding]:
     data.require("label")
     keys = _identity(data)
-    r = labels.conflicts(data.df, keys, data.roles.label).first()
+    rows = data.reusable("rows")
+    r = (labels.conflicts(data.df, keys, data.roles.label) if rows is None else census.conflicts(rows)).first()
     if not r.n_affected:
         return []
-    pairs = [x.asDict() for x in labels.conflict_pairs(data.df, keys, data.roles.label).collect()]
+    most = labels.conflict_pairs(data.df, keys, data.roles.label) if rows is None else census.conflict_pairs(rows)
+    pairs = [x.asDict() for x in most.collect()]
     return [Finding("labels.conflict", graded(r.ratio, (0.01, "critical"), other="high"), "Equal rows under different labels", metric=r.asDict(), affected_rows=r.n_affected, examples=pairs)]
 
 
+def _label_counts(data: Dataset):
+    rows = data.reusable("rows")
+    return labels.label_counts(data.df, data.roles.label) if rows is None else census.label_counts(rows)
+
+
 @register("labels.taxonomy")
 def labels_taxonomy(data: Dataset) -> list[Finding]:
     data.require("label")
-    rows = [r.asDict() for r in labels.taxonomy(data.df, data.roles.label).orderBy("normal_form").collect()]
+    rows = [r.asDict() for r in labels.taxonomy_of(_label_counts(data)).orderBy("normal_form").collect()]
     return [Finding("labels.taxonomy", "high", "Labels spelt in several ways", metric={"forms": len(rows)}, affected_rows=sum(r["n_rows"] for r in rows), examples=rows, auto_fix="normalize_labels")] if rows else []
 
 
 @register("labels.imbalance")
 def labels_imbalance(data: Dataset) -> list[Finding]:
     data.require("label")
-    if data.df.where(q(data.roles.label).isNotNull()).select(q(data.roles.label)).distinct().limit(2).count() < 2:
+    counted = _label_counts(data)
+    if counted.limit(2).count() < 2:
         raise CheckSkipped("fewer than two classes")
-    rows = [r.asDict() for r in labels.imbalance(data.df, data.roles.label, data.option("min_class_examples", 100)).orderBy("n_rows", "label").collect()]
+    rows = [r.asDict() for r in labels.imbalance_of(counted, data.option("min_class_examples", 100)).orderBy("n_rows", "label").collect()]
     return [Finding("labels.imbalance", "medium", "Classes with few rows", metric={"classes": len(rows), "ratio": rows[0]["ratio"]}, affected_rows=sum(r["n_rows"] for r in rows), examples=rows)] if rows else []
 
 

@@ -8,12 +8,13 @@ columns, the same way in Spark and in SQL. Doubles are rounded to six places.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import compare, drift, duplicates, labels, leakage, ml, poison, shortcuts, splits, validity
-from plumbline.session import read_table
+from plumbline.operators import census, compare, drift, duplicates, labels, leakage, ml, poison, shortcuts, splits, validity
+from plumbline.session import cut, read_table
 from plumbline.sources.suricata import flatten
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +187,32 @@ def labels_conflict_pairs(spark, sf_dir):
     return labels.conflict_pairs(read_table(spark, sf_dir, "lineitem"), KEYS, "l_returnflag")
 
 
+@query(
+    f"""WITH t AS (SELECT *, {SPLIT} AS s, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag END AS label FROM lineitem),
+ g AS (SELECT l_quantity, l_discount, l_tax, label, count(*) AS n, count(s) AS a, count(DISTINCT s) AS k FROM t GROUP BY l_quantity, l_discount, l_tax, label),
+ i AS (SELECT count(label) AS k, sum(n) AS n, sum(n) FILTER (WHERE label IS NOT NULL) AS known FROM g GROUP BY l_quantity, l_discount, l_tax),
+ x AS (SELECT 'dup.exact' AS what, NULL AS label, sum(n) AS n_rows, sum(n) - count(*) AS n_affected, 0 AS n_groups FROM g
+  UNION ALL SELECT 'dup.class_ratio', label, sum(n), sum(n) - count(*), 0 FROM g GROUP BY label HAVING (sum(n) - count(*)) / sum(n) >= 0.5 AND sum(n) >= 10
+  UNION ALL SELECT 'dup.cross_split', NULL, sum(a), coalesce(sum(a) FILTER (WHERE k > 1), 0), count(*) FILTER (WHERE k > 1) FROM g
+  UNION ALL SELECT 'labels.conflict', NULL, sum(n), coalesce(sum(known) FILTER (WHERE k > 1), 0), count(*) FILTER (WHERE k > 1) FROM i
+  UNION ALL SELECT 'labels.count', label, sum(n), 0, 0 FROM g WHERE label IS NOT NULL GROUP BY label)
+SELECT what, label, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_affected AS BIGINT) AS n_affected, CAST(n_groups AS BIGINT) AS n_groups FROM x"""
+)
+def audit_census(spark, sf_dir):
+    """What five checks tell, from one census of the rows."""
+    df = over(spark, sf_dir, f"SELECT l_quantity, l_discount, l_tax, {SPLIT} AS s, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag END AS label FROM lineitem", "lineitem")
+    rows = cut(census.row_census(df, KEYS, "label", "s"))
+    none, text = F.lit(0).cast("long").alias("n_groups"), F.lit(None).cast("string").alias("label")
+    told = [
+        census.exact(rows).select(F.lit("dup.exact").alias("what"), text, "n_rows", F.col("n_dupes").alias("n_affected"), none),
+        census.class_ratio(rows).select(F.lit("dup.class_ratio").alias("what"), "label", "n_rows", (F.col("n_rows") - F.col("n_unique")).alias("n_affected"), none),
+        census.cross_split(rows).select(F.lit("dup.cross_split").alias("what"), text, F.col("n_assigned").alias("n_rows"), "n_affected", "n_groups"),
+        census.conflicts(rows).select(F.lit("labels.conflict").alias("what"), text, F.col("n_total").alias("n_rows"), "n_affected", "n_groups"),
+        census.label_counts(rows).select(F.lit("labels.count").alias("what"), "label", F.col("n").alias("n_rows"), none.alias("n_affected"), none),
+    ]
+    return reduce(DataFrame.unionByName, told)
+
+
 SPELT = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN lower(o_orderpriority) WHEN o_orderkey % 11 = 0 THEN replace(o_orderpriority, '-', ' _ ') ELSE o_orderpriority END AS label FROM orders"""
 FORM = "trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'))"
 

@@ -200,7 +200,7 @@ def test_registry_and_report():
     with pytest.raises(ValueError):
         checks.register("dup.exact")(lambda d: [])
     assert len(checks.all_checks("auditor")) == 16 and len(checks.all_checks("poison")) == 4 and len(checks.all_checks("drift")) == 5
-    assert [c.id for c in checks.all_checks("domain")] == ["drift.mmd", "flow.timeout", "labels.window", "leak.random_split", "poison.spectral", "validity.types"]
+    assert [c.id for c in checks.all_checks("domain")] == ["drift.mmd", "flow.timeout", "labels.window", "leak.random_split", "poison.spectral", "shortcut.importance", "validity.types"]
     assert fixes.available_fixes() == sorted(
         ["drop_duplicates", "drop_identifiers", "drop_constant", "strip_column_names", "normalize_labels", "quarantine_noise", "temporal_split", "group_split", "relabel_window"])
     r = Report({"name": "<b>"}, {}, [Finding("b.x", "low", "l"), Finding("a.y", "high", "<i>"), Finding("a.x", "low", "k")])
