@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -102,13 +103,25 @@ def near_classes(
         nodes = nodes.join(reached, F.col("node") == F.col("at"), "left").withColumn(
             "component", F.coalesce("component", "node")
         )
+        sizes = nodes.groupBy("component").agg(F.sum("stands_for").alias("n_rows")).where("n_rows > 1")
+        near = nodes.join(sizes, "component")
     else:
-        nodes = nodes.withColumn("component", F.col("node"))
-    sizes = nodes.groupBy("component").agg(F.sum("stands_for").alias("n_rows")).where("n_rows > 1")
-    member = candidates.select("row_id", F.struct(*names).alias("t")).join(
-        nodes.select(F.struct(*names).alias("u"), "component"), F.col("t") == F.col("u")
-    )
-    return member.join(sizes, "component").select("row_id", F.col("component").alias("component_id"), "n_rows")
+        near = nodes.select(*names, F.col("node").alias("component"), F.col("stands_for").alias("n_rows")).where("n_rows > 1")
+    near = cut(near.select(F.struct(*names).alias("u"), F.col("component").alias("component_id"), "n_rows"))
+    if _is_small(near, [F.col("u")[n] for n in names]):
+        near = F.broadcast(near)
+    member = candidates.select("row_id", F.struct(*names).alias("t")).join(near, F.col("t") == F.col("u"))
+    return member.select("row_id", "component_id", "n_rows")
+
+
+#: Rows and characters up to which what was found near is sent to every task; beyond, it is shuffled with the rows.
+SMALL_ROWS, SMALL_CHARS = 100_000, 8_000_000
+
+
+def _is_small(df: DataFrame, texts: list[Column]) -> bool:
+    length = reduce(lambda a, b: a + b, [F.length(t).cast("long") for t in texts])
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("chars")).first()
+    return one.n <= SMALL_ROWS and one.chars <= SMALL_CHARS
 
 
 def _coded(nodes: DataFrame, names: list[str]) -> DataFrame:

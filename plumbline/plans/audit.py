@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import time
 from dataclasses import replace
 from datetime import datetime, timezone
 from functools import reduce
@@ -47,12 +48,14 @@ def run_audit(data: Dataset, wanted: list[str] | str = "all", module: str = "aud
     data = replace(data, shared=shared)
     try:
         for check in chosen:
+            began = time.monotonic()
             try:
                 report.findings += check.run(data)
             except CheckSkipped as why:
                 report.skipped[check.id] = str(why)
             except Exception as error:  # noqa: BLE001  a failing check must not hide the others' findings
                 report.errors[check.id] = f"{type(error).__name__}: {str(error)[:500]}"
+            report.run.setdefault("seconds", {})[check.id] = round(time.monotonic() - began, 3)  # what is shared counts for the first that asks
     finally:
         shared.close()
     return report

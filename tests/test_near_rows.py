@@ -68,3 +68,14 @@ def test_few_varying_columns_link_all(spark):
     df = spark.range(30).select("id", *[F.lit(1).alias(f"k{i}") for i in range(30)], (F.col("id") % 7).alias("v"))
     got = duplicates.near_classes(df, [c for c in df.columns if c != "id"], "id").collect()
     assert len(got) == 7 and {r.component_id for r in got} == {0} and {r.n_rows for r in got} == {7}
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_what_is_found_is_joined_both_ways(spark, monkeypatch, small):
+    """Three columns allow no difference but that of rounding; rows equal in all are one, the first."""
+    monkeypatch.setattr(duplicates, "SMALL_ROWS", small)
+    rows = [(0, 1.00001, "a", None), (1, 1.00002, "a", None), (2, 1.00001, "a", None), (3, 1.00001, "b", None), (4, 2.5, "a", "x"), (5, None, "a", "x"), (6, None, "a", "x")]
+    df = spark.createDataFrame(rows, "id long, v double, s string, t string")
+    found = duplicates.near_classes(df, ["v", "s", "t"], "id")
+    assert {(r.row_id, r.component_id, r.n_rows) for r in found.collect()} == {(0, 0, 2), (1, 0, 2)}
+    assert duplicates.near_classes(df.limit(0), ["v", "s", "t"], "id").collect() == []
