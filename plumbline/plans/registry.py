@@ -622,7 +622,37 @@ def _dataset(spark, sf_dir):
     return Dataset(df, Roles(label="label", split="split"), config={"row_id": "rid"})
 
 
-@query()
+def _audit_sql() -> str:
+    """The findings of the checks below, each from its own rule; columns without nulls have no finding of missing values."""
+    features = ["l_quantity", "l_discount", "l_tax", "l_linestatus"]
+    keys = ", ".join(features)
+    each = lambda what: " UNION ALL ".join(what(c) for c in features)
+    cells = each(lambda c: f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS v, label FROM t""")
+    return f"""WITH t AS (SELECT {keys}, {SPLIT} AS s, l_returnflag AS label FROM lineitem),
+ g AS (SELECT {keys}, label, count(*) AS n, count(s) AS a, count(DISTINCT s) AS k FROM t GROUP BY {keys}, label),
+ i AS (SELECT count(label) AS k, sum(n) AS n, sum(n) FILTER (WHERE label IS NOT NULL) AS known FROM g GROUP BY {keys}),
+ e AS (SELECT sum(n) - count(*) AS dupes, (sum(n) - count(*)) / sum(n) AS ratio FROM g),
+ r AS (SELECT label, sum(n) - count(*) AS dupes FROM g GROUP BY label HAVING (sum(n) - count(*)) / sum(n) >= 0.5 AND sum(n) >= 10),
+ x AS (SELECT coalesce(sum(a) FILTER (WHERE k > 1), 0) AS hit FROM g),
+ c AS (SELECT coalesce(sum(known) FILTER (WHERE k > 1), 0) AS hit, sum(n) AS n FROM i),
+ l AS (SELECT label, count(*) AS n FROM t WHERE label IS NOT NULL GROUP BY label),
+ b AS (SELECT n FROM l WHERE (SELECT count(*) FROM l) > 1 AND n < (SELECT least(100, floor(0.1 * sum(n))) FROM l) AND (SELECT least(100, floor(0.1 * sum(n))) FROM l) >= 2),
+ v AS ({cells}), one AS (SELECT "column" FROM v GROUP BY "column" HAVING count(DISTINCT v) <= 1),
+ m AS (SELECT "column", v, label, count(*) AS n FROM v WHERE label IS NOT NULL GROUP BY ALL),
+ h AS (SELECT "column", label, n, row_number() OVER (PARTITION BY "column", v ORDER BY n DESC, label DESC) AS place FROM m),
+ w AS (SELECT "column", label, sum(n) FILTER (WHERE place = 1) AS hits, sum(n) AS n FROM h GROUP BY "column", label),
+ y AS (SELECT "column" FROM w GROUP BY "column" HAVING avg(coalesce(hits, 0) / n) >= 0.95),
+ f AS (SELECT 'dup.exact' AS check_id, CASE WHEN ratio >= 0.2 THEN 'high' WHEN ratio >= 0.05 THEN 'medium' ELSE 'low' END AS severity, 'Exact duplicates' AS title, dupes AS n FROM e WHERE dupes > 0
+  UNION ALL SELECT 'dup.class_ratio', 'medium', 'Classes made of copies', sum(dupes) FROM r HAVING count(*) > 0
+  UNION ALL SELECT 'dup.cross_split', 'critical', 'Rows that several splits share', hit FROM x WHERE hit > 0
+  UNION ALL SELECT 'labels.conflict', CASE WHEN hit / n >= 0.01 THEN 'critical' ELSE 'high' END, 'Equal rows under different labels', hit FROM c WHERE hit > 0
+  UNION ALL SELECT 'labels.imbalance', 'medium', 'Classes with few rows', sum(n) FROM b HAVING count(*) > 0
+  UNION ALL SELECT 'validity.constant', 'low', count(*) || ' constant column(s)', 0 FROM one HAVING count(*) > 0
+  UNION ALL SELECT 'shortcut.single_feature', 'critical', "column" || ' alone tells the label', 0 FROM y)
+SELECT check_id, severity, title, CAST(n AS BIGINT) AS affected_rows FROM f"""
+
+
+@query(_audit_sql())
 def audit_findings(spark, sf_dir):
     """An audit's findings as a table: (check_id, severity, title, affected_rows)."""
     from plumbline.plans.audit import run_audit
