@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.model import CheckSkipped, q
 from plumbline.operators import ml
-from plumbline.session import remove_folder, shared_folder
+from plumbline.session import cut, remove_folder, shared_folder
 
 TREES = 20
 #: A path of so many levels has at most so many columns, hence 2 ** DEPTH patterns of "goes this way" for a leaf.
@@ -149,7 +149,7 @@ def baseline(df: DataFrame, columns: list[str], label: str, row_id: str, seed: i
         raise CheckSkipped("fewer than two classes")
     forest = RandomForestClassifier(featuresCol="features", labelCol="y", probabilityCol="p", numTrees=TREES, maxDepth=DEPTH, maxBins=64, featureSubsetStrategy="all", seed=seed)
     data = index.transform(data)
-    model = forest.fit(data.where("fit"))
+    model = forest.fit(cut(data.where("fit").select("features", "y")))  # a forest reads them level by level
     _, gain = ml.skill(model.transform(data.where("held")).select("y", vector_to_array("p").alias("probs")))
     return model, list(index.labels), gain
 
@@ -190,6 +190,7 @@ def importance(df: DataFrame, columns: list[str], paths: Paths) -> DataFrame:
 
     cells = df.select(F.array(*[ml.clean(c) for c in columns]).alias("x"))
     sums = cells.mapInPandas(run, "at int, total double, n long").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = cut(sums)  # a row for each column
     every = sums.agg(F.sum("total").alias("every"))  # one row
     name = F.element_at(F.array(*map(F.lit, columns)), F.col("at") + 1)
     share = F.coalesce(F.try_divide("total", "every"), F.lit(0.0))
