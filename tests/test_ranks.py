@@ -51,6 +51,12 @@ def test_cutoff_of_few_and_many_times(spark):
         assert splits.cutoff(df, F.col("t")) == want
 
 
+def test_shares_of_rows_and_groups_are_whole_where_doubles_fall_short(spark):
+    assert int(90 * 0.7) == 62 and int(0.7 * 45 + 0.5) == 31
+    assert splits.grouped(spark.range(90), ["id"], "split").where("split = 'train'").count() == 63
+    assert splits.cutoff(spark.range(46), F.col("id")) == 32
+
+
 def test_a_fit_sample_is_bounded_and_every_row_is_scored(spark):
     rows = spark.range(3000).selectExpr("id AS row_id", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS y", "array((id % 2) * 10.0D + (id * 37 % 101) / 100D, (id * 53 % 97) / 97D) AS x")
     flipped = rows.withColumn("y", F.when(F.col("row_id") % 100 == 1, "a").otherwise(F.col("y")))
