@@ -98,6 +98,44 @@ def test_dbscan_equals_a_plain_one(spark, monkeypatch, block, columns):
     assert got == want and any(not c and k is not None for c, k in want.values())
 
 
+@pytest.mark.parametrize("parts", [8, 1])
+@pytest.mark.parametrize("columns", [1, 2, 4])
+def test_dbscan_of_crowds_equals_a_plain_one(spark, monkeypatch, parts, columns):
+    import random
+
+    from plumbline.operators import density
+
+    monkeypatch.setattr(density, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(density, "PARTS", parts, raising=False)
+    rng = random.Random(columns)
+    rows = []
+    for k, c in enumerate((0, 1.7, 3.6, 9, 10.9, 12.9)):  # crowds, of which some nearly touch
+        for _ in range((80, 60, 40)[k % 3]):
+            rows.append((len(rows), "a", [c + rng.uniform(0, 1) / columns**0.5, *(rng.uniform(0, 1) / columns**0.5 for _ in range(columns - 1))]))
+    rows += [(len(rows) + k, "a", [rng.uniform(-2, 15), *(rng.uniform(-1, 2) for _ in range(columns - 1))]) for k in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, y string, x array<double>").repartition(5)
+    for eps in (1.0, 1.25):
+        got = {r.row_id: (r.core, r.cluster) for r in density.dbscan(df, spark.createDataFrame([("a", eps)], "y string, eps double"), 8).collect()}
+        assert got == plain_dbscan({i: x for i, _, x in rows}, eps, 8)
+
+
+def test_what_is_compared_grows_no_faster_than_a_crowd(spark, monkeypatch):
+    from plumbline.operators import density
+
+    dealt, plain = [], density.map_sorted_groups
+
+    def counting(df, *rest):
+        dealt.append(df.count())
+        return plain(df, *rest)
+
+    monkeypatch.setattr(density, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(density, "map_sorted_groups", counting)
+    rows = [(i, "a", [i % 50 / 100, i // 50 / 100]) for i in range(2000)] + [(2000, "a", [1.2, 0.0])]  # all within one eps but the last, which is in reach of some
+    got = density.dbscan(spark.createDataFrame(rows, "row_id long, y string, x array<double>"), spark.createDataFrame([("a", 1.0)], "y string, eps double"), 10).collect()
+    assert all(r.core and r.cluster == 0 for r in got) and len(got) == 2001
+    assert sum(dealt) < 10 * len(rows)
+
+
 @pytest.mark.parametrize("probes", [1_000, 100])
 def test_a_planted_cluster_is_found_at_any_size_of_sample(spark, probes):
     import random
