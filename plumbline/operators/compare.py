@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,10 @@ from plumbline.operators.leakage import is_test, is_train
 from plumbline.session import cut
 
 
-def confusion(scored: DataFrame, label: str, predicted: str) -> DataFrame:
-    """(label, predicted, n)."""
+def confusion(scored: DataFrame, label: str, predicted: str, n: str | None = None) -> DataFrame:
+    """(label, predicted, n): rows, or what they add up to in column ``n``."""
     return scored.groupBy(q(label).cast("string").alias("label"), q(predicted).cast("string").alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n")
+        (F.sum(q(n)) if n else F.count(F.lit(1))).alias("n")
     )
 
 
@@ -38,8 +40,29 @@ def summary(counted: DataFrame, benign: str) -> DataFrame:
     return one.join(known)  # two single rows
 
 
+#: Shares that equal rows are drawn in for a tree, at most, and rows of a task that trees learn from.
+SHARES, LEARNT_ROWS = 32, 200_000
+
+
+def drawn(counted: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows to grow a forest from, weighted by ``__w``, of (columns..., n): equal rows as ``SHARES`` near equal shares, or one by one if they are fewer.
+
+    Each tree draws each share by itself, as it would each row; all rows count.
+    Partitions depend on the rows alone, so the forest does.
+    """
+    shares = F.least(F.col("n"), F.lit(SHARES))
+    size = counted.agg(F.sum(shares).alias("n")).first().n or 0
+    dealt = counted.repartition(max(32, math.ceil(size / LEARNT_ROWS)), *map(F.col, columns)).sortWithinPartitions(*columns)
+    weight = F.floor(F.col("n") / F.col("__of")) + (F.col("__k") < F.col("n") % F.col("__of")).cast("long")
+    return dealt.withColumn("__of", shares).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__of") - 1))).withColumn("__w", weight.cast("double"))
+
+
 def predictions(data: Dataset, seed: int = 42, row_id: str | None = None) -> DataFrame:
-    """(label, predicted) of the test rows, by a random forest trained on the train rows; text columns are coded by order."""
+    """(label, predicted, n) of the test rows, by a random forest trained on the train rows; text columns are coded by order.
+
+    Rows that are equal to a model are counted in one scan; trees learn from
+    them and tell them once, with their number.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -52,20 +75,22 @@ def predictions(data: Dataset, seed: int = 42, row_id: str | None = None) -> Dat
     rows = data.df.where(q(label).isNotNull()).select(
         q(label).cast("string").alias("__label"), is_train(q(split)).alias("__train"), is_test(q(split)).alias("__test"),
         *[clean(c).alias(f"n{i}") for i, c in enumerate(numeric)], *[q(c).alias(f"s{i}") for i, c in enumerate(text)])
+    keys = rows.columns
+    rows = cut(rows.where("__train OR __test").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     steps = [StringIndexer(inputCol=f"s{i}", outputCol=f"k{i}", handleInvalid="keep", stringOrderType="alphabetAsc") for i in range(len(text))]
     inputs = [f"n{i}" for i in range(len(numeric))] + [f"k{i}" for i in range(len(text))]
     index = StringIndexer(inputCol="__label", outputCol="__y", handleInvalid="keep", stringOrderType="alphabetAsc")
-    forest = RandomForestClassifier(featuresCol="features", labelCol="__y", numTrees=50, maxDepth=8, maxBins=256, seed=seed)
+    forest = RandomForestClassifier(featuresCol="features", labelCol="__y", weightCol="__w", numTrees=50, maxDepth=8, maxBins=256, seed=seed)
     pipe = Pipeline(stages=[*steps, index, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), forest])
-    model = pipe.fit(rows.where("__train"))
+    model = pipe.fit(drawn(rows.where("__train"), keys))
     names = F.array(*map(F.lit, [*model.stages[len(steps)].labels, "unknown"]))
     scored = model.transform(rows.where("__test")).withColumn("__p", F.element_at(names, (F.col("prediction") + 1).cast("int")))
-    return scored.select(F.col("__label").alias("label"), F.col("__p").alias("predicted"))
+    return scored.select(F.col("__label").alias("label"), F.col("__p").alias("predicted"), "n")
 
 
 def evaluate(data: Dataset, benign: str, seed: int = 42, row_id: str | None = None) -> DataFrame:
     """``summary`` of ``predictions``, and the recall of each class as a map."""
-    counted = cut(confusion(predictions(data, seed, row_id), "label", "predicted"))
+    counted = cut(confusion(predictions(data, seed, row_id), "label", "predicted", "n"))
     recall = class_metrics(counted).where("n > 0").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "recall")))).alias("recall"))
     return summary(counted, benign).join(recall)  # two single rows
 

@@ -238,6 +238,25 @@ def test_quarantine_in_a_comparison_spares_the_test_rows(spark):
     assert all(r.test_changed for r in compare.compare(d.with_df(d.df.unionByName(d.df)), ["drop_duplicates"], "low", row_id="rid").collect())
 
 
+def test_a_comparison_learns_from_equal_rows_once_and_from_their_number(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import compare
+
+    counted = spark.createDataFrame([(1.0, 5), (2.0, 100), (3.0, 1)], "a double, n long")
+    got = compare.drawn(counted, ["a"]).groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.sum("__w").alias("w"), F.max("__w").alias("most")).collect()
+    assert {r.a: (r.k, r.w, r.most) for r in got} == {1.0: (5, 5.0, 1.0), 2.0: (compare.SHARES, 100.0, 4.0), 3.0: (1, 1.0, 1.0)}
+    rows = [(i, float(i * 7919 % 11), "xy"[i * 31 % 7 % 2], "low" if i * 104729 % 97 < 50 else "high", ("train", "test", None)[i % 3]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "rid long, a double, b string, label string, split string")
+    told = []
+    for parts in (1, 7):
+        d = Dataset(df.repartition(parts), Roles(label="label", split="split"), config={"row_id": "rid"})
+        found = compare.predictions(d, row_id="rid")
+        told.append(sorted(found.collect()))
+        assert found.agg(F.sum("n")).first()[0] == 400 and found.count() < 50
+    assert told[0] == told[1]
+
+
 def test_loss_needs_three_rows_of_each_class(spark):
     rows = [(i, float(i), float(i % 5), "a" if i > 1 else "b") for i in range(50)]
     d = Dataset(spark.createDataFrame(rows, "rid long, a double, b double, label string"), Roles(label="label"), config={"row_id": "rid"})
