@@ -257,6 +257,28 @@ def test_a_comparison_learns_from_equal_rows_once_and_from_their_number(spark):
     assert told[0] == told[1]
 
 
+def test_concept_drift_scores_equal_rows_once_by_their_number(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import drift
+
+    rows = [(i, float(i % 20), float(i * 7 % 5) if i % 50 else None, "ab"[(i % 20 > 9) != (i * 31 % 97 < 20)] if i % 41 else None) for i in range(2000)]
+    both = [(i + 5000 * k, a + 0.5 * k, b, y) for k in (0, 1) for i, a, b, y in rows] + [(9999, 1.0, 2.0, "a")]  # the last is a row of the reference
+    df = spark.createDataFrame(both, "rid long, a double, b double, label string")
+    told = []
+    for parts in (1, 7):
+        old, new = (df.where(f"rid {o} 5000").repartition(parts) for o in ("<", ">="))
+        found = drift.concept_scores(old, new, ["a", "b"], "label", "rid", cap=500)
+        told.append(sorted(found.collect()))
+    known = sum(y is not None for *_, y in rows)
+    assert told[0] == told[1] and len(told[0]) <= 8
+    assert {k: sum(r.n for r in told[0] if r.side == k) for k in (0, 1)} == {0: known, 1: known}
+    by_class = {r.label: r for r in drift.recalls(found).collect()}
+    assert sum(r.n_reference for r in by_class.values()) == known
+    one = found.select("side", "label", "hit", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    assert {r.label: r for r in drift.recalls(one.drop("col")).collect()} == by_class
+
+
 def test_loss_needs_three_rows_of_each_class(spark):
     rows = [(i, float(i), float(i % 5), "a" if i > 1 else "b") for i in range(50)]
     d = Dataset(spark.createDataFrame(rows, "rid long, a double, b double, label string"), Roles(label="label"), config={"row_id": "rid"})
